@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import licenses, secrets, sentencepiece_bpe, sharding
+from corpusloom.llm import licenses, secrets, sentencepiece_bpe, sharding, simhash, toxicity
 
 
 def tokenizer_path() -> str:
@@ -27,6 +27,10 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.encode_texts(_table(spark, sf_dir, "documents"), tokenizer_path(), keep_ids=False)
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(_table(spark, sf_dir, "documents"))
 
@@ -35,8 +39,12 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_table(spark, sf_dir, "documents")).drop("places")
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_secret_scan, op4_sentencepiece, op8_sharding, op9_license_scan)
+    found = (op1_secret_scan, op4_sentencepiece, op5_simhash, op8_sharding, op9_license_scan, op10_toxicity)
     return {f.__name__: f for f in found}
 
 
