@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import licenses, secrets, sentencepiece_bpe, sharding, simhash, toxicity
+from corpusloom.llm import licenses, secrets, sentencepiece_bpe, sharding, simhash, substring_dedup, toxicity
 
 
 def tokenizer_path() -> str:
@@ -23,6 +23,10 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(_table(spark, sf_dir, "documents")).drop("found")
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(_table(spark, sf_dir, "documents")).drop("kept_text")
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.encode_texts(_table(spark, sf_dir, "documents"), tokenizer_path(), keep_ids=False)
 
@@ -44,7 +48,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_secret_scan, op4_sentencepiece, op5_simhash, op8_sharding, op9_license_scan, op10_toxicity)
+    found = (op1_secret_scan, op3_substring_dedup, op4_sentencepiece, op5_simhash, op8_sharding, op9_license_scan, op10_toxicity)
     return {f.__name__: f for f in found}
 
 
