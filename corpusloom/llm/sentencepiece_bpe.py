@@ -57,6 +57,10 @@ class PieceModel:
         order = {s: r for r, s in enumerate(sorted({s for _, s in normal.values()}, reverse=True))}
         # Symbols: the ids of normal pieces, and from len(names) on the characters without a piece.
         self.id_of = {p: i for p, (i, _) in normal.items()}
+        self.symbol_of = np.arange(len(self.names), len(self.names) + 0x110000, dtype=np.int32)
+        for piece, (i, _) in normal.items():
+            if len(piece) == 1:
+                self.symbol_of[ord(piece)] = i
         rank = {i: order[s] for i, s in normal.values()}
         keys, merged = [], []
         at_once = np.ones(len(self.names), bool)
@@ -81,7 +85,7 @@ class PieceModel:
         self.unknown_id = next(i for i, p in enumerate(proto.pieces) if p.type == 2)
         self.control = np.array([p.type == 3 for p in proto.pieces])
         self.is_byte = np.array([p.type == 6 for p in proto.pieces])
-        self.cache: dict[str, tuple[int, str, bytes, list[int]]] = {}
+        self.cache: dict[str, tuple[str, bytes]] = {}
 
     # -- merge rounds -------------------------------------------------------------------------
 
@@ -165,20 +169,26 @@ class PieceModel:
 
     def _learn(self, segments: list[str]) -> None:
         """Encodes segments that the cache lacks, all in the same rounds."""
-        get, base = self.id_of.get, len(self.names)
-        chars = "".join(segments)
-        own = {c: get(c, base + ord(c)) for c in set(chars)}
-        sym = np.fromiter((own[c] for c in chars), np.int32, len(chars))
-        word = np.repeat(np.arange(len(segments)), [len(s) for s in segments])
+        base = len(self.names)
+        points = np.frombuffer("".join(segments).encode("utf-32-le"), np.uint32)
+        sym = self.symbol_of[points]
+        word = np.repeat(np.arange(len(segments)), np.fromiter(map(len, segments), np.int64, len(segments)))
         sym, word = self.merge(sym, word)
-        cuts = np.searchsorted(word, np.arange(len(segments) + 1))
-        flat, table, text = sym.tolist(), self.bytes_of, self.id_text
-        lone = bool((sym >= base).any())
-        for k, s in enumerate(segments):
-            ids = flat[cuts[k] : cuts[k + 1]]
-            if lone and any(i >= base for i in ids):
-                ids = [x for i in ids for x in ([i] if i < base else [self.byte_id[b] for b in chr(i - base).encode()])]
-            self.cache[s] = (len(ids), ",".join([text[i] for i in ids]), b"".join([table[i] for i in ids]), ids)
+        cuts = np.searchsorted(word, np.arange(len(segments) + 1)).tolist()
+        if (lone := np.flatnonzero(sym >= base)).size:  # byte fallback
+            wide = np.array([len(chr(c).encode()) for c in (sym[lone] - base).tolist()])
+            times = np.ones(len(sym), np.int64)
+            times[lone] = wide
+            cuts = np.r_[0, np.cumsum(times)][cuts].tolist()
+            at = np.r_[0, np.cumsum(times)][lone]
+            flat = np.repeat(sym, times)
+            raw = np.frombuffer("".join(map(chr, (sym[lone] - base).tolist())).encode(), np.uint8)
+            flat[np.repeat(at - np.r_[0, np.cumsum(wide)[:-1]], wide) + np.arange(len(raw))] = np.array([self.byte_id[b] for b in range(256)], np.int32)[raw]
+            sym = flat
+        flat, table, text, cache = sym.tolist(), self.bytes_of, self.id_text, self.cache
+        for s, a, b in zip(segments, cuts, cuts[1:], strict=False):
+            ids = flat[a:b]
+            cache[s] = (",".join([text[i] for i in ids]), b"".join([table[i] for i in ids]))
 
     # -- texts --------------------------------------------------------------------------------
 
@@ -207,10 +217,11 @@ class PieceModel:
                 out += [SPACE + x for x in rest]
         return out
 
-    def encoded(self, texts: list[str]) -> Iterator[list[tuple[int, str, bytes, list[int]]]]:
-        """For each text its segments: number of ids, ids joined by commas, decoded bytes, ids.
+    def encoded(self, texts: list[str]) -> Iterator[tuple[str, bytes]]:
+        """For each text its ids, joined by commas, and what they decode to, with the dummy prefix.
 
         All texts share the merge rounds, so give a batch of them at once.
+        Segments hold whole characters, so they can be decoded one by one.
         """
         parts = [self.segments(text) for text in texts]
         missing = set().union(*parts).difference(self.cache)
@@ -219,14 +230,16 @@ class PieceModel:
             missing = set().union(*parts)
         if missing:
             gc.disable()  # many small tuples and no cycles
-            self._learn(sorted(missing))
+            self._learn(list(missing))
             gc.enable()
         found = self.cache
         for own in parts:
-            yield [found[p] for p in own]
+            codes = [found[p] for p in own]
+            yield ",".join([c[0] for c in codes]), b"".join([c[1] for c in codes])
 
     def encode(self, text: str) -> list[int]:
-        return [i for part in next(self.encoded([text])) for i in part[3]]
+        joined = next(self.encoded([text]))[0]
+        return [int(i) for i in joined.split(",")] if joined else []
 
     def decode(self, ids) -> str:
         """As the library's decode(): pieces joined, byte runs as UTF-8, the dummy prefix dropped."""
@@ -280,15 +293,13 @@ def encode_texts(df: DataFrame, model_path: str, id_col: str = "doc_id", text_co
         model = load_model(model_path)
         for batch in batches:
             n, ids_sha, text_sha, all_ids, texts = [], [], [], [], []
-            for parts in chain.from_iterable(model.encoded(part) for part in slices(batch.column("text").to_pylist())):
-                counts, joined, decoded, ids = zip(*parts, strict=True) if parts else ((), (), (), ())
-                # a segment holds whole characters, so the segments' bytes together are what decode() gives
-                text = b"".join(decoded)[bool(decoded) and decoded[0].startswith(b" ") :]
-                n.append(sum(counts))
-                ids_sha.append(hashlib.sha256(",".join(joined).encode()).hexdigest())
+            for joined, decoded in chain.from_iterable(model.encoded(part) for part in slices(batch.column("text").to_pylist())):
+                text = decoded[decoded.startswith(b" ") :]
+                n.append(joined.count(",") + 1 if joined else 0)
+                ids_sha.append(hashlib.sha256(joined.encode()).hexdigest())
                 text_sha.append(hashlib.sha256(text).hexdigest())
                 if keep_ids:
-                    all_ids.append(np.fromiter(chain.from_iterable(ids), np.int32, n[-1]))
+                    all_ids.append(np.array(joined.split(","), np.int32) if joined else np.zeros(0, np.int32))
                 if keep_text:
                     texts.append(text.decode())
             cols = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
