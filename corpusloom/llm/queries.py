@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import embedding_dedup, licenses, secrets, sentencepiece_bpe, sharding, simhash, substring_dedup, toxicity
+from corpusloom.llm import decontamination, embedding_dedup, licenses, secrets, sentencepiece_bpe, sharding, simhash, substring_dedup, toxicity
 
 
 def tokenizer_path() -> str:
@@ -35,6 +35,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find_copies(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("text_key")
+
+
 def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
@@ -52,7 +56,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_secret_scan, op3_substring_dedup, op4_sentencepiece, op5_simhash, op7_embedding_dedup, op8_sharding, op9_license_scan, op10_toxicity)
+    found = (op1_secret_scan, op3_substring_dedup, op4_sentencepiece, op5_simhash, op6_decontamination, op7_embedding_dedup, op8_sharding, op9_license_scan, op10_toxicity)
     return {f.__name__: f for f in found}
 
 
