@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm.runtime import materialise
 from corpusloom.llm.words import BLANKS, Words, batches_of, mix, split
 
 WINDOW = 35
@@ -155,9 +156,9 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     keyed = rows.select("doc_id", "text", F.coalesce("doc_id", F.lit(-1)).alias("k1"), F.xxhash64("text").alias("k2"))
     found = keyed.select("k1", "k2", "text").mapInArrow(_paths, "anchor long, digest long, k1 long, k2 long, place long")
     anchors = found.groupBy("anchor").agg(F.count("*").alias("n"), F.min("digest").alias("low"), F.max("digest").alias("high")).where("n > 1").select("anchor", (F.col("low") != F.col("high")).alias("branching"))
-    repeated = found.join(anchors, "anchor")
+    repeated = materialise(found.join(anchors, "anchor"), "repeated-paths")
     branching = repeated.where("branching")
-    groups = branching.groupBy("anchor", "digest").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "place")).alias("one"))
+    groups = materialise(branching.groupBy("anchor", "digest").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "place")).alias("one")), "branching-paths")
     whole = repeated.where("not branching").select("k1", "k2", "place").unionByName(branching.join(groups.where("n > 1").select("anchor", "digest"), ["anchor", "digest"], "left_semi").select("k1", "k2", "place"))
     chosen = groups.select("one.*").groupBy("k1", "k2").agg(F.collect_list("place").alias("places"))
     windows = keyed.select("doc_id", "text", "k1", "k2").join(chosen, ["k1", "k2"]).select("k1", "k2", "text", "places").mapInArrow(_windows, "h1 long, h2 long, k1 long, k2 long, place long")
