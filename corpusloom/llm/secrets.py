@@ -132,6 +132,30 @@ def redact(text: str) -> str:
     return "".join([*parts, text[at:]])
 
 
+def redact_column(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
+    """``docs`` with the secrets in ``text_col`` replaced by marks; all other columns stay.
+
+    Null texts stay null and texts without secrets as they are.  Where a text
+    changes and ``length_col`` is a column, it gets the new length.
+    """
+    names, schema = docs.columns, docs.schema
+    at = names.index(text_col)
+    length_at = names.index(length_col) if length_col in names else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(at).to_pylist()
+            new = [t and redact(t) for t in texts]
+            columns = list(batch.columns)
+            if length_at is not None:
+                old = columns[length_at].to_pylist()
+                columns[length_at] = pa.array([n if a == b else len(b) for n, a, b in zip(old, texts, new, strict=True)], columns[length_at].type)
+            columns[at] = pa.array(new, columns[at].type)
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return docs.mapInArrow(run, schema)
+
+
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_assign, n_access, n_hex, base_sha256, spans, found.
 

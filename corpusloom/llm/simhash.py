@@ -54,14 +54,14 @@ def fingerprint(text: str) -> int:
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp: long with the fingerprint's bits) for every row."""
+    """(doc_id, text_key, fp) for every row: xxhash64 of the text, and a long with the fingerprint's bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.array([fingerprint(t.as_py()) for t in batch.column("text")], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(found.view(np.int64))], names=["doc_id", "text_key", "fp"])
 
-    return text_rows(df, id_col, text_col).mapInArrow(run, "doc_id long, fp long")
+    return text_rows(df, id_col, text_col).withColumn("text_key", F.xxhash64("text")).mapInArrow(run, "doc_id long, text_key long, fp long")
 
 
 def masks(open_bits: int) -> list[int]:
@@ -197,6 +197,13 @@ def links(distinct: DataFrame) -> DataFrame:
             return found
 
 
+def _labelled(prints: DataFrame) -> DataFrame:
+    """(fp, label) for each distinct fingerprint: fingerprints with equal labels are linked."""
+    distinct = materialise(prints.select("fp").distinct(), "fingerprint-classes")
+    labels = components(links(distinct))
+    return materialise(distinct.join(labels, distinct["fp"] == labels["node"], "left").select("fp", F.coalesce("label", "fp").alias("label")), "fingerprint-labels")
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, fingerprint (16 hex digits), component_id.
 
@@ -207,10 +214,30 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     an empty table gives an empty one.
     """
     prints = materialise(fingerprints(df, id_col, text_col), "fingerprints")
-    classes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprint-classes")
-    labels = components(links(classes))
-    joined = classes.join(labels, classes["fp"] == labels["node"], "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
-    joined = materialise(joined, "fingerprint-labels")
+    labels = _labelled(prints)
+    least = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    joined = materialise(labels.join(least, "fp"), "fingerprint-ids")
     component = joined.groupBy("label").agg(F.min("least").alias("component_id"))
     of_print = joined.join(component, "label").select("fp", "component_id")
     return prints.join(of_print, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each component, that with the smallest id, with all its columns.
+
+    Null ids come last; of rows with the smallest id one is kept, also where
+    whole rows are repeated.
+    """
+    prints = materialise(fingerprints(docs, id_col, text_col), "fingerprints")
+    labels = _labelled(prints)
+    # by fingerprint first, so that a fingerprint shared by very many rows is summed where they lie
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")
+    first = prints.groupBy("fp").agg(F.min(order).alias("first"))
+    chosen = first.join(labels, "fp").groupBy("label").agg(F.min("first").alias("first"))
+    chosen = materialise(chosen.select(F.col("first.doc_id").alias("__kept_id"), F.col("first.text_key").alias("__kept_key")), "kept-texts")
+    mine = F.xxhash64(F.coalesce(docs[text_col], F.lit("")))
+    kept = docs.join(chosen, docs[id_col].cast("long").eqNullSafe(F.col("__kept_id")) & (mine == F.col("__kept_key")), "left_semi")
+    same = prints.join(chosen, F.col("doc_id").eqNullSafe(F.col("__kept_id")) & (F.col("text_key") == F.col("__kept_key"))).groupBy("doc_id", "text_key").count().where("count > 1")
+    if same.isEmpty():
+        return kept
+    return kept.withColumn("__kept_key", F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))).dropDuplicates([id_col, "__kept_key"]).drop("__kept_key")

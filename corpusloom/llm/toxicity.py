@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from corpusloom.llm.words import LETTERS, batches_of, mix, split
 
@@ -111,25 +112,31 @@ def train(docs: DataFrame, labels: DataFrame, params: Ftrl = Ftrl(), id_col: str
 def score(docs: DataFrame, weights: tuple[np.ndarray, np.ndarray], id_col: str = "doc_id", text_col: str = "text", out_col: str = "score") -> DataFrame:
     """``docs`` with a column of scores from 0 to 1; all other columns stay as they are."""
     shared = docs.sparkSession.sparkContext.broadcast(weights)
-    inner = docs.withColumn(out_col, F.coalesce(docs[text_col], F.lit("")))
-    names = [c for c in docs.columns if c != out_col]
+    names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, w = shared.value
         dense = np.zeros((1 << BITS) + 1)
         dense[at] = w
         for batch in batches:
-            for part in batches_of(batch, out_col):
-                text = pa.RecordBatch.from_arrays([part.column(out_col)], names=["text"])
-                of, place = features(text)
+            texts = batch.column(names.index(text_col)).fill_null("")
+            for part in batches_of(pa.RecordBatch.from_arrays([*batch.columns, texts], names=[*names, "\0"]), "\0"):
+                of, place = features(pa.RecordBatch.from_arrays([part.column(len(names))], names=["text"]))
                 live = dense[place] != 0
                 key = np.unique(of[live] << 32 | place[live])
                 total = dense[-1] + np.bincount(key >> 32, dense[key & 0xFFFFFFFF], part.num_rows)
                 value = pa.array(1 / (1 + np.exp(-np.clip(total, -35, 35))))
-                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in names], value], names=[*names, out_col])
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], value], names=[*names, out_col])
 
-    fields = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema if f.name != out_col)
-    return inner.select(*[F.col(f"`{c.replace('`', '``')}`") for c in names], out_col).mapInArrow(run, f"{fields}, {out_col} double" if fields else f"{out_col} double")
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(out_col, DoubleType())]))
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, params: Ftrl = Ftrl(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that score under 0.5, with all their columns."""
+    out_col = "toxicity"
+    while out_col in docs.columns:
+        out_col += "_"
+    return score(docs, train(docs, labels, params, id_col, text_col), id_col, text_col, out_col).where(F.col(out_col) < 0.5).select(docs.columns)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, params: Ftrl = Ftrl(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
