@@ -247,7 +247,7 @@ class PieceModel:
         table, unknown = self.bytes_of, self.unknown_id
         parts = [table[i] for i in ids.tolist()] if not (ids == unknown).any() else [" ⁇ ".encode() if i == unknown else table[i] for i in ids.tolist()]
         shown = np.flatnonzero(~self.control[ids]) if len(ids) else ids
-        if len(shown) and not self.is_byte[ids[shown[0]]] and parts[shown[0]].startswith(b" "):
+        if len(shown) and not self.is_byte[ids[shown[0]]] and ids[shown[0]] != unknown and parts[shown[0]].startswith(b" "):
             parts[shown[0]] = parts[shown[0]][1:]
         # a stray byte shows as U+FFFD by itself, and never takes a piece beside it along
         try:
