@@ -14,6 +14,7 @@ import platform
 import subprocess
 from collections.abc import Iterator
 from datetime import UTC, datetime
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -105,6 +106,16 @@ class ArtifactWriter:
         lists = neighbors.groupBy("row_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "neighbor_id"))), lambda s: s["neighbor_id"]).alias("n"))
         self._write(NEIGHBORS, pack(lists, ["n"], "<u4"), "<u4", (k,))
 
+    def add_embeddings(self, df: DataFrame, vector_col: str, origin: str) -> None:
+        """The vectors as a NumPy file; where they come from goes with them into the manifest."""
+        dim = df.select(F.size(vector_col)).first()[0]
+        head = io.BytesIO()
+        np.lib.format.write_array_header_1_0(head, {"descr": "<f4", "fortran_order": False, "shape": (self.n, dim)})
+        self._write(EMBEDDINGS, chain([head.getvalue()], pack(df, [vector_col], "<f4")), "", (dim,))
+        if self.files[-1]["bytes"] != len(head.getvalue()) + self.n * dim * 4:
+            raise ArtifactError(f"{EMBEDDINGS} does not hold {self.n} rows")
+        self.meta["embeddings"] = {"origin": origin, "dim": dim}
+
     def add_metadata(self, df: DataFrame, facets: list[str], fields: list[str]) -> None:
         if len(facets) > MAX_FACETS:
             raise ArtifactError("too many facets")
@@ -166,9 +177,10 @@ def read_array(folder: str | Path, name: str, dtype: str, shape: tuple[int, ...]
 def verify(spark: SparkSession, folder: str) -> DataFrame:
     """(name, problem) for every listed file or compressed twin that is missing, resized, altered or of the wrong length."""
     manifest = read_manifest(folder)
+    # Spark's file listing leaves out empty files
     rows = [(f["name"], int(f["bytes"]), f["sha256"], int(f["shape"][0]) if f["dtype"] and f["name"] != EMBEDDINGS else None, f["name"] == OFFSETS) for f in manifest["files"]]
     rows += [(f["name"] + ".gz", int(f["gzip_bytes"]), f["gzip_sha256"], None, False) for f in manifest["files"] if f["gzip_bytes"] is not None]
     listed = spark.createDataFrame(rows, "name string, bytes long, sha string, rows long, more boolean")
     there = spark.read.format("binaryFile").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length"), F.sha2("content", 256).alias("found"))
-    problem = F.when(F.col("length").isNull(), "missing").when(F.col("length") != F.col("bytes"), "size").when(F.col("found") != F.col("sha"), "checksum").when(F.col("rows") != F.lit(manifest["n"]) + F.col("more").cast("int"), "rows")
+    problem = F.when(F.col("length").isNull(), F.when(F.col("bytes") > 0, "missing or empty")).when(F.col("length") != F.col("bytes"), "size").when(F.col("found") != F.col("sha"), "checksum").when(F.col("rows") != F.lit(manifest["n"]) + F.col("more").cast("int"), "rows")
     return listed.join(there, "name", "left").select("name", problem.alias("problem")).where("problem is not null")
