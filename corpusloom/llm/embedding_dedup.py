@@ -237,7 +237,8 @@ def near_duplicates(df: DataFrame, params: Pq = Pq(), id_col: str = "vec_id", ve
 
     label_type = df.schema[label_col].dataType.simpleString()
     classes = materialise(classes.select("cid", "label", "times", "least", "vector").mapInArrow(pack, f"cid long, label {label_type}, times long, least long, raw binary"), "vector-classes")
-    dims = [r[0] // 8 for r in classes.select(F.length("raw")).distinct().collect()]  # the lengths of vectors that occur
+    # lengths that more than one vector has; a table of embeddings has one or a few
+    dims = [r[0] // 8 for r in classes.groupBy(F.length("raw")).count().where("count > 1").collect()]
     found = df.sparkSession.createDataFrame([], "cid long, other long, n long")
     for dim in sorted(dims):
         found = found.union(_links(classes.where(F.length("raw") == 8 * dim), dim, params))

@@ -64,5 +64,28 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in found}
 
 
+#: The words of a text, their repeated windows of 35, and what is left of each text.
+OP3_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ \t\n\x0b\x0c\r]+') AS ws FROM documents),
+place AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 33)) AS p FROM w),
+win AS (SELECT doc_id, p, array_to_string(list_slice(ws, p, p + 34), ' ') AS s FROM place),
+dup AS (SELECT s FROM win GROUP BY s HAVING count(*) > 1),
+hit AS (SELECT DISTINCT doc_id, p + o AS q FROM win JOIN dup USING (s), range(35) AS r(o)),
+word AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS q FROM w),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY q) AS t FROM word ANTI JOIN hit USING (doc_id, q) GROUP BY doc_id)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, len(ws)::BIGINT - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)
+"""
+
+#: Pairs of equal label with a cosine from 0.98, and what can be reached over them.
+OP7_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+    WHERE list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) >= 0.98),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a),
+least AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a)
+SELECT vec_id, (SELECT count(*) FROM link WHERE a = vec_id) AS n_links, component_id, vec_id = component_id AS kept FROM least
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_substring_dedup": OP3_SQL, "op7_embedding_dedup": OP7_SQL}
