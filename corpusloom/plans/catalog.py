@@ -398,6 +398,42 @@ def journal_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metadata.pending(ids, journal_latest(spark, sf_dir))
 
 
+@query("SELECT count(*) AS requested, count(*) FILTER (last = 'click') AS downloaded, count(*) FILTER (last = 'view') AS skipped, count(*) FILTER (last = 'error') AS failed FROM customer LEFT JOIN (SELECT user_id, arg_max(event_type, event_id) AS last FROM events GROUP BY user_id) ON c_custkey = user_id")
+def image_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clicks stand for downloads and views for objects without an image."""
+    ids = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("id"))
+    journal = journal_latest(spark, sf_dir).withColumn("status", F.when(F.col("status") == "click", "ok").when(F.col("status") == "view", "no_image").otherwise(F.col("status")))
+    return metadata.journal_stats(ids, journal)
+
+
+@query("SELECT vec_id AS row_id, printf('cluster-%02d', label) AS name, printf('cluster-%02d #%06d', label, vec_id) AS title FROM embeddings")
+def titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = synthetic.cluster_name(F.col("label"))
+    return points(spark, sf_dir).select("row_id", name.alias("name"), synthetic.make_title(name, F.col("row_id")).alias("title"))
+
+
+@query("SELECT doc_id, coalesce(nullif(CASE WHEN doc_id % 3 = 0 THEN '' WHEN doc_id % 3 = 1 THEN lang END, ''), 'unbekannt') AS lang FROM documents")
+def default_unknown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("doc_id") % 3
+    return table(spark, sf_dir, "documents").select("doc_id", T.or_unknown(F.when(k == 0, "").when(k == 1, F.col("lang"))).alias("lang"))
+
+
+@query(f"WITH {UNIT} SELECT a.row_id, round(list_dot_product(a.e, b.e), 6) AS cosine FROM u a JOIN u b ON b.row_id = a.row_id + 1")
+def cosine_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u = points(spark, sf_dir).select("row_id", V.l2_normalize(F.col("embedding")).alias("e"))
+    after = u.select((F.col("row_id") - 1).alias("row_id"), F.col("e").alias("f"))
+    return u.join(after, "row_id").select("row_id", F.round(V.dot(F.col("e"), F.col("f")), 6).alias("cosine"))
+
+
+@query(f"WITH {UNIT}, {sql_high(10)} SELECT a.label, count(*) AS edges, sum((a.label = b.label)::INT)::BIGINT AS equal FROM high n JOIN u a ON n.row_id = a.row_id JOIN u b ON n.neighbor_id = b.row_id GROUP BY a.label")
+def neighbor_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbours that share the label, by label."""
+    e = points(spark, sf_dir)
+    label = e.select("row_id", "label")
+    near = neighbors.knn(e, 10, "row_id", "embedding").join(label, "row_id").join(label.toDF("neighbor_id", "other"), "neighbor_id")
+    return near.groupBy("label").agg(F.count("*").alias("edges"), F.count_if(F.col("label") == F.col("other")).alias("equal"))
+
+
 @query("SELECT date_trunc('day', ts)::TIMESTAMP AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusloom.streaming.ingest import windowed_counts

@@ -174,6 +174,49 @@ def read_array(folder: str | Path, name: str, dtype: str, shape: tuple[int, ...]
     return values.reshape(shape)
 
 
+def load(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """The set as lazy tables by row_id: points (coordinates, label, facets), neighbors, records.
+
+    The files are read where tasks run; a part of a table is only decoded if it is used.
+    """
+    manifest = read_manifest(folder)
+    listed = {f["name"]: f for f in manifest["files"]}
+    c = manifest["coords"]
+
+    def table(name: str, columns: str, decode) -> DataFrame:
+        shape, dtype = tuple(listed[name]["shape"]), listed[name]["dtype"]
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for raw in batch["content"]:
+                    values = np.frombuffer(raw, dtype)
+                    if values.size != int(np.prod(shape)):
+                        raise ArtifactError(f"{name} has {values.size} elements, not {shape}")
+                    yield decode(values.reshape(shape))
+
+        return spark.read.format("binaryFile").load(f"{folder}/{name}").select("content").mapInPandas(run, f"row_id long, {columns}")
+
+    def frame(values: dict) -> pd.DataFrame:
+        return pd.DataFrame({"row_id": np.arange(len(next(iter(values.values())))), **values})
+
+    points = table(COORDS, "x double, y double, z double", lambda q: frame({a: q[:, k] / c["i16_scale"] * c["half"][k] + c["offset"][k] for k, a in enumerate(AXES)}))
+    if LABELS in listed:
+        names = np.array(manifest["label_names"], object)
+        points = points.join(table(LABELS, "label string", lambda q: frame({"label": names[q]})), "row_id")
+    out = {}
+    if FACETS in listed:
+        meta = manifest["metadata"]
+        values = [(f"facet_{f}", np.array(meta["facet_values"][f], object)) for f in meta["facet_fields"]]
+        points = points.join(table(FACETS, ", ".join(f"`{n}` string" for n, _ in values), lambda q: frame({n: v[q[:, k]] for k, (n, v) in enumerate(values)})), "row_id")
+        # records carry no separators inside, so the block can be cut without the offsets
+        blob = spark.read.format("binaryFile").load(f"{folder}/{TEXT}").select(F.posexplode(F.split(F.col("content").cast("string"), T.RECORD_SEPARATOR)).alias("row_id", "r"))
+        out["records"] = blob.where(F.col("row_id") < manifest["n"]).select(F.col("row_id").cast("long").alias("row_id"), *T.record_fields(F.col("r"), meta["text_fields"]))
+    if NEIGHBORS in listed:
+        k = listed[NEIGHBORS]["shape"][1]
+        out["neighbors"] = table(NEIGHBORS, "rank int, neighbor_id long", lambda q: pd.DataFrame({"row_id": np.repeat(np.arange(len(q)), k), "rank": np.tile(np.arange(1, k + 1), len(q)), "neighbor_id": q.ravel().astype(np.int64)}))
+    return {"points": points, **out}
+
+
 def verify(spark: SparkSession, folder: str) -> DataFrame:
     """(name, problem) for every listed file or compressed twin that is missing, resized, altered or of the wrong length."""
     manifest = read_manifest(folder)

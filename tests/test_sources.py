@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom import cli, service
+from corpusloom.functions import url_state
 from corpusloom.operators import neighbors, placement
 from corpusloom.sources import artifacts, fetch, metadata, settings, synthetic
 from corpusloom.streaming import ingest
@@ -96,6 +97,13 @@ def test_artifacts_round_trip_and_verify(spark, tmp_path):
     blob = (tmp_path / artifacts.TEXT).read_bytes()
     assert [blob[a:b].decode() for a, b in zip(offsets, offsets[1:], strict=False)] == [f"ümläut 漢字 | ; x{i}\x1f{r['name']}\x1e" for i, r in enumerate(rows)]
     assert np.allclose(np.load(tmp_path / artifacts.EMBEDDINGS), np.array([r["embedding"] for r in rows]), atol=1e-6)
+    loaded = artifacts.load(spark, str(tmp_path))
+    assert [(r.label, r.facet_name) for r in loaded["points"].orderBy("row_id").collect()] == [(r["name"], r["name"]) for r in rows]
+    assert [r.title for r in loaded["records"].orderBy("row_id").collect()] == [f"ümläut 漢字 | ; x{i}" for i in range(200)]
+    scale = manifest["coords"]["half"][0] / 32767
+    flat = np.array([[r.x, r.y, r.z] for r in loaded["points"].orderBy("row_id").collect()])
+    assert abs(flat).max() <= 50 + scale and abs(flat.mean(axis=0)).max() < 3 * scale
+    assert loaded["neighbors"].count() == 1000
     near = artifacts.read_array(tmp_path, artifacts.NEIGHBORS, "<u4", (200, 5))
     assert (near != np.arange(200)[:, None]).all()
     with pytest.raises(artifacts.ArtifactError):
@@ -154,6 +162,13 @@ def test_service_agrees_with_the_batch_operator(spark, tmp_path):
         service.PromptService(tmp_path, encoder=lambda t: np.zeros(16))
 
 
+def test_url_state():
+    state = {"camera": [1.0, 2.5, -3.0, 0.0, 0.12, 9.0], "selected": 7, "query": "a & b", "filters": {"lang": "en", "x": ""}}
+    assert url_state.read("#" + url_state.write(state)) == state | {"filters": {"lang": "en"}}
+    assert url_state.read("cam=1,2,x&sel=-1&f.a=") == {"camera": None, "selected": None, "query": "", "filters": {}}
+    assert url_state.write({}) == "" and url_state.read("cam=1,2,3,4,5,nan")["camera"] is None
+
+
 def test_weights():
     w = service.weights(np.array([0.90, 0.88, 0.85, 0.80]))
     assert np.allclose(w, service.weights(np.array([0.90, 0.88, 0.85, 0.80]) - 0.65)) and abs(w[0] / w[-1] - np.e) < 1e-9
