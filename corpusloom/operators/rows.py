@@ -13,7 +13,7 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     """Writes ``df`` as a table in the folder that driver and executors share, and reads it back."""
     spark = df.sparkSession
     folder = (spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", "") or "/tmp/corpusloom-checkpoints").rstrip("/")
-    path = f"{folder}/corpusloom/{label}-{uuid.uuid4().hex}"
+    path = f"{folder}/corpusloom-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -56,3 +56,12 @@ def line_intensity(neighbors: DataFrame) -> DataFrame:
     """``neighbors`` with the intensity of the line to each: falls with the rank from 0.85 to 0.25."""
     count = F.count("*").over(Window.partitionBy("row_id"))
     return neighbors.withColumn("intensity", 0.25 + 0.6 * (1 - (F.col("rank") - 1) / F.greatest(count - 1, F.lit(1))))
+
+
+def nearest_hit(pixels: DataFrame, center_x: float, center_y: float, n: int) -> DataFrame:
+    """One row: the id nearest to a screen position, among pixels (x, y, id) that show one of the n points.
+
+    Equally near pixels give the smallest id; without a hit the id is null.
+    """
+    apart = (F.col("x") - center_x) * (F.col("x") - center_x) + (F.col("y") - center_y) * (F.col("y") - center_y)
+    return pixels.where((F.col("id") >= 0) & (F.col("id") < n)).agg(F.min(F.struct(apart.alias("d"), "id")).alias("m")).select(F.col("m.id").alias("id"))

@@ -33,3 +33,13 @@ def windowed_counts(events: DataFrame, width: str = "1 day", late: str = "1 hour
     """Event counts and sums per window and type, for streams and tables alike."""
     at = F.col("ts").cast("timestamp")
     return events.withColumn("ts", at).withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("window.start").alias("start"), "event_type", "n", "total")
+
+
+def place_prompts(spark: SparkSession, source: str, rows: DataFrame, encoder, sink: str, checkpoint: str, **options) -> None:
+    """Places new prompts (query_id, text) in the layout ``rows``, a batch at a time; a batch is one folder."""
+    from corpusloom.operators.placement import place
+
+    def write(batch: DataFrame, number: int) -> None:
+        place(batch.select("query_id", encoder(F.col("text")).alias("embedding")), rows, **options).write.mode("overwrite").parquet(f"{sink}/batch={number:05d}")
+
+    spark.readStream.schema("query_id long, text string").parquet(source).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from corpusloom import cli, service
 from corpusloom.functions import url_state
-from corpusloom.operators import neighbors, placement
+from corpusloom.operators import embedding, neighbors, placement, search
 from corpusloom.sources import artifacts, fetch, metadata, settings, synthetic
 from corpusloom.streaming import ingest
 
@@ -193,6 +193,31 @@ def test_stream_takes_up_only_what_is_new(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "shards")).count() == 2
 
 
+def test_prompts_as_a_stream(spark, tmp_path):
+    e = synthetic.make_embeddings(spark, 80, 16, 4, seed=1)
+    layout = e.select("row_id", "embedding", *[F.col("embedding")[k].alias(a) for k, a in enumerate("xyz")])
+    prompts = spark.createDataFrame([(1, "one"), (2, "two")], "query_id long, text string")
+    prompts.write.parquet(str(tmp_path / "p"))
+    for _ in range(2):
+        ingest.place_prompts(spark, str(tmp_path / "p"), layout, synthetic.stub_encoder(16), str(tmp_path / "o"), str(tmp_path / "c"), k=5)
+    got = spark.read.parquet(str(tmp_path / "o")).collect()
+    assert sorted(r.query_id for r in got) == [1, 2] and all(len(r.neighbors) == 5 for r in got)
+
+
+def test_embed_with_a_model(spark):
+    def factory():
+        return lambda texts: np.array([[len(t), 1.0] for t in texts])
+
+    df = spark.createDataFrame([(1, "abc"), (2, None), (3, "")], "row_id long, text string")
+    assert {r.row_id: r.embedding for r in embedding.embed(df, factory, "row_id", "text", batch_size=2).collect()} == {1: [3.0, 1.0], 2: None, 3: [0.0, 1.0]}
+    assert embedding.embed(df.limit(0), factory, "row_id", "text").collect() == []
+
+
+def test_nearest_hit(spark):
+    pixels = spark.createDataFrame([(5, 5, -1), (5, 6, 900), (7, 5, 8), (5, 3, 4), (0, 0, 1)], "x int, y int, id int")
+    assert search.nearest_hit(pixels, 5, 5, 100).first()[0] == 4 and search.nearest_hit(pixels, 5, 5, 0).first()[0] is None
+
+
 def test_command_line(spark, tmp_path):
     assert cli.main(["synth", "--n", "60", "--clusters", "3", "--out", str(tmp_path / "s")]) == 0
     assert cli.main(["verify", str(tmp_path / "s")]) == 0
