@@ -29,7 +29,7 @@ from corpusloom.llm.runtime import slices, text_rows
 
 SPACE = "▁"
 #: Encoded segments that a worker remembers; it starts anew when this is full.
-CACHE_SEGMENTS = 250_000
+CACHE_SEGMENTS = 150_000
 NO_RANK = np.int32(2**31 - 1)
 
 
@@ -293,7 +293,7 @@ def encode_texts(df: DataFrame, model_path: str, id_col: str = "doc_id", text_co
         model = load_model(model_path)
         for batch in batches:
             n, ids_sha, text_sha, all_ids, texts = [], [], [], [], []
-            for joined, decoded in chain.from_iterable(model.encoded(part) for part in slices(batch.column("text").to_pylist())):
+            for joined, decoded in chain.from_iterable(model.encoded(part) for part in slices(batch.column("text").to_pylist(), 2_000_000)):
                 text = decoded[decoded.startswith(b" ") :]
                 n.append(joined.count(",") + 1 if joined else 0)
                 ids_sha.append(hashlib.sha256(joined.encode()).hexdigest())
@@ -305,6 +305,7 @@ def encode_texts(df: DataFrame, model_path: str, id_col: str = "doc_id", text_co
             cols = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
             cols += [pa.array(all_ids, pa.list_(pa.int32()))] * keep_ids + [pa.array(texts, pa.string())] * keep_text
             yield pa.RecordBatch.from_arrays(cols, names=[f for f, _ in fields])
+        model.cache.clear()  # the worker process lives on
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids + ", decoded string" * keep_text
     return text_rows(df, id_col, text_col).mapInArrow(run, schema)

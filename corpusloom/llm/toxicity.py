@@ -100,7 +100,7 @@ def train(docs: DataFrame, labels: DataFrame, params: Ftrl = Ftrl(), id_col: str
                 yield pa.RecordBatch.from_arrays([part.column("order"), part.column("label"), lists], names=["order", "label", "places"])
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = ((np.append(places.values.to_numpy().astype(np.int64), 1 << BITS), label.as_py()) for batch in batches for places, label in zip(batch.column("places"), batch.column("label"), strict=True))
+        rows = ((np.append(places.values.to_numpy(), np.int32(1 << BITS)), label.as_py()) for batch in batches for places, label in zip(batch.column("places"), batch.column("label"), strict=True))
         at, w = fit(rows, params)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(w, pa.float64())], names=["place", "weight"])
 
