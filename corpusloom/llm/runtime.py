@@ -18,6 +18,16 @@ def shared_dir(spark: SparkSession) -> str:
     return (named or FALLBACK_DIR).rstrip("/")
 
 
+def run_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/corpusloom-{spark.sparkContext.applicationId}"
+
+
+def clean(spark: SparkSession) -> None:
+    """Deletes the tables that this application has materialised; results that read them must have been written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(run_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Writes ``df`` once as a table in the shared folder and reads it back.
 
@@ -25,7 +35,7 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     once, and the result is column-pruned when it is read.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/corpusloom/{label}-{uuid.uuid4().hex}"
+    path = f"{run_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
