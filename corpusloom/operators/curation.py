@@ -62,10 +62,9 @@ def derive(raw: DataFrame) -> DataFrame:
 def class_ranks(df: DataFrame, label: str, order: str, min_size: int, max_classes: int) -> DataFrame:
     """(label, size, first, rank, reason): classes by size, ties by first appearance; reason is null for kept ones."""
     sizes = df.groupBy(label).agg(F.count("*").alias("size"), F.min(order).alias("first"))
-    large = F.col("size") >= min_size
-    # one row per class; classes that are too small are ranked after the others
-    rank = F.row_number().over(Window.orderBy(large.desc(), F.desc("size"), "first"))
-    return sizes.withColumn("rank", rank).withColumn("reason", F.when(~large, "too small").when(F.col("rank") > max_classes, "beyond the limit"))
+    ordered = sizes.withColumns({"__small": (F.col("size") < min_size).cast("int"), "__less": -F.col("size")})
+    ranked = dense_ids(ordered, "__small", "__less", "first", id_col="rank").withColumn("rank", (F.col("rank") + 1).cast("int"))
+    return ranked.select(*sizes.columns, "rank", F.when(F.col("__small") == 1, "too small").when(F.col("rank") > max_classes, "beyond the limit").alias("reason"))
 
 
 def stratified_sample(df: DataFrame, label: str, id_col: str, n: int, seed: int, min_size: int = 20, max_classes: int = 8) -> DataFrame:
@@ -74,24 +73,30 @@ def stratified_sample(df: DataFrame, label: str, id_col: str, n: int, seed: int,
     Columns of ``df`` and ``row_id``, dense from 0.  Rows that the classes cannot
     fill equally are filled from what is left of all of them.
     """
-    kept = class_ranks(df, label, id_col, min_size, max_classes).where("reason is null").select(label)
-    rows = df.join(kept, label, "left_semi")
-    classes = kept.count()
+    kept = materialise(class_ranks(df, label, id_col, min_size, max_classes).where("reason is null").select(label), "classes")
+    classes = kept.count()  # max_classes at most
     if not classes:
         raise CorpusError(f"no class of {label} has {min_size} rows")
     quota = max(1, n // classes)
-    in_class = Window.partitionBy(label).orderBy(shuffled(seed, "class", F.col(id_col)), id_col)
-    ranked = rows.withColumn("__rank", F.row_number().over(in_class))
-    order = F.when(F.col("__rank") <= quota, 0).otherwise(1)
-    picked = ranked.withColumn("__left", order).withColumn("__fill", F.when(order == 1, shuffled(seed, "fill", F.col(id_col)))).orderBy("__left", "__fill", F.when(order == 0, shuffled(seed, "cut", F.col(id_col))), id_col).limit(n)
+    rows = df.join(F.broadcast(kept), label, "left_semi").withColumn("__key", shuffled(seed, "class", F.col(id_col)))
+    # a rank that is only compared with a constant lets Spark drop rows before the shuffle
+    own = Window.partitionBy(label).orderBy("__key", id_col)
+    even = materialise(rows.withColumn("__rank", F.row_number().over(own)).where(F.col("__rank") <= quota).drop("__rank"), "even")
+    found = even.count()
+    if found >= n:
+        picked = even.orderBy(shuffled(seed, "cut", F.col(id_col)), id_col).limit(n)
+    else:
+        last = even.groupBy(label).agg(F.max(F.struct("__key", id_col)).alias("__last"))
+        left = rows.join(F.broadcast(last), label).where(F.struct("__key", id_col) > F.col("__last")).select(rows.columns)
+        picked = even.unionByName(left.orderBy(shuffled(seed, "fill", F.col(id_col)), id_col).limit(n - found))
     return dense_ids(picked.withColumn("__order", shuffled(seed, "order", F.col(id_col))).select(*df.columns, "__order"), "__order", id_col).drop("__order")
 
 
 def facet_vocabulary(df: DataFrame, column: str, order: str, cap: int) -> DataFrame:
     """(value, size, rank) of the values that stay: the most frequent ``cap``, ties by first appearance."""
     sizes = df.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("size"), F.min(order).alias("first"))
-    rank = F.row_number().over(Window.orderBy(F.desc("size"), "first"))
-    return sizes.withColumn("rank", rank).where(F.col("rank") <= cap).where(F.col("value") != T.OTHER).select("value", "size", "rank")
+    top = sizes.orderBy(F.desc("size"), "first").limit(cap)  # cap rows, so that one task can number them
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("size"), "first"))).where(F.col("value") != T.OTHER).select("value", "size", "rank")
 
 
 def cap_facet(df: DataFrame, column: str, order: str, cap: int = 16) -> DataFrame:
