@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.components import components
-from corpusloom.llm.runtime import materialise
+from corpusloom.llm.runtime import materialise, tidy
 
 
 @dataclass(frozen=True)
@@ -171,7 +171,7 @@ def _links(classes: DataFrame, dim: int, params: Pq) -> DataFrame:
             own, codes, left = index.value.place(unit)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("cid", "label", "times", "raw")), pa.array(own, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(left), pa.array(list(index.value.probes(unit, own)), pa.list_(pa.int32()))], names=["cid", "label", "times", "raw", "own", "codes", "left", "probes"])
 
-    placed = materialise(classes.mapInArrow(place, f"cid long, label {classes.schema['label'].dataType.simpleString()}, times long, raw binary, own int, codes binary, left double, probes array<int>"), "vectors")
+    placed = materialise(classes.mapInArrow(tidy(place), f"cid long, label {classes.schema['label'].dataType.simpleString()}, times long, raw binary, own int, codes binary, left double, probes array<int>"), "vectors")
     blocks = placed.groupBy("label", F.col("own").alias("list")).agg(F.ceil(F.count("*") / params.block).cast("int").alias("blocks"))
     common = ["label", "list", "block", "cid", "times", "raw", "own"]
     members = placed.withColumn("list", F.col("own")).join(blocks, ["label", "list"]).withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")).select(*common, F.lit(0).alias("asks"), "codes", "left")
@@ -207,7 +207,7 @@ def _links(classes: DataFrame, dim: int, params: Pq) -> DataFrame:
                         yield rows(*found)
         yield from close()
 
-    return members.unionByName(queries).repartition("label", "list", "block").sortWithinPartitions("label", "list", "block", "asks").mapInArrow(compare, schema)
+    return members.unionByName(queries).repartition("label", "list", "block").sortWithinPartitions("label", "list", "block", "asks").mapInArrow(tidy(compare), schema)
 
 
 def near_duplicates(df: DataFrame, params: Pq = Pq(), id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
@@ -236,7 +236,7 @@ def near_duplicates(df: DataFrame, params: Pq = Pq(), id_col: str = "vec_id", ve
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("cid", "label", "times", "least")), pa.array([flat[a:b].astype("<f8").tobytes() for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary())], names=["cid", "label", "times", "least", "raw"])
 
     label_type = df.schema[label_col].dataType.simpleString()
-    classes = materialise(classes.select("cid", "label", "times", "least", "vector").mapInArrow(pack, f"cid long, label {label_type}, times long, least long, raw binary"), "vector-classes")
+    classes = materialise(classes.select("cid", "label", "times", "least", "vector").mapInArrow(tidy(pack), f"cid long, label {label_type}, times long, least long, raw binary"), "vector-classes")
     # lengths that more than one vector has; a table of embeddings has one or a few
     dims = [r[0] // 8 for r in classes.groupBy(F.length("raw")).count().where("count > 1").collect()]
     found = df.sparkSession.createDataFrame([], "cid long, other long, n long")

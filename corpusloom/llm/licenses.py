@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from corpusloom.llm.runtime import text_rows
+from corpusloom.llm.runtime import text_rows, tidy
 
 # Base phrases and their labels.
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
@@ -208,4 +208,4 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
             kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64(), struct]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, cols, kinds)], names=["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "places"])
 
-    return text_rows(df, id_col, text_col).mapInArrow(run, "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, places array<struct<start:bigint,end:bigint,label:string>>")
+    return text_rows(df, id_col, text_col).mapInArrow(tidy(run), "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, places array<struct<start:bigint,end:bigint,label:string>>")

@@ -21,7 +21,7 @@ from itertools import product
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from corpusloom.llm.runtime import text_rows
+from corpusloom.llm.runtime import text_rows, tidy
 
 BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 
@@ -153,7 +153,7 @@ def redact_column(docs: DataFrame, text_col: str = "text", length_col: str | Non
             columns[at] = pa.array(new, columns[at].type)
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -181,4 +181,4 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
                 lists.append([{"kind": KINDS[k].name, "start": a, "end": b} for a, k, b in found])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(c, pa.int64()) for c in counts], pa.array(sha, pa.string()), pa.array(spans, pa.string()), pa.array(lists, struct)], names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "found"])
 
-    return text_rows(df, id_col, text_col).mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, found array<struct<kind:string,start:bigint,end:bigint>>")
+    return text_rows(df, id_col, text_col).mapInArrow(tidy(run), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, found array<struct<kind:string,start:bigint,end:bigint>>")

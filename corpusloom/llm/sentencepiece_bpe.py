@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from corpusloom.llm.runtime import slices, text_rows
+from corpusloom.llm.runtime import slices, text_rows, tidy
 
 SPACE = "▁"
 #: Encoded segments that a worker remembers; it starts anew when this is full.
@@ -308,4 +308,4 @@ def encode_texts(df: DataFrame, model_path: str, id_col: str = "doc_id", text_co
         model.cache.clear()  # the worker process lives on
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids + ", decoded string" * keep_text
-    return text_rows(df, id_col, text_col).mapInArrow(run, schema)
+    return text_rows(df, id_col, text_col).mapInArrow(tidy(run), schema)

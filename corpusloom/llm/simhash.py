@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.components import components
-from corpusloom.llm.runtime import materialise, text_rows
+from corpusloom.llm.runtime import materialise, text_rows, tidy
 
 SHINGLE = 4
 SEED = 42
@@ -61,7 +61,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             found = np.array([fingerprint(t.as_py()) for t in batch.column("text")], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(found.view(np.int64))], names=["doc_id", "text_key", "fp"])
 
-    return text_rows(df, id_col, text_col).withColumn("text_key", F.xxhash64("text")).mapInArrow(run, "doc_id long, text_key long, fp long")
+    return text_rows(df, id_col, text_col).withColumn("text_key", F.xxhash64("text")).mapInArrow(tidy(run), "doc_id long, text_key long, fp long")
 
 
 def masks(open_bits: int) -> list[int]:
@@ -186,10 +186,10 @@ def links(distinct: DataFrame) -> DataFrame:
             yield from _dealt(0, fps, under, 0)
 
     schema = "path int, a long, b long"
-    rows = distinct.select("fp").mapInArrow(deal, schema)
+    rows = distinct.select("fp").mapInArrow(tidy(deal), schema)
     found = None
     while True:
-        out = materialise(rows.repartition("path", "a").sortWithinPartitions("path", "a").mapInArrow(_compare, schema), "simhash-links")
+        out = materialise(rows.repartition("path", "a").sortWithinPartitions("path", "a").mapInArrow(tidy(_compare), schema), "simhash-links")
         part = out.where("path < 0").select("a", "b")
         found = part if found is None else found.union(part)
         rows = out.where("path >= 0")

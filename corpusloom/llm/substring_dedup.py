@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.runtime import materialise
+from corpusloom.llm.runtime import materialise, tidy
 from corpusloom.llm.words import BLANKS, Words, batches_of, mix, split
 
 WINDOW = 35
@@ -154,7 +154,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = df.select(df[id_col].cast("long").alias("doc_id"), F.coalesce(df[text_col], F.lit("")).alias("text"))
     # a text's key: rows that agree in both have the same text, and so the same repeats
     keyed = rows.select("doc_id", "text", F.coalesce("doc_id", F.lit(-1)).alias("k1"), F.xxhash64("text").alias("k2"))
-    found = keyed.select("k1", "k2", "text").mapInArrow(_paths, "anchor long, digest long, k1 long, k2 long, place long")
+    found = keyed.select("k1", "k2", "text").mapInArrow(tidy(_paths), "anchor long, digest long, k1 long, k2 long, place long")
     # written, so that the join below shuffles both sides anew and a hot anchor can be split
     anchors = found.groupBy("anchor").agg(F.count("*").alias("n"), F.min("digest").alias("low"), F.max("digest").alias("high")).where("n > 1").select("anchor", (F.col("low") != F.col("high")).alias("branching"))
     anchors = materialise(anchors, "repeated-anchors")
@@ -164,11 +164,11 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     groups = materialise(branching.groupBy("anchor", "digest").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "place")).alias("one")), "branching-paths")
     whole = repeated.where("not branching").select("k1", "k2", "place").unionByName(branching.join(groups.where("n > 1").select("anchor", "digest"), ["anchor", "digest"], "left_semi").select("k1", "k2", "place"))
     chosen = groups.select("one.*").groupBy("k1", "k2").agg(F.collect_list("place").alias("places"))
-    windows = keyed.select("doc_id", "text", "k1", "k2").join(chosen, ["k1", "k2"]).select("k1", "k2", "text", "places").mapInArrow(_windows, "h1 long, h2 long, k1 long, k2 long, place long")
+    windows = keyed.select("doc_id", "text", "k1", "k2").join(chosen, ["k1", "k2"]).select("k1", "k2", "text", "places").mapInArrow(tidy(_windows), "h1 long, h2 long, k1 long, k2 long, place long")
     # the chosen paths differ and hold no window twice, so a window's other place is in another chosen path
     # with a third key, here a bit of the first, the counts are shuffled for the join as well, so that a hot window can be split
     twice = windows.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select(F.col("h1").alias("t1"), F.col("h2").alias("t2"))
     equal = (F.col("h1") == F.col("t1")) & (F.col("h2") == F.col("t2")) & (F.col("h1") % 2 == F.col("t1") % 2)
     single = windows.join(twice, equal, "left_semi").select("k1", "k2", "place")
     places = whole.unionByName(single).groupBy("k1", "k2").agg(F.collect_list("place").alias("places"))
-    return keyed.select("doc_id", "text", "k1", "k2").join(places, ["k1", "k2"], "left").select("doc_id", "text", "places").mapInArrow(_cut, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    return keyed.select("doc_id", "text", "k1", "k2").join(places, ["k1", "k2"], "left").select("doc_id", "text", "places").mapInArrow(tidy(_cut), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from corpusloom.llm.runtime import tidy
 from corpusloom.llm.words import LETTERS, batches_of, mix, split
 
 BITS = 20
@@ -104,8 +105,8 @@ def train(docs: DataFrame, labels: DataFrame, params: Ftrl = Ftrl(), id_col: str
         at, w = fit(rows, params)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(w, pa.float64())], names=["place", "weight"])
 
-    rows = texts.select("order", "label", "text").mapInArrow(take, "order long, label int, places array<int>")
-    weights = rows.repartition(1).sortWithinPartitions("order", "label").mapInArrow(learn, "place long, weight double").collect()  # 2**BITS + 1 rows at most
+    rows = texts.select("order", "label", "text").mapInArrow(tidy(take), "order long, label int, places array<int>")
+    weights = rows.repartition(1).sortWithinPartitions("order", "label").mapInArrow(tidy(learn), "place long, weight double").collect()  # 2**BITS + 1 rows at most
     return np.array([r["place"] for r in weights], np.int64), np.array([r["weight"] for r in weights], np.float64)
 
 
@@ -128,7 +129,7 @@ def score(docs: DataFrame, weights: tuple[np.ndarray, np.ndarray], id_col: str =
                 value = pa.array(1 / (1 + np.exp(-np.clip(total, -35, 35))))
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], value], names=[*names, out_col])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(out_col, DoubleType())]))
+    return docs.mapInArrow(tidy(run), StructType([*docs.schema.fields, StructField(out_col, DoubleType())]))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, params: Ftrl = Ftrl(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -65,7 +65,7 @@ def split(column: pa.Array, table: np.ndarray) -> Words:
     return Words(data, start, np.flatnonzero(ends) + 1, np.searchsorted(start, offset))
 
 
-def batches_of(batch: pa.RecordBatch, text_col: str = "text", limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def batches_of(batch: pa.RecordBatch, text_col: str = "text", limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about ``limit`` bytes of text, at least one row each."""
     n = batch.num_rows
     column = batch.column(text_col)
