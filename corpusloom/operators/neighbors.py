@@ -6,6 +6,8 @@ starts at 1, a row is never its own neighbour, ties go to the smaller id.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -19,6 +21,14 @@ from corpusloom.operators.rows import materialise
 BLOCK = 2048
 
 
+def _distances(x: np.ndarray, y: np.ndarray, digits: int = 9) -> np.ndarray:
+    """Euclidean distances, summed dimension by dimension so that equal rows are at exactly 0."""
+    total = np.zeros((len(x), len(y)))
+    for j in range(x.shape[1]):
+        total += (x[:, [j]] - y[:, j][None, :]) ** 2
+    return np.round(np.sqrt(total), digits)
+
+
 def knn(df: DataFrame, k: int, id_col: str, vector_col: str, *, metric: str = "cosine", queries: DataFrame | None = None, digits: int = 9) -> DataFrame:
     """The k nearest rows of ``df`` for every row of ``queries`` (default: of ``df``).
 
@@ -56,7 +66,7 @@ def knn(df: DataFrame, k: int, id_col: str, vector_col: str, *, metric: str = "c
             score = np.round(x @ y.T, digits)
             cost = -score
         else:
-            score = cost = np.round(np.sqrt(np.maximum(sum((x[:, [j]] - y[:, j][None, :]) ** 2 for j in range(x.shape[1])), 0)), digits)
+            score = cost = _distances(x, y, digits)
         cost = np.where(q["id"].to_numpy()[:, None] == b["id"].to_numpy()[None, :], np.inf, cost)
         order = np.argsort(cost, axis=1, kind="stable")[:, :k]
         row = np.repeat(np.arange(len(q)), order.shape[1])
@@ -103,10 +113,27 @@ def trustworthiness(df: DataFrame, k: int, id_col: str, high_col: str, low_col:
     empty = df.sparkSession.range(1).select(F.lit(None).cast("double").alias("trustworthiness"))
     if n <= k + 1 or 2 * k >= n:
         return empty
-    low = knn(rows, k, "id", "low", metric="euclidean").select("row_id", "neighbor_id")
-    high = knn(rows, n - 1, "id", "high", metric="euclidean").select("row_id", "neighbor_id", "rank")
-    beyond = low.join(high, ["row_id", "neighbor_id"]).where(F.col("rank") > k)
-    return beyond.agg((1 - F.coalesce(F.sum(F.col("rank") - k), F.lit(0)) * 2.0 / (n * k * (2.0 * n - 3.0 * k - 1.0))).alias("trustworthiness"))
+    sample = rows.select("id", F.col("high").cast("array<double>").alias("high")).orderBy("id").toPandas()  # cap rows
+    shared = df.sparkSession.sparkContext.broadcast((sample["id"].to_numpy(), np.stack(sample["high"].to_numpy())))
+
+    def beyond(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, y = shared.value
+        for batch in batches:
+            total = 0
+            for start in range(0, len(batch), 128):
+                part = batch.iloc[start : start + 128]
+                own = np.searchsorted(ids, part["row_id"].to_numpy())
+                apart = _distances(y[own], y)
+                apart[np.arange(len(own)), own] = -1.0  # a row's own rank is 0, so the others count from 1
+                for far, near in zip(apart, part["near"], strict=True):
+                    j = np.searchsorted(ids, np.asarray(near))
+                    rank = np.empty(len(far), int)
+                    rank[np.argsort(far, kind="stable")] = np.arange(len(far))
+                    total += int(np.maximum(rank[j] - k, 0).sum())
+            yield pd.DataFrame({"beyond": [total]})
+
+    low = knn(rows, k, "id", "low", metric="euclidean").groupBy("row_id").agg(F.collect_list("neighbor_id").alias("near"))
+    return low.mapInPandas(beyond, "beyond long").agg((1 - F.coalesce(F.sum("beyond"), F.lit(0)) * 2.0 / (n * k * (2.0 * n - 3.0 * k - 1.0))).alias("trustworthiness"))
 
 
 def shuffle_columns(df: DataFrame, id_col: str, vector_col: str, seed: int = 0) -> DataFrame:
