@@ -1,6 +1,7 @@
 """Every catalog query against its SQL in DuckDB."""
 
 import duckdb
+import numpy as np
 import pytest
 
 from corpusloom.plans.catalog import CATALOG
@@ -39,7 +40,7 @@ def test_gate_passes_where_clusters_are(spark):
     assert row["passed"] and row["reasons"] == [] and row["purity_3d"] > 0.9 and row["purity_3d_shuffled"] < 0.45
 
 
-def test_layouts(spark):
+def test_layouts(spark, tmp_path):
     from pyspark.sql import functions as F
 
     from corpusloom.operators import neighbors, reduce
@@ -50,5 +51,12 @@ def test_layouts(spark):
     near = neighbors.knn(layout.withColumn("c", F.array("x", "y", "z")), 10, "row_id", "c", metric="euclidean")
     assert neighbors.label_purity(near, e.select("row_id", "label")).first()[0] > 0.9
     assert layout.count() == 300 and state.components.shape == (10, 24)
+    state.save(spark, str(tmp_path / "pca"))
+    again = reduce.PcaState.load(spark, str(tmp_path / "pca"))
+    assert all(np.array_equal(getattr(state, f), getattr(again, f)) for f in ("components", "mean", "explained"))
+    largest = np.abs(state.components).argmax(axis=1)
+    assert (state.components[np.arange(10), largest] > 0).all() and (np.diff(state.explained) <= 1e-12).all()
+    graph = reduce.fuzzy_graph(neighbors.knn(e, 8, "row_id", "embedding", metric="euclidean")).toPandas()
+    assert (graph.a < graph.b).all() and not graph.duplicated(["a", "b"]).any() and graph.weight.between(0, 1 + 1e-9).all()
     p = CATALOG["pca_project"].run(spark, SF).agg(*[F.abs(F.avg(a)) for a in "xyz"]).first()
     assert max(p) < 1e-6
