@@ -72,8 +72,8 @@ def dedup_key(*fields: Column, folded: bool = True) -> Column:
 
 
 def label_encode(df: DataFrame, column: str, code: str) -> DataFrame:
-    """``df`` with the position of its value among the sorted distinct values (code-point order)."""
-    return df.join(vocabulary(df, column).select(F.col("value").alias(column), F.col("code").alias(code)), column)
+    """``df`` with the position of its value among the sorted distinct values (code-point order); null stays null."""
+    return df.join(vocabulary(df, column).select(F.col("value").alias(column), F.col("code").alias(code)), column, "left")
 
 
 def vocabulary(df: DataFrame, column: str) -> DataFrame:
