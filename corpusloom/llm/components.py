@@ -34,12 +34,12 @@ def components(edges: DataFrame) -> DataFrame:
         return tuple(links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38, 0)"))).first())
 
     links = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
-    links = materialise(links, "links")
+    links = materialise(links, "links", compact=True)
     before = state(links)
     for _ in range(MAX_ROUNDS):
         if not before[0]:
             break
-        links = materialise(contract(contract(links, True), False), "links")
+        links = materialise(contract(contract(links, True), False), "links", compact=True)
         after = state(links)
         if after == before:
             break

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.runtime import materialise
+from corpusloom.llm.runtime import materialise, partitions
 
 #: Template tokens of a window.
 WINDOW = 5
@@ -75,6 +75,8 @@ def find_copies(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
     """
     text = F.coalesce(benchmark[item_text_col], F.lit(""))
     items = benchmark.select(benchmark[item_col].alias("item_id"), F.xxhash64(text).alias("item_key"), tokens(text).alias("item_raw")).dropDuplicates(["item_id", "item_key"])
+    # the benchmark is small beside the documents: few files
+    items = items.coalesce(max(1, partitions(docs.sparkSession) // 16))
     items = materialise(items.withColumn("item_tokens", F.size("item_raw")).withColumn("slots", template(F.col("item_raw"))), "benchmark-tokens")
     at = items.select("item_id", "item_key", "item_tokens", "slots", F.posexplode(windows(F.col("slots"))).alias("item_at", "h"))
     at = materialise(at.select("h", "item_id", "item_key", "item_tokens", "item_at", F.exists(F.slice("slots", F.col("item_at") + 1, WINDOW), lambda x: x < "a").alias("open")), "benchmark-windows")
@@ -83,10 +85,10 @@ def find_copies(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
     hits = keyed.select("doc_id", "text_key", F.posexplode(windows(template(tokens(F.col("text"))))).alias("doc_at", "h")).join(known, "h")
     copy = ["doc_id", "text_key", "item_id", "item_key", "diagonal"]
     hits = hits.select("doc_id", "text_key", "item_id", "item_key", "item_tokens", (F.col("doc_at") - F.col("item_at")).alias("diagonal"), "item_at", "open").distinct()
-    hits = materialise(hits, "benchmark-hits")
+    hits = materialise(hits, "benchmark-hits", compact=True)
     full = hits.groupBy(*copy, "item_tokens").agg(F.sort_array(F.collect_list("item_at")).alias("at"), F.sort_array(F.collect_list(F.when(~F.col("open"), F.col("item_at")))).alias("closed"), F.max("open").alias("open"))
     full = full.withColumns({"all": _covered(F.col("at")), "plain": _covered(F.col("closed"))}).where(_counts(F.col("all")))
-    full = materialise(full.drop("closed"), "benchmark-copies")
+    full = materialise(full.drop("closed"), "benchmark-copies", compact=True)
     # the slot values of a copy, read where the text is; only texts with a copy that has slots
     asked = full.where("open").select(*copy, "at")
     raw_items = items.select("item_id", "item_key", "item_raw")
@@ -128,6 +130,6 @@ def _join_null_safe(left: DataFrame, right: DataFrame, on: list[str], how: str =
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that hold no copy of an item, with all their columns."""
-    found = materialise(find_copies(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias("__found_id"), F.col("text_key").alias("__found_key")).distinct(), "contaminated")
+    found = materialise(find_copies(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias("__found_id"), F.col("text_key").alias("__found_key")).distinct(), "contaminated", compact=True)
     mine = F.xxhash64(F.coalesce(docs[text_col], F.lit("")))
     return docs.join(found, docs[id_col].cast("long").eqNullSafe(F.col("__found_id")) & (mine == F.col("__found_key")), "left_anti")

@@ -236,16 +236,16 @@ def near_duplicates(df: DataFrame, params: Pq = Pq(), id_col: str = "vec_id", ve
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("cid", "label", "times", "least")), pa.array([flat[a:b].astype("<f8").tobytes() for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary())], names=["cid", "label", "times", "least", "raw"])
 
     label_type = df.schema[label_col].dataType.simpleString()
-    classes = materialise(classes.select("cid", "label", "times", "least", "vector").mapInArrow(tidy(pack), f"cid long, label {label_type}, times long, least long, raw binary"), "vector-classes")
+    classes = materialise(classes.select("cid", "label", "times", "least", "vector").mapInArrow(tidy(pack), f"cid long, label {label_type}, times long, least long, raw binary"), "vector-classes", compact=True)
     # lengths that more than one vector has; a table of embeddings has one or a few
     dims = [r[0] // 8 for r in classes.groupBy(F.length("raw")).count().where("count > 1").collect()]
     found = df.sparkSession.createDataFrame([], "cid long, other long, n long")
     for dim in sorted(dims):
         found = found.union(_links(classes.where(F.length("raw") == 8 * dim), dim, params))
-    found = materialise(found, "vector-links")
+    found = materialise(found, "vector-links", compact=True)
     linked = found.where("n > 0").groupBy("cid").agg(F.sum("n").alias("linked"))
     labels = components(found.where("n = 0").select(F.col("cid").alias("a"), F.col("other").alias("b"))).toDF("cid", "root")
-    joined = materialise(classes.select("cid", "times", "least").join(linked, "cid", "left").join(labels, "cid", "left").select("cid", "least", (F.col("times") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"), F.coalesce("root", "cid").alias("root")), "vector-roots")
+    joined = materialise(classes.select("cid", "times", "least").join(linked, "cid", "left").join(labels, "cid", "left").select("cid", "least", (F.col("times") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"), F.coalesce("root", "cid").alias("root")), "vector-roots", compact=True)
     ids = joined.groupBy("root").agg(F.min("least").alias("component_id"))
     out = rows.select("vec_id", "cid").join(joined.join(ids, "root").select("cid", "n_links", "component_id"), "cid", "left")
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("cid").isNull(), F.col("vec_id")).otherwise(F.col("component_id")).alias("component_id"))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 #: Only used where the cluster names no shared folder, as in tests.
 FALLBACK_DIR = "/tmp/corpusloom-checkpoints"
+FILES_PER_CORE = 8
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,15 +33,19 @@ def clean(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
+def materialise(df: DataFrame, label: str, *, compact: bool = False) -> DataFrame:
     """Writes ``df`` once as a table in the shared folder and reads it back.
 
     This cuts the lineage as ``checkpoint()`` does, but computes the plan only
-    once, and the result is column-pruned when it is read.
+    once, and the result is column-pruned when it is read.  ``compact`` is for
+    what comes out of a shuffle: FILES_PER_CORE files for each core, or a quarter
+    of the shuffle partitions if that is more, so that many partitions do not
+    become as many small files and no task has to read more than a few of them.
     """
     spark = df.sparkSession
     path = f"{run_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    files = max(FILES_PER_CORE * spark.sparkContext.defaultParallelism, partitions(spark) // 4)
+    (df.coalesce(files) if compact else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -189,7 +189,7 @@ def links(distinct: DataFrame) -> DataFrame:
     rows = distinct.select("fp").mapInArrow(tidy(deal), schema)
     found = None
     while True:
-        out = materialise(rows.repartition("path", "a").sortWithinPartitions("path", "a").mapInArrow(tidy(_compare), schema), "simhash-links")
+        out = materialise(rows.repartition("path", "a").sortWithinPartitions("path", "a").mapInArrow(tidy(_compare), schema), "simhash-links", compact=True)
         part = out.where("path < 0").select("a", "b")
         found = part if found is None else found.union(part)
         rows = out.where("path >= 0")
@@ -199,9 +199,9 @@ def links(distinct: DataFrame) -> DataFrame:
 
 def _labelled(prints: DataFrame) -> DataFrame:
     """(fp, label) for each distinct fingerprint: fingerprints with equal labels are linked."""
-    distinct = materialise(prints.select("fp").distinct(), "fingerprint-classes")
+    distinct = materialise(prints.select("fp").distinct(), "fingerprint-classes", compact=True)
     labels = components(links(distinct))
-    return materialise(distinct.join(labels, distinct["fp"] == labels["node"], "left").select("fp", F.coalesce("label", "fp").alias("label")), "fingerprint-labels")
+    return materialise(distinct.join(labels, distinct["fp"] == labels["node"], "left").select("fp", F.coalesce("label", "fp").alias("label")), "fingerprint-labels", compact=True)
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -216,7 +216,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     prints = materialise(fingerprints(df, id_col, text_col), "fingerprints")
     labels = _labelled(prints)
     least = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    joined = materialise(labels.join(least, "fp"), "fingerprint-ids")
+    joined = materialise(labels.join(least, "fp"), "fingerprint-ids", compact=True)
     component = joined.groupBy("label").agg(F.min("least").alias("component_id"))
     of_print = joined.join(component, "label").select("fp", "component_id")
     return prints.join(of_print, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -234,7 +234,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")
     first = prints.groupBy("fp").agg(F.min(order).alias("first"))
     chosen = first.join(labels, "fp").groupBy("label").agg(F.min("first").alias("first"))
-    chosen = materialise(chosen.select(F.col("first.doc_id").alias("__kept_id"), F.col("first.text_key").alias("__kept_key")), "kept-texts")
+    chosen = materialise(chosen.select(F.col("first.doc_id").alias("__kept_id"), F.col("first.text_key").alias("__kept_key")), "kept-texts", compact=True)
     mine = F.xxhash64(F.coalesce(docs[text_col], F.lit("")))
     kept = docs.join(chosen, docs[id_col].cast("long").eqNullSafe(F.col("__kept_id")) & (mine == F.col("__kept_key")), "left_semi")
     same = prints.join(chosen, F.col("doc_id").eqNullSafe(F.col("__kept_id")) & (F.col("text_key") == F.col("__kept_key"))).groupBy("doc_id", "text_key").count().where("count > 1")

@@ -157,11 +157,11 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     found = keyed.select("k1", "k2", "text").mapInArrow(tidy(_paths), "anchor long, digest long, k1 long, k2 long, place long")
     # written, so that the join below shuffles both sides anew and a hot anchor can be split
     anchors = found.groupBy("anchor").agg(F.count("*").alias("n"), F.min("digest").alias("low"), F.max("digest").alias("high")).where("n > 1").select("anchor", (F.col("low") != F.col("high")).alias("branching"))
-    anchors = materialise(anchors, "repeated-anchors")
+    anchors = materialise(anchors, "repeated-anchors", compact=True)
     open_ = lambda c: F.when(F.col("branching"), F.col(c)).alias(c)
-    repeated = materialise(found.join(anchors, "anchor").select(open_("anchor"), open_("digest"), "k1", "k2", "place", "branching"), "repeated-paths")
+    repeated = materialise(found.join(anchors, "anchor").select(open_("anchor"), open_("digest"), "k1", "k2", "place", "branching"), "repeated-paths", compact=True)
     branching = repeated.where("branching")
-    groups = materialise(branching.groupBy("anchor", "digest").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "place")).alias("one")), "branching-paths")
+    groups = materialise(branching.groupBy("anchor", "digest").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "place")).alias("one")), "branching-paths", compact=True)
     whole = repeated.where("not branching").select("k1", "k2", "place").unionByName(branching.join(groups.where("n > 1").select("anchor", "digest"), ["anchor", "digest"], "left_semi").select("k1", "k2", "place"))
     chosen = groups.select("one.*").groupBy("k1", "k2").agg(F.collect_list("place").alias("places"))
     windows = keyed.select("doc_id", "text", "k1", "k2").join(chosen, ["k1", "k2"]).select("k1", "k2", "text", "places").mapInArrow(tidy(_windows), "h1 long, h2 long, k1 long, k2 long, place long")

@@ -67,7 +67,7 @@ def shape(path: Column) -> Column:
 
 def templates(shapes: DataFrame) -> DataFrame:
     """(host, shape, template, labelled, bad) for distinct (host, shape, labelled, bad)."""
-    rows = materialise(shapes.withColumn("rest", F.filter(F.split("shape", _END), lambda x: x != "")).withColumn("template", F.lit("")), "url-shapes")
+    rows = materialise(shapes.withColumn("rest", F.filter(F.split("shape", _END), lambda x: x != "")).withColumn("template", F.lit("")), "url-shapes", compact=True)
     depth = rows.agg(F.max(F.size("rest"))).first()[0] or 0
     for level in range(min(depth, MAX_DEPTH)):
         live = rows.where(F.size("rest") > level).withColumn("branch", F.col("rest")[level])
@@ -82,7 +82,7 @@ def templates(shapes: DataFrame) -> DataFrame:
         alone = (F.col("n") >= MIN_LABELS) & (other_n == 0)
         named = joined.select("host", "template", "branch", F.when(F.when(F.col("n") > 0, F.when(other_n > 0, differs).otherwise(alone)).otherwise(False), F.col("branch")).otherwise("*").alias("kept"))
         moved = live.join(named, ["host", "template", "branch"]).withColumn("template", F.concat("template", F.lit("/"), "kept")).select(rows.columns)
-        rows = materialise(rows.where(F.size("rest") <= level).unionByName(moved), "url-shapes")
+        rows = materialise(rows.where(F.size("rest") <= level).unionByName(moved), "url-shapes", compact=True)
     deeper = F.when(F.size("rest") > MAX_DEPTH, F.concat("template", F.lit("/**"))).otherwise(F.col("template"))
     return rows.select("host", "shape", deeper.alias("template"), "labelled", "bad")
 
@@ -109,7 +109,7 @@ def judge(df: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "page_id
         rows = rows.withColumn("bad", F.when(F.col("by_rule") == "block", 1).when(F.col("by_rule") == "allow", 0))
     rows = rows.withColumn("shape", shape(F.col("path")))
     shapes = rows.groupBy("host", "shape").agg(F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
-    placed = materialise(templates(shapes), "url-templates")
+    placed = materialise(templates(shapes), "url-templates", compact=True)
     overall = placed.agg(F.coalesce(F.sum("bad") / F.sum("labelled"), F.lit(0.0))).first()[0] if placed.agg(F.sum("labelled")).first()[0] else 0.0
     purity = placed.groupBy("host", "template").agg(((F.sum("bad") + PRIOR_LABELS * overall) / (F.sum("labelled") + PRIOR_LABELS)).alias("purity"))
     of_shape = placed.select("host", "shape", "template").join(purity, ["host", "template"])
