@@ -7,7 +7,8 @@ those of the benchmark, so an item whose numbers and names were exchanged still
 matches.  Hits on one diagonal (text position less item position) belong to one
 copy of the item.  The values in the slots of such a copy must be consistent: one
 value of the item always becomes the same value in the text, and different
-values stay different.  Where they are not, only windows without slots count.
+values stay different.  Where they are not, only windows that repeat the item
+word for word, values included, count.
 """
 
 from __future__ import annotations
@@ -87,8 +88,8 @@ def find_copies(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
     hits = hits.select("doc_id", "text_key", "item_id", "item_key", "item_tokens", (F.col("doc_at") - F.col("item_at")).alias("diagonal"), "item_at", "open").distinct()
     hits = materialise(hits, "benchmark-hits", compact=True)
     full = hits.groupBy(*copy, "item_tokens").agg(F.sort_array(F.collect_list("item_at")).alias("at"), F.sort_array(F.collect_list(F.when(~F.col("open"), F.col("item_at")))).alias("closed"), F.max("open").alias("open"))
-    full = full.withColumns({"all": _covered(F.col("at")), "plain": _covered(F.col("closed"))}).where(_counts(F.col("all")))
-    full = materialise(full.drop("closed"), "benchmark-copies", compact=True)
+    full = full.withColumn("all", _covered(F.col("at"))).where(_counts(F.col("all")))
+    full = materialise(full, "benchmark-copies", compact=True)
     # the slot values of a copy, read where the text is; only texts with a copy that has slots
     asked = full.where("open").select(*copy, "at")
     raw_items = items.select("item_id", "item_key", "item_raw")
@@ -98,19 +99,26 @@ def find_copies(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
         .drop("text")
         .transform(lambda x: _join_null_safe(x, raw_items, ["item_id", "item_key"]))
         .withColumn("item_at", F.explode(F.array_distinct(F.flatten(F.transform("at", lambda i: F.sequence(i, i + WINDOW - 1))))))
-        .select(*copy, F.get("item_raw", F.col("item_at")).alias("then"), F.get("raw", F.col("item_at") + F.col("diagonal")).alias("now"))
+        .select(*copy, "item_at", F.get("item_raw", F.col("item_at")).alias("then"), F.get("raw", F.col("item_at") + F.col("diagonal")).alias("now"))
         .where("then < 'a' and (then rlike '^[0-9]' or startswith(then, '\x01') or contains(then, '\x02'))")
     )
-    sets = slots.groupBy(*copy).agg(F.size(F.collect_set("then")).alias("a"), F.size(F.collect_set("now")).alias("b"), F.size(F.collect_set(F.struct("then", "now"))).alias("c"))
-    verdict = sets.select(*copy, ((F.col("a") == F.col("c")) & (F.col("b") == F.col("c"))).alias("agrees"))
+    changed = F.collect_set(F.when(~F.col("then").eqNullSafe(F.col("now")), F.col("item_at"))).alias("changed")
+    sets = slots.groupBy(*copy).agg(changed, F.size(F.collect_set("then")).alias("a"), F.size(F.collect_set("now")).alias("b"), F.size(F.collect_set(F.struct("then", "now"))).alias("c"))
+    verdict = sets.select(*copy, "changed", ((F.col("a") == F.col("c")) & (F.col("b") == F.col("c"))).alias("agrees"))
     judged = _join_null_safe(full, verdict, copy, "left").withColumn("consistent", F.coalesce("agrees", F.lit(True)))
-    judged = judged.withColumn("covered_tokens", F.when(F.col("consistent"), F.col("all")).otherwise(F.col("plain"))).where(F.col("consistent") | (F.col("plain") >= F.col("item_tokens") * MIN_COVER))
+    # windows that hold no changed value repeat the item word for word
+    same = F.filter("at", lambda i: ~F.exists("changed", lambda c: (c >= i) & (c < i + WINDOW)))
+    judged = judged.withColumn("same", F.when(F.col("consistent"), F.col("at")).otherwise(same)).withColumn("covered_tokens", _covered(F.col("same")))
+    valued = F.size(F.array_except("same", "closed")) > 0
+    judged = judged.where(F.col("consistent") | _counts(F.col("covered_tokens"), valued | (_longest(F.col("same")) >= MIN_TOKENS)))
     best = F.max(F.struct((F.col("covered_tokens") / F.col("item_tokens")).alias("covered"), "consistent"))
     return judged.groupBy("doc_id", "text_key", "item_id", "item_key").agg(F.count("*").alias("n_copies"), best.alias("best")).select("doc_id", "text_key", "item_id", "n_copies", F.col("best.covered").alias("covered"), F.col("best.consistent").alias("consistent"))
 
 
-def _counts(covered: Column) -> Column:
-    return (covered >= MIN_TOKENS) | ((covered >= F.col("item_tokens") * MIN_COVER) & (covered >= WINDOW))
+def _counts(covered: Column, telling: Column | None = None) -> Column:
+    """Whether a copy counts; ``telling`` is a condition on MIN_TOKENS alone being enough."""
+    enough = covered >= MIN_TOKENS if telling is None else (covered >= MIN_TOKENS) & telling
+    return enough | ((covered >= F.col("item_tokens") * MIN_COVER) & (covered >= WINDOW))
 
 
 def _covered(at: Column) -> Column:
@@ -119,6 +127,17 @@ def _covered(at: Column) -> Column:
     return F.aggregate(at, zero, lambda s, i: F.struct((s["n"] + F.least(F.lit(WINDOW), i - s["last"])).alias("n"), i.alias("last")), lambda s: s["n"])
 
 
+def _longest(at: Column) -> Column:
+    """Tokens of the longest stretch that windows at the given ascending places cover without a gap."""
+    zero = F.struct(F.lit(0).alias("best"), F.lit(0).alias("n"), F.lit(-WINDOW - 1).alias("last"))
+
+    def grow(s: Column, i: Column) -> Column:
+        n = F.when(i - s["last"] <= WINDOW, s["n"] + i - s["last"]).otherwise(F.lit(WINDOW))
+        return F.struct(F.greatest(s["best"], n).alias("best"), n.alias("n"), i.alias("last"))
+
+    return F.aggregate(at, zero, grow, lambda s: s["best"])
+
+
 def _join_null_safe(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
     renamed = right.select(*[F.col(c).alias(f"right_{c}") for c in on], *[c for c in right.columns if c not in on])
     condition = None

@@ -56,3 +56,14 @@ def test_plan_is_native(spark):
     docs = spark.createDataFrame([(1, ITEM)], "doc_id long, text string")
     plan = find_copies(docs, docs.withColumnRenamed("doc_id", "item_id"))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_inconsistent_copies_count_by_what_they_repeat(spark):
+    long = "at noon Ada buys 3 red pens and 4 blue pens for the class while Ben sells 9 old books to Ada and keeps 2 of them at home for the next fair that opens in May"
+    rows = [(1, ITEM.replace("does Tom", "does Dave")), (2, long.replace("to Ada", "to Zoe")), (3, "so at noon Ada buys 3 red pens and 4 blue pens for the class while Zoe sells 4 old books to Ada")]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, ITEM), (2, long)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in find_copies(docs, bench).collect()}
+    # 27 of 28 tokens are in windows that repeat the item
+    assert (1, 1) in got and not got[1, 1].consistent and abs(got[1, 1].covered - 27 / 28) < 1e-9
+    # a part of less than half is found by 13 tokens that hold values
+    assert (2, 2) in got and (3, 2) in got and got[3, 2].covered < 0.5
