@@ -1,8 +1,9 @@
 """Benchmark decontamination by template windows.  DataFrame functions only.
 
 A text becomes a sequence of template tokens: words in lower case, with numbers,
-names (capitalised words inside a sentence) and units after numbers replaced by
-typed placeholders.  Windows of WINDOW template tokens are hashed and joined with
+names (runs of capitalised words inside a sentence) and units after numbers
+replaced by typed placeholders; two more forms have each word of a name by itself,
+as a placeholder and, free of case, as a word.  Windows of WINDOW template tokens are hashed and joined with
 those of the benchmark, so an item whose numbers and names were exchanged still
 matches.  Hits on one diagonal (text position less item position) belong to one
 copy of the item.  The values in the slots of such a copy must be consistent: one
@@ -24,20 +25,29 @@ WINDOW = 5
 MIN_COVER, MIN_TOKENS = 0.5, 13
 #: Benchmark windows up to this number are broadcast; beyond it both sides are shuffled.
 BROADCAST_WINDOWS = 500_000
+#: The keys of so many texts with copies are broadcast, so that only these texts are shuffled to read their slots.
+BROADCAST_TEXTS = 500_000
 
 # Units that are recognised after a number.
 UNITS = "kg|g|mg|km|m|cm|mm|l|ml|s|ms|min|h|hours?|minutes?|seconds?|days?|weeks?|years?|miles?|feet|inch(?:es)?|lbs?|usd|eur|dollars?|euros?|cents?|percent|mph|kmh"
 
 _NAME, _UNIT = "\x01", "\x02"
+_WORD = r"\p{L}[\p{L}\p{M}]*"
+# Forms of a text, as bits, since they agree where there are no names or no runs of them: a placeholder for a run of
+# names, names as words, a placeholder for each word of a name.
+_RUNS, _FREE, _APART = 1, 2, 4
 
 
 def tokens(text: Column) -> Column:
-    """Raw tokens in lower case; a name starts with \\x01, a unit with \\x02, a number with a digit."""
+    """Raw tokens in lower case; each word of a name starts with \\x01, a unit with \\x02, a number with a digit.
+
+    A run of words of names is one token, its words one space apart.
+    """
     clean = F.regexp_replace(text, r"[\x01\x02]", " ")
     # a capital after a lower-case letter, a digit or a comma and one space is no start of a sentence
     named = F.regexp_replace(clean, r"(?<=[\p{Ll}\p{Nd},;] )(?=\p{Lu}\p{Ll})", _NAME)
     unit = F.regexp_replace(F.lower(named), rf"(?<=[0-9] ?)(?={_NAME}?(?:{UNITS})(?![\p{{L}}\p{{N}}]))", _UNIT)
-    return F.regexp_extract_all(unit, F.lit(rf"{_NAME}?{_UNIT}?{_NAME}?\p{{L}}[\p{{L}}\p{{M}}]*|[0-9]+(?:[.,][0-9]+)*"), F.lit(0))
+    return F.regexp_extract_all(unit, F.lit(rf"{_NAME}{_WORD}(?: {_NAME}{_WORD})+|{_NAME}?{_UNIT}?{_NAME}?{_WORD}|[0-9]+(?:[.,][0-9]+)*"), F.lit(0))
 
 
 def template(raw: Column) -> Column:
@@ -46,6 +56,33 @@ def template(raw: Column) -> Column:
     return F.transform(raw, lambda x: F.when(x >= "a", x).when(x >= "0", F.lit("0")).when(F.contains(x, F.lit(_UNIT)), F.lit(_UNIT)).otherwise(F.lit(_NAME)))
 
 
+def words(raw: Column) -> Column:
+    """Tokens with the words of names by themselves, still marked."""
+    return F.flatten(F.transform(raw, lambda x: F.split(x, " ")))
+
+
+def bare(raw: Column) -> Column:
+    """Tokens without the marks of names."""
+    return F.transform(raw, lambda x: F.translate(x, _NAME, ""))
+
+
+def forms(raw: Column) -> Column:
+    """Array of (form, marked tokens, template): one if the text has no names, two without runs of them, else three."""
+
+    def each(own: Column) -> Column:
+        def form(bits: int, marked: Column, of: Column) -> Column:
+            return F.struct(F.lit(bits).alias("form"), marked.alias("marked"), template(of).alias("template"))
+
+        free = form(_FREE, words(own), bare(words(own)))
+        runs = F.array(form(_RUNS, own, own), free, form(_APART, words(own), words(own)))
+        single = F.array(form(_RUNS | _APART, own, own), free)
+        named = F.exists(own, lambda x: F.startswith(x, F.lit(_NAME)))
+        return F.when(~named, F.array(form(_RUNS | _FREE | _APART, own, own))).when(F.exists(own, lambda x: F.contains(x, F.lit(" "))), runs).otherwise(single)
+
+    # as a lambda's variable the tokens are found once
+    return F.transform(F.array(raw), each)[0]
+
+
 def windows(of: Column) -> Column:
     """Hashes of the windows of an array of tokens; none if it is shorter than a window."""
 
@@ -78,29 +115,40 @@ def find_copies(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
     items = benchmark.select(benchmark[item_col].alias("item_id"), F.xxhash64(text).alias("item_key"), tokens(text).alias("item_raw")).dropDuplicates(["item_id", "item_key"])
     # the benchmark is small beside the documents: few files
     items = items.coalesce(max(1, partitions(docs.sparkSession) // 16))
-    items = materialise(items.withColumn("item_tokens", F.size("item_raw")).withColumn("slots", template(F.col("item_raw"))), "benchmark-tokens")
-    at = items.select("item_id", "item_key", "item_tokens", "slots", F.posexplode(windows(F.col("slots"))).alias("item_at", "h"))
-    at = materialise(at.select("h", "item_id", "item_key", "item_tokens", "item_at", F.exists(F.slice("slots", F.col("item_at") + 1, WINDOW), lambda x: x < "a").alias("open")), "benchmark-windows")
+    items = items.select("item_id", "item_key", F.explode(forms(F.col("item_raw"))).alias("f")).select("item_id", "item_key", F.col("f.form").alias("item_form"), F.col("f.marked").alias("item_raw"), F.col("f.template").alias("slots"))
+    items = materialise(items.withColumn("item_tokens", F.size("item_raw")), "benchmark-tokens")
+    at = items.select("item_id", "item_key", "item_form", "item_tokens", "item_raw", F.posexplode(windows(F.col("slots"))).alias("item_at", "h"))
+    at = materialise(at.select("h", "item_id", "item_key", "item_form", "item_tokens", "item_at", _slots_before(F.col("item_at")).alias("slots_from"), _slots_before(F.col("item_at") + WINDOW).alias("slots_to")), "benchmark-windows")
     known = F.broadcast(at) if at.count() <= BROADCAST_WINDOWS else at
     keyed = _keyed(docs, id_col, text_col)
-    hits = keyed.select("doc_id", "text_key", F.posexplode(windows(template(tokens(F.col("text"))))).alias("doc_at", "h")).join(known, "h")
-    copy = ["doc_id", "text_key", "item_id", "item_key", "diagonal"]
-    hits = hits.select("doc_id", "text_key", "item_id", "item_key", "item_tokens", (F.col("doc_at") - F.col("item_at")).alias("diagonal"), "item_at", "open").distinct()
+    hashed = F.transform(forms(tokens(F.col("text"))), lambda f: F.struct(f["form"].alias("form"), windows(f["template"]).alias("hashes")))
+    hits = keyed.select("doc_id", "text_key", F.explode(hashed).alias("f")).select("doc_id", "text_key", F.col("f.form").alias("doc_form"), F.posexplode("f.hashes").alias("doc_at", "h")).join(known, "h")
+    hits = hits.withColumn("form", F.col("doc_form").bitwiseAND(F.col("item_form"))).where("form <> 0")
+    copy = ["doc_id", "text_key", "item_id", "item_key", "item_form", "form", "diagonal"]
+    hits = hits.select(*copy[:-1], "item_tokens", (F.col("doc_at") - F.col("item_at")).alias("diagonal"), "item_at", "slots_from", "slots_to").distinct()
     hits = materialise(hits, "benchmark-hits", compact=True)
-    full = hits.groupBy(*copy, "item_tokens").agg(F.sort_array(F.collect_list("item_at")).alias("at"), F.sort_array(F.collect_list(F.when(~F.col("open"), F.col("item_at")))).alias("closed"), F.max("open").alias("open"))
+    full = hits.groupBy(*copy, "item_tokens").agg(F.sort_array(F.collect_list("item_at")).alias("at"), F.sort_array(F.collect_list(F.when(F.col("slots_from") == F.col("slots_to"), F.col("item_at")))).alias("closed"), F.max(F.col("slots_from") < F.col("slots_to")).alias("open"), (F.max("slots_to") > F.min("slots_from")).alias("between"))
     full = full.withColumn("all", _covered(F.col("at"))).where(_counts(F.col("all")))
     full = materialise(full, "benchmark-copies", compact=True)
     # the slot values of a copy, read where the text is; only texts with a copy that has slots
-    asked = full.where("open").select(*copy, "at")
-    raw_items = items.select("item_id", "item_key", "item_raw")
+    # in the case-free form names between windows count as well: exchanged ones break every window that they are in
+    free = F.col("form") == _FREE
+    asked = full.where(F.when(free, F.col("between")).otherwise(F.col("open"))).select(*copy, "at")
+    raw_items = items.select("item_id", "item_key", "item_form", "item_raw")
+    # texts without a copy are not shuffled, unless those with one are too many to broadcast
+    texts = materialise(asked.select("doc_id", "text_key").distinct(), "benchmark-texts", compact=True)
+    if texts.count() <= BROADCAST_TEXTS:
+        keyed = _join_null_safe(keyed, F.broadcast(texts), ["doc_id", "text_key"], "left_semi")
     slots = (
         _join_null_safe(keyed, asked, ["doc_id", "text_key"])
         .withColumn("raw", tokens(F.col("text")))
         .drop("text")
-        .transform(lambda x: _join_null_safe(x, raw_items, ["item_id", "item_key"]))
-        .withColumn("item_at", F.explode(F.array_distinct(F.flatten(F.transform("at", lambda i: F.sequence(i, i + WINDOW - 1))))))
-        .select(*copy, "item_at", F.get("item_raw", F.col("item_at")).alias("then"), F.get("raw", F.col("item_at") + F.col("diagonal")).alias("now"))
+        .withColumn("raw", F.when(free, bare(words(F.col("raw")))).when(F.col("form") == _APART, words(F.col("raw"))).otherwise(F.col("raw")))
+        .transform(lambda x: _join_null_safe(x, raw_items, ["item_id", "item_key", "item_form"]))
+        .withColumn("item_at", F.explode(F.when(free, F.sequence(F.get("at", F.lit(0)), F.element_at("at", -1) + WINDOW - 1)).otherwise(F.array_distinct(F.flatten(F.transform("at", lambda i: F.sequence(i, i + WINDOW - 1)))))))
+        .select(*copy, "item_at", F.get("item_raw", F.col("item_at")).alias("then"), F.get("raw", F.col("item_at") + F.col("diagonal")).alias("now"), free.alias("free"))
         .where("then < 'a' and (then rlike '^[0-9]' or startswith(then, '\x01') or contains(then, '\x02'))")
+        .withColumn("then", F.when(F.col("free"), F.translate("then", _NAME, "")).otherwise(F.col("then")))
     )
     changed = F.collect_set(F.when(~F.col("then").eqNullSafe(F.col("now")), F.col("item_at"))).alias("changed")
     sets = slots.groupBy(*copy).agg(changed, F.size(F.collect_set("then")).alias("a"), F.size(F.collect_set("now")).alias("b"), F.size(F.collect_set(F.struct("then", "now"))).alias("c"))
@@ -112,7 +160,10 @@ def find_copies(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
     valued = F.size(F.array_except("same", "closed")) > 0
     judged = judged.where(F.col("consistent") | _counts(F.col("covered_tokens"), valued | (_longest(F.col("same")) >= MIN_TOKENS)))
     best = F.max(F.struct((F.col("covered_tokens") / F.col("item_tokens")).alias("covered"), "consistent"))
-    return judged.groupBy("doc_id", "text_key", "item_id", "item_key").agg(F.count("*").alias("n_copies"), best.alias("best")).select("doc_id", "text_key", "item_id", "n_copies", F.col("best.covered").alias("covered"), F.col("best.consistent").alias("consistent"))
+    # the forms see the same copies
+    of_form = judged.groupBy("doc_id", "text_key", "item_id", "item_key", "item_form", "form").agg(F.count("*").alias("n_copies"), best.alias("best"))
+    out = of_form.groupBy("doc_id", "text_key", "item_id", "item_key").agg(F.max("n_copies").alias("n_copies"), F.max("best").alias("best"))
+    return out.select("doc_id", "text_key", "item_id", "n_copies", F.col("best.covered").alias("covered"), F.col("best.consistent").alias("consistent"))
 
 
 def _counts(covered: Column, telling: Column | None = None) -> Column:
@@ -138,6 +189,10 @@ def _longest(at: Column) -> Column:
     return F.aggregate(at, zero, grow, lambda s: s["best"])
 
 
+def _slots_before(place: Column) -> Column:
+    return F.size(F.filter(F.slice("item_raw", F.lit(1), place), lambda x: x < "a"))
+
+
 def _join_null_safe(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
     renamed = right.select(*[F.col(c).alias(f"right_{c}") for c in on], *[c for c in right.columns if c not in on])
     condition = None

@@ -67,3 +67,14 @@ def test_inconsistent_copies_count_by_what_they_repeat(spark):
     assert (1, 1) in got and not got[1, 1].consistent and abs(got[1, 1].covered - 27 / 28) < 1e-9
     # a part of less than half is found by 13 tokens that hold values
     assert (2, 2) in got and (3, 2) in got and got[3, 2].covered < 0.5
+
+
+def test_letter_case_and_names_of_other_lengths(spark):
+    item = "In New York a train leaves for Los Angeles with 40 people, and in San Diego 12 of them leave it."
+    other = item.replace("New York", "Paris").replace("Los Angeles", "Rome").replace("San Diego", "Milan").replace("40", "70").replace("12", "15")
+    mixed = other.replace("Milan", "Paris")
+    rows = [(1, item.lower()), (2, "we read: " + other), (3, item.lower().replace("40", "70").replace("12", "15")), (4, item), (5, "we read: " + mixed), (6, item.upper()), (7, "of all that, " + ITEM.lower().replace("tom", "bob")), (8, "Question: who built Los Angeles Town first")]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, item), (2, ITEM), (3, "who built New York City first")], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in find_copies(docs, bench).collect()}
+    assert set(got) == {(1, 1), (2, 1), (3, 1), (4, 1), (6, 1), (7, 2), (8, 3)}
+    assert all(got[k, 1].covered == 1 for k in (1, 2, 3, 4, 6)) and all(r.n_copies == 1 and r.consistent for r in got.values())
