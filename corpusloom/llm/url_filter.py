@@ -6,7 +6,7 @@ share of bad labels is statistically like that of their siblings merge into a
 wildcard (two-proportion z-test), and so do branches with too few labels to tell;
 only branches that differ keep their name.  A template is rejected by its
 smoothed purity, the share of bad among its labelled urls drawn to the overall
-share.  Work is done on distinct shapes with counts, not on urls.
+share; without evidence of its own it is let through.  Work is done on distinct shapes with counts, not on urls.
 """
 
 from __future__ import annotations
@@ -91,7 +91,9 @@ def judge(df: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "page_id
     """One row per input row: page_id, host, path, rule, verdict, template, purity.
 
     A fitting rule decides; otherwise the template of the url does: ``block`` if
-    its purity is at least REJECT, else ``allow``.  Labels are the column
+    its purity is at least REJECT, else ``allow``.  The overall share alone
+    rejects nothing: the template needs a bad label, and MIN_LABELS labels where
+    the url's own shape has none.  Labels are the column
     ``bad_col`` (1 bad, 0 good, null unknown) or else the rules' own verdicts, so
     that what the rules say about part of a host's tree carries over to the urls
     that share its templates.  Null urls and those without ``://`` have empty
@@ -111,7 +113,9 @@ def judge(df: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "page_id
     shapes = rows.groupBy("host", "shape").agg(F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
     placed = materialise(templates(shapes), "url-templates", compact=True)
     overall = placed.agg(F.coalesce(F.sum("bad") / F.sum("labelled"), F.lit(0.0))).first()[0] if placed.agg(F.sum("labelled")).first()[0] else 0.0
-    purity = placed.groupBy("host", "template").agg(((F.sum("bad") + PRIOR_LABELS * overall) / (F.sum("labelled") + PRIOR_LABELS)).alias("purity"))
-    of_shape = placed.select("host", "shape", "template").join(purity, ["host", "template"])
+    purity = placed.groupBy("host", "template").agg(((F.sum("bad") + PRIOR_LABELS * overall) / (F.sum("labelled") + PRIOR_LABELS)).alias("purity"), F.sum("labelled").alias("template_labelled"), F.sum("bad").alias("template_bad"))
+    # a few labels of one branch do not condemn the unlabelled branches that it was merged with
+    evidence = (F.col("template_bad") > 0) & ((F.col("labelled") > 0) | (F.col("template_labelled") >= MIN_LABELS))
+    of_shape = placed.join(purity, ["host", "template"]).select("host", "shape", "template", "purity", evidence.alias("evidence"))
     out = rows.drop("bad").join(of_shape, ["host", "shape"])
-    return out.select("page_id", "host", "path", "rule", F.coalesce("by_rule", F.when(F.col("purity") >= REJECT, "block").otherwise("allow")).alias("verdict"), "template", "purity")
+    return out.select("page_id", "host", "path", "rule", F.coalesce("by_rule", F.when(F.col("evidence") & (F.col("purity") >= REJECT), "block").otherwise("allow")).alias("verdict"), "template", "purity")

@@ -75,3 +75,14 @@ def test_templates_against_plain_trees(spark):
     assert {r.verdict for r in got if re.match("/shop/[0-9]", r.path)} == {"block"}
     # without labels of its own a branch joins the wildcard and is let through
     assert {r.verdict for r in got if r.path.startswith("/shop/red")} == {"allow"}
+
+
+def test_only_evidence_of_their_own_rejects_templates(spark):
+    rows = [f"http://bad.net/x/{i}" for i in range(30)] + [f"http://free.com/en/{i}" for i in range(9)] + [f"http://a.example.com/de/{i}" for i in range(2)] + [f"http://a.example.com/{w}/{i}" for w in ("en", "es") for i in range(9)]
+    got = judge(spark.createDataFrame(list(enumerate(rows)), "page_id long, url string")).collect()
+    # every label of the table is bad, but nothing is known of these hosts and branches
+    assert {(r.host, r.verdict) for r in got if r.rule is None} == {("free.com", "allow"), ("a.example.com", "allow")}
+    assert min(r.purity for r in got) == 1.0
+    labelled = [(i, f"http://h.com/a/{i}", 1) for i in range(5)] + [(5, "http://h.com/a/5", None)] + [(i, f"http://g.com/{i}", 1) for i in (6, 7)] + [(8, "http://g.com/8", None)]
+    got = judge(spark.createDataFrame(labelled, "page_id long, url string, bad int"), rules=(), bad_col="bad").collect()
+    assert {r.verdict for r in got} == {"block"}
