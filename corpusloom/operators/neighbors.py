@@ -6,8 +6,6 @@ starts at 1, a row is never its own neighbour, ties go to the smaller id.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -101,39 +99,57 @@ def chance_level(labels: DataFrame) -> DataFrame:
     return sizes.agg((F.sum(F.pow(F.col("count").cast("double"), 2.0)) / F.pow(F.sum("count").cast("double"), 2.0)).alias("chance"))
 
 
-def trustworthiness(df: DataFrame, k: int, id_col: str, high_col: str, low_col: str, *, cap: int = 5000, seed: int = 0) -> DataFrame:
+def trustworthiness(df: DataFrame, k: int, id_col: str, high_col: str, low_col: str, *, cap: int | None = 5000, seed: int = 0) -> DataFrame:
     """One row: how far low-dimensional neighbours are neighbours in the original space (Venna and Kaski 2001).
 
     Ranks cost the square of the rows, so at most ``cap`` of them, chosen by a
-    hash, take part.  Null for k of half the rows or more.
+    hash, take part; without a cap all do.  Blocks of rows meet blocks of rows in
+    one task each, which counts what lies before a neighbour; a pair is never a
+    row.  Null for k of half the rows or more.
     """
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(high_col).alias("high"), F.col(low_col).alias("low"))
-    rows = materialise(rows.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit("trust"), F.col("id").cast("string"))), "id").limit(cap), "trust-rows")
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(high_col).cast("array<double>").alias("high"), F.col(low_col).alias("low"))
+    if cap is not None:
+        rows = rows.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit("trust"), F.col("id").cast("string"))), "id").limit(cap)
+    rows = materialise(rows, "trust-rows")
     n = rows.count()
     empty = df.sparkSession.range(1).select(F.lit(None).cast("double").alias("trustworthiness"))
     if n <= k + 1 or 2 * k >= n:
         return empty
-    sample = rows.select("id", F.col("high").cast("array<double>").alias("high")).orderBy("id").toPandas()  # cap rows
-    shared = df.sparkSession.sparkContext.broadcast((sample["id"].to_numpy(), np.stack(sample["high"].to_numpy())))
-
-    def beyond(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, y = shared.value
-        for batch in batches:
-            total = 0
-            for start in range(0, len(batch), 128):
-                part = batch.iloc[start : start + 128]
-                own = np.searchsorted(ids, part["row_id"].to_numpy())
-                apart = _distances(y[own], y)
-                apart[np.arange(len(own)), own] = -1.0  # a row's own rank is 0, so the others count from 1
-                for far, near in zip(apart, part["near"], strict=True):
-                    j = np.searchsorted(ids, np.asarray(near))
-                    rank = np.empty(len(far), int)
-                    rank[np.argsort(far, kind="stable")] = np.arange(len(far))
-                    total += int(np.maximum(rank[j] - k, 0).sum())
-            yield pd.DataFrame({"beyond": [total]})
-
-    low = knn(rows, k, "id", "low", metric="euclidean").groupBy("row_id").agg(F.collect_list("neighbor_id").alias("near"))
-    return low.mapInPandas(beyond, "beyond long").agg((1 - F.coalesce(F.sum("beyond"), F.lit(0)) * 2.0 / (n * k * (2.0 * n - 3.0 * k - 1.0))).alias("trustworthiness"))
+    blocks = -(-n // BLOCK)
+    low = knn(rows, k, "id", "low", metric="euclidean").select("row_id", "neighbor_id")
+    vectors = rows.select("id", F.col("high").alias("v"))
+    other = low.join(vectors.withColumnsRenamed({"id": "neighbor_id", "v": "w"}), "neighbor_id")
+    near = other.groupBy("row_id").agg(F.collect_list(F.struct("neighbor_id", "w")).alias("near"))
+    asks = near.join(vectors.withColumnRenamed("id", "row_id"), "row_id").select(F.col("row_id").alias("id"), "v", F.col("near.neighbor_id").alias("near"), F.col("near.w").alias("w"))
+    block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    left = materialise(asks, "trust-near").withColumn("qb", block).withColumn("bb", every)
+    right = vectors.withColumn("bb", block).withColumn("qb", every)
+
+    def before(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if q.empty or b.empty:
+            return pd.DataFrame({"row_id": [], "neighbor_id": [], "before": []}).astype("int64")
+        x, y, ids = np.stack(q["v"].to_numpy()), np.stack(b["v"].to_numpy()), b["id"].to_numpy()
+        own = q["id"].to_numpy()
+        near = np.stack([np.asarray(j) for j in q["near"]])  # all rows have equally many
+        count = np.zeros(near.shape, np.int64)
+        for start in range(0, len(q), 128):
+            part = slice(start, start + 128)
+            far = _distances(x[part], y)
+            far[own[part, None] == ids[None, :]] = np.inf  # a row is not before its neighbours
+            w = np.stack([np.stack(v) for v in q["w"].iloc[part]])
+            for c in range(near.shape[1]):
+                d = np.zeros(len(far))
+                for dim in range(x.shape[1]):  # summed as in _distances
+                    d += (x[part, dim] - w[:, c, dim]) ** 2
+                d = np.round(np.sqrt(d), 9)[:, None]
+                count[part, c] = ((far < d) | ((far == d) & (ids[None, :] < near[part, c, None]))).sum(axis=1)
+        return pd.DataFrame({"row_id": np.repeat(own, near.shape[1]), "neighbor_id": near.ravel(), "before": count.ravel()})
+
+    counted = left.groupBy("qb", "bb").cogroup(right.groupBy("qb", "bb")).applyInPandas(before, "row_id long, neighbor_id long, before long")
+    ranks = counted.groupBy("row_id", "neighbor_id").agg((F.sum("before") + 1).alias("rank"))
+    beyond = F.coalesce(F.sum(F.greatest(F.col("rank") - k, F.lit(0))), F.lit(0))
+    return ranks.agg((1 - beyond * 2.0 / (n * k * (2.0 * n - 3.0 * k - 1.0))).alias("trustworthiness"))
 
 
 def shuffle_columns(df: DataFrame, id_col: str, vector_col: str, seed: int = 0) -> DataFrame:

@@ -132,7 +132,7 @@ def label_purity_3d(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT round(1 - 2.0 / (n * 5 * (2.0 * n - 3 * 5 - 1)) * (SELECT coalesce(sum(r.rank - 5), 0) FROM low JOIN r ON low.row_id = r.row_id AND low.neighbor_id = r.neighbor_id WHERE r.rank > 5), 6) AS trustworthiness FROM n""")
 def trustworthiness(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = points(spark, sf_dir).withColumn("c", F.array("x", "y", "z"))
-    return neighbors.trustworthiness(p, 5, "row_id", "embedding", "c").select(F.round("trustworthiness", 6).alias("trustworthiness"))
+    return neighbors.trustworthiness(p, 5, "row_id", "embedding", "c", cap=None).select(F.round("trustworthiness", 6).alias("trustworthiness"))
 
 
 SHUFFLED = """vals AS (SELECT vec_id AS row_id, generate_subscripts(embedding, 1) - 1 AS dim, unnest(embedding)::DOUBLE AS value FROM embeddings),

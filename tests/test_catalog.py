@@ -60,3 +60,22 @@ def test_layouts(spark, tmp_path):
     assert (graph.a < graph.b).all() and not graph.duplicated(["a", "b"]).any() and graph.weight.between(0, 1 + 1e-9).all()
     p = CATALOG["pca_project"].run(spark, SF).agg(*[F.abs(F.avg(a)) for a in "xyz"]).first()
     assert max(p) < 1e-6
+
+
+def test_trustworthiness_takes_every_row(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    n, k = 5300, 5
+    e = rng.normal(size=(n, 6)).astype("float32")
+    e[:40] = e[40:80]
+    rows = spark.createDataFrame([(i, v.tolist(), i % 3) for i, v in enumerate(e)], "vec_id long, embedding array<float>, label int")
+    rows.write.parquet(str(tmp_path / "embeddings.parquet"))
+    beyond = 0
+    for i in range(n):
+        d = np.round(np.sqrt(((e.astype(float) - e[i].astype(float)) ** 2).cumsum(axis=1)[:, [2, 5]]), 9)
+        d[i] = -1.0
+        order = np.argsort(d[:, 0], kind="stable")[1 : k + 1]
+        rank = np.empty(n, int)
+        rank[np.argsort(d[:, 1], kind="stable")] = np.arange(n)
+        beyond += np.maximum(rank[order] - k, 0).sum()
+    got = CATALOG["trustworthiness"].run(spark, str(tmp_path)).first()[0]
+    assert abs(got - (1 - 2.0 * beyond / (n * k * (2.0 * n - 3 * k - 1)))) < 1e-6
