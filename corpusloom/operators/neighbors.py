@@ -6,6 +6,8 @@ starts at 1, a row is never its own neighbour, ties go to the smaller id.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -17,6 +19,8 @@ from corpusloom.operators.rows import materialise
 
 #: Rows of a block; a task holds two blocks and their product.
 BLOCK = 2048
+#: Rows of a block where ranks are counted, 128 rows at a time.
+RANK_BLOCK = 8192
 
 
 def _distances(x: np.ndarray, y: np.ndarray, digits: int = 9) -> np.ndarray:
@@ -115,12 +119,19 @@ def trustworthiness(df: DataFrame, k: int, id_col: str, high_col: str, low_col:
     empty = df.sparkSession.range(1).select(F.lit(None).cast("double").alias("trustworthiness"))
     if n <= k + 1 or 2 * k >= n:
         return empty
-    blocks = -(-n // BLOCK)
+    blocks = -(-n // RANK_BLOCK)
     low = knn(rows, k, "id", "low", metric="euclidean").select("row_id", "neighbor_id")
     vectors = rows.select("id", F.col("high").alias("v"))
     other = low.join(vectors.withColumnsRenamed({"id": "neighbor_id", "v": "w"}), "neighbor_id")
     near = other.groupBy("row_id").agg(F.collect_list(F.struct("neighbor_id", "w")).alias("near"))
     asks = near.join(vectors.withColumnRenamed("id", "row_id"), "row_id").select(F.col("row_id").alias("id"), "v", F.col("near.neighbor_id").alias("near"), F.col("near.w").alias("w"))
+
+    def measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for q in batches:
+            apart = [_distances(np.stack([v]), np.stack(w))[0] for v, w in zip(q["v"], q["w"], strict=True)]
+            yield q[["id", "v", "near"]].assign(apart=apart)
+
+    asks = asks.mapInPandas(measured, "id long, v array<double>, near array<long>, apart array<double>")
     block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
     every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     left = materialise(asks, "trust-near").withColumn("qb", block).withColumn("bb", every)
@@ -131,18 +142,14 @@ def trustworthiness(df: DataFrame, k: int, id_col: str, high_col: str, low_col:
             return pd.DataFrame({"row_id": [], "neighbor_id": [], "before": []}).astype("int64")
         x, y, ids = np.stack(q["v"].to_numpy()), np.stack(b["v"].to_numpy()), b["id"].to_numpy()
         own = q["id"].to_numpy()
-        near = np.stack([np.asarray(j) for j in q["near"]])  # all rows have equally many
+        near, apart = np.stack(q["near"].to_numpy()), np.stack(q["apart"].to_numpy())  # all rows have equally many
         count = np.zeros(near.shape, np.int64)
         for start in range(0, len(q), 128):
             part = slice(start, start + 128)
             far = _distances(x[part], y)
             far[own[part, None] == ids[None, :]] = np.inf  # a row is not before its neighbours
-            w = np.stack([np.stack(v) for v in q["w"].iloc[part]])
             for c in range(near.shape[1]):
-                d = np.zeros(len(far))
-                for dim in range(x.shape[1]):  # summed as in _distances
-                    d += (x[part, dim] - w[:, c, dim]) ** 2
-                d = np.round(np.sqrt(d), 9)[:, None]
+                d = apart[part, c, None]
                 count[part, c] = ((far < d) | ((far == d) & (ids[None, :] < near[part, c, None]))).sum(axis=1)
         return pd.DataFrame({"row_id": np.repeat(own, near.shape[1]), "neighbor_id": near.ravel(), "before": count.ravel()})
 
