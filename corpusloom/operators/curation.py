@@ -15,6 +15,9 @@ from pyspark.sql.window import Window
 from corpusloom.functions import text as T
 from corpusloom.operators.rows import dense_ids, first_by, materialise
 
+#: Dropped classes that the counters name; all of them are counted.
+REPORTED_CLASSES = 1000
+
 FACETS = ("department", "classification", "culture", "period")
 
 
@@ -116,7 +119,9 @@ def build_corpus(raw: DataFrame, spec: CorpusSpec) -> DataFrame:
     """The corpus table with ``row_id``; counters go to ``spec.stats``.
 
     Filters come before the dedup, the class limit before the sample, and facets
-    other than the label are capped after it.
+    other than the label are capped after it.  ``dropped_classes`` lists the
+    largest REPORTED_CLASSES dropped classes, ``dropped_class_count`` counts all;
+    ``class_ranks`` has every one of them as a row.
     """
     if spec.label not in spec.facets:
         raise CorpusError(f"{spec.label} is none of the facets {', '.join(spec.facets)}")
@@ -127,8 +132,9 @@ def build_corpus(raw: DataFrame, spec: CorpusSpec) -> DataFrame:
         raise CorpusError("no row is left after the filters")
     sample = stratified_sample(unique, spec.label, "src_ord", spec.n, spec.seed, spec.min_class_size, spec.max_label_classes)
     sample = materialise(sample, "sample")
-    dropped = class_ranks(unique, spec.label, "src_ord", spec.min_class_size, spec.max_label_classes).where("reason is not null").orderBy("rank").limit(1000)
-    spec.stats.update(selected=sample.count(), label_classes=sample.select(spec.label).distinct().count(), dropped_classes=[(r[spec.label], r["reason"]) for r in dropped.collect()])
+    dropped = materialise(class_ranks(unique, spec.label, "src_ord", spec.min_class_size, spec.max_label_classes).where("reason is not null"), "dropped-classes")
+    listed = dropped.orderBy("rank").limit(REPORTED_CLASSES).collect()
+    spec.stats.update(selected=sample.count(), label_classes=sample.select(spec.label).distinct().count(), dropped_class_count=dropped.count(), dropped_classes=[(r[spec.label], r["reason"]) for r in listed])
     for facet in spec.facets:
         if facet != spec.label:
             sample = cap_facet(sample, facet, "row_id", spec.facet_cap)

@@ -103,11 +103,11 @@ def chance_level(labels: DataFrame) -> DataFrame:
     return sizes.agg((F.sum(F.pow(F.col("count").cast("double"), 2.0)) / F.pow(F.sum("count").cast("double"), 2.0)).alias("chance"))
 
 
-def trustworthiness(df: DataFrame, k: int, id_col: str, high_col: str, low_col: str, *, cap: int | None = 5000, seed: int = 0) -> DataFrame:
+def trustworthiness(df: DataFrame, k: int, id_col: str, high_col: str, low_col: str, *, cap: int | None = None, seed: int = 0) -> DataFrame:
     """One row: how far low-dimensional neighbours are neighbours in the original space (Venna and Kaski 2001).
 
-    Ranks cost the square of the rows, so at most ``cap`` of them, chosen by a
-    hash, take part; without a cap all do.  Blocks of rows meet blocks of rows in
+    All rows take part.  Ranks cost the square of the rows, so a caller may ask
+    for a sample: ``cap`` rows chosen by a hash.  Blocks of rows meet blocks of rows in
     one task each, which counts what lies before a neighbour; a pair is never a
     row.  Null for k of half the rows or more.
     """

@@ -2,18 +2,37 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+#: Only used by sessions in one process, where the cluster names no shared folder.
+LOCAL_DIR = "/tmp/corpusloom-checkpoints"
+
+
+def run_dir(spark: SparkSession) -> str:
+    """The folder of this application's tables, in what driver and executors share (``spark.checkpoint.dir``)."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", "")
+    if not named:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        named = LOCAL_DIR
+    return f"{named.rstrip('/')}/corpusloom-{spark.sparkContext.applicationId}"
+
+
+def clean(spark: SparkSession) -> None:
+    """Deletes the tables that this application has materialised; results that read them must have been written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(run_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Writes ``df`` as a table in the folder that driver and executors share, and reads it back."""
+    """Writes ``df`` as a table in the shared folder and reads it back."""
     spark = df.sparkSession
-    folder = (spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", "") or "/tmp/corpusloom-checkpoints").rstrip("/")
-    path = f"{folder}/corpusloom-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    path = f"{run_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

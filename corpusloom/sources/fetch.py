@@ -55,7 +55,7 @@ def fetch_images(ids: DataFrame, get: Callable[[str], bytes], api: str, *, worke
                     url = image_url(json.loads(get(f"{api}/{id_}")))
                     rows.append((id_, "ok", "", transform(get(url))) if url else (id_, "no_image", "", None))
                 except Exception as e:  # one object's failure is an entry, not the job's
-                    rows.append((id_, "error", str(e)[:200], None))
+                    rows.append((id_, "error", str(e), None))
             yield pd.DataFrame(rows, columns=["id", "status", "detail", "content"])
 
     return ids.select("id").repartition(workers).mapInPandas(run, "id string, status string, detail string, content binary")
