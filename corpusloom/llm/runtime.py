@@ -12,25 +12,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Only used where the cluster names no shared folder, as in tests.
-FALLBACK_DIR = "/tmp/corpusloom-checkpoints"
-FILES_PER_CORE = 8
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``)."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", "")
-    return (named or FALLBACK_DIR).rstrip("/")
-
+from corpusloom.operators.rows import run_dir
 
-def run_dir(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/corpusloom-{spark.sparkContext.applicationId}"
-
-
-def clean(spark: SparkSession) -> None:
-    """Deletes the tables that this application has materialised; results that read them must have been written."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(run_dir(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+FILES_PER_CORE = 8
 
 
 def materialise(df: DataFrame, label: str, *, compact: bool = False) -> DataFrame:
