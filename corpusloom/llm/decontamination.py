@@ -1,36 +1,52 @@
 """Benchmark decontamination by template windows.  DataFrame functions only.
 
 A text becomes a sequence of template tokens: words in lower case, with numbers,
-names (runs of capitalised words inside a sentence) and units after numbers
-replaced by typed placeholders; two more forms have each word of a name by itself,
-as a placeholder and, free of case, as a word.  Windows of WINDOW template tokens are hashed and joined with
-those of the benchmark, so an item whose numbers and names were exchanged still
-matches.  Hits on one diagonal (text position less item position) belong to one
-copy of the item.  The values in the slots of such a copy must be consistent: one
-value of the item always becomes the same value in the text, and different
-values stay different.  Where they are not, only windows that repeat the item
-word for word, values included, count.
+names (runs of capitalised words, but for the usual first words of sentences)
+and units after numbers replaced by typed placeholders; two more forms have each
+word of a name by itself, as a placeholder and, free of case, as a word.
+Windows of WINDOW template tokens are hashed and joined with those of the
+benchmark, so an item whose numbers and names were exchanged still matches.  A
+window of placeholders alone says nothing, so it is hashed with its values.
+Hits on one diagonal (text position less item position) belong to one copy of
+the item.  The values in the slots of such a copy must be consistent: one value
+of the item always becomes the same value in the text, and different values stay
+different.  Where they are not, only windows that repeat the item word for word,
+values included, count; and where nearly all of a copy are changed values, as in
+tables of numbers, it is none.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from itertools import product
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, StructType
 
-from corpusloom.llm.runtime import materialise, partitions
+from corpusloom.llm.runtime import materialise, partitions, unused
 
 #: Template tokens of a window.
 WINDOW = 5
 #: A copy counts if its windows cover this part of the item's tokens, or so many tokens.
 MIN_COVER, MIN_TOKENS = 0.5, 13
-#: Benchmark windows up to this number are broadcast; beyond it both sides are shuffled.
-BROADCAST_WINDOWS = 500_000
+#: A copy keeps this part of the tokens that its windows cover; the others are slots whose values have changed.
+MIN_KEPT = 1 / 3
+#: Benchmark windows are broadcast up to so many bytes; beyond that both sides are shuffled.
+BROADCAST_BYTES = 64 << 20
 #: The keys of so many texts with copies are broadcast, so that only these texts are shuffled to read their slots.
 BROADCAST_TEXTS = 500_000
 
 # Units that are recognised after a number.
 UNITS = "kg|g|mg|km|m|cm|mm|l|ml|s|ms|min|h|hours?|minutes?|seconds?|days?|weeks?|years?|miles?|feet|inch(?:es)?|lbs?|usd|eur|dollars?|euros?|cents?|percent|mph|kmh"
 
+# Words that begin a sentence with a capital and are no names (English, German, French, Spanish).
+STARTERS = (
+    "a about after all also although among an and another any are as at because before both but by can could did do does during each either every few find first for from given had has have he her here his how however i if in into is it its last let many may more most my neither no not now of often on once one only or other our out over she should since so some such suppose than that the their then there these they this those three through thus to two under until up was we were what when where whether which while who whom whose why will with without would yes you your "
+    "aber alle als am an auch auf aus bei bis da damit dann das dass dem den denn der des die dies diese dieser dieses doch du durch ein eine einem einen einer er es für gegen hier ich ihr im in ist jede jeder kein keine man mit nach nicht noch nun nur ob oder ohne seit sie sind so um und unter viele vom von vor wann warum was weil welche welcher wenn wer wie wir wo während zu zum zur zwei "
+    "au aucun aussi aux avec car ce ces cet cette chaque comme comment dans de des deux donc du elle elles en est et eux il ils je la le les leur lorsque mais même ne ni nous on ont ou où par pas plus pour pourquoi quand que quel quelle quelles quels qui sans se selon ses si son sont sous sur tous tout toute un une vous "
+    "al algunos antes aunque cada como con cuando cuál cuánto cuántos de del desde donde dos durante él el ella ellos en entonces entre era es esa ese esta este esto estos fue ha hasta hay la las lo los más muy ni no nos o para pero por porque pues que qué quién se según ser si sin sobre son su sus también tiene todo todos tras un una uno y ya"
+).split()
+
 _NAME, _UNIT = "\x01", "\x02"
 _WORD = r"\p{L}[\p{L}\p{M}]*"
 # Forms of a text, as bits, since they agree where there are no names or no runs of them: a placeholder for a run of
@@ -41,19 +57,23 @@ _RUNS, _FREE, _APART = 1, 2, 4
 def tokens(text: Column) -> Column:
     """Raw tokens in lower case; each word of a name starts with \\x01, a unit with \\x02, a number with a digit.
 
-    A run of words of names is one token, its words one space apart.
+    A run of words of names is one token, its words one space apart.  A capital
+    after a lower-case letter, a digit or a comma and one space makes a name;
+    elsewhere, as at the start of a sentence, only in words other than STARTERS.
     """
-    clean = F.regexp_replace(text, r"[\x01\x02]", " ")
-    # a capital after a lower-case letter, a digit or a comma and one space is no start of a sentence
-    named = F.regexp_replace(clean, r"(?<=[\p{Ll}\p{Nd},;] )(?=\p{Lu}\p{Ll})", _NAME)
-    unit = F.regexp_replace(F.lower(named), rf"(?<=[0-9] ?)(?={_NAME}?(?:{UNITS})(?![\p{{L}}\p{{N}}]))", _UNIT)
+    clean = F.replace(F.replace(text, F.lit(_NAME), F.lit(" ")), F.lit(_UNIT), F.lit(" "))
+    starters = "|".join(sorted({w.capitalize() for w in STARTERS}))
+    # the rare capital is looked for first
+    inside = r"(?<=[\p{Ll}\p{Nd},;] )"
+    named = F.regexp_replace(clean, rf"(?=\p{{Lu}}\p{{Ll}})(?<![\p{{L}}\p{{M}}\p{{N}}])(?:{inside}|(?!(?:{starters})(?![\p{{L}}\p{{M}}])))", _NAME)
+    unit = F.regexp_replace(F.lower(named), rf"([0-9] ?)(?={_NAME}?(?:{UNITS})(?![\p{{L}}\p{{N}}]))", f"$1{_UNIT}")
     return F.regexp_extract_all(unit, F.lit(rf"{_NAME}{_WORD}(?: {_NAME}{_WORD})+|{_NAME}?{_UNIT}?{_NAME}?{_WORD}|[0-9]+(?:[.,][0-9]+)*"), F.lit(0))
 
 
-def template(raw: Column) -> Column:
-    """Placeholders for numbers, names and units; other tokens as they are."""
+def template(x: Column, free: bool = False) -> Column:
+    """The placeholder of a number, name or unit; another token as it is.  ``free``: a name is its word."""
     # letters sort from "a" on, digits from "0", marks before both
-    return F.transform(raw, lambda x: F.when(x >= "a", x).when(x >= "0", F.lit("0")).when(F.contains(x, F.lit(_UNIT)), F.lit(_UNIT)).otherwise(F.lit(_NAME)))
+    return F.when(x >= "a", x).when(x >= "0", F.lit("0")).when(F.contains(x, F.lit(_UNIT)), F.lit(_UNIT)).otherwise(F.translate(x, _NAME, "") if free else F.lit(_NAME))
 
 
 def words(raw: Column) -> Column:
@@ -66,62 +86,102 @@ def bare(raw: Column) -> Column:
     return F.transform(raw, lambda x: F.translate(x, _NAME, ""))
 
 
-def forms(raw: Column) -> Column:
-    """Array of (form, marked tokens, template): one if the text has no names, two without runs of them, else three."""
+def wordless(spark: SparkSession) -> list[int]:
+    """The hashes of windows that are placeholders alone."""
+    tuples = product((F.xxhash64(F.lit(t)) for t in ("0", _UNIT, _NAME)), repeat=WINDOW)
+    return spark.sql("SELECT 1").select(F.array(*[F.xxhash64(*t) for t in tuples])).first()[0]
+
+
+def windows(marked: Column, blank: list[int], free: bool = False) -> Column:
+    """Hashes of the windows of an array of marked tokens; none if it is shorter than a window.
+
+    Windows whose hash is in ``blank`` are hashed with their values instead.
+    """
+
+    def hashed(own: Column) -> Column:
+        def at(of: Column, i: Column) -> Column:
+            return F.xxhash64(*[F.get(of, i + k) for k in range(WINDOW)])
+
+        def slide(each: Column) -> Column:
+            return F.when(F.size(each) >= WINDOW, F.transform(F.sequence(F.lit(0), F.size(each) - WINDOW), lambda i: at(each, i))).otherwise(F.array().cast("array<bigint>"))
+
+        found = F.transform(F.array(F.transform(own, lambda x: F.xxhash64(template(x, free)))), slide)[0]
+        return F.transform(found, lambda h, i: F.when(h.isin(blank), at(own, i)).otherwise(h))
+
+    # as a lambda's variable an array is computed once, not once for every window
+    return F.transform(F.array(marked), hashed)[0]
+
+
+def forms(raw: Column, blank: list[int]) -> Column:
+    """Array of (form, marked tokens, hashes of windows): one if the text has no names, two without runs of them, else three."""
 
     def each(own: Column) -> Column:
-        def form(bits: int, marked: Column, of: Column) -> Column:
-            return F.struct(F.lit(bits).alias("form"), marked.alias("marked"), template(of).alias("template"))
+        def form(bits: int, marked: Column, free: bool = False) -> Column:
+            return F.struct(F.lit(bits).alias("form"), marked.alias("marked"), windows(marked, blank, free).alias("hashes"))
 
-        free = form(_FREE, words(own), bare(words(own)))
-        runs = F.array(form(_RUNS, own, own), free, form(_APART, words(own), words(own)))
-        single = F.array(form(_RUNS | _APART, own, own), free)
+        runs = F.array(form(_RUNS, own), form(_FREE, words(own), True), form(_APART, words(own)))
+        single = F.array(form(_RUNS | _APART, own), form(_FREE, own, True))
         named = F.exists(own, lambda x: F.startswith(x, F.lit(_NAME)))
-        return F.when(~named, F.array(form(_RUNS | _FREE | _APART, own, own))).when(F.exists(own, lambda x: F.contains(x, F.lit(" "))), runs).otherwise(single)
+        return F.when(~named, F.array(form(_RUNS | _FREE | _APART, own))).when(F.exists(own, lambda x: F.contains(x, F.lit(" "))), runs).otherwise(single)
 
     # as a lambda's variable the tokens are found once
     return F.transform(F.array(raw), each)[0]
 
 
-def windows(of: Column) -> Column:
-    """Hashes of the windows of an array of tokens; none if it is shorter than a window."""
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, text and a hash of the text; rows that agree in id and hash are copies."""
+    return docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text")).withColumn("text_key", F.xxhash64("text"))
 
-    def hashed(own: Column) -> Column:
-        n = F.size(own)
-        return F.when(n >= WINDOW, F.transform(F.sequence(F.lit(0), n - WINDOW), lambda i: F.xxhash64(*[F.get(own, i + k) for k in range(WINDOW)]))).otherwise(F.array().cast("array<bigint>"))
 
-    # as a lambda's variable the array is computed once, not once for every window
-    return F.transform(F.array(of), hashed)[0]
+def _known(windows_: DataFrame) -> DataFrame:
+    """A table of benchmark windows, broadcast if it is small enough; a row counts as its id's length and 100 bytes."""
+    size = windows_.agg(F.sum(F.coalesce(F.octet_length(F.col("item_id").cast("string")), F.lit(0)) + 100)).first()[0] or 0
+    return F.broadcast(windows_) if size <= BROADCAST_BYTES else windows_
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, text and a hash of the text; rows that agree in id and hash are copies."""
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text")).withColumn("text_key", F.xxhash64("text"))
+def _short_items(keyed: DataFrame, items: DataFrame) -> DataFrame:
+    """Texts that hold an item of fewer tokens than a window word for word, values included; as find_copies."""
+    short = items.select("item_id", "item_key", bare(words(F.col("item_raw"))).alias("own")).withColumn("n", F.size("own")).where(f"n between 1 and {WINDOW - 1}")
+    short = materialise(short.select("item_id", "item_key", "n", F.xxhash64("n", "own").alias("h")), "short-items")
+    lengths = sorted(r["n"] for r in short.select("n").distinct().collect())  # WINDOW - 1 at most
+    schema = {**{c: keyed.schema[c].dataType for c in ("doc_id", "text_key")}, "item_id": items.schema["item_id"].dataType}
+    if not lengths:
+        return keyed.sparkSession.createDataFrame([], StructType([*[StructField(c, t) for c, t in schema.items()], StructField("n_copies", LongType()), StructField("covered", DoubleType()), StructField("consistent", BooleanType())]))
+
+    def at(own: Column, n: int) -> Column:
+        return F.when(F.size(own) >= n, F.transform(F.sequence(F.lit(1), F.size(own) - n + 1), lambda i: F.xxhash64(F.lit(n), F.slice(own, i, F.lit(n))))).otherwise(F.array().cast("array<bigint>"))
 
+    hashed = F.transform(F.array(bare(words(tokens(F.col("text"))))), lambda own: F.concat(*[at(own, n) for n in lengths]))[0]
+    hits = keyed.distinct().select("doc_id", "text_key", F.explode(hashed).alias("h")).join(_known(short), "h")
+    return hits.groupBy("doc_id", "text_key", "item_id", "item_key").agg(F.count("*").alias("n_copies")).select("doc_id", "text_key", "item_id", "n_copies", F.lit(1.0).alias("covered"), F.lit(True).alias("consistent"))
 
-def find_copies(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+
+def find_copies(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", *, short_items: bool = False) -> DataFrame:
     """One row per text and item found in it: doc_id, text_key, item_id, n_copies, covered, consistent.
 
     ``covered`` is the largest part of the item's tokens that one copy covers,
     ``n_copies`` the number of diagonals that count, ``consistent`` whether the
-    best copy's slots agree throughout.  Null and empty texts hold nothing;
-    items shorter than a window are found by nothing.  Texts and items of any
-    length are read whole.  Rows with equal id and text are reported once;
-    ``text_key`` (xxhash64 of the text) tells rows with equal ids apart.
-    Null item ids are kept apart by their text.  Further columns are ignored,
-    empty tables give an empty result.
+    best copy's slots agree throughout.  Null and empty texts hold nothing.
+    Items shorter than a window have no template: with ``short_items`` they are
+    found where a text repeats them word for word, else by nothing.  Texts and
+    items of any length are read whole; a place of a text meets every place of
+    the benchmark with the same window.  Rows with equal id and text are
+    reported once; ``text_key`` (xxhash64 of the text) tells rows with equal ids
+    apart.  Null item ids are kept apart by their text.  Further columns are
+    ignored, empty tables give an empty result.
     """
+    blank = wordless(docs.sparkSession)
     text = F.coalesce(benchmark[item_text_col], F.lit(""))
     items = benchmark.select(benchmark[item_col].alias("item_id"), F.xxhash64(text).alias("item_key"), tokens(text).alias("item_raw")).dropDuplicates(["item_id", "item_key"])
     # the benchmark is small beside the documents: few files
     items = items.coalesce(max(1, partitions(docs.sparkSession) // 16))
-    items = items.select("item_id", "item_key", F.explode(forms(F.col("item_raw"))).alias("f")).select("item_id", "item_key", F.col("f.form").alias("item_form"), F.col("f.marked").alias("item_raw"), F.col("f.template").alias("slots"))
+    items = items.select("item_id", "item_key", F.explode(forms(F.col("item_raw"), blank)).alias("f")).select("item_id", "item_key", F.col("f.form").alias("item_form"), F.col("f.marked").alias("item_raw"), F.col("f.hashes").alias("hashes"))
     items = materialise(items.withColumn("item_tokens", F.size("item_raw")), "benchmark-tokens")
-    at = items.select("item_id", "item_key", "item_form", "item_tokens", "item_raw", F.posexplode(windows(F.col("slots"))).alias("item_at", "h"))
+    at = items.select("item_id", "item_key", "item_form", "item_tokens", "item_raw", F.posexplode("hashes").alias("item_at", "h"))
     at = materialise(at.select("h", "item_id", "item_key", "item_form", "item_tokens", "item_at", _slots_before(F.col("item_at")).alias("slots_from"), _slots_before(F.col("item_at") + WINDOW).alias("slots_to")), "benchmark-windows")
-    known = F.broadcast(at) if at.count() <= BROADCAST_WINDOWS else at
+    known = _known(at)
     keyed = _keyed(docs, id_col, text_col)
-    hashed = F.transform(forms(tokens(F.col("text"))), lambda f: F.struct(f["form"].alias("form"), windows(f["template"]).alias("hashes")))
+    hashed = F.transform(forms(tokens(F.col("text")), blank), lambda f: F.struct(f["form"].alias("form"), f["hashes"].alias("hashes")))
     hits = keyed.select("doc_id", "text_key", F.explode(hashed).alias("f")).select("doc_id", "text_key", F.col("f.form").alias("doc_form"), F.posexplode("f.hashes").alias("doc_at", "h")).join(known, "h")
     hits = hits.withColumn("form", F.col("doc_form").bitwiseAND(F.col("item_form"))).where("form <> 0")
     copy = ["doc_id", "text_key", "item_id", "item_key", "item_form", "form", "diagonal"]
@@ -137,10 +197,10 @@ def find_copies(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
     raw_items = items.select("item_id", "item_key", "item_form", "item_raw")
     # texts without a copy are not shuffled, unless those with one are too many to broadcast
     texts = materialise(asked.select("doc_id", "text_key").distinct(), "benchmark-texts", compact=True)
-    if texts.count() <= BROADCAST_TEXTS:
-        keyed = _join_null_safe(keyed, F.broadcast(texts), ["doc_id", "text_key"], "left_semi")
+    few = texts.count() <= BROADCAST_TEXTS
+    slotted = _join_null_safe(keyed, F.broadcast(texts), ["doc_id", "text_key"], "left_semi") if few else keyed
     slots = (
-        _join_null_safe(keyed, asked, ["doc_id", "text_key"])
+        _join_null_safe(slotted, asked, ["doc_id", "text_key"])
         .withColumn("raw", tokens(F.col("text")))
         .drop("text")
         .withColumn("raw", F.when(free, bare(words(F.col("raw")))).when(F.col("form") == _APART, words(F.col("raw"))).otherwise(F.col("raw")))
@@ -156,6 +216,9 @@ def find_copies(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
     judged = _join_null_safe(full, verdict, copy, "left").withColumn("consistent", F.coalesce("agrees", F.lit(True)))
     # windows that hold no changed value repeat the item word for word
     same = F.filter("at", lambda i: ~F.exists("changed", lambda c: (c >= i) & (c < i + WINDOW)))
+    # tables of numbers agree in their few words: a copy of changed values alone is none
+    inside = F.size(F.filter(F.coalesce("changed", F.array().cast("array<int>")), lambda c: F.exists("at", lambda i: (c >= i) & (c < i + WINDOW))))
+    judged = judged.where(inside <= F.col("all") * (1 - MIN_KEPT))
     judged = judged.withColumn("same", F.when(F.col("consistent"), F.col("at")).otherwise(same)).withColumn("covered_tokens", _covered(F.col("same")))
     valued = F.size(F.array_except("same", "closed")) > 0
     judged = judged.where(F.col("consistent") | _counts(F.col("covered_tokens"), valued | (_longest(F.col("same")) >= MIN_TOKENS)))
@@ -163,7 +226,8 @@ def find_copies(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
     # the forms see the same copies
     of_form = judged.groupBy("doc_id", "text_key", "item_id", "item_key", "item_form", "form").agg(F.count("*").alias("n_copies"), best.alias("best"))
     out = of_form.groupBy("doc_id", "text_key", "item_id", "item_key").agg(F.max("n_copies").alias("n_copies"), F.max("best").alias("best"))
-    return out.select("doc_id", "text_key", "item_id", "n_copies", F.col("best.covered").alias("covered"), F.col("best.consistent").alias("consistent"))
+    out = out.select("doc_id", "text_key", "item_id", "n_copies", F.col("best.covered").alias("covered"), F.col("best.consistent").alias("consistent"))
+    return out.unionByName(_short_items(keyed, items.where(F.col("item_form").bitwiseAND(F.lit(_RUNS)) != 0))) if short_items else out
 
 
 def _counts(covered: Column, telling: Column | None = None) -> Column:
@@ -202,8 +266,17 @@ def _join_null_safe(left: DataFrame, right: DataFrame, on: list[str], how: str =
     return left.join(renamed, condition, how).drop(*[f"right_{c}" for c in on])
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that hold no copy of an item, with all their columns."""
-    found = materialise(find_copies(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias("__found_id"), F.col("text_key").alias("__found_key")).distinct(), "contaminated", compact=True)
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, short_items: bool = False) -> DataFrame:
+    """The rows of ``docs`` that hold no copy of an item, with all their columns.
+
+    A row goes if ``find_copies`` finds an item in its text.  Null and empty
+    texts stay, rows with null ids are judged by their own text, repeated rows
+    go or stay together.  Texts of any length are read whole.  Columns of any
+    names pass through.  An empty table stays empty, and an empty benchmark
+    drops nothing.
+    """
+    found_id, found_key = unused(docs, "found_id", "found_key")
+    found = find_copies(docs, benchmark, id_col, text_col, short_items=short_items).select(F.col("doc_id").alias(found_id), F.col("text_key").alias(found_key)).distinct()
+    found = materialise(found, "contaminated", compact=True)
     mine = F.xxhash64(F.coalesce(docs[text_col], F.lit("")))
-    return docs.join(found, docs[id_col].cast("long").eqNullSafe(F.col("__found_id")) & (mine == F.col("__found_key")), "left_anti")
+    return docs.join(found, docs[id_col].cast("long").eqNullSafe(found[found_id]) & (mine == found[found_key]), "left_anti")

@@ -37,6 +37,17 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def unused(df: DataFrame, *names: str) -> tuple[str, ...]:
+    """The names, with underscores added until no column of ``df`` has them in any letter case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return tuple(out)
+
+
 def text_rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, text) with null texts as empty ones; no other column is read."""
     return df.select(df[id_col].cast("long").alias("doc_id"), F.coalesce(df[text_col], F.lit("")).alias("text"))

@@ -1,7 +1,10 @@
 import random
 import re
+import time
 
-from corpusloom.llm.decontamination import drop_contaminated, find_copies
+import regex
+
+from corpusloom.llm.decontamination import STARTERS, UNITS, drop_contaminated, find_copies
 
 ITEM = "If Tom has 5 apples and then Anna gives Tom 7 more apples after lunch, how many apples does Tom have and how far is 12 km really?"
 
@@ -78,3 +81,155 @@ def test_letter_case_and_names_of_other_lengths(spark):
     got = {(r.doc_id, r.item_id): r for r in find_copies(docs, bench).collect()}
     assert set(got) == {(1, 1), (2, 1), (3, 1), (4, 1), (6, 1), (7, 2), (8, 3)}
     assert all(got[k, 1].covered == 1 for k in (1, 2, 3, 4, 6)) and all(r.n_copies == 1 and r.consistent for r in got.values())
+
+
+def plain_tokens(text):
+    """(kind, word) of every token of a text, and its place; kinds are w, n(umber), N(ame), u(nit)."""
+    out = []
+    for m in regex.finditer(r"\p{L}[\p{L}\p{M}]*|[0-9]+(?:[.,][0-9]+)*", text):
+        a, word = m.start(), m[0]
+        if word[0].isdigit():
+            kind = "n"
+        elif regex.fullmatch(UNITS, word.lower()) and regex.search(r"[0-9] ?$", text[max(0, a - 2) : a]):
+            kind = "u"
+        elif regex.match(r"\p{Lu}\p{Ll}", word) and not regex.search(r"[\p{L}\p{M}\p{N}]$", text[:a]) and (regex.search(r"[\p{Ll}\p{Nd},;] $", text[max(0, a - 2) : a]) or word.lower() not in STARTERS):
+            kind = "N"
+        else:
+            kind = "w"
+        out.append((kind, word.lower(), a, m.end()))
+    return out
+
+
+def plain_forms(text):
+    apart = [(k, w) for k, w, _, _ in plain_tokens(text)]
+    runs, end = [], None
+    for k, w, a, b in plain_tokens(text):
+        if k == "N" and runs and runs[-1][0] == "N" and end == a - 1 and text[end] == " ":
+            runs[-1] = ("N", runs[-1][1] + " " + w)
+        else:
+            runs.append((k, w))
+        end = b
+    if not any(k == "N" for k, _ in apart):
+        return [(7, apart)]
+    return [(1, runs), (2, apart), (4, apart)] if len(runs) < len(apart) else [(5, apart), (2, apart)]
+
+
+def plain_find(text, item):
+    """n_copies, covered, consistent of an item in a text, by looking at every diagonal; None if it is not in it."""
+    best, most = None, 0
+    for have, doc in plain_forms(text):
+        for want, own in plain_forms(item):
+            if not have & want:
+                continue
+            free = have & want == 2
+            shown = lambda t: t[1] if t[0] == "w" or (free and t[0] == "N") else t[0]  # noqa: B023, E731
+            n = 0
+            for shift in range(-len(own), len(doc)):
+                at = []
+                for i in range(len(own) - 4):
+                    if 0 <= i + shift and i + shift + 5 <= len(doc):
+                        a, b = own[i : i + 5], doc[i + shift : i + shift + 5]
+                        lit = any(t[0] == "w" or (free and t[0] == "N") for t in a)
+                        if [*map(shown, a)] == [*map(shown, b)] and (lit or a == b):
+                            at.append(i)
+                cover = lambda at: {j for i in at for j in range(i, i + 5)}
+                enough = lambda c: len(c) >= 5 and len(c) >= len(own) / 2  # noqa: B023, E731
+                if not (enough(cover(at)) or len(cover(at)) >= 13):
+                    continue
+                spots = range(at[0], at[-1] + 5) if free else sorted(cover(at))
+                pairs = [(j, own[j][1], doc[j + shift][1] if 0 <= j + shift < len(doc) else None) for j in spots if own[j][0] != "w"]
+                one = {(a, b) for _, a, b in pairs}
+                agrees = len(one) == len({a for a, _ in one}) == len({b for _, b in one})
+                changed = {j for j, a, b in pairs if a != b}
+                if 3 * len(changed & cover(at)) > 2 * len(cover(at)):
+                    continue
+                same = at if agrees else [i for i in at if not changed & set(range(i, i + 5))]
+                got = cover(same)
+                if not agrees and not enough(got):
+                    runs = "".join("x" if j in got else " " for j in range(len(own))).split()
+                    valued = any(own[j][0] != "w" for j in got)
+                    if len(got) < 13 or not (valued or max(map(len, runs)) >= 13):
+                        continue
+                n += 1
+                best = max(best or (0, False), (len(got) / len(own), agrees))
+            most = max(most, n)
+    return best and (most, *best)
+
+
+def test_slots_against_brute_force(spark):
+    random.seed(11)
+    people, plain = ["Ada", "Ben", "New York", "Carl Otto", "Zoe", "Mia"], "buys sells red pens old books and then with many apples for more".split()
+
+    def sentence():
+        part = [random.choice(plain + people + ["#", "# km", "#kg"]).replace("#", str(random.randint(1, 9))) for _ in range(random.randint(3, 9))]
+        if random.random() < 0.5:
+            part[0] = random.choice(["The", "Alice", "Bob", "If"])
+        return " ".join(part) + random.choice([".", ",", "?"])
+
+    def changed(text):
+        roll = random.random()
+        if roll < 0.3:  # other values, one for one
+            new = dict(zip(people, random.sample([*people, "Rome", "Los Angeles"], len(people)), strict=True)) | {"Alice": "Carol", "Bob": "Dave"}
+            text = re.sub("|".join(new), lambda m: new[m[0]], text)
+            text = re.sub("[0-9]", lambda m: str(10 + int(m[0])), text)
+        elif roll < 0.5:  # any values
+            text = re.sub("[0-9]", lambda m: str(random.randint(1, 9)), text)
+        elif roll < 0.6:
+            text = text.lower()
+        elif roll < 0.7:
+            text = text.replace("Ada", "Zoe", 1)
+        words = text.split(" ")
+        if random.random() < 0.3:
+            words = words[random.randrange(len(words)) :]
+        if random.random() < 0.2:
+            words.insert(random.randrange(len(words) + 1), "edit")
+        return " ".join(words)
+
+    items = [" ".join(sentence() for _ in range(random.randint(1, 4))) for _ in range(25)]
+    docs = [" ".join([sentence(), changed(random.choice(items)), *([changed(random.choice(items))] if random.random() < 0.3 else []), sentence()]) for _ in range(150)]
+    want = {(d, i): found for d, doc in enumerate(docs) for i, item in enumerate(items) if (found := plain_find(doc, item))}
+    frame = lambda rows, key: spark.createDataFrame(list(enumerate(rows)), f"{key} long, text string")
+    got = {(r.doc_id, r.item_id): (r.n_copies, r.covered, r.consistent) for r in find_copies(frame(docs, "doc_id"), frame(items, "item_id")).collect()}
+    near = lambda x: (x[0], round(x[1], 9), x[2])
+    assert {k: near(v) for k, v in got.items()} == {k: near(v) for k, v in want.items()}
+    assert len(want) > 80 and {v[2] for v in want.values()} == {True, False}
+
+
+def test_tables_of_numbers(spark):
+    numbers = lambda n: [str(random.randint(0, 10**6)) for _ in range(n)]
+    random.seed(5)
+    listed, rows = numbers(200), [w for x in numbers(60) for w in ("row", x, x + "1", x + "2", x + "3")]
+    docs = [(1, " ".join(numbers(4000))), (2, " ".join([*numbers(50), *listed[:120], *numbers(50)])), (3, "row " + " row ".join(" ".join(numbers(4)) for _ in range(70))), (4, " ".join(rows))]
+    frame = lambda rows, key: spark.createDataFrame(rows, f"{key} long, text string")
+    frame(docs, "doc_id").count()
+    began = time.perf_counter()
+    got = {(r.doc_id, r.item_id): r for r in find_copies(frame(docs, "doc_id"), frame([(1, " ".join(listed)), (2, " ".join(rows))], "item_id")).collect()}
+    # lists of other numbers are no copies, and make no work; the same numbers are one
+    assert set(got) == {(2, 1), (4, 2)} and got[2, 1].covered == 0.6 and got[4, 2].covered == 1
+    assert time.perf_counter() - began < 60
+
+
+def test_names_that_begin_sentences(spark):
+    item = "Alice buys 5 apples. Carol sells 3 pears. Dave eats 2 plums."
+    docs = [(1, "Zoe buys 7 apples. Max sells 4 pears. Tim eats 9 plums."), (2, "Zoe buys 7 apples. Max hides 4 nuts. Tim paints 9 walls."), (3, "The task. Alice buys 5 apples.\nCarol sells 3 pears. Dave eats 2 plums."), (4, "Then zoe buys 7 apples. max sells 4 pears. tim eats 9 plums.")]
+    frame = lambda rows, key: spark.createDataFrame(rows, f"{key} long, text string")
+    got = {r.doc_id: r for r in find_copies(frame(docs, "doc_id"), frame([(1, item)], "item_id")).collect()}
+    assert set(got) == {1, 3} and got[1].covered == 1 and got[1].consistent
+
+
+def test_short_items(spark):
+    docs = spark.createDataFrame([(1, "so what is 2 and 2? What is 2"), (2, "what is 3 and 2"), (3, "Paris"), (4, "paris paris"), (None, None)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "What is 2?"), (2, "Paris"), (3, ""), (4, None)], "item_id long, text string")
+    got = sorted((r.doc_id, r.item_id, r.n_copies) for r in find_copies(docs, bench, short_items=True).collect())
+    assert got == [(1, 1, 2), (3, 2, 1), (4, 2, 2)] and find_copies(docs, bench).collect() == []
+    assert sorted(str(r.doc_id) for r in drop_contaminated(docs, bench, short_items=True).collect()) == ["2", "None"]
+    assert find_copies(docs, bench.where("item_id > 2"), short_items=True).collect() == []
+
+
+def test_clashing_columns_and_long_texts(spark):
+    long = "x" * 200_000 + " " + "word " * 50_000 + ITEM
+    rows = [(1, ITEM, 1, 1, 1, 1), (2, long, 2, 2, 2, 2), (3, "x " * 100_000, 3, 3, 3, 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, found_id int, found_key int, __found_id int, item_id int")
+    kept = drop_contaminated(docs, spark.createDataFrame([(1, ITEM)], "item_id long, text string"))
+    assert kept.columns == docs.columns and [r.doc_id for r in kept.collect()] == [3]
+    assert drop_contaminated(docs.limit(0), docs.select("item_id", "text").limit(0)).collect() == []
