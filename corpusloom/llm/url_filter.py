@@ -1,12 +1,16 @@
 """URL filter: rules first, then path templates with labelled purity.
 
-Each host has a tree of path templates.  Digits in a segment become ``{n}``; the
-tree is then generalised level by level: under a template, the branches whose
-share of bad labels is statistically like that of their siblings merge into a
-wildcard (two-proportion z-test), and so do branches with too few labels to tell;
-only branches that differ keep their name.  A template is rejected by its
-smoothed purity, the share of bad among its labelled urls drawn to the overall
-share; without evidence of its own it is let through.  Work is done on distinct shapes with counts, not on urls.
+Each host has a tree of path templates.  Variable segments become typed
+wildcards (numbers, dates, UUIDs, hex digests, random ids, with or without a file
+ending).  The tree is then generalised level by level: under a template the
+branches with enough labels are lined up by their share of bad ones, and
+neighbours that a two-proportion z-test does not tell apart merge into one
+wildcard; a branch that stays alone keeps its name, and branches with too few
+labels share the wildcard ``*``.  A template is rejected by its smoothed purity,
+the share of bad among its labelled urls drawn to the overall share.  A url whose
+own host says nothing about its template is judged by the tree of all hosts
+together; without evidence there, it is let through.  Work is done on distinct
+shapes with counts, not on urls.
 """
 
 from __future__ import annotations
@@ -31,15 +35,26 @@ class Rule:
 # The rules.
 RULES = (Rule("block", "net", "/"), Rule("allow", "example.net", "/en/"), Rule("block", "example.com", "/de/"), Rule("allow", "org", "/fr/"))
 
-#: Levels of a tree; the segments below are one wildcard.
-MAX_DEPTH = 8
-#: Labels a branch needs to keep its name, and the z-score by which it has to differ from its siblings.
+#: Labels that a branch needs to be told from others, and the z-score by which groups of branches have to differ.
 MIN_LABELS, MIN_Z = 3, 1.96
+#: Branches are first grouped by their share of bad labels, in so many steps, so that a template with very many of them stays small.
+STEPS = 20
 #: Labels that the overall share counts as, and the purity from which a template is rejected.
 PRIOR_LABELS, REJECT = 5.0, 0.5
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _END = "\x1f"
+#: The tree of all hosts together; those of hosts begin with "=".
+SHARED = "*"
+
+# Types of variable segments, tried in this order on a segment without its file ending.
+TYPES = (
+    ("{uuid}", r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}"),
+    ("{date}", r"(?:19|20)[0-9]{2}[-_.]?[01][0-9][-_.]?[0-3][0-9]"),
+    ("{n}", r"[0-9]+"),
+    ("{hex}", r"(?=[^/]*[0-9])(?:[0-9a-f]{8,}|[0-9A-F]{8,})"),
+    ("{id}", r"(?=[^/]*[0-9])(?=[^/]*[A-Z])(?=[^/]*[a-z])[0-9A-Za-z_-]{11,}"),
+)
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -61,46 +76,87 @@ def rule_of(host: Column, path: Column, rules: tuple[Rule, ...] = RULES) -> tupl
 
 
 def shape(path: Column) -> Column:
-    """Segments with digits as ``{n}``, joined by a separator."""
-    return F.translate(F.regexp_replace(path, "[0-9]+", "{n}"), "/", _END)
+    """Segments joined by a separator: variable ones as their type, other digits as ``{n}``."""
+    out = F.replace(path, F.lit("*"), F.lit("%2A"))
+    for name, pattern in TYPES:
+        # a file ending goes with a variable name
+        out = F.regexp_replace(out, rf"(?<=/){pattern}(?:\.[A-Za-z][0-9A-Za-z]{{0,4}})?(?=/|$)", name.replace("{", "\\{"))
+    return F.translate(F.regexp_replace(out, "[0-9]+", "{n}"), "/", _END)
+
+
+def _differ(a: Column, b: Column) -> Column:
+    """Whether two groups (n labels, b bad) differ in their share of bad ones."""
+    pooled = (a["b"] + b["b"]) / (a["n"] + b["n"])
+    error = F.sqrt(pooled * (1 - pooled) * (1 / a["n"] + 1 / b["n"]))
+    return (pooled > 0) & (pooled < 1) & (F.abs(a["b"] / a["n"] - b["b"] / b["n"]) > MIN_Z * error)
+
+
+def _groups(branches: DataFrame) -> DataFrame:
+    """(tree, template, step, group, alone, groups): the group of every step of shares under a template."""
+    steps = branches.groupBy("tree", "template", "step").agg(F.sum("n").alias("n"), F.sum("b").alias("b"), F.count("*").alias("k"))
+    line = steps.groupBy("tree", "template").agg(F.sort_array(F.collect_list(F.struct("step", "n", "b", "k"))).alias("line"))  # STEPS + 1 at most
+    start = F.expr("struct(0L as n, 0L as b, 0 as g, cast(array() as array<struct<step:int,g:int,k:bigint>>) as out)")
+
+    def join(s: Column, x: Column) -> Column:
+        new = (s["n"] > 0) & _differ(s, x)
+        g = F.when(new, s["g"] + 1).otherwise(s["g"])
+        return F.struct(F.when(new, x["n"]).otherwise(s["n"] + x["n"]).alias("n"), F.when(new, x["b"]).otherwise(s["b"] + x["b"]).alias("b"), g.alias("g"), F.concat(s["out"], F.array(F.struct(x["step"].alias("step"), g.alias("g"), x["k"].alias("k")))).alias("out"))
+
+    placed = line.select("tree", "template", F.aggregate("line", start, join, lambda s: s["out"]).alias("out"))
+    one = placed.select("tree", "template", "out", F.explode("out").alias("x"))
+    size = F.aggregate(F.filter("out", lambda y: y["g"] == F.col("x.g")), F.lit(0).cast("bigint"), lambda s, y: s + y["k"])
+    return one.select("tree", "template", F.col("x.step").alias("step"), F.col("x.g").alias("g"), (size == 1).alias("alone"), (F.element_at("out", -1)["g"] + 1).alias("groups"))
 
 
 def templates(shapes: DataFrame) -> DataFrame:
-    """(host, shape, template, labelled, bad) for distinct (host, shape, labelled, bad)."""
+    """``shapes`` (tree, shape, labelled, bad, and others) with ``template``; each (tree, shape) is one row.
+
+    A level costs one job.  A template leaves the loop as soon as nothing below
+    it can be told apart: it has one shape, or under MIN_LABELS labels.
+    """
+    columns = [*shapes.columns, "template"]
     rows = materialise(shapes.withColumn("rest", F.filter(F.split("shape", _END), lambda x: x != "")).withColumn("template", F.lit("")), "url-shapes", compact=True)
-    depth = rows.agg(F.max(F.size("rest"))).first()[0] or 0
-    for level in range(min(depth, MAX_DEPTH)):
-        live = rows.where(F.size("rest") > level).withColumn("branch", F.col("rest")[level])
-        branches = live.groupBy("host", "template", "branch").agg(F.sum("labelled").alias("n"), F.sum("bad").alias("b"))
-        whole = branches.groupBy("host", "template").agg(F.sum("n").alias("all_n"), F.sum("b").alias("all_b"))
-        joined = branches.join(whole, ["host", "template"])
-        other_n, other_b = F.col("all_n") - F.col("n"), F.col("all_b") - F.col("b")
-        pooled = F.col("all_b") / F.col("all_n")
-        error = F.sqrt(pooled * (1 - pooled) * (1 / F.col("n") + 1 / other_n))
-        differs = (F.col("n") >= MIN_LABELS) & (other_n > 0) & (pooled > 0) & (pooled < 1) & (F.abs(F.col("b") / F.col("n") - other_b / other_n) > MIN_Z * error)
-        # siblings without labels say nothing about a branch: it keeps its name
-        alone = (F.col("n") >= MIN_LABELS) & (other_n == 0)
-        named = joined.select("host", "template", "branch", F.when(F.when(F.col("n") > 0, F.when(other_n > 0, differs).otherwise(alone)).otherwise(False), F.col("branch")).otherwise("*").alias("kept"))
-        moved = live.join(named, ["host", "template", "branch"]).withColumn("template", F.concat("template", F.lit("/"), "kept")).select(rows.columns)
-        rows = materialise(rows.where(F.size("rest") <= level).unionByName(moved), "url-shapes", compact=True)
-    deeper = F.when(F.size("rest") > MAX_DEPTH, F.concat("template", F.lit("/**"))).otherwise(F.col("template"))
-    return rows.select("host", "shape", deeper.alias("template"), "labelled", "bad")
+    done = None
+    while True:
+        # what is left below a template that needs no further look: the names, or wildcards
+        whole = rows.groupBy("tree", "template").agg(F.count("*").alias("shapes"), F.sum("labelled").alias("of"), F.max(F.size("rest")).alias("deep"))
+        looked = rows.join(whole, ["tree", "template"])
+        few = F.col("of") < MIN_LABELS
+        closed = few | (F.col("shapes") == 1) | (F.col("deep") == 0)
+        below = F.when(few, F.transform("rest", lambda x: F.lit("*"))).otherwise(F.col("rest"))
+        looked = materialise(looked.withColumn("closed", closed).withColumn("template", F.when(closed, F.concat(F.col("template"), F.array_join(F.transform(below, lambda x: F.concat(F.lit("/"), x)), ""))).otherwise(F.col("template"))).select(*rows.columns, "closed"), "url-shapes", compact=True)
+        part = looked.where("closed").select(columns)
+        done = part if done is None else done.unionByName(part)
+        rows = looked.where("not closed").drop("closed")
+        if rows.isEmpty():
+            return done
+        live = rows.where(F.size("rest") > 0).withColumn("branch", F.col("rest")[0])
+        branches = live.groupBy("tree", "template", "branch").agg(F.sum("labelled").alias("n"), F.sum("bad").alias("b")).withColumn("step", F.floor(F.col("b") * STEPS / F.greatest(F.col("n"), F.lit(1))).cast("int"))
+        told = F.col("n") >= MIN_LABELS
+        groups = _groups(branches.where(told))
+        name = F.when(F.col("alone"), F.col("branch")).when(F.col("groups") == 1, "*").otherwise(F.concat(F.lit("*"), (F.col("g") + 1).cast("string")))
+        named = branches.withColumn("step", F.when(told, F.col("step"))).join(groups, ["tree", "template", "step"], "left").select("tree", "template", "branch", F.coalesce(name, F.lit("*")).alias("kept"))
+        moved = live.join(named, ["tree", "template", "branch"]).withColumn("template", F.concat("template", F.lit("/"), "kept")).withColumn("rest", F.slice("rest", F.lit(2), F.size("rest"))).select(rows.columns)
+        ended = rows.where(F.size("rest") == 0)
+        done = done.unionByName(ended.select(columns))
+        rows = materialise(moved, "url-shapes", compact=True)
 
 
 def judge(df: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "page_id", url_col: str = "url", bad_col: str | None = None) -> DataFrame:
-    """One row per input row: page_id, host, path, rule, verdict, template, purity.
-
-    A fitting rule decides; otherwise the template of the url does: ``block`` if
-    its purity is at least REJECT, else ``allow``.  The overall share alone
-    rejects nothing: the template needs a bad label, and MIN_LABELS labels where
-    the url's own shape has none.  Labels are the column
-    ``bad_col`` (1 bad, 0 good, null unknown) or else the rules' own verdicts, so
-    that what the rules say about part of a host's tree carries over to the urls
-    that share its templates.  Null urls and those without ``://`` have empty
-    hosts and paths and form a tree of their own.  Urls of any length are read
-    whole; segments below MAX_DEPTH are one wildcard.  Repeated rows give
-    repeated results, further columns are ignored, an empty table gives an empty
-    one.
+    """One row per input row: page_id, host, path, rule, verdict, template, purity, basis.
+
+    A fitting rule decides (``basis`` rule); otherwise the template of the url
+    does: ``block`` if its purity is at least REJECT, else ``allow``.  The overall
+    share alone rejects nothing: the template needs a bad label, and MIN_LABELS
+    labels where the url's own shape has none (``basis`` host).  Where the host's
+    template has no label at all, the url's template in the tree of all hosts
+    decides in the same way, if it has MIN_LABELS labels from two hosts or more
+    (``basis`` shared); else nothing is known (``basis`` none).  ``template`` and
+    ``purity`` are those that decide, else the host's.  Labels are the column ``bad_col`` (1 bad, 0 good,
+    null unknown) or else the rules' own verdicts.  Null urls and those without
+    ``://`` have empty hosts and paths and form a tree of their own.  Urls of any
+    length and depth are read whole.  Repeated rows give repeated results,
+    further columns are ignored, an empty table gives an empty one.
     """
     host, path = host_and_path(df[url_col])
     label = df[bad_col].cast("int") if bad_col else F.lit(None).cast("int")
@@ -110,12 +166,27 @@ def judge(df: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "page_id
     if not bad_col:
         rows = rows.withColumn("bad", F.when(F.col("by_rule") == "block", 1).when(F.col("by_rule") == "allow", 0))
     rows = rows.withColumn("shape", shape(F.col("path")))
-    shapes = rows.groupBy("host", "shape").agg(F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
-    placed = materialise(templates(shapes), "url-templates", compact=True)
-    overall = placed.agg(F.coalesce(F.sum("bad") / F.sum("labelled"), F.lit(0.0))).first()[0] if placed.agg(F.sum("labelled")).first()[0] else 0.0
-    purity = placed.groupBy("host", "template").agg(((F.sum("bad") + PRIOR_LABELS * overall) / (F.sum("labelled") + PRIOR_LABELS)).alias("purity"), F.sum("labelled").alias("template_labelled"), F.sum("bad").alias("template_bad"))
+    own = rows.groupBy("host", "shape").agg(F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
+    own = materialise(own, "url-shapes", compact=True)
+    labelled_host = F.when(F.col("labelled") > 0, F.col("host"))
+    shared = own.groupBy("shape").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"), F.min(labelled_host).alias("low"), F.max(labelled_host).alias("high"))
+    trees = own.select(F.concat(F.lit("="), "host").alias("tree"), "shape", "labelled", "bad", F.lit(None).cast("string").alias("low"), F.lit(None).cast("string").alias("high")).unionByName(shared.withColumn("tree", F.lit(SHARED)))
+    placed = materialise(templates(trees), "url-templates", compact=True)
+    share = own.agg(F.sum("bad") / F.sum("labelled")).first()[0] if own.agg(F.sum("labelled")).first()[0] else 0.0
+    purity = placed.groupBy("tree", "template").agg(((F.sum("bad") + PRIOR_LABELS * share) / (F.sum("labelled") + PRIOR_LABELS)).alias("purity"), F.sum("labelled").alias("template_labelled"), F.sum("bad").alias("template_bad"), (F.min("low") < F.max("high")).alias("hosts"))
+    judged = placed.join(purity, ["tree", "template"])
     # a few labels of one branch do not condemn the unlabelled branches that it was merged with
-    evidence = (F.col("template_bad") > 0) & ((F.col("labelled") > 0) | (F.col("template_labelled") >= MIN_LABELS))
-    of_shape = placed.join(purity, ["host", "template"]).select("host", "shape", "template", "purity", evidence.alias("evidence"))
+    enough = (F.col("labelled") > 0) | (F.col("template_labelled") >= MIN_LABELS)
+    bad = (F.col("template_bad") > 0) & enough & (F.col("purity") >= REJECT)
+    of_host = judged.where(F.col("tree") != SHARED).select(F.substring("tree", 2, 2**31 - 1).alias("host"), "shape", "template", "purity", bad.alias("host_bad"), (F.col("template_labelled") > 0).alias("known"))
+    of_all = judged.where(F.col("tree") == SHARED).select("shape", F.col("template").alias("shared_template"), F.col("purity").alias("shared_purity"), (F.coalesce("hosts", F.lit(False)) & (F.col("template_labelled") >= MIN_LABELS)).alias("shared_known"), bad.alias("shared_bad"))
+    by_all = ~F.col("known") & F.col("shared_known")
+    of_shape = of_host.join(of_all, "shape").select(
+        "host", "shape",
+        F.when(by_all, F.col("shared_template")).otherwise(F.col("template")).alias("template"),
+        F.when(by_all, F.col("shared_purity")).otherwise(F.col("purity")).alias("purity"),
+        F.when(by_all, F.col("shared_bad")).otherwise(F.col("host_bad")).alias("rejected"),
+        F.when(by_all, "shared").when(F.col("known"), "host").otherwise("none").alias("basis"),
+    )
     out = rows.drop("bad").join(of_shape, ["host", "shape"])
-    return out.select("page_id", "host", "path", "rule", F.coalesce("by_rule", F.when(F.col("evidence") & (F.col("purity") >= REJECT), "block").otherwise("allow")).alias("verdict"), "template", "purity")
+    return out.select("page_id", "host", "path", "rule", F.coalesce("by_rule", F.when(F.col("rejected"), "block").otherwise("allow")).alias("verdict"), "template", "purity", F.when(F.col("rule").isNotNull(), "rule").otherwise(F.col("basis")).alias("basis"))

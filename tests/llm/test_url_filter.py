@@ -1,6 +1,9 @@
+import random
 import re
 
-from corpusloom.llm.url_filter import MIN_LABELS, MIN_Z, PRIOR_LABELS, REJECT, judge
+from pyspark.sql import functions as F
+
+from corpusloom.llm.url_filter import MIN_LABELS, MIN_Z, PRIOR_LABELS, REJECT, STEPS, judge, shape
 
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 URLS = [None, "", "x", "http://", "HTTP://A.Example.NET/en/1?x", "http://a.net", "http://a.net?q", "http://net/", "http://xnet/", "http://example.net/en/", "http://Ünet.org/fr/1#a", "a://b://c/d", "://host/p", "http://example.com/de/x\ny/z?#", "http://h/" + "a/" * 50, "http://u:p@h.org:80/fr/", "http://notexample.com/de/1", "\n\nhttp://q.com/de/1", "http://a.example.com/de"]
@@ -86,3 +89,116 @@ def test_only_evidence_of_their_own_rejects_templates(spark):
     labelled = [(i, f"http://h.com/a/{i}", 1) for i in range(5)] + [(5, "http://h.com/a/5", None)] + [(i, f"http://g.com/{i}", 1) for i in (6, 7)] + [(8, "http://g.com/8", None)]
     got = judge(spark.createDataFrame(labelled, "page_id long, url string, bad int"), rules=(), bad_col="bad").collect()
     assert {r.verdict for r in got} == {"block"}
+
+
+def test_variable_segments(spark):
+    paths = {"/de/12.html": "/de/{n}", "/a/2024-01-31/x": "/a/{date}/x", "/v/20240131.pdf": "/v/{date}", "/x/550e8400-e29b-41d4-a716-446655440000.png": "/x/{uuid}", "/g/deadbeef01": "/g/{hex}", "/g/DEADBEEF01/": "/g/{hex}/", "/g/deadbeefab": "/g/deadbeefab", "/g/dGhpc0lzQW5JZDEy": "/g/{id}", "/blog/new-12.html": "/blog/new-{n}.html", "/v2/7": "/v{n}/{n}", "/": "/", "": "", "/12/12/12": "/{n}/{n}/{n}"}
+    df = spark.createDataFrame([(p,) for p in paths], "p string")
+    assert {r.p: r.s.replace("\x1f", "/") for r in df.select("p", shape(F.col("p")).alias("s")).collect()} == paths
+
+
+def plain_verdicts(urls):
+    """The trees of hosts and of all hosts together, with dictionaries: {(host, segments): (verdict, template, purity, basis)}."""
+    counts = {}
+    for host, path, bad in urls:
+        key = (host, tuple(s for s in re.sub(r"(?<=/)[0-9]+(?:\.html)?(?=/|$)", "{n}", path).split("/") if s))
+        n, b = counts.get(key, (0, 0))
+        counts[key] = (n + (bad is not None), b + (bad or 0))
+
+    def differ(n, b, m, c):
+        p = (b + c) / (n + m)
+        return 0 < p < 1 and abs(b / n - c / m) > MIN_Z * (p * (1 - p) * (1 / n + 1 / m)) ** 0.5
+
+    def grow(leaves, at, level, out):
+        """Places the leaves ({segments: (n, b)}) that agree so far, template ``at``."""
+        branches = {}
+        for segments, c in leaves.items():
+            if len(segments) == level:
+                out[segments] = at
+            else:
+                branches.setdefault(segments[level], {})[segments] = c
+        total = {x: tuple(map(sum, zip(*own.values(), strict=True))) for x, own in branches.items()}
+        steps = {}
+        for x, (n, b) in total.items():
+            if n >= MIN_LABELS:
+                steps.setdefault(b * STEPS // n, []).append(x)
+        groups = []
+        for step in sorted(steps):
+            n, b = (sum(total[x][i] for x in steps[step]) for i in (0, 1))
+            if groups and not differ(*groups[-1][1:], n, b):
+                groups[-1] = (groups[-1][0] + steps[step], groups[-1][1] + n, groups[-1][2] + b)
+            else:
+                groups.append((steps[step], n, b))
+        names = {x: x if len(g[0]) == 1 else "*" if len(groups) == 1 else f"*{k + 1}" for k, g in enumerate(groups) for x in g[0]}
+        merged = {}
+        for x, own in branches.items():
+            merged.setdefault(names.get(x, "*"), {}).update(own)
+        for name, own in merged.items():
+            grow(own, f"{at}/{name}", level + 1, out)
+
+    whole = {}
+    for (_, segments), (n, b) in counts.items():
+        m, c = whole.get(segments, (0, 0))
+        whole[segments] = (n + m, b + c)
+    share = sum(b for _, b in counts.values()) / max(1, sum(n for n, _ in counts.values()))
+    place, shared = {}, {}
+    for host in {h for h, _ in counts}:
+        out = {}
+        grow({s: c for (h, s), c in counts.items() if h == host}, "", 0, out)
+        place |= {(host, s): t for s, t in out.items()}
+    grow(whole, "", 0, shared)
+    result = {}
+    for (host, segments), (n, _) in counts.items():
+        own = [counts[k] for k, t in place.items() if k[0] == host and t == place[host, segments]]
+        all_ = {k: c for k, c in counts.items() if shared[k[1]] == shared[segments]}
+        every = list(all_.values())
+        hosts = {h for (h, _), c in all_.items() if c[0]}
+        basis, chosen, mine = "none", own, n
+        if sum(x for x, _ in own):
+            basis = "host"
+        elif len(hosts) > 1 and sum(x for x, _ in every) >= MIN_LABELS:
+            basis, chosen, mine = "shared", every, whole[segments][0]
+        total, bad = (sum(c[i] for c in chosen) for i in (0, 1))
+        purity = (bad + PRIOR_LABELS * share) / (total + PRIOR_LABELS)
+        block = bad > 0 and (mine > 0 or total >= MIN_LABELS) and purity >= REJECT
+        result[host, segments] = ("block" if block else "allow", place[host, segments] if basis != "shared" else shared[segments], purity, basis)
+    return result
+
+
+def test_trees_of_any_depth_against_plain_trees(spark):
+    random.seed(2)
+    urls = []
+    for _ in range(900):
+        host = f"h{min(random.randrange(8), random.randrange(8))}.com"
+        segments = [random.choice("abcdef")] + [random.choice(["x", "y", str(random.randrange(3))]) for _ in range(random.choice([0, 1, 2, 3, 12]))]
+        bad = random.random() < (0.9 if segments[0] in "ab" else 0.1 if segments[0] in "cd" else 0.5)
+        urls.append((host, "/" + "/".join(segments) + random.choice(["", "", ".html", "/"]), None if random.random() < 0.4 or host == "h7.com" else int(bad)))
+    # labels that only differ below the eighth level
+    for k in range(12):
+        urls += [("deep.com", "/s" * 9 + f"/{'good' if k % 2 else 'bad'}/{w}", 1 - k % 2) for w in "pq"]
+    rows = [(i, f"http://{h}{p}", b) for i, (h, p, b) in enumerate(urls)]
+    got = judge(spark.createDataFrame(rows, "page_id long, url string, label int"), rules=(), bad_col="label").collect()
+    want = plain_verdicts(urls)
+    for r in got:
+        host, path, _ = urls[r.page_id]
+        verdict, template, purity, basis = want[host, tuple(s for s in re.sub(r"(?<=/)[0-9]+(?:\.html)?(?=/|$)", "{n}", path).split("/") if s)]
+        assert (r.verdict, r.template, r.basis) == (verdict, template, basis) and abs(r.purity - purity) < 1e-9
+    assert {r.basis for r in got} == {"host", "shared", "none"} and len(got) == len(urls)
+    assert {r.verdict for r in got if r.host == "deep.com" and "/bad/" in r.path} == {"block"}
+    assert {r.verdict for r in got if r.host == "deep.com" and "/good/" in r.path} == {"allow"}
+    assert {r.verdict for r in got if r.host == "h7.com"} == {"allow", "block"}
+
+
+def test_similar_branches_share_a_wildcard(spark):
+    rows = [(f"http://a.com/{'bad' if k % 2 else 'good'}{chr(97 + k % 26)}{chr(97 + k // 26)}/{i}", k % 2) for k in range(200) for i in range(4)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "page_id long, url string, bad int")
+    got = judge(df, rules=(), bad_col="bad").collect()
+    assert {(r.template, r.verdict) for r in got} == {("/*1/{n}", "allow"), ("/*2/{n}", "block")}
+    assert all((r.verdict == "block") == bool(rows[r.page_id][1]) for r in got)
+
+
+def test_hidden_hosts_and_unused_columns(spark):
+    rows = [(1, "http://u:p@h.org/x#://net/", 1, "a"), (2, "http://a.net@b.com/x", 1, "b"), (3, "ftp://" + "a." * 2000 + "net/", 1, "c"), (3, None, None, None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, tree int, shape string")
+    got = {(r.page_id, r.rule) for r in judge(df).collect()}
+    assert got == {(1, None), (2, None), (3, "net/"), (3, None)}
