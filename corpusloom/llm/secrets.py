@@ -20,6 +20,7 @@ from itertools import product
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import IntegralType
 
 from corpusloom.llm.runtime import text_rows, tidy
 
@@ -49,34 +50,55 @@ def _jwt(found: str) -> bool:
     return isinstance(head, dict) and isinstance(body, dict) and isinstance(head.get("alg"), str)
 
 
+def _crc24_table() -> list[int]:
+    """One entry for each byte of the CRC-24 of RFC 4880 (polynomial 0x864CFB)."""
+    out = []
+    for byte in range(256):
+        crc = byte << 16
+        for _ in range(8):
+            crc = (crc << 1) ^ (0x1864CFB if crc & 0x800000 else 0)
+        out.append(crc)
+    return out
+
+
+_CRC24 = _crc24_table()
+_BLANK_LINE, _SUM_LINE = re.compile(r"\n[^\S\n]*\n"), re.compile(r"\n=([A-Za-z0-9+/]{4})\s")
+
+
 def _pgp_armor(found: str) -> bool:
-    """The CRC-24 line of the armour fits its base64 body (RFC 4880, section 6)."""
-    block = re.search(r"\n\s*\n(.*?)\n=([A-Za-z0-9+/]{4})\s", found, re.DOTALL)
-    if not block:
+    """The CRC-24 line of the armour fits the base64 body after its first blank line (RFC 4880, section 6)."""
+    head = _BLANK_LINE.search(found)
+    tail = head and _SUM_LINE.search(found, head.end() - 1)
+    if not tail:
         return False
     try:
-        data = base64.b64decode(re.sub(r"\s", "", block[1]), validate=True)
-    except binascii.Error:
+        data = base64.b64decode("".join(found[head.end() : tail.start()].split()), validate=True)
+    except ValueError:
         return False
     crc = 0xB704CE
     for byte in data:
-        crc ^= byte << 16
-        for _ in range(8):
-            crc <<= 1
-            if crc & 0x1000000:
-                crc ^= 0x1864CFB
-    return base64.b64encode(crc.to_bytes(3, "big")).decode() == block[2]
+        crc = (crc << 8 & 0xFFFFFF) ^ _CRC24[crc >> 16 ^ byte]
+    return base64.b64encode(crc.to_bytes(3, "big")).decode() == tail[1]
+
+
+_URL_SAFE = re.compile(r"[A-Za-z0-9_-]*")
 
 
 @dataclass(frozen=True)
 class Kind:
-    """``keywords`` are in lower case; ``pattern`` is tried where one begins."""
+    """``keywords`` are in lower case; ``pattern`` is tried where one begins.
+
+    ``barren`` tells, for a place where the pattern has failed, up to where every
+    other start fails for the same reason, so that no stretch is read again and
+    again; without it only the place itself.
+    """
 
     name: str
     keywords: tuple[str, ...]
     pattern: re.Pattern
     holds: Callable[[re.Match], bool]
     base: bool = False
+    barren: Callable[[str, int], int] | None = None
 
 
 # The kinds of secrets, their keywords and formats.
@@ -85,8 +107,8 @@ KINDS = (
     Kind("access", ("akia",), re.compile(r"AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 20, True),
     Kind("hex", tuple("".join(x) for x in product("0123456789abcdef", repeat=4)), re.compile(r"[0-9a-f]+"), lambda m: len(m[0]) >= 24, True),
     Kind("forge", ("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "npm_"), re.compile(r"(?:gh[pousr]|npm)_[A-Za-z0-9]{36}(?![A-Za-z0-9])"), lambda m: _forge_token(m[0])),
-    Kind("jwt", ("eyj",), re.compile(r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*"), lambda m: _jwt(m[0])),
-    Kind("pgp", ("-----begin pgp private key block-----",), re.compile(r"-----BEGIN PGP PRIVATE KEY BLOCK-----.*?-----END PGP PRIVATE KEY BLOCK-----", re.DOTALL), lambda m: _pgp_armor(m[0])),
+    Kind("jwt", ("eyj",), re.compile(r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*"), lambda m: _jwt(m[0]), barren=lambda text, start: _URL_SAFE.match(text, start).end()),
+    Kind("pgp", ("-----begin pgp private key block-----",), re.compile(r"-----BEGIN PGP PRIVATE KEY BLOCK-----.*?-----END PGP PRIVATE KEY BLOCK-----", re.DOTALL), lambda m: _pgp_armor(m[0]), barren=lambda text, start: len(text)),
 )
 
 
@@ -108,7 +130,10 @@ def fold(text: str) -> str:
 
 
 def find_secrets(text: str) -> list[tuple[int, int, int]]:
-    """(start, kind, end) in order; for each kind leftmost, not overlapping, and passing its test."""
+    """(start, kind, end) in order; for each kind leftmost, not overlapping, and passing its test.
+
+    Time is linear in the text, whatever it repeats.
+    """
     out, free = [], [0] * len(KINDS)
     for last, (k, width) in _automaton().iter(fold(text)):
         start = last + 1 - width
@@ -119,6 +144,8 @@ def find_secrets(text: str) -> list[tuple[int, int, int]]:
             free[k] = max(found.end(), start + 1)
             if kind.holds(found):
                 out.append((start, k, found.end()))
+        elif kind.barren:
+            free[k] = kind.barren(text, start)
     return sorted(out)
 
 
@@ -135,12 +162,15 @@ def redact(text: str) -> str:
 def redact_column(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
     """``docs`` with the secrets in ``text_col`` replaced by marks; all other columns stay.
 
-    Null texts stay null and texts without secrets as they are.  Where a text
-    changes and ``length_col`` is a column, it gets the new length.
+    Null texts stay null, empty texts and texts without secrets as they are.
+    Texts of any length are read whole.  Where a text changes and ``length_col``
+    is a column of whole numbers, it gets the new length; a column of that name
+    with another type is left alone.  Repeated rows stay repeated, further
+    columns pass through, an empty table stays empty.
     """
     names, schema = docs.columns, docs.schema
     at = names.index(text_col)
-    length_at = names.index(length_col) if length_col in names else None
+    length_at = names.index(length_col) if length_col in names and isinstance(schema[length_col].dataType, IntegralType) else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -3,8 +3,11 @@ import hashlib
 import json
 import random
 import re
+import time
 import zlib
 
+import pytest
+
 from corpusloom.llm.secrets import BASE62, KINDS, find_secrets, redact, redact_column, scan
 
 ASSIGN = re.compile(r"((?:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.IGNORECASE | re.ASCII)
@@ -72,3 +75,44 @@ def test_rows(spark):
     out = sorted(redact_column(docs).collect(), key=str)
     assert [r.text for r in out if r.doc_id == 1] == ['é <ASSIGN>"'] * 2 and [r.n_chars for r in out if r.doc_id == 1] == [11] * 2
     assert [r.text for r in out if r.doc_id is None] == [None]
+
+
+def plain_kinds(text):
+    """Every kind by its expression alone, without keywords and without skipping."""
+    out = []
+    for k, kind in enumerate(KINDS):
+        out += [(m.start(), k, m.end()) for m in kind.pattern.finditer(text) if kind.holds(m)]
+    return sorted(out)
+
+
+def test_all_kinds_against_plain_expressions():
+    random.seed(4)
+    part = lambda o: base64.urlsafe_b64encode(json.dumps(o).encode()).decode().rstrip("=")
+    head, body, begin, end = part({"alg": "x"}), part({"a": 1}), "-----BEGIN PGP PRIVATE KEY BLOCK-----", "-----END PGP PRIVATE KEY BLOCK-----"
+    parts = ["eyJ", ".eyJ", ".", " ", "a", head, body, f"{head}.{body}.s", begin, end, "\n\nAAAA\n=twTO\n", "\n", forge("a1B2" * 7 + "xy")]
+    found = set()
+    for _ in range(4000):
+        text = "".join(random.choice(parts) for _ in range(random.randint(0, 12)))
+        want = plain_kinds(text)
+        found |= {k for _, k, _ in want}
+        assert find_secrets(text) == want, text
+    assert {3, 4} <= found
+
+
+BEGIN = "-----BEGIN PGP PRIVATE KEY BLOCK-----"
+
+
+@pytest.mark.parametrize("text", ["eyJ" * 340_000, "eyJa." * 200_000, BEGIN * 28_000, (BEGIN + "\n") * 26_000 + "-----END PGP PRIVATE KEY BLOCK-----", BEGIN + "\n" * 1_000_000 + "-----END PGP PRIVATE KEY BLOCK-----", "token" * 200_000, "token " * 170_000, "token=" + " " * 1_000_000, "aB" * 500_000, "0f" * 500_000, "ghp_" * 250_000])
+def test_hostile_repeats_take_linear_time(text):
+    find_secrets("")  # builds the automaton
+    began = time.perf_counter()
+    find_secrets(text)
+    assert time.perf_counter() - began < 2
+
+
+def test_redact_keeps_columns_of_other_types(spark):
+    rows = [("token=abcdef12", "x", 1, 2, None), (None, None, 3, 4, None), ("", "y", 5, 6, None), ("plain", "z", 7, 8, None)]
+    docs = spark.createDataFrame(rows, "text string, n_chars string, start int, doc_id int, spans string")
+    got = redact_column(docs)
+    assert got.schema == docs.schema and sorted(map(tuple, got.collect()), key=str) == sorted([("<ASSIGN>", *rows[0][1:]), *rows[1:]], key=str)
+    assert redact_column(docs.limit(0)).collect() == []
