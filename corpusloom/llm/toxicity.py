@@ -16,8 +16,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.window import Window
 
-from corpusloom.llm.runtime import tidy
+from corpusloom.llm.runtime import materialise, tidy, unused
 from corpusloom.llm.words import LETTERS, batches_of, mix, split
 
 BITS = 20
@@ -25,7 +26,14 @@ BITS = 20
 
 @dataclass(frozen=True)
 class Ftrl:
-    """Training parameters.  ``max_rows`` bounds the labelled rows that are used, chosen by a hash of the id."""
+    """Training parameters.
+
+    The labelled rows that are used are chosen by a hash of the id and bounded in
+    two ways: ``max_rows`` ids, and ``max_bytes`` of their texts together.  An id
+    whose texts exceed ``max_text_bytes`` is passed over.  Features take up to
+    six times the bytes of a text, so the training task holds
+    6 * ``max_bytes`` at most, and the model's three arrays of 2**BITS places.
+    """
 
     alpha: float = 1.0
     beta: float = 1.0
@@ -33,6 +41,8 @@ class Ftrl:
     l2: float = 1.0
     epochs: int = 5
     max_rows: int = 20_000
+    max_bytes: int = 64 << 20
+    max_text_bytes: int = 4 << 20
 
 
 def features(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -75,12 +85,12 @@ def held_out(id_col: str) -> F.Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, params: Ftrl = Ftrl(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[np.ndarray, np.ndarray]:
-    """Weights learnt from at most ``params.max_rows`` labelled rows that are not held out.
+    """Weights learnt from a bounded number of labelled rows (see Ftrl) that are not held out.
 
     An id with several labels counts as toxic if one of them says so; null ids
     and labels are left out.  Features are taken where the texts lie; one task
     then sees the bounded sample in the order of a hash.  Without any label the
-    model scores everything 0.5 less a hair.
+    model scores everything just under 0.5.
     """
     spark = docs.sparkSession
     known = labels.select(labels[id_col].cast("long").alias("doc_id"), labels[label_col].cast("int").alias("label")).where("doc_id is not null and label is not null").where(~held_out("doc_id"))
@@ -89,7 +99,14 @@ def train(docs: DataFrame, labels: DataFrame, params: Ftrl = Ftrl(), id_col: str
     share = min(1.0, params.max_rows / max(count, 1))
     low = -(2**63)
     sample = known.where(F.col("order") <= min(low + int(share * 2**64), 2**63 - 1)).orderBy("order").limit(params.max_rows)
-    texts = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id")  # max_rows ids
+    texts = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
+    sizes = texts.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "order", "label").agg(F.sum(F.octet_length("text").cast("long")).alias("bytes"), F.count("*").alias("rows"))
+    # max_rows rows at most, so that one task can add them up
+    sizes = sizes.where((F.col("bytes") <= params.max_text_bytes) & (F.col("rows") <= params.max_rows)).orderBy("order", "doc_id").limit(params.max_rows)
+    so_far = Window.orderBy("order", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    within = (F.sum("bytes").over(so_far) <= params.max_bytes) & (F.sum("rows").over(so_far) <= params.max_rows)
+    sample = materialise(sizes.select("doc_id", "order", "label", within.alias("within")).where("within").drop("within"), "toxicity-sample")
+    texts = texts.join(F.broadcast(sample), "doc_id")  # max_rows ids
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -107,11 +124,18 @@ def train(docs: DataFrame, labels: DataFrame, params: Ftrl = Ftrl(), id_col: str
 
     rows = texts.select("order", "label", "text").mapInArrow(tidy(take), "order long, label int, places array<int>")
     weights = rows.repartition(1).sortWithinPartitions("order", "label").mapInArrow(tidy(learn), "place long, weight double").collect()  # 2**BITS + 1 rows at most
+    if not weights:
+        return np.array([1 << BITS], np.int64), np.array([-1e-6])
     return np.array([r["place"] for r in weights], np.int64), np.array([r["weight"] for r in weights], np.float64)
 
 
 def score(docs: DataFrame, weights: tuple[np.ndarray, np.ndarray], id_col: str = "doc_id", text_col: str = "text", out_col: str = "score") -> DataFrame:
-    """``docs`` with a column of scores from 0 to 1; all other columns stay as they are."""
+    """``docs`` with a column of scores from 0 to 1; all other columns stay as they are.
+
+    Null and empty texts get the bias alone, texts of any length are read whole,
+    a few megabytes at a time.  Repeated rows stay repeated, an empty table stays
+    empty.  ``out_col`` must not be a column of ``docs``.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(weights)
     names = docs.columns
 
@@ -133,10 +157,14 @@ def score(docs: DataFrame, weights: tuple[np.ndarray, np.ndarray], id_col: str =
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, params: Ftrl = Ftrl(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that score under 0.5, with all their columns."""
-    out_col = "toxicity"
-    while out_col in docs.columns:
-        out_col += "_"
+    """The rows of ``docs`` that score under 0.5, with all their columns.
+
+    Null and empty texts score the bias, so they stay unless most labels are
+    toxic.  Texts of any length are read whole; repeated rows go or stay
+    together; columns of any names pass through; an empty table stays empty, and
+    without labels every row stays.
+    """
+    (out_col,) = unused(docs, "toxicity")
     return score(docs, train(docs, labels, params, id_col, text_col), id_col, text_col, out_col).where(F.col(out_col) < 0.5).select(docs.columns)
 
 
