@@ -3,8 +3,10 @@
 Coarse centroids and the codebooks of the residuals' subspaces are fitted on a
 bounded sample; every vector is then indexed: its list, the codes of its
 residual, and the length of what the codes leave out.  A vector probes each list
-whose border with its own list lies within the radius, so no neighbour can hide
-in a list that is not probed.  In a list, distances come from a lookup table per
+whose border with its own list, and whose outermost member, lie within the
+radius, so no neighbour can hide in a list that is not probed.  Lists are cut
+into blocks of members and of queries, so that no list is too much for a task.
+In a list, distances come from a lookup table per
 query and subspace; a candidate passes if that distance is within the radius plus
 what its codes leave out (triangle inequality), so none is lost.  Candidates are
 reranked by the exact cosine in double precision.
@@ -19,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from corpusloom.llm.components import components
 from corpusloom.llm.runtime import materialise, tidy
@@ -35,6 +38,7 @@ class Pq:
     subspaces: int = 8
     codes: int = 256
     block: int = 4_096
+    query_block: int = 32_768
     seed: int = 7
 
 
@@ -76,8 +80,8 @@ class Index:
         self.books = [_means(np.ascontiguousarray(rest[:, a:b]), min(params.codes, len(sample)), rng) for a, b in zip(self.cuts, self.cuts[1:], strict=False)]
         self.radius = float(np.sqrt(max(0.0, 2 - 2 * params.threshold))) + 1e-6
 
-    def place(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """List, codes and length of what the codes leave out, of unit vectors."""
+    def place(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """List, codes, length of what the codes leave out, and distance from the list's centre, of unit vectors."""
         own = _nearest(unit, self.coarse)
         rest = unit - self.coarse[own]
         codes = np.empty((len(unit), len(self.books)), np.uint8)
@@ -85,10 +89,10 @@ class Index:
         for m, (book, a, b) in enumerate(zip(self.books, self.cuts, self.cuts[1:], strict=False)):
             codes[:, m] = _nearest(rest[:, a:b], book)
             left += ((rest[:, a:b] - book[codes[:, m]]) ** 2).sum(1)
-        return own, codes, np.sqrt(left)
+        return own, codes, np.sqrt(left), np.linalg.norm(rest, axis=1)
 
-    def probes(self, unit: np.ndarray, own: np.ndarray) -> Iterator[np.ndarray]:
-        """For each vector the lists, from its own upwards, that a neighbour can be in."""
+    def probes(self, unit: np.ndarray, own: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each vector the lists, from its own upwards, that a neighbour can be in, and how far their centres are."""
         apart = np.sqrt(_distances(self.coarse, self.coarse))
         for k in range(0, len(unit), 4096):
             d = _distances(unit[k : k + 4096], self.coarse)
@@ -97,7 +101,9 @@ class Index:
             near = d - least <= 2 * apart[mine] * self.radius + 1e-9
             near &= np.arange(d.shape[1])[None, :] >= mine[:, None]
             near[np.arange(len(d)), mine] = True
-            yield from (np.flatnonzero(x) for x in near)
+            for x, far in zip(near, np.sqrt(d), strict=True):
+                at = np.flatnonzero(x)
+                yield at, far[at]
 
     def tables(self, unit: np.ndarray, list_: int) -> np.ndarray:
         """Squared distances [query, subspace, code] from the queries to the codes of a list."""
@@ -109,7 +115,9 @@ class Index:
 
 
 def _vectors(column: pa.Array, dim: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), "<f8").reshape(-1, dim) if len(column) else np.zeros((0, dim))
+    """Vectors in double precision; the bytes are single precision where the input was."""
+    raw = column.to_pylist()
+    return np.frombuffer(b"".join(raw), "<f4" if len(raw[0]) == 4 * dim else "<f8").reshape(-1, dim).astype(np.float64) if raw else np.zeros((0, dim))
 
 
 def _join(members: list[pa.RecordBatch], queries: pa.RecordBatch, index: Index, dim: int, seen: np.ndarray) -> Iterator[tuple]:
@@ -152,13 +160,13 @@ def _join(members: list[pa.RecordBatch], queries: pa.RecordBatch, index: Index,
         yield node[moved], node[label[moved]], np.zeros(len(moved), np.int64)
 
 
-def _links(classes: DataFrame, dim: int, params: Pq) -> DataFrame:
+def _links(classes: DataFrame, dim: int, width: int, params: Pq) -> DataFrame:
     """(cid, other, n): forest links with n = 0; with n > 0 the number of rows that a class links to in some block."""
     spark = classes.sparkSession
     n = classes.count()
     low = -(2**63)
     chosen = classes.where(F.col("cid") <= min(low + int(min(1.0, 1.1 * params.sample / max(n, 1)) * 2**64), 2**63 - 1)).limit(params.sample).select("raw").collect()  # params.sample rows
-    sample = np.frombuffer(b"".join(bytes(r["raw"]) for r in chosen), "<f8").reshape(-1, dim)
+    sample = np.frombuffer(b"".join(bytes(r["raw"]) for r in chosen), f"<f{width}").reshape(-1, dim).astype(np.float64)
     schema = "cid long, other long, n long"
     if n < 2 or not len(sample):
         return spark.createDataFrame([], schema)
@@ -168,14 +176,21 @@ def _links(classes: DataFrame, dim: int, params: Pq) -> DataFrame:
         for batch in batches:
             raw = _vectors(batch.column("raw"), dim)
             unit = raw / np.linalg.norm(raw, axis=1)[:, None]
-            own, codes, left = index.value.place(unit)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("cid", "label", "times", "raw")), pa.array(own, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(left), pa.array(list(index.value.probes(unit, own)), pa.list_(pa.int32()))], names=["cid", "label", "times", "raw", "own", "codes", "left", "probes"])
-
-    placed = materialise(classes.mapInArrow(tidy(place), f"cid long, label {classes.schema['label'].dataType.simpleString()}, times long, raw binary, own int, codes binary, left double, probes array<int>"), "vectors")
-    blocks = placed.groupBy("label", F.col("own").alias("list")).agg(F.ceil(F.count("*") / params.block).cast("int").alias("blocks"))
-    common = ["label", "list", "block", "cid", "times", "raw", "own"]
-    members = placed.withColumn("list", F.col("own")).join(blocks, ["label", "list"]).withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")).select(*common, F.lit(0).alias("asks"), "codes", "left")
-    queries = placed.withColumn("list", F.explode("probes")).join(blocks, ["label", "list"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(*common, F.lit(1).alias("asks"), F.lit(None).cast("binary").alias("codes"), F.lit(None).cast("double").alias("left"))
+            own, codes, left, reach = index.value.place(unit)
+            lists, far = zip(*index.value.probes(unit, own), strict=True) if len(own) else ((), ())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("cid", "label", "times", "raw")), pa.array(own, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(left), pa.array(reach), pa.array(lists, pa.list_(pa.int32())), pa.array(far, pa.list_(pa.float64()))], names=["cid", "label", "times", "raw", "own", "codes", "left", "reach", "probes", "far"])
+
+    placed = materialise(classes.mapInArrow(tidy(place), f"cid long, label {classes.schema['label'].dataType.simpleString()}, times long, raw binary, own int, codes binary, left double, reach double, probes array<int>, far array<double>"), "vectors")
+    # one row for each list of a label: how far it reaches, and how many blocks it takes
+    lists = placed.groupBy("label", F.col("own").alias("list")).agg(F.max("reach").alias("reach"), F.ceil(F.count("*") / params.block).cast("int").alias("blocks"))
+    asked = placed.select("label", F.explode(F.arrays_zip("probes", "far")).alias("p")).select("label", F.col("p.probes").alias("list"), F.col("p.far").alias("far")).join(lists, ["label", "list"]).where(F.col("far") <= F.col("reach") + index.value.radius)
+    blocks = materialise(lists.join(asked.groupBy("label", "list").agg(F.ceil(F.count("*") / params.query_block).cast("int").alias("query_blocks")), ["label", "list"]), "vector-lists", compact=True)
+    common = ["label", "list", "block", "query_block", "cid", "times", "raw", "own"]
+    part = lambda salt, of: F.pmod(F.xxhash64("cid", F.lit(salt)), F.col(of)).cast("int")
+    each = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+    members = placed.withColumn("list", F.col("own")).join(blocks.drop("reach"), ["label", "list"]).withColumn("block", part(0, "blocks")).withColumn("query_block", each("query_blocks")).select(*common, F.lit(0).alias("asks"), "codes", "left")
+    queries = placed.withColumn("p", F.explode(F.arrays_zip("probes", "far"))).withColumn("list", F.col("p.probes")).join(blocks.withColumnRenamed("reach", "list_reach"), ["label", "list"]).where(F.col("p.far") <= F.col("list_reach") + index.value.radius)
+    queries = queries.withColumn("query_block", part(1, "query_blocks")).withColumn("block", each("blocks")).select(*common, F.lit(1).alias("asks"), F.lit(None).cast("binary").alias("codes"), F.lit(None).cast("double").alias("left"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows(a, b, c):
@@ -191,14 +206,14 @@ def _links(classes: DataFrame, dim: int, params: Pq) -> DataFrame:
                 yield rows(own[at], np.full(len(at), -1), seen[at])
 
         for batch in batches:
-            key = list(zip(*(batch.column(c).to_pylist() for c in ("label", "list", "block", "asks")), strict=True))
+            key = list(zip(*(batch.column(c).to_pylist() for c in ("label", "list", "block", "query_block", "asks")), strict=True))
             cuts = [0, *(i for i in range(1, len(key)) if key[i] != key[i - 1]), len(key)] if key else []
             for a, b in zip(cuts, cuts[1:], strict=False):
                 part = batch.slice(a, b - a)
-                if key[a][:3] != block:
+                if key[a][:4] != block:
                     yield from close()
-                    block, members, seen = key[a][:3], [], None
-                if key[a][3] == 0:
+                    block, members, seen = key[a][:4], [], None
+                if key[a][4] == 0:
                     members.append(part)
                 elif members:
                     if seen is None:
@@ -207,7 +222,7 @@ def _links(classes: DataFrame, dim: int, params: Pq) -> DataFrame:
                         yield rows(*found)
         yield from close()
 
-    return members.unionByName(queries).repartition("label", "list", "block").sortWithinPartitions("label", "list", "block", "asks").mapInArrow(tidy(compare), schema)
+    return members.unionByName(queries).repartition("label", "list", "block", "query_block").sortWithinPartitions("label", "list", "block", "query_block", "asks").mapInArrow(tidy(compare), schema)
 
 
 def near_duplicates(df: DataFrame, params: Pq = Pq(), id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
@@ -228,20 +243,22 @@ def near_duplicates(df: DataFrame, params: Pq = Pq(), id_col: str = "vec_id", ve
     rows = df.select(df[id_col].cast("long").alias("vec_id"), df[label_col].alias("label"), F.when(F.coalesce(fit, F.lit(False)), vector).alias("vector"))
     rows = rows.withColumn("cid", F.when(F.col("vector").isNotNull(), F.xxhash64("label", "vector")))
     classes = rows.where("vector is not null").groupBy("cid", "label", "vector").agg(F.count("*").alias("times"), F.min("vec_id").alias("least"))
+    # bytes of a component: what the input has is kept, not more
+    width = 4 if isinstance(df.schema[vector_col].dataType, ArrayType) and isinstance(df.schema[vector_col].dataType.elementType, FloatType) else 8
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column("vector")
             flat, cuts = lists.flatten().to_numpy(zero_copy_only=False), (lists.offsets.to_numpy() - lists.offsets[0].as_py()).tolist()
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("cid", "label", "times", "least")), pa.array([flat[a:b].astype("<f8").tobytes() for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary())], names=["cid", "label", "times", "least", "raw"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("cid", "label", "times", "least")), pa.array([flat[a:b].astype(f"<f{width}").tobytes() for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary())], names=["cid", "label", "times", "least", "raw"])
 
     label_type = df.schema[label_col].dataType.simpleString()
     classes = materialise(classes.select("cid", "label", "times", "least", "vector").mapInArrow(tidy(pack), f"cid long, label {label_type}, times long, least long, raw binary"), "vector-classes", compact=True)
     # lengths that more than one vector has; a table of embeddings has one or a few
-    dims = [r[0] // 8 for r in classes.groupBy(F.length("raw")).count().where("count > 1").collect()]
+    dims = [r[0] // width for r in classes.groupBy(F.length("raw")).count().where("count > 1").collect()]
     found = df.sparkSession.createDataFrame([], "cid long, other long, n long")
     for dim in sorted(dims):
-        found = found.union(_links(classes.where(F.length("raw") == 8 * dim), dim, params))
+        found = found.union(_links(classes.where(F.length("raw") == width * dim), dim, width, params))
     found = materialise(found, "vector-links", compact=True)
     linked = found.where("n > 0").groupBy("cid").agg(F.sum("n").alias("linked"))
     labels = components(found.where("n = 0").select(F.col("cid").alias("a"), F.col("other").alias("b"))).toDF("cid", "root")
