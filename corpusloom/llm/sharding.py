@@ -17,9 +17,13 @@ def shard_by_bytes(df: DataFrame, n_shards: int = 8, id_col: str = "doc_id", tex
     first byte lies, so shards are contiguous and differ by less than the
     largest row; ``slot`` counts from 0 within a shard.
 
-    Only ids, sizes and checksums are shuffled: they are range-partitioned and
-    written once, so that the bounds, which Spark samples, hold for both of the
-    following passes.  Totals per partition (one small row each) give every
+    Rows with equal texts are groups that may be larger than a shard, so this law
+    does not keep them together: each copy goes where its id belongs, and a group
+    of any size is dealt over the shards that its ids span.
+
+    Texts are read once, for ids, sizes and checksums; only these are shuffled:
+    they are range-partitioned and written once, so that the bounds, which Spark
+    samples, hold for both of the following passes.  Totals per partition (one small row each) give every
     partition its offset; positions within a partition are a running sum.
 
     A null text has no bytes (size 1, checksum 0) and is not told from an empty
@@ -29,6 +33,7 @@ def shard_by_bytes(df: DataFrame, n_shards: int = 8, id_col: str = "doc_id", tex
     """
     text = F.coalesce(df[text_col], F.lit(""))
     rows = df.select(df[id_col].cast("long").alias("doc_id"), (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    rows = materialise(rows, "shard-rows")
     n = partitions(df.sparkSession)
     dealt = rows.repartitionByRange(n, F.asc_nulls_first("doc_id"), "text_crc32", "size").withColumn("part", F.spark_partition_id())
     dealt = materialise(dealt, "shard-sizes")

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.components import components
-from corpusloom.llm.runtime import materialise, text_rows, tidy
+from corpusloom.llm.runtime import materialise, text_rows, tidy, unused
 
 SHINGLE = 4
 SEED = 42
@@ -226,18 +226,21 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """One row of each component, that with the smallest id, with all its columns.
 
     Null ids come last; of rows with the smallest id one is kept, also where
-    whole rows are repeated.
+    whole rows are repeated.  Null and empty texts have fingerprint zero and are
+    one group with whatever links to it.  Texts of any length are read whole,
+    columns of any names pass through, an empty table stays empty.
     """
     prints = materialise(fingerprints(docs, id_col, text_col), "fingerprints")
     labels = _labelled(prints)
+    kept_id, kept_key = unused(docs, "kept_id", "kept_key")
     # by fingerprint first, so that a fingerprint shared by very many rows is summed where they lie
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")
     first = prints.groupBy("fp").agg(F.min(order).alias("first"))
     chosen = first.join(labels, "fp").groupBy("label").agg(F.min("first").alias("first"))
-    chosen = materialise(chosen.select(F.col("first.doc_id").alias("__kept_id"), F.col("first.text_key").alias("__kept_key")), "kept-texts", compact=True)
+    chosen = materialise(chosen.select(F.col("first.doc_id").alias(kept_id), F.col("first.text_key").alias(kept_key)), "kept-texts", compact=True)
     mine = F.xxhash64(F.coalesce(docs[text_col], F.lit("")))
-    kept = docs.join(chosen, docs[id_col].cast("long").eqNullSafe(F.col("__kept_id")) & (mine == F.col("__kept_key")), "left_semi")
-    same = prints.join(chosen, F.col("doc_id").eqNullSafe(F.col("__kept_id")) & (F.col("text_key") == F.col("__kept_key"))).groupBy("doc_id", "text_key").count().where("count > 1")
+    kept = docs.join(chosen, docs[id_col].cast("long").eqNullSafe(chosen[kept_id]) & (mine == chosen[kept_key]), "left_semi")
+    same = prints.join(chosen, prints["doc_id"].eqNullSafe(chosen[kept_id]) & (prints["text_key"] == chosen[kept_key])).groupBy("doc_id", "text_key").count().where("count > 1")
     if same.isEmpty():
         return kept
-    return kept.withColumn("__kept_key", F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))).dropDuplicates([id_col, "__kept_key"]).drop("__kept_key")
+    return kept.withColumn(kept_key, F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))).dropDuplicates([id_col, kept_key]).drop(kept_key)

@@ -26,3 +26,12 @@ def test_empty_and_single(spark):
     df = spark.createDataFrame([(1, None)], "doc_id long, text string")
     assert [tuple(r) for r in shard_by_bytes(df).collect()] == [(1, 1, 0, "bytes", 0, 0, None)]
     assert shard_by_bytes(df.limit(0)).collect() == []
+
+
+def test_hot_and_very_long_texts(spark):
+    """Half of the rows are one text and one row is larger than all others together."""
+    rows = [(i, "copy " * 20) for i in range(0, 400, 2)] + [(i, f"text {i}") for i in range(1, 400, 2)] + [(150, "y" * 300_000)]
+    got = shard_by_bytes(spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as size", "2 as part", "3 as row")).collect()
+    assert len(got) == len(rows) and [r.doc_id for r in sorted(got, key=lambda r: (r.shard, r.slot))] == sorted(i for i, _ in rows)
+    for k in {r.shard for r in got}:
+        assert sorted(r.slot for r in got if r.shard == k) == list(range(sum(r.shard == k for r in got)))

@@ -100,3 +100,10 @@ def test_components_of_chains_and_stars(spark):
     got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(61)}, **{i: 1000 for i in range(1000, 1100)}, 2000: 2000, 2001: 2000}
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_keep_one_with_columns_of_its_own_names(spark):
+    rows = [(1, "a b c d e", "p", 1, 1), (1, "a b c d e", "p", 1, 1), (2, "a b c d e", "q", 2, 2), (3, None, "r", 3, 3), (None, "", "s", 4, 4), (9, "x y z w v", "t", 5, 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __kept_id string, kept_key int, fp int").selectExpr("*", "0 as KEPT_ID", "'x' as label", "1 as __kept_key")
+    kept = simhash.keep_one(df)
+    assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [1, 3, 9]
