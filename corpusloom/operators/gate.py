@@ -31,15 +31,18 @@ def run_gate(df: DataFrame, shuffled: DataFrame | None = None, spec: GateSpec =
         raise ValueError("the gate needs two rows")
     labels = df.select("row_id", "label")
 
-    def measures(rows: DataFrame, high: DataFrame | None, suffix: str) -> DataFrame:
+    def low_of(rows: DataFrame) -> DataFrame:
+        return materialise(N.knn(rows, k, "row_id", "coords", metric="euclidean"), "gate-low")
+
+    def measures(rows: DataFrame, high: DataFrame | None, low: DataFrame, suffix: str) -> DataFrame:
         high = materialise(high or N.knn(rows, k, "row_id", "embedding"), "gate-high")
-        low = materialise(N.knn(rows, k, "row_id", "coords", metric="euclidean"), "gate-low")
         one = N.overlap(high, low, k).withColumnRenamed("overlap", f"overlap{suffix}")
         return one.crossJoin(N.label_purity(low, labels).withColumnRenamed("purity", f"purity_3d{suffix}")).crossJoin(N.label_purity(high, labels).withColumnRenamed("purity", f"purity_high{suffix}"))
 
-    row = measures(df, high, "").crossJoin(N.chance_level(labels)).crossJoin(N.trustworthiness(df, k, "row_id", "embedding", "coords"))
+    low = low_of(df)
+    row = measures(df, high, low, "").crossJoin(N.chance_level(labels)).crossJoin(N.trustworthiness(df, k, "row_id", "embedding", "coords", low=low))
     if shuffled is not None:
-        row = row.crossJoin(measures(shuffled, None, "_shuffled").drop("purity_high_shuffled"))
+        row = row.crossJoin(measures(shuffled, None, low_of(shuffled), "_shuffled").drop("purity_high_shuffled"))
     else:
         row = row.withColumns({"overlap_shuffled": F.lit(None).cast("double"), "purity_3d_shuffled": F.lit(None).cast("double")})
     reasons = [
