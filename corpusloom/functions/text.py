@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -22,14 +24,22 @@ RECORD_SEPARATOR = "\x1e"
 NUMBER = r"^\s*[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]{1,3})?\s*$"
 
 
-@F.pandas_udf(StringType())
-def _nfc(values: pd.Series) -> pd.Series:
-    return values.map(lambda v: v if v is None else unicodedata.normalize("NFC", v))
+def _each_other(values: pa.Array, plain: pa.Array, change: Callable[[str], str]) -> pa.Array:
+    """``plain`` with the changed texts of ``values`` where they are not ASCII; only these are taken one by one."""
+    other = pc.fill_null(pc.invert(pc.string_is_ascii(values)), False)
+    if not pc.any(other, min_count=0).as_py():
+        return plain
+    return pc.replace_with_mask(plain, other, pa.array([change(v.as_py()) for v in values.filter(other)], pa.string()))
 
 
-@F.pandas_udf(StringType())
-def _casefold(values: pd.Series) -> pd.Series:
-    return values.map(lambda v: v if v is None else v.casefold())
+@F.arrow_udf(StringType())
+def _nfc(values: pa.Array) -> pa.Array:
+    return _each_other(values, values, lambda v: unicodedata.normalize("NFC", v))
+
+
+@F.arrow_udf(StringType())
+def _casefold(values: pa.Array) -> pa.Array:
+    return _each_other(values, pc.ascii_lower(values), str.casefold)
 
 
 def collapse(value: Column) -> Column:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from pathlib import Path
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +15,7 @@ from corpusloom.functions import coords as C
 from corpusloom.functions import text as T
 from corpusloom.functions import vectors as V
 from corpusloom.operators import curation, gate, neighbors, placement, reduce, rows, search
-from corpusloom.sources import metadata, synthetic
+from corpusloom.sources import artifacts, metadata, synthetic
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -141,11 +143,15 @@ SHUFFLED = """vals AS (SELECT vec_id AS row_id, generate_subscripts(embedding, 1
     mixed AS (SELECT g.row_id, list(v.value ORDER BY g.dim) AS e FROM goal g JOIN placed v ON g.dim = v.dim AND g.place = v.place GROUP BY g.row_id)"""
 
 
-@query(f"WITH {SHUFFLED} SELECT row_id, round(e[1], 6) AS d0, round(e[2], 6) AS d1, round(e[64], 6) AS d63, round(list_sum(e), 5) AS total FROM mixed")
+@query(f"WITH {SHUFFLED} SELECT row_id, generate_subscripts(e, 1)::INT - 1 AS dim, unnest(list_transform(e, lambda v: round(v, 6) + 0.0::DOUBLE)) AS value FROM mixed")
 def shuffle_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = neighbors.shuffle_columns(points(spark, sf_dir).withColumn("embedding", F.col("embedding").cast("array<double>")), "row_id", "embedding")
-    total = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x)
-    return e.select("row_id", *[F.round(F.col("embedding")[k], 6).alias(f"d{k}") for k in (0, 1, 63)], F.round(total, 5).alias("total"))
+    return components(e, "embedding")
+
+
+def components(df: DataFrame, vector_col: str) -> DataFrame:
+    """A row for each component of each vector."""
+    return df.select("row_id", F.posexplode(vector_col).alias("dim", "v")).select("row_id", "dim", (F.round("v", 6) + 0.0).alias("value"))
 
 
 @query(f"""WITH {UNIT}, {POINT}, {SHUFFLED}, ms AS (SELECT row_id, list_transform(e, lambda v: v / sqrt(list_dot_product(e, e))) AS e FROM mixed), mp AS (SELECT row_id, e[1] AS x, e[2] AS y, e[3] AS z FROM mixed),
@@ -165,10 +171,9 @@ def gate_result(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- vectors and coordinates --------------------------------------------------------------------
 
 
-@query(f"WITH {UNIT} SELECT row_id, round(e[1], 6) AS first, round(e[64], 6) AS last, round(list_dot_product(e, e), 6) AS length FROM u")
+@query(f"WITH {UNIT} SELECT row_id, generate_subscripts(e, 1)::INT - 1 AS dim, unnest(list_transform(e, lambda v: round(v, 6) + 0.0::DOUBLE)) AS value FROM u")
 def l2_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    u = points(spark, sf_dir).select("row_id", V.l2_normalize(F.col("embedding")).alias("e"))
-    return u.select("row_id", F.round(F.col("e")[0], 6).alias("first"), F.round(F.col("e")[63], 6).alias("last"), F.round(V.dot(F.col("e"), F.col("e")), 6).alias("length"))
+    return components(points(spark, sf_dir).select("row_id", V.l2_normalize(F.col("embedding")).alias("e")), "e")
 
 
 @query(f"WITH {NORMAL} SELECT row_id, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z FROM flat")
@@ -268,9 +273,9 @@ def first_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.first_segment(F.col("text"))).alias("first"))
 
 
-@query("SELECT doc_id, array_to_string(list_filter(string_split(text, '|'), lambda v: v <> ''), ' · ') AS line FROM documents WHERE contains(text, '|')")
+@query("SELECT doc_id, md5(array_to_string(list_filter(string_split(text, '|'), lambda v: v <> ''), ' · ')) AS line FROM documents")
 def multi_value(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").where(F.contains("text", F.lit("|"))).select("doc_id", T.multi_value(F.col("text")).alias("line"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.multi_value(F.col("text"))).alias("line"))
 
 
 YEARS = "SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN '' WHEN 1 THEN '0' WHEN 2 THEN 'ca. 1850' ELSE (p_partkey * 37 % 4500 - 2400)::VARCHAR END AS b, CASE p_partkey % 5 WHEN 0 THEN '0' WHEN 1 THEN ((p_partkey * 11 % 4000 - 1900) + 0.5)::VARCHAR ELSE 'x' END AS e, CASE p_partkey % 3 WHEN 0 THEN p_type || '|' || p_brand WHEN 1 THEN '' END AS t FROM part"
@@ -293,7 +298,8 @@ FIELDS = ("source", "lang", "text")
 def text_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     record = d.select("doc_id", F.octet_length(T.record_text([T.collapse(F.col(c)) for c in FIELDS])).cast("long").alias("bytes"))
-    return running_start(record, "doc_id", "bytes")
+    # written first: range partitioning reads its input twice, once for the bounds
+    return running_start(rows.materialise(record, "record-bytes"), "doc_id", "bytes")
 
 
 def running_start(df: DataFrame, order: str, size: str) -> DataFrame:
@@ -442,6 +448,101 @@ def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
+# -- sources and sinks: written, read again and compared ------------------------------------------
+
+
+#: Columns of the metadata CSV, made from parts.
+RAW = {
+    "Object ID": "p_partkey::VARCHAR", "Object Number": "'N ' || p_partkey || ', \"' || p_size || '\"'", "Is Public Domain": "CASE WHEN p_size % 7 = 0 THEN 'False' ELSE 'True' END",
+    "Department": "p_brand", "Object Name": "'part' || chr(10) || p_size", "Title": "CASE WHEN p_size % 11 = 0 THEN '' ELSE p_name END", "Culture": "p_type || '| from ' || p_brand",
+    "Period": "CASE WHEN p_size % 3 = 0 THEN p_type END", "Artist Display Name": "CASE WHEN p_size % 2 = 0 THEN p_brand ELSE 'n/a' END", "Object Date": "'' || p_size",
+    "Object Begin Date": "CASE WHEN p_size % 5 = 0 THEN '' ELSE '' || (p_size * 40 - 900) END", "Object End Date": "'NULL'", "Medium": "p_type", "Classification": "'class ' || p_size % 9 || '|'", "Link Resource": "'http://parts.invalid/' || p_partkey",
+}
+NULL_WORDS = ", ".join(f"'{w}'" for w in metadata.NULLS)
+RAW_SQL = "raw AS (SELECT p_partkey, " + ", ".join(f"CASE WHEN {e} NOT IN ({NULL_WORDS}) THEN {e} END AS {metadata.COLUMNS[c]}" for c, e in RAW.items()) + " FROM part)"
+
+
+def metadata_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as a metadata CSV, one file with quotes and line ends in its fields as the export has, read again."""
+    p = table(spark, sf_dir, "part")
+    text = {c: F.expr(e.replace("::VARCHAR", "::STRING")) for c, e in RAW.items()}
+    path = f"{rows.run_dir(spark)}/csv-{uuid.uuid4().hex}"
+    p.orderBy("p_partkey").select(*[e.alias(c) for c, e in text.items()]).coalesce(1).write.option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
+    return metadata.read_metadata(spark, path)
+
+
+@query(f"WITH {RAW_SQL} SELECT (row_number() OVER (ORDER BY p_partkey) - 1)::BIGINT AS src_ord, * EXCLUDE p_partkey FROM raw")
+def csv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metadata_csv(spark, sf_dir)
+
+
+@query(f"""WITH {RAW_SQL}, d AS (SELECT p_partkey AS k, object_id, coalesce(title, '') AS title, coalesce(department, '{T.UNKNOWN}') AS department, split_part(culture, '|', 1) AS culture, split_part(classification, '|', 1) AS classification,
+        nullif(try_cast(begin_date AS BIGINT), 0) AS y, coalesce(period, '{T.UNKNOWN}') AS per, lower(coalesce(title, '') || '|' || coalesce(artist, '') || '|' || coalesce(object_date, '') || '|' || medium) AS dk FROM raw WHERE is_public_domain = 'True'),
+    p AS (SELECT *, CASE WHEN y < -500 THEN '{T.PERIOD_EARLY}' WHEN y < 0 THEN '{T.PERIOD_BEFORE}' WHEN y > 0 THEN (floor(y / 100) + 1)::BIGINT || '{T.PERIOD_CENTURY}' ELSE per END AS period FROM d WHERE title <> ''),
+    uniq AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY dk ORDER BY k) = 1), s AS (SELECT *, (SELECT count(*) FROM raw r WHERE r.p_partkey < uniq.k) AS ord FROM uniq),
+    classes AS (SELECT department FROM s GROUP BY department HAVING count(*) >= 3 ORDER BY count(*) DESC, min(ord) LIMIT 5), q AS (SELECT greatest(1, 60 // (SELECT count(*) FROM classes)) AS q),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY department ORDER BY md5('7:class:' || ord), ord) AS r FROM s WHERE department IN (SELECT department FROM classes)),
+    picked AS (SELECT * FROM ranked, q ORDER BY r > q, CASE WHEN r > q THEN md5('7:fill:' || ord) ELSE md5('7:cut:' || ord) END, ord LIMIT 60),
+    c AS (SELECT *, row_number() OVER (ORDER BY md5('7:order:' || ord), ord) - 1 AS row_id FROM picked),
+    top AS (SELECT 'culture' AS f, culture AS v FROM (SELECT culture FROM c GROUP BY 1 ORDER BY count(*) DESC, min(row_id) LIMIT 4) UNION ALL SELECT 'classification', classification FROM (SELECT classification FROM c GROUP BY 1 ORDER BY count(*) DESC, min(row_id) LIMIT 4) UNION ALL SELECT 'period', period FROM (SELECT period FROM c GROUP BY 1 ORDER BY count(*) DESC, min(row_id) LIMIT 4))
+    SELECT row_id, object_id, title, department, CASE WHEN culture IN (SELECT v FROM top WHERE f = 'culture') THEN culture ELSE '{T.OTHER}' END AS culture, CASE WHEN classification IN (SELECT v FROM top WHERE f = 'classification') THEN classification ELSE '{T.OTHER}' END AS classification,
+        CASE WHEN period IN (SELECT v FROM top WHERE f = 'period') THEN period ELSE '{T.OTHER}' END AS period FROM c""")
+def build_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From the CSV to a corpus table, written and read again."""
+    spec = curation.CorpusSpec(60, "department", 7, 3, 5, 4)
+    path = f"{rows.run_dir(spark)}/corpus-{uuid.uuid4().hex}"
+    metadata.write_corpus(curation.build_corpus(metadata_csv(spark, sf_dir), spec), path)
+    return metadata.read_corpus(spark, path).select("row_id", "object_id", "title", "department", "culture", "classification", "period")
+
+
+@query("SELECT user_id::VARCHAR AS id, event_type AS status, event_id::VARCHAR AS detail FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1")
+def journal_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as JSON lines, among lines that were cut off, read as a journal."""
+    e = table(spark, sf_dir, "events").orderBy("event_id")
+    line = F.to_json(F.struct(F.col("user_id").cast("string").alias("id"), F.col("event_type").alias("status"), F.col("event_id").cast("string").alias("detail")))
+    path = f"{rows.run_dir(spark)}/journal-{uuid.uuid4().hex}"
+    e.select(line.alias("value"), "event_id").select(F.when(F.col("event_id") % 5 == 0, F.concat("value", F.lit("\n"), F.substring("value", 1, 20))).otherwise(F.col("value")).alias("value")).coalesce(1).write.text(path)
+    return metadata.read_journal(spark, path)
+
+
+def artifact_set(spark: SparkSession, sf_dir: str) -> str:
+    """Documents as an artefact set: layout, labels, neighbours, facets and records."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text", "n_chars")
+    d = rows.materialise(rows.dense_ids(d, "doc_id"), "artifact-rows")
+    at = d.select("row_id", F.sin(F.col("row_id").cast("double")).alias("x"), F.cos(F.col("row_id").cast("double")).alias("y"), F.col("row_id").cast("double").alias("z"))
+    # written by the driver as files, so the shared folder has to be mounted
+    folder = f"{rows.run_dir(spark).removeprefix('file://')}/artifacts-{uuid.uuid4().hex}"
+    if not folder.startswith("/"):
+        raise artifacts.ArtifactError(f"{folder} is no mounted folder")
+    writer = artifacts.ArtifactWriter(folder, d.count())
+    writer.add_coords(at)
+    writer.add_labels(d, "lang")
+    near = d.select("row_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("rank"), F.lit(writer.n).alias("n")).select("row_id", "rank", ((F.col("row_id") + F.col("rank")) % F.col("n")).alias("neighbor_id"))
+    writer.add_neighbors(near, 2)
+    writer.add_metadata(d.withColumn("n_chars", F.col("n_chars").cast("string")), ["source", "lang"], ["n_chars", "text"])
+    writer.finish(corpus={"id": "documents"})
+    return folder
+
+
+@query(f"SELECT row_number() OVER (ORDER BY doc_id) - 1 AS row_id, lang AS label, source AS facet_source, lang AS facet_lang, n_chars::VARCHAR AS n_chars, md5({sql_clean('text')}) AS text, [(row_number() OVER (ORDER BY doc_id)) % (SELECT count(*) FROM documents), (row_number() OVER (ORDER BY doc_id) + 1) % (SELECT count(*) FROM documents)]::VARCHAR AS near FROM documents")
+def artifact_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = artifacts.load(spark, artifact_set(spark, sf_dir))
+    near = found["neighbors"].groupBy("row_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "neighbor_id"))), lambda s: s["neighbor_id"]).alias("n"))
+    joined = found["points"].join(found["records"], "row_id").join(near, "row_id")
+    return joined.select("row_id", "label", "facet_source", "facet_lang", "n_chars", F.md5("text").alias("text"), F.concat(F.lit("["), F.array_join(F.transform("n", lambda x: x.cast("string")), ", "), F.lit("]")).alias("near"))
+
+
+@query("SELECT 'colors.u8.bin' AS name, 'checksum' AS problem UNION ALL SELECT 'labels.u16.bin', 'missing or empty' UNION ALL SELECT 'neighbors.u32.bin', 'size'")
+def artifact_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a check says of a set with one file altered, one gone and one cut."""
+    folder = Path(artifact_set(spark, sf_dir))
+    raw = (folder / artifacts.COLORS).read_bytes()
+    (folder / artifacts.COLORS).write_bytes(raw[:-1] + bytes([raw[-1] ^ 1]))
+    (folder / artifacts.LABELS).unlink()
+    (folder / artifacts.NEIGHBORS).write_bytes((folder / artifacts.NEIGHBORS).read_bytes()[:-4])
+    return artifacts.verify(spark, str(folder)).where("not endswith(name, '.gz')")
+
+
 # -- beyond SQL: numeric kernels and encoders -----------------------------------------------------
 
 

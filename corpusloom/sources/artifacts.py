@@ -11,6 +11,7 @@ import hashlib
 import io
 import json
 import platform
+import shutil
 import subprocess
 from collections.abc import Iterator
 from datetime import UTC, datetime
@@ -30,6 +31,8 @@ COORDS, COLORS, LABELS, NEIGHBORS, EMBEDDINGS, FACETS, TEXT, OFFSETS, MANIFEST =
 SCHEMA_VERSION = 1
 GZIP_MIN_SAVING, GZIP_MIN_BYTES = 0.15, 64 * 1024
 MAX_LABELS, MAX_FACETS, MAX_VALUES = 65_535, 255, 255
+#: Bytes that are compressed at once.
+CHUNK = 1 << 20
 
 
 class ArtifactError(RuntimeError):
@@ -77,14 +80,15 @@ class ArtifactWriter:
         """A compressed twin where that saves enough; a stale one is removed."""
         twin = self.folder / f"{name}.gz"
         twin.unlink(missing_ok=True)
-        raw = (self.folder / name).read_bytes()
-        if len(raw) >= GZIP_MIN_BYTES:
-            out = io.BytesIO()
-            with gzip.GzipFile(fileobj=out, mode="wb", compresslevel=6, mtime=0) as z:
-                z.write(raw)
-            if out.tell() <= len(raw) * (1 - GZIP_MIN_SAVING):
-                twin.write_bytes(out.getvalue())
-                return {"gzip_bytes": out.tell(), "gzip_sha256": hashlib.sha256(out.getvalue()).hexdigest()}
+        size = (self.folder / name).stat().st_size
+        if size >= GZIP_MIN_BYTES:
+            with open(self.folder / name, "rb") as raw, open(twin, "wb") as out, gzip.GzipFile("", "wb", 6, out, mtime=0) as z:
+                shutil.copyfileobj(raw, z, CHUNK)
+            packed = twin.stat().st_size
+            if packed <= size * (1 - GZIP_MIN_SAVING):
+                with open(twin, "rb") as f:
+                    return {"gzip_bytes": packed, "gzip_sha256": hashlib.file_digest(f, "sha256").hexdigest()}
+            twin.unlink()
         return {"gzip_bytes": None, "gzip_sha256": None}
 
     def add_coords(self, df: DataFrame, box: float = BOX) -> None:
@@ -128,16 +132,24 @@ class ArtifactWriter:
             df = T.label_encode(df, facet, f"code_{facet}")
         self._write(FACETS, pack(df, [f"code_{f}" for f in facets], "<u1"), "<u1", (len(facets),))
         record = df.select("row_id", T.record_text([T.collapse(F.col(c)) for c in fields]).alias("t"))
-        ends = [0]
+        sizes = [np.zeros(1, np.int64)]  # eight bytes a record on the driver
+
+        def joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                raw = [t.encode() for t in batch["t"]]
+                yield pd.DataFrame({"first": [batch["row_id"].iloc[0]], "raw": [b"".join(raw)], "sizes": [np.array([*map(len, raw)], "<i8").tobytes()]})
 
         def texts() -> Iterator[bytes]:
-            for row in record.orderBy("row_id").toLocalIterator():
-                raw = row["t"].encode()
-                ends.append(ends[-1] + len(raw))
-                yield raw
+            parts = record.repartitionByRange("row_id").sortWithinPartitions("row_id").mapInPandas(joined, "first long, raw binary, sizes binary")
+            for row in parts.orderBy("first").toLocalIterator():
+                sizes.append(np.frombuffer(bytes(row["sizes"]), "<i8"))
+                yield bytes(row["raw"])
 
         self._write(TEXT, texts(), "", ())
-        self._write(OFFSETS, iter([np.array(ends, "<u4").tobytes()]), "<u4", (), self.n + 1)
+        ends = np.cumsum(np.concatenate(sizes))
+        if ends[-1] > np.iinfo("<u4").max:
+            raise ArtifactError(f"{TEXT} is too long for {OFFSETS}")
+        self._write(OFFSETS, iter([ends.astype("<u4").tobytes()]), "<u4", (), self.n + 1)
         self.meta["metadata"] = {"facet_fields": facets, "facet_values": values, "text_fields": fields, "field_separator": T.FIELD_SEPARATOR, "record_separator": T.RECORD_SEPARATOR}
 
     def finish(self, **parts) -> dict:
