@@ -3,15 +3,25 @@
 from __future__ import annotations
 
 import argparse
+import functools
+import importlib
+import importlib.util
 import json
+import platform
+import secrets
 import sys
-from importlib.metadata import version
+import urllib.error
+import urllib.request
+from importlib.metadata import PackageNotFoundError, version
 from pathlib import Path
 
+import numpy as np
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+import corpusloom
 from corpusloom import service
-from corpusloom.operators import curation, gate, neighbors, reduce, rows
+from corpusloom.operators import curation, embedding, gate, neighbors, reduce, rows
 from corpusloom.session import session
 from corpusloom.sources import artifacts, fetch, metadata, settings, synthetic
 
@@ -19,13 +29,51 @@ TEXT_FIELDS = ["title", "artist", "object_date", "medium", "classification", "ob
 OK, FAILED, GATE_FAILED = 0, 1, 2
 
 
+def probe(url: str, open_=urllib.request.urlopen) -> str:
+    """How a host answers a HEAD request; an HTTP error is an answer too."""
+    try:
+        with open_(urllib.request.Request(url, method="HEAD"), timeout=15) as answer:
+            return f"HTTP {answer.status}"
+    except urllib.error.HTTPError as e:
+        return f"HTTP {e.code}"
+    except OSError as e:
+        return f"not reachable: {e}"
+
+
 def doctor(args) -> int:
-    for package in ("pyspark", "pyarrow", "pandas", "numpy"):
-        print(package, version(package))
-    print("settings", settings.load(args.root).root)
+    """Versions, settings, folders and, where asked for, hosts."""
+    print("python", platform.python_version())
+    for package in ("pyspark", "pyarrow", "pandas", "numpy", "pillow"):
+        try:
+            print(package, version(package))
+        except PackageNotFoundError:
+            print(package, "is not installed")
+    conf = settings.load(args.root)
+    print("settings", conf.root)
+    for section, keys in (("corpus", ("id", "target_n", "label_field", "facets")), ("model", ("id", "revision", "dim")), ("projection", ("umap_n_neighbors", "umap_min_dist"))):
+        print(section, *(f"{k}={conf[section][k]}" for k in keys if k in conf[section]))
+    for folder in ("artifacts", "data/sample"):
+        path = conf.root / folder
+        print("folder", folder, f"{len(list(path.iterdir()))} entries" if path.is_dir() else "is not there yet")
+    if args.network:
+        for key in ("metadata_url", "object_api"):
+            if url := conf["corpus"].get(key):
+                print(key, probe(url))
     return OK
 
 
+def encoder_of(args):
+    """The factory that ``--encoder package.module:name`` names, with device and settings bound; None for the stub."""
+    if args.stub or not args.encoder:
+        return None
+    module, _, name = args.encoder.partition(":")
+    try:
+        factory = getattr(importlib.import_module(module), name)
+    except (ImportError, AttributeError, ValueError) as e:
+        raise settings.SettingsError(f"no encoder {args.encoder}: {e}") from e
+    return functools.partial(factory, device=args.device or None)
+
+
 def do_fetch(args) -> int:
     """Metadata CSV to corpus table and counters."""
     conf = settings.load(args.root)["corpus"]
@@ -40,8 +88,6 @@ def do_fetch(args) -> int:
 
 def do_images(args) -> int:
     """Fetches images of corpus rows without a good journal entry."""
-    import urllib.request
-
     spark, out = session(), Path(args.out)
     ids = metadata.read_corpus(spark, str(out / "corpus.parquet")).select(F.col("object_id").alias("id"))
     journal = str(out / "images.jsonl")
@@ -51,16 +97,24 @@ def do_images(args) -> int:
         with urllib.request.urlopen(url, timeout=30) as answer:
             return answer.read()
 
-    found = rows.materialise(fetch.fetch_images(todo, get, settings.load(args.root)["corpus"]["object_api"], workers=args.workers), "images")
+    if args.size and importlib.util.find_spec("PIL") is None:
+        raise metadata.SourceError("Pillow is needed to crop images; --size 0 keeps them as they are")
+    transform = functools.partial(fetch.prepare_image, size=args.size) if args.size else bytes
+    found = rows.materialise(fetch.fetch_images(todo, get, settings.load(args.root)["corpus"]["object_api"], workers=args.workers, transform=transform), "images")
     found.where("content is not null").select("id", "content").write.mode("append").parquet(str(out / "images.parquet"))
     found.select("id", "status", "detail").write.mode("append").json(journal)
     return OK
 
 
 def do_embed(args) -> int:
-    """Vectors of the corpus rows; without model weights the stub encoder is used and named in the table."""
+    """Vectors of the corpus rows, of their images where an encoder is given; else by the stub, named in the table."""
     spark, out = session(), Path(args.out)
     corpus = metadata.read_corpus(spark, str(out / "corpus.parquet"))
+    if factory := encoder_of(args):
+        images = spark.read.parquet(str(out / "images.parquet")).dropDuplicates(["id"])
+        there = corpus.join(images.withColumnRenamed("id", "object_id"), "object_id").select("row_id", "content")
+        embedding.embed(there, factory, "row_id", "content", batch_size=args.batch_size).withColumn("origin", F.lit(args.encoder)).write.mode("overwrite").parquet(str(out / "embeddings.parquet"))
+        return OK
     text = F.concat_ws(" ", *[F.col(c) for c in TEXT_FIELDS if c in corpus.columns])
     corpus.select("row_id", synthetic.stub_encoder(args.dim)(text).alias("embedding"), F.lit("stub").alias("origin")).write.mode("overwrite").parquet(str(out / "embeddings.parquet"))
     return OK
@@ -83,9 +137,16 @@ def do_project(args) -> int:
     conf, spark, out = settings.load(args.root), session(), Path(args.out)
     p, label = conf["projection"], conf["corpus"]["label_field"]
     corpus = metadata.read_corpus(spark, str(out / "corpus.parquet"))
-    e = corpus.join(spark.read.parquet(str(out / "embeddings.parquet")), "row_id").withColumnRenamed("row_id", "corpus_row")
+    if args.placeholder and not (out / "embeddings.parquet").exists():
+        # a space without meaning, and the table and the manifest say so
+        made = synthetic.make_embeddings(spark, corpus.count(), conf["model"]["dim"], 8, seed=args.seed)
+        vectors = made.select("row_id", "embedding", F.lit("placeholder").alias("origin"))
+    else:
+        vectors = metadata.read_corpus(spark, str(out / "embeddings.parquet"))
+    e = corpus.join(vectors, "row_id").withColumnRenamed("row_id", "corpus_row")
     e = rows.materialise(rows.dense_ids(e, "corpus_row"), "embedded")
-    spec = reduce.UmapSpec(neighbors=p["umap_n_neighbors"], min_dist=p["umap_min_dist"], epochs=args.epochs or p["umap_n_epochs"], seed=args.seed)
+    seed = secrets.randbits(32) if args.unseeded else args.seed
+    spec = reduce.UmapSpec(neighbors=p["umap_n_neighbors"], min_dist=p["umap_min_dist"], epochs=args.epochs or p["umap_n_epochs"], seed=seed)
 
     def laid(x):
         layout, state = reduce.project(x, "row_id", "embedding", p["pca_components"], spec)
@@ -102,7 +163,7 @@ def do_project(args) -> int:
         both = [x.select("row_id", "embedding", F.col(label).alias("label")).join(c, "row_id").select("row_id", "embedding", "label", F.array("x", "y", "z").alias("coords")) for x, c in zip((e, mixed), layouts, strict=True)]
         verdict = gate.run_gate(both[0], both[1], gate.GateSpec(k=k), high=near).first().asDict(True)
         (out / "gate.json").write_text(json.dumps(verdict, indent=2))
-    _export(args, e, coords, near, k, label, list(conf["corpus"]["facets"]), TEXT_FIELDS, e.select("row_id", "embedding", "origin") if args.keep_embeddings else None, validation=verdict, projection=p | {"umap_n_epochs": spec.epochs, "seed": args.seed, "explained": float(state.explained.sum())})
+    _export(args, e, coords, near, k, label, list(conf["corpus"]["facets"]), TEXT_FIELDS, e.select("row_id", "embedding", "origin") if args.keep_embeddings else None, validation=verdict, projection=p | {"umap_n_epochs": spec.epochs, "seed": None if args.unseeded else args.seed, "explained": float(state.explained.sum())})
     return OK if verdict.get("passed", True) else GATE_FAILED
 
 
@@ -123,7 +184,10 @@ def do_synth(args) -> int:
 
 
 def do_serve(args) -> int:
-    server = service.make_server(service.PromptService(args.out, k=args.k), args.host, args.port)
+    factory = encoder_of(args)
+    model = factory and factory()
+    encode = (lambda text: np.asarray(model([text]))[0]) if model else None
+    server = service.make_server(service.PromptService(args.out, encoder=encode, k=args.k, model=args.encoder if model else "stub"), args.host, args.port)
     print(f"http://{args.host}:{server.server_port}")
     server.serve_forever()
     return OK
@@ -139,6 +203,7 @@ def do_verify(args) -> int:
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="corpusloom")
     top.add_argument("--root", default=".")
+    top.add_argument("--version", action="version", version=f"corpusloom {corpusloom.__version__}")
     sub = top.add_subparsers(required=True)
 
     def command(name, run, **options):
@@ -149,13 +214,13 @@ def parser() -> argparse.ArgumentParser:
             one.add_argument(f"--{option.replace('_', '-')}", **kind)
         return one
 
-    command("doctor", doctor)
+    command("doctor", doctor, network=False)
     command("fetch", do_fetch, n=0, seed=0, force=False, csv="", out="artifacts/run")
-    command("images", do_images, workers=8, out="artifacts/run")
-    command("embed", do_embed, dim=768, out="artifacts/run")
-    command("project", do_project, seed=0, epochs=0, no_gate=False, keep_embeddings=False, out="artifacts/run")
+    command("images", do_images, size=224, workers=8, out="artifacts/run")
+    command("embed", do_embed, dim=768, encoder="", stub=False, device="", batch_size=256, out="artifacts/run")
+    command("project", do_project, seed=0, epochs=0, no_gate=False, unseeded=False, placeholder=False, keep_embeddings=False, out="artifacts/run")
     command("synth", do_synth, n=1000, clusters=8, seed=0, dim=64, k=15, mode="coords", keep_embeddings=False, out="artifacts/synth")
-    command("serve", do_serve, host="127.0.0.1", port=8000, k=12, out="artifacts/run")
+    command("serve", do_serve, host="127.0.0.1", port=8000, k=12, encoder="", stub=False, device="", out="artifacts/run")
     command("verify", do_verify).add_argument("path")
     return top
 
@@ -163,7 +228,10 @@ def parser() -> argparse.ArgumentParser:
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
     try:
-        return args.run(args)
+        code = args.run(args)
+        if running := SparkSession.getActiveSession():
+            rows.clean(running)
+        return code
     except (settings.SettingsError, curation.CorpusError, metadata.SourceError, artifacts.ArtifactError, FileNotFoundError) as e:
         print(e, file=sys.stderr)
         return FAILED

@@ -31,3 +31,52 @@ def write(state: dict) -> str:
         parts.append(("q", state["query"]))
     parts += [(f"f.{k}", v) for k, v in sorted(state.get("filters", {}).items()) if v]
     return urlencode(parts, safe=",")
+
+
+# The keys of links of viewers with facet codes: camera and target, selection, query, field:code pairs.
+CAMERA, SELECTED, QUERY, FILTERS = "c", "s", "q", "f"
+
+
+def _number(text: str) -> float | None:
+    try:
+        value = float(text)
+    except ValueError:
+        return None
+    return value if math.isfinite(value) else None
+
+
+def read_coded(fragment: str) -> dict:
+    """The state of a link with facet codes: camera and target (three numbers each), selected, query, filters.
+
+    Only what is there and makes sense is in the result; a filter is the code of
+    a facet's value, as the artefacts number them.
+    """
+    values = dict(parse_qsl(fragment.lstrip("#?")))
+    state: dict = {}
+    view = [_number(x) for x in values.get(CAMERA, "").split(",")]
+    if len(view) == 6 and None not in view:
+        state["camera"], state["target"] = view[:3], view[3:]
+    selected = _number(values.get(SELECTED, ""))
+    if selected is not None:
+        state["selected"] = int(selected)
+    if values.get(QUERY):
+        state["query"] = values[QUERY]
+    pairs = [pair.partition(":") for pair in values.get(FILTERS, "").split(",") if pair]
+    if pairs:
+        state["filters"] = {field: int(code) for field, _, text in pairs if field and (code := _number(text)) is not None}
+    return state
+
+
+def write_coded(state: dict) -> str:
+    """The fragment with facet codes of a state; negative codes and selections stand for none."""
+    parts = []
+    if state.get("camera") and state.get("target"):
+        parts.append((CAMERA, ",".join(f"{round(x, 2):g}" for x in [*state["camera"], *state["target"]])))
+    if state.get("selected", -1) >= 0:
+        parts.append((SELECTED, str(state["selected"])))
+    if state.get("query"):
+        parts.append((QUERY, state["query"]))
+    chosen = [f"{field}:{code}" for field, code in state.get("filters", {}).items() if code >= 0]
+    if chosen:
+        parts.append((FILTERS, ",".join(chosen)))
+    return urlencode(parts)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import json
 import os
 import urllib.request
@@ -40,6 +41,24 @@ def image_url(record: dict) -> str | None:
     return next((record[f] for f in IMAGE_FIELDS if record.get(f)), None)
 
 
+def centre_square(width: int, height: int) -> tuple[int, int, int, int]:
+    """The largest square in the middle of an image, as left, top, right, bottom."""
+    side = min(width, height)
+    left, top = (width - side) // 2, (height - side) // 2
+    return left, top, left + side, top + side
+
+
+def prepare_image(raw: bytes, size: int = 224) -> bytes:
+    """A JPEG of the image's centre square in RGB, ``size`` pixels wide; needs Pillow where the tasks run."""
+    from PIL import Image
+
+    with Image.open(io.BytesIO(raw)) as image:
+        rgb = image.convert("RGB")
+    out = io.BytesIO()
+    rgb.crop(centre_square(*rgb.size)).resize((size, size), Image.LANCZOS).save(out, "JPEG", quality=90)
+    return out.getvalue()
+
+
 def fetch_images(ids: DataFrame, get: Callable[[str], bytes], api: str, *, workers: int = 8, transform: Callable[[bytes], bytes] = bytes) -> DataFrame:
     """(id, status, detail, content) for a DataFrame of ids: record, image, ``transform`` (crop and resize).
 
