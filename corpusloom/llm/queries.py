@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from corpusloom.llm import decontamination, embedding_dedup, licenses, secrets, sentencepiece_bpe, sharding, simhash, substring_dedup, toxicity, url_filter
 
@@ -59,8 +60,29 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def secret_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op1: the counts of the base kinds."""
+    return secrets.scan(_table(spark, sf_dir, "documents")).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op2: hosts, paths, rules, and the verdicts of rules."""
+    judged = url_filter.judge(_table(spark, sf_dir, "pages"))
+    return judged.select("page_id", "host", "path", "rule", F.when(F.col("rule").isNotNull(), F.col("verdict")).alias("rule_verdict"))
+
+
+def shard_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op8: all but the checksum."""
+    return sharding.shard_by_bytes(_table(spark, sf_dir, "documents")).select("doc_id", "size", "law", "shard", "slot")
+
+
+def license_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op9: words, and places of the base phrases."""
+    return licenses.scan(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_secret_scan, op2_url_filter, op3_substring_dedup, op4_sentencepiece, op5_simhash, op6_decontamination, op7_embedding_dedup, op8_sharding, op9_license_scan, op10_toxicity)
+    found = (op1_secret_scan, op2_url_filter, op3_substring_dedup, op4_sentencepiece, op5_simhash, op6_decontamination, op7_embedding_dedup, op8_sharding, op9_license_scan, op10_toxicity, secret_counts, url_rules, shard_places, license_phrases)
     return {f.__name__: f for f in found}
 
 
@@ -87,5 +109,46 @@ SELECT vec_id, (SELECT count(*) FROM link WHERE a = vec_id) AS n_links, componen
 """
 
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _any_case(word: str) -> str:
+    return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
+
+
+_KEYS = "|".join(_any_case(w) for w in ("password", "passwd", "secret", "token", "api_?key"))
+
+SECRET_COUNTS_SQL = f"""
+SELECT doc_id, len(list_filter(regexp_extract_all(coalesce(text, ''), '({_KEYS})["'']? *[:=] *["'']?([A-Za-z0-9+/_.=-]+)', 2), lambda v: length(v) >= 6)) AS n_assign,
+    len(list_filter(regexp_extract_all(coalesce(text, ''), 'AKIA[A-Z0-9]+'), lambda v: length(v) >= 20)) AS n_access, len(list_filter(regexp_extract_all(coalesce(text, ''), '[0-9a-f]+'), lambda v: length(v) >= 24)) AS n_hex FROM documents
+"""
+
+#: The longest rule first.
+_RULES = sorted(url_filter.RULES, key=lambda r: -len(r.host + r.path))
+_FITS = [f"(host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}')" for r in _RULES]
+
+URL_RULES_SQL = f"""
+WITH rest AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS r FROM pages),
+part AS (SELECT page_id, translate(regexp_extract(r, '^[^/?#]*'), '{_UPPER}', '{_LOWER}') AS host, regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path FROM rest)
+SELECT page_id, host, path, CASE {" ".join(f"WHEN {f} THEN '{r.host}{r.path}'" for f, r in zip(_FITS, _RULES, strict=True))} END AS rule,
+    CASE {" ".join(f"WHEN {f} THEN '{r.verdict}'" for f, r in zip(_FITS, _RULES, strict=True))} END AS rule_verdict FROM part
+"""
+
+SHARD_PLACES_SQL = """
+WITH s AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 1 AS size FROM documents),
+placed AS (SELECT doc_id, size, ((sum(size) OVER (ORDER BY doc_id) - size) * 8 // (SELECT sum(size) FROM s))::INT AS shard FROM s)
+SELECT doc_id, size, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS slot FROM placed
+"""
+
+LICENSE_PHRASES_SQL = f"""
+WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+word AS (SELECT doc_id, unnest(ws) AS a, generate_subscripts(ws, 1)::BIGINT - 1 AS p FROM w),
+three AS (SELECT doc_id, p, a, lead(a) OVER each AS b, lead(a, 2) OVER each AS c FROM word WINDOW each AS (PARTITION BY doc_id ORDER BY p)),
+hit AS (SELECT doc_id, p, CASE WHEN a = 'cc' AND b = 'by' THEN 'cc-by' WHEN a = 'general' AND b = 'public' AND c = 'license' THEN 'gpl' WHEN a = 'all' AND b = 'rights' AND c = 'reserved' THEN 'reserved' END AS label FROM three),
+found AS (SELECT doc_id, count(*) AS n, min(p) AS first_word, max(p) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM hit WHERE label IS NOT NULL GROUP BY doc_id)
+SELECT doc_id, len(ws) AS n_words, coalesce(n, 0) AS n_base, first_word, last_word, coalesce(labels, '') AS base_labels FROM w LEFT JOIN found USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_substring_dedup": OP3_SQL, "op7_embedding_dedup": OP7_SQL}
+    return {"op3_substring_dedup": OP3_SQL, "op7_embedding_dedup": OP7_SQL, "secret_counts": SECRET_COUNTS_SQL, "url_rules": URL_RULES_SQL, "shard_places": SHARD_PLACES_SQL, "license_phrases": LICENSE_PHRASES_SQL}
