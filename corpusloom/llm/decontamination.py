@@ -17,6 +17,7 @@ tables of numbers, it is none.
 
 from __future__ import annotations
 
+from functools import lru_cache
 from itertools import product
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -86,46 +87,48 @@ def bare(raw: Column) -> Column:
     return F.transform(raw, lambda x: F.translate(x, _NAME, ""))
 
 
-def wordless(spark: SparkSession) -> list[int]:
+@lru_cache(maxsize=1)
+def wordless(spark: SparkSession) -> tuple[int, ...]:
     """The hashes of windows that are placeholders alone."""
     tuples = product((F.xxhash64(F.lit(t)) for t in ("0", _UNIT, _NAME)), repeat=WINDOW)
-    return spark.sql("SELECT 1").select(F.array(*[F.xxhash64(*t) for t in tuples])).first()[0]
+    return tuple(spark.sql("SELECT 1").select(F.array(*[F.xxhash64(*t) for t in tuples])).first()[0])
 
 
-def windows(marked: Column, blank: list[int], free: bool = False) -> Column:
-    """Hashes of the windows of an array of marked tokens; none if it is shorter than a window.
+def _window(of: Column, i: Column) -> Column:
+    return F.xxhash64(*[F.get(of, i + k) for k in range(WINDOW)])
 
-    Windows whose hash is in ``blank`` are hashed with their values instead.
-    """
 
-    def hashed(own: Column) -> Column:
-        def at(of: Column, i: Column) -> Column:
-            return F.xxhash64(*[F.get(of, i + k) for k in range(WINDOW)])
+def windows(marked: Column, free: bool = False) -> Column:
+    """Hashes of the windows of an array of marked tokens; none if it is shorter than a window."""
 
-        def slide(each: Column) -> Column:
-            return F.when(F.size(each) >= WINDOW, F.transform(F.sequence(F.lit(0), F.size(each) - WINDOW), lambda i: at(each, i))).otherwise(F.array().cast("array<bigint>"))
-
-        found = F.transform(F.array(F.transform(own, lambda x: F.xxhash64(template(x, free)))), slide)[0]
-        return F.transform(found, lambda h, i: F.when(h.isin(blank), at(own, i)).otherwise(h))
+    def slide(each: Column) -> Column:
+        return F.when(F.size(each) >= WINDOW, F.transform(F.sequence(F.lit(0), F.size(each) - WINDOW), lambda i: _window(each, i))).otherwise(F.array().cast("array<bigint>"))
 
     # as a lambda's variable an array is computed once, not once for every window
-    return F.transform(F.array(marked), hashed)[0]
+    return F.transform(F.array(F.transform(marked, lambda x: F.xxhash64(template(x, free)))), slide)[0]
 
 
-def forms(raw: Column, blank: list[int]) -> Column:
-    """Array of (form, marked tokens, hashes of windows): one if the text has no names, two without runs of them, else three."""
+def forms(raw: Column, blank: tuple[int, ...]) -> Column:
+    """Array of (form, marked tokens, hashes of windows): one if the text has no names, two without runs of them, else three.
+
+    Windows whose hash is in ``blank`` are hashed with their values instead.
+    """
 
     def each(own: Column) -> Column:
         def form(bits: int, marked: Column, free: bool = False) -> Column:
-            return F.struct(F.lit(bits).alias("form"), marked.alias("marked"), windows(marked, blank, free).alias("hashes"))
+            return F.struct(F.lit(bits).alias("form"), marked.alias("marked"), windows(marked, free).alias("hashes"))
 
         runs = F.array(form(_RUNS, own), form(_FREE, words(own), True), form(_APART, words(own)))
         single = F.array(form(_RUNS | _APART, own), form(_FREE, own, True))
         named = F.exists(own, lambda x: F.startswith(x, F.lit(_NAME)))
         return F.when(~named, F.array(form(_RUNS | _FREE | _APART, own))).when(F.exists(own, lambda x: F.contains(x, F.lit(" "))), runs).otherwise(single)
 
+    def valued(f: Column) -> Column:
+        hashes = F.transform(f["hashes"], lambda h, i: F.when(h.isin(*blank), _window(f["marked"], i)).otherwise(h))
+        return F.struct(f["form"].alias("form"), f["marked"].alias("marked"), hashes.alias("hashes"))
+
     # as a lambda's variable the tokens are found once
-    return F.transform(F.array(raw), each)[0]
+    return F.transform(F.transform(F.array(raw), each)[0], valued)
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
