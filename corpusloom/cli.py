@@ -227,10 +227,11 @@ def parser() -> argparse.ArgumentParser:
 
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
+    shared = SparkSession.getActiveSession()  # a caller's session may still need its tables
     try:
         code = args.run(args)
-        if running := SparkSession.getActiveSession():
-            rows.clean(running)
+        if not shared and (own := SparkSession.getActiveSession()):
+            rows.clean(own)
         return code
     except (settings.SettingsError, curation.CorpusError, metadata.SourceError, artifacts.ArtifactError, FileNotFoundError) as e:
         print(e, file=sys.stderr)
