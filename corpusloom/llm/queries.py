@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import decontamination, embedding_dedup, licenses, secrets, sentencepiece_bpe, sharding, simhash, substring_dedup, toxicity, url_filter
+from corpusloom.llm import decontamination, embedding_dedup, licenses, secrets, sentencepiece_bpe, sharding, simhash, substring_dedup, target_encoding, toxicity, url_filter
 
 
 def tokenizer_path() -> str:
@@ -60,6 +60,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_target_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return target_encoding.encode_sales(*[_table(spark, sf_dir, t) for t in ("sale_lines", "sales", "items", "vendors", "clients")])
+
+
 def secret_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What SQL can say of op1: the counts of the base kinds."""
     return secrets.scan(_table(spark, sf_dir, "documents")).select("doc_id", "n_assign", "n_access", "n_hex")
@@ -82,7 +86,7 @@ def license_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_secret_scan, op2_url_filter, op3_substring_dedup, op4_sentencepiece, op5_simhash, op6_decontamination, op7_embedding_dedup, op8_sharding, op9_license_scan, op10_toxicity, secret_counts, url_rules, shard_places, license_phrases)
+    found = (op1_secret_scan, op2_url_filter, op3_substring_dedup, op4_sentencepiece, op5_simhash, op6_decontamination, op7_embedding_dedup, op8_sharding, op9_license_scan, op10_toxicity, op11_target_encoding, secret_counts, url_rules, shard_places, license_phrases)
     return {f.__name__: f for f in found}
 
 
@@ -149,6 +153,35 @@ found AS (SELECT doc_id, count(*) AS n, min(p) AS first_word, max(p) AS last_wor
 SELECT doc_id, len(ws) AS n_words, coalesce(n, 0) AS n_base, first_word, last_word, coalesce(labels, '') AS base_labels FROM w LEFT JOIN found USING (doc_id)
 """
 
+#: What SQL needs for a CRC-32: the table of 256 entries, by the polynomial.
+CRC_TABLE = "table_ AS (SELECT list(c ORDER BY i) AS t FROM (WITH RECURSIVE s(i, c, k) AS (SELECT i, i::BIGINT, 0 FROM range(256) r(i) UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM s WHERE k < 8) SELECT i, c FROM s WHERE k = 8))"
+
+
+def sql_crc32(text: str) -> str:
+    """CRC-32 of an ASCII text; t holds the 256 table entries."""
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({text}, ''), lambda c: ascii(c)::BIGINT)), lambda r, c: xor(r >> 8, t[(xor(r, c) & 255) + 1])), 4294967295)"
+
+
+def _sql_history(column: str, name: str, source: str = "f") -> str:
+    past = "ORDER BY us RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+    each = lambda x: f"(coalesce(sum({x}) OVER (PARTITION BY {column} {past}), 0) - coalesce(sum({x}) OVER (PARTITION BY {column}, fold {past}), 0))::BIGINT"
+    return f"{each('n')} AS {name}_n, {each('s')} AS {name}_s"
+
+
+def _sql_rate(name: str, prior: str) -> str:
+    return f"CASE WHEN {name}_n < 1 THEN {prior} ELSE (1000000 * {name}_s + 50 * {prior}) // ({name}_n + 50) END::BIGINT"
+
+
+OP11_SQL = f"""
+WITH {CRC_TABLE}, l AS (SELECT sale_id, coalesce(item_id, -1) AS item_id, vendor_id, count(*) AS n, count(*) FILTER (flag = 'returned') AS s FROM sale_lines GROUP BY ALL),
+f AS (SELECT l.*, coalesce(client_id, -1) AS client_id, sold_at, epoch_us(sold_at) AS us, {sql_crc32('l.sale_id::VARCHAR')} % 5 AS fold FROM l JOIN sales USING (sale_id), table_ WHERE sold_at IS NOT NULL),
+d AS (SELECT f.*, kind, vendors.nation_id, segment, 0 AS one FROM f LEFT JOIN items USING (item_id) LEFT JOIN vendors USING (vendor_id) LEFT JOIN clients USING (client_id)),
+h AS (SELECT *, {", ".join(_sql_history(c, k) for c, k in (("one", "all"), ("kind", "kind"), ("nation_id", "nation"), ("segment", "segment"), ("item_id", "item"), ("vendor_id", "vendor"), ("client_id", "client")))} FROM d),
+a AS (SELECT *, {_sql_rate("all", "500000")} AS p FROM h),
+g AS (SELECT *, {", ".join(f"{_sql_rate(k, 'p')} AS {k}_rate" for k in ("kind", "nation", "segment"))} FROM a)
+SELECT sale_id, item_id, vendor_id, n AS n_lines, s AS n_returned, {", ".join(f"{k}_n, {_sql_rate(k, up + '_rate')} AS {k}_rate" for k, up in (("item", "kind"), ("vendor", "nation"), ("client", "segment")))}, client_id, sold_at FROM g
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_substring_dedup": OP3_SQL, "op7_embedding_dedup": OP7_SQL, "secret_counts": SECRET_COUNTS_SQL, "url_rules": URL_RULES_SQL, "shard_places": SHARD_PLACES_SQL, "license_phrases": LICENSE_PHRASES_SQL}
+    return {"op3_substring_dedup": OP3_SQL, "op7_embedding_dedup": OP7_SQL, "secret_counts": SECRET_COUNTS_SQL, "url_rules": URL_RULES_SQL, "shard_places": SHARD_PLACES_SQL, "license_phrases": LICENSE_PHRASES_SQL, "op11_target_encoding": OP11_SQL}
