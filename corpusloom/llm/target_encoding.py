@@ -222,7 +222,8 @@ def encode_sales(lines: DataFrame, sales: DataFrame, items: DataFrame, vendors:
     per_sale = lines.groupBy("sale_id").agg(*sums)
 
     def dimension(df: DataFrame, key: str, value: str, name: str) -> DataFrame:
-        return df.select(df[key].cast("long").alias(key), df[value].alias(name)).where(F.col(key).isNotNull()).groupBy(key).agg(F.min(name).alias(name)).hint("shuffle_hash")
+        # written, so that the join shuffles both sides anew and a hot key can be split
+        return materialise(df.select(df[key].cast("long").alias(key), df[value].alias(name)).where(F.col(key).isNotNull()).groupBy(key).agg(F.min(name).alias(name)), f"{name}-of-{key}").hint("shuffle_hash")
 
     times = {c: F.col(c) * F.col("times") for c in ("n_lines", "n_returned")}
     fold = F.crc32(F.col("sale_id").cast("string")) % folds
