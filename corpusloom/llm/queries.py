@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import decontamination, embedding_dedup, licenses, secrets, sentencepiece_bpe, sharding, simhash, substring_dedup, target_encoding, toxicity, url_filter
+from corpusloom.llm import conversation_repair, decontamination, embedding_dedup, licenses, secrets, sentencepiece_bpe, sharding, simhash, substring_dedup, suffix_dedup, target_encoding, toxicity, url_filter
 
 
 def tokenizer_path() -> str:
@@ -64,6 +64,15 @@ def op11_target_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return target_encoding.encode_sales(*[_table(spark, sf_dir, t) for t in ("sale_lines", "sales", "items", "vendors", "clients")])
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = _table(spark, sf_dir, "conversations")
+    return conversation_repair.repair(conversation_repair.damage(conversations), conversations)
+
+
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents")).drop("spans", "kept")
+
+
 def secret_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What SQL can say of op1: the counts of the base kinds."""
     return secrets.scan(_table(spark, sf_dir, "documents")).select("doc_id", "n_assign", "n_access", "n_hex")
@@ -86,7 +95,7 @@ def license_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_secret_scan, op2_url_filter, op3_substring_dedup, op4_sentencepiece, op5_simhash, op6_decontamination, op7_embedding_dedup, op8_sharding, op9_license_scan, op10_toxicity, op11_target_encoding, secret_counts, url_rules, shard_places, license_phrases)
+    found = (op1_secret_scan, op2_url_filter, op3_substring_dedup, op4_sentencepiece, op5_simhash, op6_decontamination, op7_embedding_dedup, op8_sharding, op9_license_scan, op10_toxicity, op11_target_encoding, op12_conversation_repair, op13_suffix_dedup, secret_counts, url_rules, shard_places, license_phrases)
     return {f.__name__: f for f in found}
 
 
@@ -183,5 +192,42 @@ SELECT sale_id, item_id, vendor_id, n AS n_lines, s AS n_returned, {", ".join(f"
 """
 
 
+#: The lattice by turns: of each state, what insertions before and after a turn lead to, and what edits of the turn do.
+OP12_SQL = f"""
+WITH RECURSIVE {CRC_TABLE}, raw AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {sql_crc32("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS d FROM conversations, table_),
+dam AS (SELECT conv_id, turn, CASE WHEN d = 4 THEN 'user' ELSE role END AS role, CASE d WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(CASE WHEN d = 3 THEN [0, 1] ELSE [0] END) AS copy FROM raw WHERE d <> 0),
+num AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t FROM dam),
+flt AS (SELECT conv_id, turn, i, role, text, left(role, 1) AS c, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS p, CASE WHEN t = '' THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'd' WHEN right(t, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS f FROM num),
+ids AS (SELECT DISTINCT conv_id FROM conversations),
+ins(q, q2, cost, w, rows) AS (VALUES (0, 0, 0, '', ''), (0, 2, 2, 'I', chr(10) || 'user:'), (0, 3, 4, 'II', chr(10) || 'user:' || chr(10) || 'assistant:'), (1, 1, 0, '', ''), (1, 2, 2, 'I', chr(10) || 'user:'), (1, 3, 4, 'II', chr(10) || 'user:' || chr(10) || 'assistant:'), (2, 2, 0, '', ''), (2, 3, 2, 'I', chr(10) || 'assistant:'), (3, 3, 0, '', ''), (3, 2, 2, 'I', chr(10) || 'user:')),
+edit(q, q2, c, cost, w, role) AS (VALUES (0, 0, NULL, 3, 'D', NULL), (1, 1, NULL, 3, 'D', NULL), (2, 2, NULL, 3, 'D', NULL), (3, 3, NULL, 3, 'D', NULL), (0, 1, 's', 0, 'K', NULL), (0, 2, 'u', 0, 'K', NULL), (1, 2, 'u', 0, 'K', NULL), (2, 3, 'a', 0, 'K', NULL), (3, 2, 'u', 0, 'K', NULL), (0, 2, NULL, 2, 'R', 'user'), (1, 2, NULL, 2, 'R', 'user'), (2, 3, NULL, 2, 'R', 'assistant'), (3, 2, NULL, 2, 'R', 'user')),
+step AS (SELECT conv_id, 0::BIGINT AS i, q2 AS q, {{'cost': cost::BIGINT, 'audit': w, 'out': rows}} AS s FROM ids, ins WHERE q = 0
+    UNION ALL SELECT conv_id, i, q, min(s) AS s FROM (SELECT step.conv_id, flt.i, ins.q2 AS q, {{'cost': step.s.cost + edit.cost + ins.cost + CASE WHEN edit.w <> 'D' AND flt.f = 't' THEN 1 ELSE 0 END, 'audit': step.s.audit || edit.w || ins.w, 'out': step.s.out || CASE WHEN edit.w = 'D' THEN '' ELSE chr(10) || coalesce(edit.role, flt.role) || ':' || flt.text END || ins.rows}} AS s
+        FROM step JOIN flt ON flt.conv_id IS NOT DISTINCT FROM step.conv_id AND flt.i = step.i + 1 JOIN edit ON edit.q = step.q AND (edit.c IS NULL OR edit.c = flt.c) AND (edit.w = 'D' OR flt.f NOT IN ('b', 'd')) JOIN ins ON ins.q = edit.q2) GROUP BY conv_id, i, q),
+best AS (SELECT conv_id, arg_max(s, i) AS s FROM (SELECT conv_id, i, min(s) AS s FROM step WHERE q IN (0, 3) GROUP BY ALL) GROUP BY conv_id),
+num_of AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (f = 'b') AS blank, count(*) FILTER (f = 'd') AS duplicate, count(*) FILTER (f = 't') AS truncated, count(*) FILTER (i > 1 AND p || c NOT IN ('su', 'ua', 'au')) AS illegal FROM flt GROUP BY conv_id)
+SELECT ids.conv_id, {", ".join(f"coalesce({c}, 0) AS {c}" for c in ("gaps", "blank", "duplicate", "truncated", "illegal"))}, best.s.cost AS cost, best.s.audit AS audit, sha256(substr(best.s.out, 2)) AS repaired_sha256
+FROM ids LEFT JOIN num_of ON num_of.conv_id IS NOT DISTINCT FROM ids.conv_id JOIN best ON best.conv_id IS NOT DISTINCT FROM ids.conv_id
+"""
+
+
+
+def _sql_doubled(width: int) -> str:
+    return f"h{2 * width} AS (SELECT *, hash(h{width}, lead(h{width}, {width}) OVER (PARTITION BY doc_id ORDER BY i)) AS h{2 * width} FROM h{width})"
+
+
+#: Hashes of 1, 2, 4, ... bytes from every byte on, those of 128, 64 and 8 joined to 200.
+OP13_SQL = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(hex(encode(coalesce(text, ''))), '..') AS bs FROM documents),
+b AS (SELECT doc_id, len(bs) AS n, unnest(bs) AS c, generate_subscripts(bs, 1) AS i FROM d), h1 AS (SELECT *, hash(c) AS h1 FROM b), {", ".join(_sql_doubled(2**k) for k in range(7))},
+h200 AS (SELECT doc_id, c, i, CASE WHEN i + 199 <= n THEN hash(h128, lead(h64, 128) OVER w, lead(h8, 192) OVER w) END AS h FROM h128 WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+hit AS (SELECT doc_id, c, i, h IS NOT NULL AND count(*) OVER (PARTITION BY h) > 1 AS hit FROM h200),
+cov AS (SELECT doc_id, c, i, coalesce(max(CASE WHEN hit THEN i END) OVER (PARTITION BY doc_id ORDER BY i) >= i - 199, false) AS gone FROM hit),
+run AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS first FROM cov),
+cut AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, count(*) FILTER (first) AS n_spans, string_agg(c, '' ORDER BY i) FILTER (NOT gone) AS kept FROM run GROUP BY doc_id)
+SELECT doc_id, len(bs) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM d LEFT JOIN cut USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_substring_dedup": OP3_SQL, "op7_embedding_dedup": OP7_SQL, "secret_counts": SECRET_COUNTS_SQL, "url_rules": URL_RULES_SQL, "shard_places": SHARD_PLACES_SQL, "license_phrases": LICENSE_PHRASES_SQL, "op11_target_encoding": OP11_SQL}
+    return {"op3_substring_dedup": OP3_SQL, "op7_embedding_dedup": OP7_SQL, "secret_counts": SECRET_COUNTS_SQL, "url_rules": URL_RULES_SQL, "shard_places": SHARD_PLACES_SQL, "license_phrases": LICENSE_PHRASES_SQL, "op11_target_encoding": OP11_SQL, "op12_conversation_repair": OP12_SQL, "op13_suffix_dedup": OP13_SQL}
