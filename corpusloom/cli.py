@@ -148,20 +148,22 @@ def do_project(args) -> int:
     seed = secrets.randbits(32) if args.unseeded else args.seed
     spec = reduce.UmapSpec(neighbors=p["umap_n_neighbors"], min_dist=p["umap_min_dist"], epochs=args.epochs or p["umap_n_epochs"], seed=seed)
 
+    k = min(conf["validation"].get("k", 15), e.count() - 1)
+
     def laid(x):
-        layout, state = reduce.project(x, "row_id", "embedding", p["pca_components"], spec)
-        return rows.materialise(layout, "layout"), state
+        layout, state, graph = reduce.project_with_graph(x, "row_id", "embedding", p["pca_components"], spec, k)
+        return rows.materialise(layout, "layout"), state, graph.where(F.col("rank") <= k)
 
-    coords, state = laid(e)
+    # one graph, of the reduced space, for layout, gate and artefacts
+    coords, state, near = laid(e)
     state.save(spark, str(out / "pca.parquet"))
-    k = min(conf["validation"].get("k", 15), e.count() - 1)
-    near = rows.materialise(neighbors.knn(e, k, "row_id", "embedding"), "near")
     verdict = {}
     if not args.no_gate:
         mixed = rows.materialise(neighbors.shuffle_columns(e, "row_id", "embedding", args.seed), "shuffled").join(e.select("row_id", label), "row_id")
-        layouts = (coords, laid(mixed)[0])
+        other = laid(mixed)
+        layouts = (coords, other[0])
         both = [x.select("row_id", "embedding", F.col(label).alias("label")).join(c, "row_id").select("row_id", "embedding", "label", F.array("x", "y", "z").alias("coords")) for x, c in zip((e, mixed), layouts, strict=True)]
-        verdict = gate.run_gate(both[0], both[1], gate.GateSpec(k=k), high=near).first().asDict(True)
+        verdict = gate.run_gate(both[0], both[1], gate.GateSpec(k=k), high=near, high_shuffled=other[2]).first().asDict(True)
         (out / "gate.json").write_text(json.dumps(verdict, indent=2))
     _export(args, e, coords, near, k, label, list(conf["corpus"]["facets"]), TEXT_FIELDS, e.select("row_id", "embedding", "origin") if args.keep_embeddings else None, validation=verdict, projection=p | {"umap_n_epochs": spec.epochs, "seed": None if args.unseeded else args.seed, "explained": float(state.explained.sum())})
     return OK if verdict.get("passed", True) else GATE_FAILED
@@ -220,7 +222,7 @@ def parser() -> argparse.ArgumentParser:
     command("embed", do_embed, dim=768, encoder="", stub=False, device="", batch_size=256, out="artifacts/run")
     command("project", do_project, seed=0, epochs=0, no_gate=False, unseeded=False, placeholder=False, keep_embeddings=False, out="artifacts/run")
     command("synth", do_synth, n=1000, clusters=8, seed=0, dim=64, k=15, mode="coords", keep_embeddings=False, out="artifacts/synth")
-    command("serve", do_serve, host="127.0.0.1", port=8000, k=12, encoder="", stub=False, device="", out="artifacts/run")
+    command("serve", do_serve, host="127.0.0.1", port=8765, k=12, encoder="", stub=False, device="", out="artifacts/run")
     command("verify", do_verify).add_argument("path")
     return top
 

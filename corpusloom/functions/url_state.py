@@ -1,82 +1,79 @@
-"""The state of a view as a URL fragment: camera, selection, query, filters."""
+"""The state of a view as a URL fragment, in two forms of links.
+
+A form is a table: for each key how its text becomes a part of the state, and how
+the state becomes texts.  A key that ends in a dot stands for all that begin with
+it.  What makes no sense is passed over.
+"""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
+from typing import NamedTuple
 from urllib.parse import parse_qsl, urlencode
 
 
-def read(fragment: str) -> dict:
-    """camera (six numbers), selected (an index), query and filters; what makes no sense is null or left out."""
-    values = dict(parse_qsl(fragment.lstrip("#?"), keep_blank_values=True))
-    camera: list[float] | None
-    try:
-        camera = [float(x) for x in values.pop("cam", "").split(",")]
-    except ValueError:
-        camera = None
-    if camera is not None and (len(camera) != 6 or not all(map(math.isfinite, camera))):
-        camera = None
-    chosen = values.pop("sel", "")
-    return {"camera": camera, "selected": int(chosen) if chosen.isascii() and chosen.isdigit() else None, "query": values.pop("q", ""), "filters": {k.removeprefix("f."): v for k, v in values.items() if k.startswith("f.") and v}}
-
-
-def write(state: dict) -> str:
-    """The fragment of a state; numbers have two decimals and empty parts are left out."""
-    parts = []
-    if state.get("camera"):
-        parts.append(("cam", ",".join(f"{x:.2f}" for x in state["camera"])))
-    if state.get("selected") is not None:
-        parts.append(("sel", str(state["selected"])))
-    if state.get("query"):
-        parts.append(("q", state["query"]))
-    parts += [(f"f.{k}", v) for k, v in sorted(state.get("filters", {}).items()) if v]
-    return urlencode(parts, safe=",")
-
-
-# The keys of links of viewers with facet codes: camera and target, selection, query, field:code pairs.
-CAMERA, SELECTED, QUERY, FILTERS = "c", "s", "q", "f"
-
-
-def _number(text: str) -> float | None:
-    try:
-        value = float(text)
-    except ValueError:
-        return None
-    return value if math.isfinite(value) else None
-
-
-def read_coded(fragment: str) -> dict:
-    """The state of a link with facet codes: camera and target (three numbers each), selected, query, filters.
-
-    Only what is there and makes sense is in the result; a filter is the code of
-    a facet's value, as the artefacts number them.
-    """
-    values = dict(parse_qsl(fragment.lstrip("#?")))
-    state: dict = {}
-    view = [_number(x) for x in values.get(CAMERA, "").split(",")]
-    if len(view) == 6 and None not in view:
-        state["camera"], state["target"] = view[:3], view[3:]
-    selected = _number(values.get(SELECTED, ""))
-    if selected is not None:
-        state["selected"] = int(selected)
-    if values.get(QUERY):
-        state["query"] = values[QUERY]
-    pairs = [pair.partition(":") for pair in values.get(FILTERS, "").split(",") if pair]
-    if pairs:
-        state["filters"] = {field: int(code) for field, _, text in pairs if field and (code := _number(text)) is not None}
+class Part(NamedTuple):
+    decode: Callable[[str, str], dict]
+    encode: Callable[[dict], dict[str, str]]
+
+
+def _numbers(text: str, n: int) -> list[float]:
+    found = [float(x) for x in text.split(",")]
+    if len(found) != n or not all(map(math.isfinite, found)):
+        raise ValueError(text)
+    return found
+
+
+def _shown(name: str, key: str) -> Callable[[dict], dict[str, str]]:
+    """A value as it is, unless it is empty or less than nothing."""
+    return lambda state: {key: str(v)} if (v := state.get(name)) not in (None, "") and v != -1 else {}
+
+
+def _index(text: str) -> int:
+    if not (text.isascii() and text.isdigit()):
+        raise ValueError(text)
+    return int(text)
+
+
+def _codes(text: str) -> dict[str, int]:
+    """Facets with codes from 0, ``name:code`` joined by commas."""
+    pairs = [x.split(":") for x in text.split(",")]
+    return {x[0]: int(x[1]) for x in pairs if len(x) == 2 and x[0] and x[1].isdigit()}
+
+
+_QUERY = Part(lambda _, text: {"query": text}, _shown("query", "q"))
+
+#: Links of this package: a camera of six numbers, and the filters' values by name.
+NAMED = {
+    "cam": Part(lambda _, text: {"camera": _numbers(text, 6)}, lambda s: {"cam": ",".join(f"{x:.2f}" for x in s["camera"])} if s.get("camera") else {}),
+    "sel": Part(lambda _, text: {"selected": _index(text)}, _shown("selected", "sel")),
+    "q": _QUERY,
+    "f.": Part(lambda name, text: {"filters": {name: text}} if text else {}, lambda s: {f"f.{k}": v for k, v in sorted(s.get("filters", {}).items()) if v}),
+}
+
+#: Links with the codes that artefacts give to values.  Fixed values: the keys c, s, q and f, and three numbers each of camera and target.
+CODED = {
+    "c": Part(lambda _, text: dict(zip(("camera", "target"), (_numbers(text, 6)[:3], _numbers(text, 6)[3:]), strict=True)), lambda s: {"c": ",".join(f"{round(x, 2):g}" for x in [*s["camera"], *s["target"]])} if s.get("camera") and s.get("target") else {}),
+    "s": Part(lambda _, text: {"selected": _index(text)}, _shown("selected", "s")),
+    "q": _QUERY,
+    "f": Part(lambda _, text: {"filters": _codes(text)}, lambda s: {"f": ",".join(f"{k}:{v}" for k, v in s.get("filters", {}).items() if v >= 0)}),
+}
+
+
+def read(fragment: str, form: dict[str, Part] = NAMED) -> dict:
+    """camera, selected (an index), query, filters, and in coded links target; what is not there is null or empty."""
+    state: dict = {"camera": None, "selected": None, "query": "", "filters": {}}
+    for key, text in parse_qsl(fragment.lstrip("#?"), keep_blank_values=True):
+        head, dot, name = key.partition(".")
+        try:
+            found = form[head + dot].decode(name, text)
+        except (KeyError, ValueError):
+            continue
+        state |= found | {"filters": state["filters"] | found.get("filters", {})}
     return state
 
 
-def write_coded(state: dict) -> str:
-    """The fragment with facet codes of a state; negative codes and selections stand for none."""
-    parts = []
-    if state.get("camera") and state.get("target"):
-        parts.append((CAMERA, ",".join(f"{round(x, 2):g}" for x in [*state["camera"], *state["target"]])))
-    if state.get("selected", -1) >= 0:
-        parts.append((SELECTED, str(state["selected"])))
-    if state.get("query"):
-        parts.append((QUERY, state["query"]))
-    chosen = [f"{field}:{code}" for field, code in state.get("filters", {}).items() if code >= 0]
-    if chosen:
-        parts.append((FILTERS, ",".join(chosen)))
-    return urlencode(parts)
+def write(state: dict, form: dict[str, Part] = NAMED) -> str:
+    """The fragment of a state; numbers have two decimals at most and empty parts are left out."""
+    return urlencode([(k, v) for part in form.values() for k, v in part.encode(state).items() if v], safe=",")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.operators import neighbors as N
+from corpusloom.operators import ranks
 from corpusloom.operators.rows import materialise
 
 
@@ -18,12 +19,14 @@ class GateSpec:
     margin: float = 0.05
 
 
-def run_gate(df: DataFrame, shuffled: DataFrame | None = None, spec: GateSpec = GateSpec(), high: DataFrame | None = None) -> DataFrame:
+def run_gate(df: DataFrame, shuffled: DataFrame | None = None, spec: GateSpec = GateSpec(), high: DataFrame | None = None, high_shuffled: DataFrame | None = None) -> DataFrame:
     """One row of measures, reasons and verdict.
 
     ``df`` and ``shuffled`` have (row_id, embedding, coords, label); ``shuffled``
     holds the same rows with structureless embeddings and their layout.  The same
-    neighbour operator, without self, serves every measure.
+    neighbour operator, without self, serves every measure; ``high`` and
+    ``high_shuffled`` are neighbours in the space of the embeddings that a caller
+    has already.
     """
     n = df.count()
     k = min(spec.k, n - 1)
@@ -35,14 +38,14 @@ def run_gate(df: DataFrame, shuffled: DataFrame | None = None, spec: GateSpec =
         return materialise(N.knn(rows, k, "row_id", "coords", metric="euclidean"), "gate-low")
 
     def measures(rows: DataFrame, high: DataFrame | None, low: DataFrame, suffix: str) -> DataFrame:
-        high = materialise(high or N.knn(rows, k, "row_id", "embedding"), "gate-high")
+        high = materialise(N.knn(rows, k, "row_id", "embedding"), "gate-high") if high is None else high
         one = N.overlap(high, low, k).withColumnRenamed("overlap", f"overlap{suffix}")
         return one.crossJoin(N.label_purity(low, labels).withColumnRenamed("purity", f"purity_3d{suffix}")).crossJoin(N.label_purity(high, labels).withColumnRenamed("purity", f"purity_high{suffix}"))
 
     low = low_of(df)
-    row = measures(df, high, low, "").crossJoin(N.chance_level(labels)).crossJoin(N.trustworthiness(df, k, "row_id", "embedding", "coords", low=low))
+    row = measures(df, high, low, "").crossJoin(N.chance_level(labels)).crossJoin(ranks.trustworthiness(df, k, "row_id", "embedding", "coords", low=low).drop("compared"))
     if shuffled is not None:
-        row = row.crossJoin(measures(shuffled, None, low_of(shuffled), "_shuffled").drop("purity_high_shuffled"))
+        row = row.crossJoin(measures(shuffled, high_shuffled, low_of(shuffled), "_shuffled").drop("purity_high_shuffled"))
     else:
         row = row.withColumns({"overlap_shuffled": F.lit(None).cast("double"), "purity_3d_shuffled": F.lit(None).cast("double")})
     reasons = [

@@ -9,7 +9,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,8 +27,6 @@ LIST_DIMS = 8
 LIST_MIN = 4 * BLOCK
 #: Rows of a list, lists, and rows that the lists' centres are fitted on, at most.
 LIST_ROWS, MAX_LISTS, LIST_SAMPLE = 2048, 4096, 20_000
-#: Rows of a block where ranks are counted, 128 rows at a time.
-RANK_BLOCK = 8192
 
 _FOUND = "row_id long, neighbor_id long, score double"
 
@@ -281,63 +278,6 @@ def chance_level(labels: DataFrame) -> DataFrame:
     return sizes.agg((F.sum(F.pow(F.col("count").cast("double"), 2.0)) / F.pow(F.sum("count").cast("double"), 2.0)).alias("chance"))
 
 
-def trustworthiness(df: DataFrame, k: int, id_col: str, high_col: str, low_col: str, *, cap: int | None = None, seed: int = 0, low: DataFrame | None = None) -> DataFrame:
-    """One row: how far low-dimensional neighbours are neighbours in the original space (Venna and Kaski 2001).
-
-    All rows take part.  Ranks cost the square of the rows, so a caller may ask
-    for a sample: ``cap`` rows chosen by a hash.  ``low`` are the k neighbours in
-    ``low_col`` of all rows, where a caller has them already.  Blocks of rows meet blocks of rows in
-    one task each, which counts what lies before a neighbour; a pair is never a
-    row.  Null for k of half the rows or more.
-    """
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(high_col).cast("array<double>").alias("high"), F.col(low_col).alias("low"))
-    if cap is not None:
-        rows = rows.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit("trust"), F.col("id").cast("string"))), "id").limit(cap)
-    rows = materialise(rows, "trust-rows")
-    n = rows.count()
-    empty = df.sparkSession.range(1).select(F.lit(None).cast("double").alias("trustworthiness"))
-    if n <= k + 1 or 2 * k >= n:
-        return empty
-    blocks = -(-n // RANK_BLOCK)
-    low = (knn(rows, k, "id", "low", metric="euclidean") if low is None or cap is not None else low).select("row_id", "neighbor_id")
-    vectors = rows.select("id", F.col("high").alias("v"))
-    other = low.join(vectors.withColumnsRenamed({"id": "neighbor_id", "v": "w"}), "neighbor_id")
-    near = other.groupBy("row_id").agg(F.collect_list(F.struct("neighbor_id", "w")).alias("near"))
-    asks = near.join(vectors.withColumnRenamed("id", "row_id"), "row_id").select(F.col("row_id").alias("id"), "v", F.col("near.neighbor_id").alias("near"), F.col("near.w").alias("w"))
-
-    def measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for q in batches:
-            apart = [_distances(np.stack([v]), np.stack(w))[0] for v, w in zip(q["v"], q["w"], strict=True)]
-            yield q[["id", "v", "near"]].assign(apart=apart)
-
-    asks = asks.mapInPandas(measured, "id long, v array<double>, near array<long>, apart array<double>")
-    block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = materialise(asks, "trust-near").withColumn("qb", block).withColumn("bb", every)
-    right = vectors.withColumn("bb", block).withColumn("qb", every)
-
-    def before(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if q.empty or b.empty:
-            return pd.DataFrame({"row_id": [], "neighbor_id": [], "before": []}).astype("int64")
-        x, y, ids = np.stack(q["v"].to_numpy()), np.stack(b["v"].to_numpy()), b["id"].to_numpy()
-        own = q["id"].to_numpy()
-        near, apart = np.stack(q["near"].to_numpy()), np.stack(q["apart"].to_numpy())  # all rows have equally many
-        count = np.zeros(near.shape, np.int64)
-        for start in range(0, len(q), 128):
-            part = slice(start, start + 128)
-            far = _distances(x[part], y)
-            far[own[part, None] == ids[None, :]] = np.inf  # a row is not before its neighbours
-            for c in range(near.shape[1]):
-                d = apart[part, c, None]
-                count[part, c] = ((far < d) | ((far == d) & (ids[None, :] < near[part, c, None]))).sum(axis=1)
-        return pd.DataFrame({"row_id": np.repeat(own, near.shape[1]), "neighbor_id": near.ravel(), "before": count.ravel()})
-
-    counted = left.groupBy("qb", "bb").cogroup(right.groupBy("qb", "bb")).applyInPandas(before, "row_id long, neighbor_id long, before long")
-    ranks = counted.groupBy("row_id", "neighbor_id").agg((F.sum("before") + 1).alias("rank"))
-    beyond = F.coalesce(F.sum(F.greatest(F.col("rank") - k, F.lit(0))), F.lit(0))
-    return ranks.agg((1 - beyond * 2.0 / (n * k * (2.0 * n - 3.0 * k - 1.0))).alias("trustworthiness"))
-
-
 def shuffle_columns(df: DataFrame, id_col: str, vector_col: str, seed: int = 0) -> DataFrame:
     """(id, vector) with every dimension permuted by itself: marginals stay, structure goes.
 

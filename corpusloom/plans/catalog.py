@@ -14,8 +14,8 @@ from pyspark.sql.window import Window
 from corpusloom.functions import coords as C
 from corpusloom.functions import text as T
 from corpusloom.functions import vectors as V
-from corpusloom.operators import curation, gate, neighbors, placement, reduce, rows, search
-from corpusloom.sources import artifacts, metadata, synthetic
+from corpusloom.operators import curation, descent, facets, gate, neighbors, placement, ranks, reduce, rows, search, text_index
+from corpusloom.sources import artifacts, csv_ranges, metadata, synthetic
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -112,6 +112,15 @@ def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbors.knn(e, 12, "row_id", "embedding", queries=e.where("row_id % 100 = 0"))
 
 
+@query("SELECT count(*) * 10 AS edges, count(*) AS rows, true AS enough FROM embeddings")
+def knn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges of the graph by descent, and whether it has 0.95 of the exact neighbours or more, in blocks small enough to need descent."""
+    e = points(spark, sf_dir)
+    near = descent.descent_knn(e, 10, "row_id", "embedding", block=64)
+    recall = neighbors.overlap(neighbors.knn(e, 10, "row_id", "embedding"), near, 10)
+    return near.agg(F.count("*").alias("edges"), F.count_distinct("row_id").alias("rows")).crossJoin(recall).select("edges", "rows", (F.col("overlap") >= 0.95).alias("enough"))
+
+
 @query(f"SELECT round({CHANCE}, 9) AS chance")
 def chance_level(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbors.chance_level(points(spark, sf_dir)).select(F.round("chance", 9).alias("chance"))
@@ -134,7 +143,7 @@ def label_purity_3d(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT round(1 - 2.0 / (n * 5 * (2.0 * n - 3 * 5 - 1)) * (SELECT coalesce(sum(r.rank - 5), 0) FROM low JOIN r ON low.row_id = r.row_id AND low.neighbor_id = r.neighbor_id WHERE r.rank > 5), 6) AS trustworthiness FROM n""")
 def trustworthiness(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = points(spark, sf_dir).withColumn("c", F.array("x", "y", "z"))
-    return neighbors.trustworthiness(p, 5, "row_id", "embedding", "c", cap=None).select(F.round("trustworthiness", 6).alias("trustworthiness"))
+    return ranks.trustworthiness(p, 5, "row_id", "embedding", "c", cap=None).select(F.round("trustworthiness", 6).alias("trustworthiness"))
 
 
 SHUFFLED = """vals AS (SELECT vec_id AS row_id, generate_subscripts(embedding, 1) - 1 AS dim, unnest(embedding)::DOUBLE AS value FROM embeddings),
@@ -381,6 +390,33 @@ def keyword_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.keyword_search(d, "  LICENSE ", F.col("t"), order="doc_id").select("doc_id")
 
 
+@query("SELECT doc_id FROM documents WHERE contains(lower(text), 'all rights') OR contains(lower(source), 'all rights') ORDER BY doc_id LIMIT 5000")
+def keyword_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The search by trigrams; the index is written first."""
+    d = table(spark, sf_dir, "documents").select("doc_id", T.record_text([F.col(c) for c in ("source", "text")]).alias("t"))
+    path = f"{rows.run_dir(spark)}/trigrams-{uuid.uuid4().hex}"
+    text_index.build(d, F.col("t"), path, "doc_id")
+    return text_index.search(spark, path, " All Rights", F.col("t"), order="doc_id").select("doc_id")
+
+
+@query("SELECT 'source' AS facet, source AS value, count(*) AS n FROM documents WHERE lang = 'de' GROUP BY source UNION ALL SELECT 'size', (n_chars // 1000)::VARCHAR, count(*) FROM documents WHERE lang = 'de' GROUP BY ALL")
+def facet_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many rows each value of the open facets would leave, under the choice of one."""
+    d = table(spark, sf_dir, "documents").withColumn("size", F.expr("n_chars div 1000"))
+    index = rows.materialise(facets.build(d, ["lang", "source", "size"], "doc_id"), "facet-bitmaps")
+    return facets.counts(index, {"lang": "de", "source": None})
+
+
+@query("SELECT lang, source, count(*) AS n, sum(doc_id)::BIGINT AS ids FROM documents GROUP BY lang, source")
+def facet_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of every combination of two facets, counted by bitmaps, and the ids that one filter by bitmaps leaves of each language."""
+    d = table(spark, sf_dir, "documents")
+    index = rows.materialise(facets.build(d, ["lang", "source"], "doc_id"), "facet-bitmaps")
+    left = facets.filter_rows(d, facets.selected(index, {}), "doc_id").groupBy("lang", "source").agg(F.sum("doc_id").alias("ids"))
+    n = facets.pair_counts(index, "lang", "source")
+    return n.join(left, n["lang"].eqNullSafe(left["lang"]) & n["source"].eqNullSafe(left["source"])).select(n["lang"], n["source"], "n", "ids")
+
+
 @query("SELECT doc_id, (CASE WHEN lang = 'en' THEN 1 ELSE 0 END) + (CASE WHEN contains(text, 'license') THEN 2 ELSE 0 END) + (CASE WHEN doc_id = 5 THEN 4 ELSE 0 END) + (CASE WHEN doc_id % 7 = 0 THEN 8 ELSE 0 END) AS flags FROM documents")
 def point_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
@@ -476,6 +512,17 @@ def csv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metadata_csv(spark, sf_dir)
 
 
+@query("SELECT doc_id::VARCHAR AS doc_id, coalesce(lang, '') AS lang, md5(coalesce(text, '')) AS text, coalesce(source, '') AS source, coalesce(n_chars::VARCHAR, '') AS n_chars FROM documents")
+def csv_in_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as CSV, with line ends and quotes in their texts, read in ranges of 64 KB."""
+    names = ["doc_id", "lang", "text", "source", "n_chars"]
+    path = f"{rows.run_dir(spark)}/documents-csv-{uuid.uuid4().hex}"
+    options = {"header": True, "quoteAll": True, "escape": '"', "emptyValue": "", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    table(spark, sf_dir, "documents").select(*[F.col(c).cast("string") for c in names]).write.options(**options).csv(path)
+    found = csv_ranges.scan(spark, path, 1 << 16).select(*[F.coalesce(c, F.lit("")).alias(c) for c in names])
+    return found.withColumn("text", F.md5("text"))
+
+
 @query(f"""WITH {RAW_SQL}, d AS (SELECT p_partkey AS k, object_id, coalesce(title, '') AS title, coalesce(department, '{T.UNKNOWN}') AS department, split_part(culture, '|', 1) AS culture, split_part(classification, '|', 1) AS classification,
         nullif(try_cast(begin_date AS BIGINT), 0) AS y, coalesce(period, '{T.UNKNOWN}') AS per, lower(coalesce(title, '') || '|' || coalesce(artist, '') || '|' || coalesce(object_date, '') || '|' || medium) AS dk FROM raw WHERE is_public_domain = 'True'),
     p AS (SELECT *, CASE WHEN y < -500 THEN '{T.PERIOD_EARLY}' WHEN y < 0 THEN '{T.PERIOD_BEFORE}' WHEN y > 0 THEN (floor(y / 100) + 1)::BIGINT || '{T.PERIOD_CENTURY}' ELSE per END AS period FROM d WHERE title <> ''),
@@ -561,12 +608,3 @@ def umap_project(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(None)
 def stub_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select("item_id", synthetic.stub_encoder(16)("text").alias("embedding"))
-
-
-@query(None)
-def synthetic_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clusters that are there: the gate has to pass."""
-    e = rows.materialise(synthetic.make_embeddings(spark, 400, 32, 4, seed=3, spread=0.25), "synthetic")
-    layout = lambda x: reduce.apply_pca(x, reduce.fit_pca(x, "embedding", 3), "embedding", "coords")
-    mixed = rows.materialise(neighbors.shuffle_columns(e, "row_id", "embedding"), "shuffled").join(e.select("row_id", "label"), "row_id")
-    return gate.run_gate(layout(e), layout(mixed))

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.sources import csv_ranges
+
 # The columns that are read, and their names from then on.
 COLUMNS = {
     "Object ID": "object_id",
@@ -37,18 +40,17 @@ class SourceError(RuntimeError):
 def read_metadata(spark: SparkSession, path: str) -> DataFrame:
     """The fifteen text columns of the metadata CSV and ``src_ord``, which ascends in file order.
 
-    Columns are chosen by name and nothing is inferred, so the scan is pruned.
-    Records may span lines, so a file is one partition: split large exports into
-    several files.
+    Columns are chosen by name and nothing is inferred.  Records may span lines;
+    each byte range of a file is a task (``csv_ranges``).  src_ord has no gaps.
     """
     try:
-        rows = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
-    except Exception as e:
+        rows = csv_ranges.scan(spark, path)
+    except AnalysisException as e:
         raise SourceError(f"no metadata at {path}") from e
     if missing := [c for c in COLUMNS if c not in rows.columns]:
         raise SourceError(f"columns are missing: {', '.join(missing)}")
     chosen = [F.when(~F.col(f"`{c}`").isin(*NULLS), F.col(f"`{c}`")).alias(n) for c, n in COLUMNS.items()]
-    return rows.select(F.monotonically_increasing_id().alias("src_ord"), *chosen)
+    return rows.select("src_ord", *chosen)
 
 
 def write_corpus(df: DataFrame, path: str) -> None:

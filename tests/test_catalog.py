@@ -4,7 +4,9 @@ import duckdb
 import numpy as np
 import pytest
 
+from corpusloom.operators import gate, neighbors, reduce, rows
 from corpusloom.plans.catalog import CATALOG
+from corpusloom.sources import synthetic
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -36,16 +38,16 @@ def test_equals_sql(spark, duck, name):
 
 
 def test_gate_passes_where_clusters_are(spark):
-    row = CATALOG["synthetic_gate"].run(spark, SF).first()
+    e = rows.materialise(synthetic.make_embeddings(spark, 400, 32, 4, seed=3, spread=0.25), "synthetic")
+    layout = lambda x: reduce.apply_pca(x, reduce.fit_pca(x, "embedding", 3), "embedding", "coords")
+    mixed = rows.materialise(neighbors.shuffle_columns(e, "row_id", "embedding"), "shuffled").join(e.select("row_id", "label"), "row_id")
+    row = gate.run_gate(layout(e), layout(mixed)).first()
     assert row["passed"] and row["reasons"] == [] and row["purity_3d"] > 0.9 and row["purity_3d_shuffled"] < 0.45
 
 
 def test_layouts(spark, tmp_path):
     from pyspark.sql import functions as F
 
-    from corpusloom.operators import neighbors, reduce
-    from corpusloom.sources import synthetic
-
     e = synthetic.make_embeddings(spark, 300, 24, 4, seed=5, spread=0.3)
     layout, state = reduce.project(e, "row_id", "embedding", 10, reduce.UmapSpec(neighbors=12, epochs=80))
     near = neighbors.knn(layout.withColumn("c", F.array("x", "y", "z")), 10, "row_id", "c", metric="euclidean")

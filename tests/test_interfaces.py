@@ -75,9 +75,11 @@ def test_service_describes_itself_and_serves_its_files(spark, tmp_path):
 
 def test_coded_links():
     state = {"camera": [1.0, 2.5, -3.0], "target": [0.0, 0.12, 9.0], "selected": 7, "query": "a & b", "filters": {"lang": 2, "source": 0}}
-    assert url_state.read_coded("#" + url_state.write_coded(state)) == state
-    assert url_state.write_coded({"selected": -1, "filters": {"lang": -1}}) == "" and url_state.read_coded("") == {}
-    assert url_state.read_coded("c=1,2,x,4,5,6&s=z&q=&f=lang:x,:3,a:1") == {"filters": {"a": 1}}
+    empty = {"camera": None, "selected": None, "query": "", "filters": {}}
+    assert url_state.read("#" + url_state.write(state, url_state.CODED), url_state.CODED) == state
+    assert url_state.write({"selected": -1, "filters": {"lang": -1}}, url_state.CODED) == "" and url_state.read("", url_state.CODED) == empty
+    assert url_state.read("c=1,2,x,4,5,6&s=z&q=&f=lang:x,:3,a:1", url_state.CODED) == empty | {"filters": {"a": 1}}
+    assert url_state.read("c=1%2C2%2C3%2C4%2C5%2C6&s=4&f=lang%3A2", url_state.CODED) == empty | {"camera": [1, 2, 3], "target": [4, 5, 6], "selected": 4, "filters": {"lang": 2}}
 
 
 def test_centre_square():

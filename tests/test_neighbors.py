@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.operators import gate, neighbors
+from corpusloom.operators import gate, neighbors, ranks
 from corpusloom.sources import synthetic
 
 
@@ -91,5 +91,5 @@ def test_shuffled_columns_keep_their_values(spark):
 def test_the_gate_reuses_neighbours(spark):
     e = synthetic.make_embeddings(spark, 200, 12, 4, seed=2, spread=0.3).withColumn("coords", F.slice("embedding", 1, 3))
     low = neighbors.knn(e, 10, "row_id", "coords", metric="euclidean")
-    one, two = (neighbors.trustworthiness(e, 10, "row_id", "embedding", "coords", low=x).first()[0] for x in (None, low))
+    one, two = (ranks.trustworthiness(e, 10, "row_id", "embedding", "coords", low=x).first()[0] for x in (None, low))
     assert one == two and gate.run_gate(e, spec=gate.GateSpec(k=10)).first()["trustworthiness"] == one

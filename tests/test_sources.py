@@ -146,9 +146,12 @@ def test_service_agrees_with_the_batch_operator(spark, tmp_path):
             return x.code, json.loads(x.read())
 
     with urllib.request.urlopen(url + "/health") as a:
-        assert json.loads(a.read()) == {"status": "ok", "n": 200, "stub": True}
+        told = json.loads(a.read())
+    assert told == {"status": "ok", "n": 200, "stub": True, "model": "stub", "dim": 16, "run": tmp_path.name, "space": "embeddings", "corpus": told["corpus"]}
     status, one = post(json.dumps({"prompt": " Hello "}).encode())
     assert status == 200 and one["stub"] and post(json.dumps({"prompt": "hello"}).encode())[1]["neighbors"] == one["neighbors"]
+    status, same = post(json.dumps({"text": "Hello"}).encode(), "/prompt/")
+    assert status == 200 and same["neighbors"] == one["neighbors"] and (same["text"], same["model"]) == ("Hello", "stub")
     assert [post(b)[0] for b in (b"no json", b"{}", b'{"prompt": " "}', b"[1]")] == [400] * 4 and post(b"{}", "/other")[0] == 404
     server.shutdown()
     coords = spark.createDataFrame([(i, *map(float, c)) for i, c in enumerate(s.coords)], "row_id long, x double, y double, z double")
