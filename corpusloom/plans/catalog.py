@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpusloom.functions import coords as C
+from corpusloom.functions import picking
 from corpusloom.functions import text as T
 from corpusloom.functions import vectors as V
-from corpusloom.operators import curation, descent, facets, gate, neighbors, placement, ranks, reduce, rows, search, text_index
+from corpusloom.operators import curation, descent, facets, gate, moments, neighbors, placement, ranks, reduce, rows, search, text_index
 from corpusloom.sources import artifacts, csv_ranges, metadata, synthetic
+from corpusloom.streaming import journal
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -417,6 +419,30 @@ def facet_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.join(left, n["lang"].eqNullSafe(left["lang"]) & n["source"].eqNullSafe(left["source"])).select(n["lang"], n["source"], "n", "ids")
 
 
+CAMERA = picking.times(picking.perspective(60, 1.5, 0.1, 100), picking.look_at([0.4, 0.3, 0.5], [0.0, 0.0, 0.0]))
+
+
+def _sql_clip(i: int) -> str:
+    return f"(x * {CAMERA[i][0]!r} + y * {CAMERA[i][1]!r} + z * {CAMERA[i][2]!r} + {CAMERA[i][3]!r})"
+
+
+@query(f"""WITH {POINT}, c AS (SELECT row_id, {_sql_clip(3)} AS w, {_sql_clip(0)} AS cx, {_sql_clip(1)} AS cy, {_sql_clip(2)} AS cz FROM p),
+    s AS (SELECT row_id, cx / w AS cx, cy / w AS cy, cz / w AS depth FROM c WHERE w > 0), v AS (SELECT floor((cx + 1) / 2 * 900 / 60)::INT AS cell_x, floor((1 - cy) / 2 * 600 / 60)::INT AS cell_y, depth, row_id FROM s WHERE greatest(abs(cx), abs(cy), abs(depth)) <= 1)
+    SELECT cell_x, cell_y, arg_min(row_id, depth) AS id, count(*) AS n FROM v GROUP BY cell_x, cell_y""")
+def screen_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest point in each cell of a screen, as a camera inside the layout sees it."""
+    return picking.grid_hits(picking.project(points(spark, sf_dir), CAMERA, 900, 600), 60)
+
+
+@query("SELECT label AS shard, sum(n)::BIGINT AS n, round(sum(v), 6) AS spread FROM (SELECT label, d, count(*) FILTER (d = 1) AS n, var_pop(x) AS v FROM (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS d FROM embeddings) GROUP BY label, d) GROUP BY label")
+def shard_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows and total variance of every shard, from the state that principal components are computed from."""
+    e = table(spark, sf_dir, "embeddings")
+    dims = F.sequence(F.lit(0), F.size("mean") - 1)
+    trace = F.aggregate(F.transform(dims, lambda k: F.get("scatter", k * (F.size("mean") + 1))), F.lit(0.0), lambda a, b: a + b)
+    return moments.shard_moments(e, "embedding", "label").select("shard", "n", F.round(trace / F.col("n"), 6).alias("spread"))
+
+
 @query("SELECT doc_id, (CASE WHEN lang = 'en' THEN 1 ELSE 0 END) + (CASE WHEN contains(text, 'license') THEN 2 ELSE 0 END) + (CASE WHEN doc_id = 5 THEN 4 ELSE 0 END) + (CASE WHEN doc_id % 7 = 0 THEN 8 ELSE 0 END) AS flags FROM documents")
 def point_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
@@ -552,6 +578,16 @@ def journal_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metadata.read_journal(spark, path)
 
 
+@query("SELECT user_id::VARCHAR AS id, event_type AS status, event_id::VARCHAR AS detail, count(*) FILTER (event_type = 'error') OVER (PARTITION BY user_id) AS tries FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_type DESC, event_id::VARCHAR DESC) = 1")
+def journal_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as journal entries, taken up by a stream with state, a file at a time."""
+    folder = f"{rows.run_dir(spark)}/journal-stream-{uuid.uuid4().hex}"
+    at = F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").alias("at")
+    table(spark, sf_dir, "events").repartitionByRange(4, "event_id").select(F.col("user_id").cast("string").alias("id"), F.col("event_type").alias("status"), F.col("event_id").cast("string").alias("detail"), at).write.json(f"{folder}/in")
+    journal.run(spark, f"{folder}/in", f"{folder}/out", f"{folder}/checkpoint", files_per_batch=1, late="3650 days")
+    return journal.current(spark, f"{folder}/out")
+
+
 def artifact_set(spark: SparkSession, sf_dir: str) -> str:
     """Documents as an artefact set: layout, labels, neighbours, facets and records."""
     d = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text", "n_chars")

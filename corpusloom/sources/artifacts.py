@@ -1,7 +1,9 @@
 """Binary artefacts for a viewer: writing, manifest, verification.
 
-Headerless little-endian arrays in row order.  Packing runs where the rows lie,
-one file part per range of rows; the driver only puts parts together by name.
+Headerless little-endian arrays in row order.  Rows are packed where they lie and
+put at their places of a file by the tasks (``packed``); check sums and compressed
+twins are made by a task for each file, a piece at a time.  The driver writes the
+manifest, last and at once, and never sees the files' content.
 """
 
 from __future__ import annotations
@@ -10,21 +12,26 @@ import gzip
 import hashlib
 import io
 import json
+import os
 import platform
 import shutil
 import subprocess
+import uuid
 from collections.abc import Iterator
 from datetime import UTC, datetime
-from itertools import chain
 from pathlib import Path
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from corpusloom.functions import text as T
 from corpusloom.functions.coords import AXES, BOX, I16, normalize, palette, quantize, spec
+from corpusloom.operators.rows import materialise
+from corpusloom.sources import packed
 
 # File names and limits of the contract.
 COORDS, COLORS, LABELS, NEIGHBORS, EMBEDDINGS, FACETS, TEXT, OFFSETS, MANIFEST = "coords.i16.bin", "colors.u8.bin", "labels.u16.bin", "neighbors.u32.bin", "embeddings.f32.npy", "facets.u8.bin", "text.bin", "text_offsets.u32.bin", "manifest.json"
@@ -39,24 +46,64 @@ class ArtifactError(RuntimeError):
     """An artefact set is incomplete or breaks the contract."""
 
 
-def pack(df: DataFrame, columns: list[str], dtype: str) -> Iterator[bytes]:
-    """The columns (numbers or arrays of them) as rows of a dense array, in order of row_id, part by part."""
+def pieces(df: DataFrame, columns: list[str], dtype: str, head: int = 0) -> DataFrame:
+    """(offset, raw): the columns (numbers or arrays of them) as rows of a dense array, whose row ids are 0, 1, 2, ..."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        after = None
         for batch in batches:
+            if not len(batch):
+                continue
             values = np.column_stack([np.stack(batch[c].to_numpy()) if batch[c].dtype == object else batch[c].to_numpy() for c in columns])
             low, high = (np.iinfo(dtype).min, np.iinfo(dtype).max) if np.dtype(dtype).kind in "iu" else (-np.inf, np.inf)
-            if len(values) and (values.min() < low or values.max() > high):
+            if values.min() < low or values.max() > high:
                 raise ArtifactError(f"{columns} do not fit {dtype}")
-            yield pd.DataFrame({"first": [batch["row_id"].iloc[0]], "raw": [np.ascontiguousarray(values, dtype).tobytes()]})
+            first = int(batch["row_id"].iloc[0])
+            if after not in (None, first) or not np.array_equal(batch["row_id"].to_numpy(), np.arange(first, first + len(batch))):
+                raise ArtifactError("row ids have gaps or repeat")
+            after = first + len(batch)
+            yield pd.DataFrame({"offset": [head + first * values.shape[1] * np.dtype(dtype).itemsize], "raw": [np.ascontiguousarray(values, dtype).tobytes()]})
 
-    parts = df.select("row_id", *columns).repartitionByRange("row_id").sortWithinPartitions("row_id").mapInPandas(run, "first long, raw binary").orderBy("first")
-    for row in parts.toLocalIterator():
-        yield bytes(row["raw"])
+    return df.select("row_id", *columns).repartitionByRange("row_id").sortWithinPartitions("row_id").mapInPandas(run, packed.PIECES)
+
+
+def digest(path: str | Path) -> str:
+    with open(path, "rb") as f:
+        return hashlib.file_digest(f, "sha256").hexdigest()
+
+
+def compress(path: Path) -> dict:
+    """A compressed twin where that saves enough; a stale one is removed."""
+    twin = path.with_name(f"{path.name}.gz")
+    twin.unlink(missing_ok=True)
+    size = path.stat().st_size
+    if size >= GZIP_MIN_BYTES:
+        part = path.with_name(f"{path.name}.gz.part-{uuid.uuid4().hex}")  # of this attempt
+        with open(path, "rb") as raw, open(part, "wb") as out, gzip.GzipFile("", "wb", 6, out, mtime=0) as z:
+            shutil.copyfileobj(raw, z, CHUNK)
+        zipped = part.stat().st_size
+        if zipped <= size * (1 - GZIP_MIN_SAVING):
+            part.replace(twin)
+            return {"gzip_bytes": zipped, "gzip_sha256": digest(twin)}
+        part.unlink()
+    return {"gzip_bytes": None, "gzip_sha256": None}
+
+
+def examined(spark: SparkSession, folder: str, names: list[str], twins: bool) -> DataFrame:
+    """(name, bytes, sha256, gzip_bytes, gzip_sha256) of the files that exist, a task each; ``twins``: compressed ones are made."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for name in batch["name"]:
+                path = Path(folder) / name
+                if path.exists():
+                    yield pd.DataFrame([{"name": name, "bytes": path.stat().st_size, "sha256": digest(path), "gzip_bytes": None, "gzip_sha256": None} | (compress(path) if twins else {})])
+
+    return spark.createDataFrame([(n,) for n in names], "name string").repartition(max(1, len(names)), "name").mapInPandas(run, "name string, bytes long, sha256 string, gzip_bytes long, gzip_sha256 string")
 
 
 class ArtifactWriter:
-    """Writes one artefact set into a folder of the driver, and its manifest last."""
+    """Writes one artefact set into a folder that driver and tasks share, and its manifest last."""
 
     def __init__(self, folder: str | Path, n: int):
         self.folder, self.n = Path(folder), n
@@ -64,37 +111,25 @@ class ArtifactWriter:
         self.meta: dict = {}
         self.folder.mkdir(parents=True, exist_ok=True)
 
-    def _write(self, name: str, parts: Iterator[bytes], dtype: str, width: tuple[int, ...], rows: int | None = None) -> None:
-        rows = self.n if rows is None else rows
-        digest, size = hashlib.sha256(), 0
-        with open(self.folder / name, "wb") as f:
-            for part in parts:
-                f.write(part)
-                digest.update(part)
-                size += len(part)
-        if dtype and size != rows * int(np.prod(width, dtype=int)) * np.dtype(dtype).itemsize:
-            raise ArtifactError(f"{name} has {size} bytes, which are not {rows} rows")
-        self.files.append({"name": name, "dtype": dtype, "shape": [rows, *width], "bytes": size, "sha256": digest.hexdigest(), **self._gzip(name)})
-
-    def _gzip(self, name: str) -> dict:
-        """A compressed twin where that saves enough; a stale one is removed."""
-        twin = self.folder / f"{name}.gz"
-        twin.unlink(missing_ok=True)
-        size = (self.folder / name).stat().st_size
-        if size >= GZIP_MIN_BYTES:
-            with open(self.folder / name, "rb") as raw, open(twin, "wb") as out, gzip.GzipFile("", "wb", 6, out, mtime=0) as z:
-                shutil.copyfileobj(raw, z, CHUNK)
-            packed = twin.stat().st_size
-            if packed <= size * (1 - GZIP_MIN_SAVING):
-                with open(twin, "rb") as f:
-                    return {"gzip_bytes": packed, "gzip_sha256": hashlib.file_digest(f, "sha256").hexdigest()}
-            twin.unlink()
-        return {"gzip_bytes": None, "gzip_sha256": None}
+    def _listed(self, name: str, dtype: str, width: tuple[int, ...], rows: int | None = None) -> None:
+        self.files.append({"name": name, "dtype": dtype, "shape": [self.n if rows is None else rows, *width]})
+
+    def _put(self, name: str, df: DataFrame, columns: list[str], dtype: str, width: tuple[int, ...]) -> None:
+        """An array with a row for each row id; the manifest's entry is completed at the end."""
+        self._place(name, pieces(df, columns, dtype), self.n * int(np.prod(width, dtype=int)) * np.dtype(dtype).itemsize, df.sparkSession)
+        self._listed(name, dtype, width)
+
+    def _place(self, name: str, parts: DataFrame, size: int, spark: SparkSession, head: bytes = b"") -> None:
+        self.spark = spark
+        try:
+            packed.write_pieces(parts, str(self.folder / name), size, head)
+        except PySparkException as e:
+            raise ArtifactError(f"{name} is not written: {e}") from e
 
     def add_coords(self, df: DataFrame, box: float = BOX) -> None:
         flat = normalize(df.select("row_id", *AXES), box)
         one = spec(flat).first()
-        self._write(COORDS, pack(quantize(flat).withColumn("pad", F.lit(0).cast("short")), ["qx", "qy", "qz", "pad"], "<i2"), "<i2", (4,))
+        self._put(COORDS, quantize(flat).withColumn("pad", F.lit(0).cast("short")), ["qx", "qy", "qz", "pad"], "<i2", (4,))
         self.meta["coords"] = {n: [one[f"{n}_{a}"] for a in AXES] for n in ("offset", "half", "min", "max")} | {"radius": one["radius"], "box": box, "i16_scale": I16, "coord_stride": 4, "color_stride": 4}
 
     def add_labels(self, df: DataFrame, label: str) -> None:
@@ -102,22 +137,22 @@ class ArtifactWriter:
         if len(names) > MAX_LABELS:
             raise ArtifactError(f"{label} has more than {MAX_LABELS} values")
         coded = T.label_encode(df.select("row_id", label), label, "code")
-        self._write(LABELS, pack(coded, ["code"], "<u2"), "<u2", ())
-        self._write(COLORS, pack(coded.select("row_id", *palette(F.col("code"))), ["r", "g", "b", "a"], "<u1"), "<u1", (4,))
+        self._put(LABELS, coded, ["code"], "<u2", ())
+        self._put(COLORS, coded.select("row_id", *palette(F.col("code"))), ["r", "g", "b", "a"], "<u1", (4,))
         self.meta["label_names"] = names
 
     def add_neighbors(self, neighbors: DataFrame, k: int) -> None:
         lists = neighbors.groupBy("row_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "neighbor_id"))), lambda s: s["neighbor_id"]).alias("n"))
-        self._write(NEIGHBORS, pack(lists, ["n"], "<u4"), "<u4", (k,))
+        self._put(NEIGHBORS, lists, ["n"], "<u4", (k,))
 
     def add_embeddings(self, df: DataFrame, vector_col: str, origin: str) -> None:
         """The vectors as a NumPy file; where they come from goes with them into the manifest."""
         dim = df.select(F.size(vector_col)).first()[0]
         head = io.BytesIO()
         np.lib.format.write_array_header_1_0(head, {"descr": "<f4", "fortran_order": False, "shape": (self.n, dim)})
-        self._write(EMBEDDINGS, chain([head.getvalue()], pack(df, [vector_col], "<f4")), "", (dim,))
-        if self.files[-1]["bytes"] != len(head.getvalue()) + self.n * dim * 4:
-            raise ArtifactError(f"{EMBEDDINGS} does not hold {self.n} rows")
+        first = head.getvalue()
+        self._place(EMBEDDINGS, pieces(df, [vector_col], "<f4", len(first)), len(first) + self.n * dim * 4, df.sparkSession, first)
+        self._listed(EMBEDDINGS, "", (dim,))
         self.meta["embeddings"] = {"origin": origin, "dim": dim}
 
     def add_metadata(self, df: DataFrame, facets: list[str], fields: list[str]) -> None:
@@ -130,34 +165,38 @@ class ArtifactWriter:
                 raise ArtifactError(f"{facet} has more than {MAX_VALUES} values; cap it first")
             values[facet] = found
             df = T.label_encode(df, facet, f"code_{facet}")
-        self._write(FACETS, pack(df, [f"code_{f}" for f in facets], "<u1"), "<u1", (len(facets),))
+        self._put(FACETS, df, [f"code_{f}" for f in facets], "<u1", (len(facets),))
         record = df.select("row_id", T.record_text([T.collapse(F.col(c)) for c in fields]).alias("t"))
-        sizes = [np.zeros(1, np.int64)]  # eight bytes a record on the driver
-
-        def joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                raw = [t.encode() for t in batch["t"]]
-                yield pd.DataFrame({"first": [batch["row_id"].iloc[0]], "raw": [b"".join(raw)], "sizes": [np.array([*map(len, raw)], "<i8").tobytes()]})
-
-        def texts() -> Iterator[bytes]:
-            parts = record.repartitionByRange("row_id").sortWithinPartitions("row_id").mapInPandas(joined, "first long, raw binary, sizes binary")
-            for row in parts.orderBy("first").toLocalIterator():
-                sizes.append(np.frombuffer(bytes(row["sizes"]), "<i8"))
-                yield bytes(row["raw"])
-
-        self._write(TEXT, texts(), "", ())
-        ends = np.cumsum(np.concatenate(sizes))
-        if ends[-1] > np.iinfo("<u4").max:
+        spark = df.sparkSession
+        # written once, so that the parts of the prefix sums are those of the pieces
+        texts = materialise(record.repartitionByRange("row_id").sortWithinPartitions("row_id").select("row_id", F.encode("t", "UTF-8").alias("raw"), F.spark_partition_id().alias("part")), "records")
+        totals = texts.groupBy("part").agg(F.sum(F.octet_length("raw")).alias("size"))
+        before = totals.select("part", F.coalesce(F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # a row for each part
+        total = totals.agg(F.sum("size")).first()[0] or 0
+        if total > np.iinfo("<u4").max:
             raise ArtifactError(f"{TEXT} is too long for {OFFSETS}")
-        self._write(OFFSETS, iter([ends.astype("<u4").tobytes()]), "<u4", (), self.n + 1)
+        # sums within a part, which a sort of the part gives, and of the parts before it
+        inside = Window.partitionBy("part").orderBy("row_id").rowsBetween(Window.unboundedPreceding, -1)
+        placed = texts.withColumn("start", F.coalesce(F.sum(F.octet_length("raw")).over(inside), F.lit(0))).join(F.broadcast(before), "part").select("row_id", "raw", (F.col("start") + F.col("before")).alias("start"))
+        placed = materialise(placed, "placed-records")
+        self._place(TEXT, placed.select(F.col("start").alias("offset"), "raw"), total, spark)
+        self._listed(TEXT, "", ())
+        ends = placed.select((F.col("row_id") + 1).alias("row_id"), (F.col("start") + F.octet_length("raw")).alias("end")).unionByName(spark.range(1).select(F.lit(0).cast("long").alias("row_id"), F.lit(0).cast("long").alias("end")))
+        self._place(OFFSETS, pieces(ends, ["end"], "<u4"), (self.n + 1) * 4, spark)
+        self._listed(OFFSETS, "<u4", (), self.n + 1)
         self.meta["metadata"] = {"facet_fields": facets, "facet_values": values, "text_fields": fields, "field_separator": T.FIELD_SEPARATOR, "record_separator": T.RECORD_SEPARATOR}
 
     def finish(self, **parts) -> dict:
+        """The manifest: written beside the files under another name and renamed at once, when all files are there."""
+        found = {r["name"]: r for r in examined(self.spark, str(self.folder), [f["name"] for f in self.files], True).collect()} if self.files else {}
         for f in self.files:
-            if f["name"] not in (OFFSETS, TEXT, EMBEDDINGS) and f["shape"][0] != self.n:
-                raise ArtifactError(f"{f['name']} has {f['shape'][0]} rows of {self.n}")
+            if f["name"] not in found:
+                raise ArtifactError(f"{f['name']} is missing")
+            f |= {c: found[f["name"]][c] for c in ("bytes", "sha256", "gzip_bytes", "gzip_sha256")}
         manifest = {"schema_version": SCHEMA_VERSION, "created_at": datetime.now(UTC).isoformat(timespec="seconds"), "n": self.n, **self.meta, **parts, "files": self.files, "provenance": provenance()}
-        (self.folder / MANIFEST).write_text(json.dumps(manifest, indent=2, ensure_ascii=False), encoding="utf-8")
+        part = self.folder / f"{MANIFEST}.part"
+        part.write_text(json.dumps(manifest, indent=2, ensure_ascii=False), encoding="utf-8")
+        part.replace(self.folder / MANIFEST)
         return manifest
 
 
@@ -198,44 +237,44 @@ def load(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     def table(name: str, columns: str, decode) -> DataFrame:
         shape, dtype = tuple(listed[name]["shape"]), listed[name]["dtype"]
 
+        width = int(np.prod(shape[1:], dtype=int)) * np.dtype(dtype).itemsize
+        size = os.path.getsize(f"{folder}/{name}")
+        if size != shape[0] * width:
+            raise ArtifactError(f"{name} has {size} bytes, not {shape}")
+
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                for raw in batch["content"]:
-                    values = np.frombuffer(raw, dtype)
-                    if values.size != int(np.prod(shape)):
-                        raise ArtifactError(f"{name} has {values.size} elements, not {shape}")
-                    yield decode(values.reshape(shape))
+                for first, raw in zip(batch["first"], batch["raw"], strict=True):
+                    yield decode(np.frombuffer(raw, dtype).reshape(-1, *shape[1:]), first)
 
-        return spark.read.format("binaryFile").load(f"{folder}/{name}").select("content").mapInPandas(run, f"row_id long, {columns}")
+        return packed.read_rows(spark, f"{folder}/{name}", width, shape[0]).mapInPandas(run, f"row_id long, {columns}")
 
-    def frame(values: dict) -> pd.DataFrame:
-        return pd.DataFrame({"row_id": np.arange(len(next(iter(values.values())))), **values})
+    def frame(values: dict, first: int) -> pd.DataFrame:
+        return pd.DataFrame({"row_id": np.arange(first, first + len(next(iter(values.values())))), **values})
 
-    points = table(COORDS, "x double, y double, z double", lambda q: frame({a: q[:, k] / c["i16_scale"] * c["half"][k] + c["offset"][k] for k, a in enumerate(AXES)}))
+    points = table(COORDS, "x double, y double, z double", lambda q, first: frame({a: q[:, k] / c["i16_scale"] * c["half"][k] + c["offset"][k] for k, a in enumerate(AXES)}, first))
     if LABELS in listed:
         names = np.array(manifest["label_names"], object)
-        points = points.join(table(LABELS, "label string", lambda q: frame({"label": names[q]})), "row_id")
+        points = points.join(table(LABELS, "label string", lambda q, first: frame({"label": names[q]}, first)), "row_id")
     out = {}
     if FACETS in listed:
         meta = manifest["metadata"]
         values = [(f"facet_{f}", np.array(meta["facet_values"][f], object)) for f in meta["facet_fields"]]
-        points = points.join(table(FACETS, ", ".join(f"`{n}` string" for n, _ in values), lambda q: frame({n: v[q[:, k]] for k, (n, v) in enumerate(values)})), "row_id")
-        # records carry no separators inside, so the block can be cut without the offsets
-        blob = spark.read.format("binaryFile").load(f"{folder}/{TEXT}").select(F.posexplode(F.split(F.col("content").cast("string"), T.RECORD_SEPARATOR)).alias("row_id", "r"))
-        out["records"] = blob.where(F.col("row_id") < manifest["n"]).select(F.col("row_id").cast("long").alias("row_id"), *T.record_fields(F.col("r"), meta["text_fields"]))
+        points = points.join(table(FACETS, ", ".join(f"`{n}` string" for n, _ in values), lambda q, first: frame({n: v[q[:, k]] for k, (n, v) in enumerate(values)}, first)), "row_id")
+        record = F.regexp_replace(F.decode("raw", "UTF-8"), f"{T.RECORD_SEPARATOR}$", "")
+        out["records"] = packed.read_records(spark, f"{folder}/{TEXT}", f"{folder}/{OFFSETS}", manifest["n"]).select(F.col("first").alias("row_id"), record.alias("r")).select("row_id", *T.record_fields(F.col("r"), meta["text_fields"]))
     if NEIGHBORS in listed:
         k = listed[NEIGHBORS]["shape"][1]
-        out["neighbors"] = table(NEIGHBORS, "rank int, neighbor_id long", lambda q: pd.DataFrame({"row_id": np.repeat(np.arange(len(q)), k), "rank": np.tile(np.arange(1, k + 1), len(q)), "neighbor_id": q.ravel().astype(np.int64)}))
+        out["neighbors"] = table(NEIGHBORS, "rank int, neighbor_id long", lambda q, first: pd.DataFrame({"row_id": np.repeat(np.arange(first, first + len(q)), k), "rank": np.tile(np.arange(1, k + 1), len(q)), "neighbor_id": q.ravel().astype(np.int64)}))
     return {"points": points, **out}
 
 
 def verify(spark: SparkSession, folder: str) -> DataFrame:
     """(name, problem) for every listed file or compressed twin that is missing, resized, altered or of the wrong length."""
     manifest = read_manifest(folder)
-    # Spark's file listing leaves out empty files
     rows = [(f["name"], int(f["bytes"]), f["sha256"], int(f["shape"][0]) if f["dtype"] and f["name"] != EMBEDDINGS else None, f["name"] == OFFSETS) for f in manifest["files"]]
     rows += [(f["name"] + ".gz", int(f["gzip_bytes"]), f["gzip_sha256"], None, False) for f in manifest["files"] if f["gzip_bytes"] is not None]
     listed = spark.createDataFrame(rows, "name string, bytes long, sha string, rows long, more boolean")
-    there = spark.read.format("binaryFile").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length"), F.sha2("content", 256).alias("found"))
-    problem = F.when(F.col("length").isNull(), F.when(F.col("bytes") > 0, "missing or empty")).when(F.col("length") != F.col("bytes"), "size").when(F.col("found") != F.col("sha"), "checksum").when(F.col("rows") != F.lit(manifest["n"]) + F.col("more").cast("int"), "rows")
+    there = examined(spark, folder, [r[0] for r in rows], False).select("name", F.col("bytes").alias("length"), F.col("sha256").alias("found"))
+    problem = F.when(F.coalesce("length", F.lit(0)) == 0, F.when(F.col("bytes") > 0, "missing or empty")).when(F.col("length") != F.col("bytes"), "size").when(F.col("found") != F.col("sha"), "checksum").when(F.col("rows") != F.lit(manifest["n"]) + F.col("more").cast("int"), "rows")
     return listed.join(there, "name", "left").select("name", problem.alias("problem")).where("problem is not null")

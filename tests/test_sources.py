@@ -1,4 +1,5 @@
 import gzip
+import hashlib
 import json
 import threading
 import urllib.error
@@ -6,12 +7,13 @@ import urllib.request
 
 import numpy as np
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from corpusloom import cli, service
 from corpusloom.functions import url_state
 from corpusloom.operators import embedding, neighbors, placement, search
-from corpusloom.sources import artifacts, fetch, metadata, settings, synthetic
+from corpusloom.sources import artifacts, fetch, metadata, packed, settings, synthetic
 from corpusloom.streaming import ingest
 
 CONFIG = """schema_version = 1
@@ -117,18 +119,42 @@ def test_artifacts_round_trip_and_verify(spark, tmp_path):
 
 
 def test_compressed_twins_and_limits(spark, tmp_path):
-    w = artifacts.ArtifactWriter(tmp_path, 70_000)
     (tmp_path / "old.gz").write_bytes(b"stale")
-    w._write("old", iter([b"short"]), "", ())
-    w._write("zeros", iter([bytes(70_000)]), "<u1", ())
-    w._write("noise", iter([np.random.default_rng(0).bytes(70_000)]), "<u1", ())
-    assert [f["gzip_bytes"] is not None for f in w.files] == [False, True, False] and not (tmp_path / "old.gz").exists()
+    content = {"old": b"short", "zeros": bytes(70_000), "noise": np.random.default_rng(0).bytes(70_000)}
+    for name, raw in content.items():
+        (tmp_path / name).write_bytes(raw)
+    found = {r["name"]: r for r in artifacts.examined(spark, str(tmp_path), [*content, "none"], True).collect()}
+    assert [found[n]["gzip_bytes"] is not None for n in content] == [False, True, False] and "none" not in found and not (tmp_path / "old.gz").exists()
+    assert all(found[n]["sha256"] == hashlib.sha256(raw).hexdigest() for n, raw in content.items())
     assert gzip.decompress((tmp_path / "zeros.gz").read_bytes()) == bytes(70_000)
     many = spark.range(300).select(F.col("id").alias("row_id"), F.col("id").cast("string").alias("f"))
     with pytest.raises(artifacts.ArtifactError):
         artifacts.ArtifactWriter(tmp_path / "b", 300).add_metadata(many, ["f"], ["f"])
-    with pytest.raises(artifacts.ArtifactError):
-        w._write("rows", iter([b"abc"]), "<u2", ())
+    for ids in ([0, 1, 3], [0, 1, 1], [0, 1], [1, 2, 3]):  # gaps, repeats, too few, not from 0
+        w = artifacts.ArtifactWriter(tmp_path / "c", 3)
+        with pytest.raises(artifacts.ArtifactError):
+            w._put("rows", spark.createDataFrame([(i, 5) for i in ids], "row_id long, v int").coalesce(1), ["v"], "<u2", ())
+        assert not (tmp_path / "c" / "rows").exists()
+
+
+def test_files_over_two_gigabytes(spark, tmp_path):
+    """A sparse file: its pieces are read by many tasks, and its check sum by one that holds a piece at a time."""
+    n, width = 2_300_000_000 // 4, 4
+    for wrong in ([(8, b"abcd")], [(8, b"abcd"), (n * width - 3, b"wxyz")], [(-1, b"a")]):
+        with pytest.raises(PySparkException):
+            packed.write_pieces(spark.createDataFrame(wrong, packed.PIECES), str(tmp_path / "big"), n * width)
+        assert [*tmp_path.iterdir()] == []
+    with open(tmp_path / "big", "wb") as f:
+        for at, raw in ((8, b"abcd"), (n * width - 4, b"wxyz")):
+            f.seek(at)
+            f.write(raw)
+    found = packed.read_rows(spark, str(tmp_path / "big"), width, n)
+    assert found.rdd.getNumPartitions() == -(-n * width // packed.PART)
+    ends = found.where((F.col("first") == 0) | (F.col("first") + packed.CHUNK // width >= n)).select("first", F.substring("raw", 1, 12).alias("a"), F.substring("raw", -4, 4).alias("z")).orderBy("first").collect()
+    assert bytes(ends[0]["a"])[8:] == b"abcd" and bytes(ends[-1]["z"]) == b"wxyz"
+    row = artifacts.examined(spark, str(tmp_path), ["big"], False).first()
+    with open(tmp_path / "big", "rb") as f:
+        assert (row["bytes"], row["sha256"]) == (n * width, hashlib.file_digest(f, "sha256").hexdigest())
 
 
 def test_service_agrees_with_the_batch_operator(spark, tmp_path):
