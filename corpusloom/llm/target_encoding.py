@@ -35,7 +35,7 @@ from corpusloom.llm.runtime import materialise, tidy, unused
 from corpusloom.operators.rows import run_dir
 
 #: Rows of a key from which it is cut, chunks of a key, and cut keys of a column, at most.
-CELL, CHUNKS, KEYS = 16_384, 16_384, 4_096
+CELL, CHUNKS, KEYS = 4_096, 16_384, 4_096
 #: Rows that a task sums at a time, before the shuffle and in cells.
 PART = 262_144
 
