@@ -23,6 +23,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, StructType
+from pyspark.sql.window import Window
 
 from corpusloom.llm.runtime import materialise, partitions, unused
 
@@ -48,6 +49,14 @@ STARTERS = (
     "al algunos antes aunque cada como con cuando cuál cuánto cuántos de del desde donde dos durante él el ella ellos en entonces entre era es esa ese esta este esto estos fue ha hasta hay la las lo los más muy ni no nos o para pero por porque pues que qué quién se según ser si sin sobre son su sus también tiene todo todos tras un una uno y ya"
 ).split()
 
+# Frequent small words of German, where every noun has a capital.
+GERMAN = "der|die|das|und|ist|nicht|ein|eine|einem|einen|einer|dem|den|des|mit|von|zu|zum|zur|im|am|auf|für|wird|werden|sich|als|auch|sind|wie|aus|bei|nach"
+#: Of a text's words so many, and so large a part, are GERMAN in a text whose capitals say nothing.
+GERMAN_WORDS, GERMAN_PART = 2, 1 / 8
+
+#: Near diagonals: chained copies may have up to so many tokens inserted or left out at one place.
+SHIFT = 8
+
 _NAME, _UNIT = "\x01", "\x02"
 _WORD = r"\p{L}[\p{L}\p{M}]*"
 # Forms of a text, as bits, since they agree where there are no names or no runs of them: a placeholder for a run of
@@ -61,12 +70,16 @@ def tokens(text: Column) -> Column:
     A run of words of names is one token, its words one space apart.  A capital
     after a lower-case letter, a digit or a comma and one space makes a name;
     elsewhere, as at the start of a sentence, only in words other than STARTERS.
+    In German texts no capital makes a name.
     """
     clean = F.replace(F.replace(text, F.lit(_NAME), F.lit(" ")), F.lit(_UNIT), F.lit(" "))
     starters = "|".join(sorted({w.capitalize() for w in STARTERS}))
     # the rare capital is looked for first
     inside = r"(?<=[\p{Ll}\p{Nd},;] )"
+    small = F.regexp_count(clean, F.lit(rf"(?<![\p{{L}}\p{{M}}])(?:{GERMAN})(?![\p{{L}}\p{{M}}])"))
+    german = (small >= GERMAN_WORDS) & (small >= F.regexp_count(clean, F.lit(r"\p{L}++")) * GERMAN_PART)
     named = F.regexp_replace(clean, rf"(?=\p{{Lu}}\p{{Ll}})(?<![\p{{L}}\p{{M}}\p{{N}}])(?:{inside}|(?!(?:{starters})(?![\p{{L}}\p{{M}}])))", _NAME)
+    named = F.when(german, clean).otherwise(named)
     unit = F.regexp_replace(F.lower(named), rf"([0-9] ?)(?={_NAME}?(?:{UNITS})(?![\p{{L}}\p{{N}}]))", f"$1{_UNIT}")
     return F.regexp_extract_all(unit, F.lit(rf"{_NAME}{_WORD}(?: {_NAME}{_WORD})+|{_NAME}?{_UNIT}?{_NAME}?{_WORD}|[0-9]+(?:[.,][0-9]+)*"), F.lit(0))
 
@@ -155,18 +168,21 @@ def _short_items(keyed: DataFrame, items: DataFrame) -> DataFrame:
         return F.when(F.size(own) >= n, F.transform(F.sequence(F.lit(1), F.size(own) - n + 1), lambda i: F.xxhash64(F.lit(n), F.slice(own, i, F.lit(n))))).otherwise(F.array().cast("array<bigint>"))
 
     hashed = F.transform(F.array(bare(words(tokens(F.col("text"))))), lambda own: F.concat(*[at(own, n) for n in lengths]))[0]
-    hits = keyed.distinct().select("doc_id", "text_key", F.explode(hashed).alias("h")).join(_known(short), "h")
+    # copies of a row give the same places
+    hits = keyed.select("doc_id", "text_key", F.posexplode(hashed).alias("place", "h")).join(_known(short), "h").distinct()
     return hits.groupBy("doc_id", "text_key", "item_id", "item_key").agg(F.count("*").alias("n_copies")).select("doc_id", "text_key", "item_id", "n_copies", F.lit(1.0).alias("covered"), F.lit(True).alias("consistent"))
 
 
-def find_copies(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", *, short_items: bool = False) -> DataFrame:
+def find_copies(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", *, short_items: bool = False, chained: bool = False) -> DataFrame:
     """One row per text and item found in it: doc_id, text_key, item_id, n_copies, covered, consistent.
 
     ``covered`` is the largest part of the item's tokens that one copy covers,
     ``n_copies`` the number of diagonals that count, ``consistent`` whether the
     best copy's slots agree throughout.  Null and empty texts hold nothing.
     Items shorter than a window have no template: with ``short_items`` they are
-    found where a text repeats them word for word, else by nothing.  Texts and
+    found where a text repeats them word for word, else by nothing.  With
+    ``chained`` windows without slots add up over diagonals that are up to SHIFT
+    apart, so that copies with inserted or missing words count.  Texts and
     items of any length are read whole; a place of a text meets every place of
     the benchmark with the same window.  Rows with equal id and text are
     reported once; ``text_key`` (xxhash64 of the text) tells rows with equal ids
@@ -181,14 +197,14 @@ def find_copies(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
     items = items.select("item_id", "item_key", F.explode(forms(F.col("item_raw"), blank)).alias("f")).select("item_id", "item_key", F.col("f.form").alias("item_form"), F.col("f.marked").alias("item_raw"), F.col("f.hashes").alias("hashes"))
     items = materialise(items.withColumn("item_tokens", F.size("item_raw")), "benchmark-tokens")
     at = items.select("item_id", "item_key", "item_form", "item_tokens", "item_raw", F.posexplode("hashes").alias("item_at", "h"))
-    at = materialise(at.select("h", "item_id", "item_key", "item_form", "item_tokens", "item_at", _slots_before(F.col("item_at")).alias("slots_from"), _slots_before(F.col("item_at") + WINDOW).alias("slots_to")), "benchmark-windows")
+    at = materialise(at.select("h", "item_id", "item_key", "item_form", "item_tokens", "item_at", _slots_before(F.col("item_at")).alias("slots_from"), _slots_before(F.col("item_at") + WINDOW).alias("slots_to"), _literal(F.col("item_at")).alias("literal")), "benchmark-windows")
     known = _known(at)
     keyed = _keyed(docs, id_col, text_col)
     hashed = F.transform(forms(tokens(F.col("text")), blank), lambda f: F.struct(f["form"].alias("form"), f["hashes"].alias("hashes")))
     hits = keyed.select("doc_id", "text_key", F.explode(hashed).alias("f")).select("doc_id", "text_key", F.col("f.form").alias("doc_form"), F.posexplode("f.hashes").alias("doc_at", "h")).join(known, "h")
     hits = hits.withColumn("form", F.col("doc_form").bitwiseAND(F.col("item_form"))).where("form <> 0")
     copy = ["doc_id", "text_key", "item_id", "item_key", "item_form", "form", "diagonal"]
-    hits = hits.select(*copy[:-1], "item_tokens", (F.col("doc_at") - F.col("item_at")).alias("diagonal"), "item_at", "slots_from", "slots_to").distinct()
+    hits = hits.select(*copy[:-1], "item_tokens", (F.col("doc_at") - F.col("item_at")).alias("diagonal"), "item_at", "slots_from", "slots_to", "literal").distinct()
     hits = materialise(hits, "benchmark-hits", compact=True)
     full = hits.groupBy(*copy, "item_tokens").agg(F.sort_array(F.collect_list("item_at")).alias("at"), F.sort_array(F.collect_list(F.when(F.col("slots_from") == F.col("slots_to"), F.col("item_at")))).alias("closed"), F.max(F.col("slots_from") < F.col("slots_to")).alias("open"), (F.max("slots_to") > F.min("slots_from")).alias("between"))
     full = full.withColumn("all", _covered(F.col("at"))).where(_counts(F.col("all")))
@@ -228,6 +244,8 @@ def find_copies(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
     best = F.max(F.struct((F.col("covered_tokens") / F.col("item_tokens")).alias("covered"), "consistent"))
     # the forms see the same copies
     of_form = judged.groupBy("doc_id", "text_key", "item_id", "item_key", "item_form", "form").agg(F.count("*").alias("n_copies"), best.alias("best"))
+    if chained:
+        of_form = of_form.unionByName(_chains(hits))
     out = of_form.groupBy("doc_id", "text_key", "item_id", "item_key").agg(F.max("n_copies").alias("n_copies"), F.max("best").alias("best"))
     out = out.select("doc_id", "text_key", "item_id", "n_copies", F.col("best.covered").alias("covered"), F.col("best.consistent").alias("consistent"))
     return out.unionByName(_short_items(keyed, items.where(F.col("item_form").bitwiseAND(F.lit(_RUNS)) != 0))) if short_items else out
@@ -256,6 +274,26 @@ def _longest(at: Column) -> Column:
     return F.aggregate(at, zero, grow, lambda s: s["best"])
 
 
+def _literal(place: Column) -> Column:
+    """Whether a window has no slot: no number or unit, and no name unless the form has names as words."""
+    inside = F.slice("item_raw", place + 1, F.lit(WINDOW))
+    free = F.col("item_form").bitwiseAND(F.lit(_FREE)) != 0
+    return ~F.exists(inside, lambda x: F.when(free, F.translate(x, _NAME, "")).otherwise(x) < "a")
+
+
+def _chains(hits: DataFrame) -> DataFrame:
+    """Copies, as of each form, whose windows without slots lie on several near diagonals."""
+    copy = ["doc_id", "text_key", "item_id", "item_key", "item_form", "form"]
+    literal = hits.where("literal").select(*copy, "item_tokens", "diagonal", "item_at")
+    along = Window.partitionBy(*copy).orderBy("diagonal")
+    bands = literal.select(*copy, "diagonal").distinct().withColumn("new", F.coalesce(F.col("diagonal") - F.lag("diagonal").over(along) > SHIFT, F.lit(True)).cast("int")).withColumn("band", F.sum("new").over(along)).drop("new")
+    joined = _join_null_safe(literal, bands, [*copy, "diagonal"])
+    together = joined.groupBy(*copy, "item_tokens", "band").agg(F.sort_array(F.collect_set("item_at")).alias("at"), F.count_distinct("diagonal").alias("diagonals")).where("diagonals > 1")
+    counted = together.withColumn("all", _covered(F.col("at"))).where(_counts(F.col("all")))
+    best = F.max(F.struct((F.col("all") / F.col("item_tokens")).alias("covered"), F.lit(True).alias("consistent")))
+    return counted.groupBy(*copy).agg(F.count("*").alias("n_copies"), best.alias("best"))
+
+
 def _slots_before(place: Column) -> Column:
     return F.size(F.filter(F.slice("item_raw", F.lit(1), place), lambda x: x < "a"))
 
@@ -269,7 +307,7 @@ def _join_null_safe(left: DataFrame, right: DataFrame, on: list[str], how: str =
     return left.join(renamed, condition, how).drop(*[f"right_{c}" for c in on])
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, short_items: bool = False) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, short_items: bool = False, chained: bool = False) -> DataFrame:
     """The rows of ``docs`` that hold no copy of an item, with all their columns.
 
     A row goes if ``find_copies`` finds an item in its text.  Null and empty
@@ -279,7 +317,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
     drops nothing.
     """
     found_id, found_key = unused(docs, "found_id", "found_key")
-    found = find_copies(docs, benchmark, id_col, text_col, short_items=short_items).select(F.col("doc_id").alias(found_id), F.col("text_key").alias(found_key)).distinct()
+    found = find_copies(docs, benchmark, id_col, text_col, short_items=short_items, chained=chained).select(F.col("doc_id").alias(found_id), F.col("text_key").alias(found_key)).distinct()
     found = materialise(found, "contaminated", compact=True)
     mine = F.xxhash64(F.coalesce(docs[text_col], F.lit("")))
     return docs.join(found, docs[id_col].cast("long").eqNullSafe(found[found_id]) & (mine == found[found_key]), "left_anti")

@@ -41,7 +41,7 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontamination.find_copies(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), short_items=True).drop("text_key")
+    return decontamination.find_copies(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), short_items=True, chained=True).drop("text_key")
 
 
 def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

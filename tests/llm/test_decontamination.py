@@ -4,7 +4,7 @@ import time
 
 import regex
 
-from corpusloom.llm.decontamination import STARTERS, UNITS, drop_contaminated, find_copies
+from corpusloom.llm.decontamination import SHIFT, STARTERS, UNITS, drop_contaminated, find_copies
 
 ITEM = "If Tom has 5 apples and then Anna gives Tom 7 more apples after lunch, how many apples does Tom have and how far is 12 km really?"
 
@@ -233,3 +233,57 @@ def test_clashing_columns_and_long_texts(spark):
     kept = drop_contaminated(docs, spark.createDataFrame([(1, ITEM)], "item_id long, text string"))
     assert kept.columns == docs.columns and [r.doc_id for r in kept.collect()] == [3]
     assert drop_contaminated(docs.limit(0), docs.select("item_id", "text").limit(0)).collect() == []
+
+
+def test_german_nouns_are_no_names(spark):
+    bench = spark.createDataFrame([(1, "Die Hauptstadt der Republik ist die Stadt am Fluss."), (2, "Wie viele Äpfel hat der Bauer, wenn er 12 Äpfel mit dem Korb kauft und 5 davon isst?")], "item_id long, text string")
+    docs = [(1, "Die Mutter der Tochter ist die Frau am Fenster."), (2, "Vorher. Die Hauptstadt der Republik ist die Stadt am Fluss."), (3, "Frage: Wie viele Äpfel hat der Bauer, wenn er 31 Äpfel mit dem Korb kauft und 9 davon isst?"), (4, "Wie viele Birnen hat der Vater, wenn er Bäume mit dem Wagen kauft und sie davon isst?")]
+    got = {(r.doc_id, r.item_id) for r in find_copies(spark.createDataFrame(docs, "doc_id long, text string"), bench, chained=True).collect()}
+    assert got == {(2, 1), (3, 2)}
+
+
+def test_copies_with_inserted_and_missing_words(spark):
+    item = "the quick farmer walks along river banks before sunrise and counts every grey heron that stands near shallow water under tall reeds today"
+    words = item.split()
+    put = lambda *at: " ".join(w for i, w in enumerate(words) for w in (["indeed", w] if i in at else [w]))
+    docs = [(1, "Note: " + put(6, 12, 18) + " and more"), (2, " ".join(w for i, w in enumerate(words) if i not in (8, 15))), (3, " ".join(words[12:] + ["something", "else", "entirely", "follows", "here", "with", "many", "other", "words", "that", "fill"] + words[:6])), (4, " ".join(words[:6])), (5, " ".join(sorted(words)))]
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    plain = {r.doc_id for r in find_copies(frame.where("doc_id < 3"), bench).collect()}
+    found = {r.doc_id: r.covered for r in find_copies(frame, bench, chained=True).collect()}
+    assert set(found) - {3} == {1, 2} and found[1] == 1.0 and found[2] > 0.8 and plain <= {1, 2} and 1 not in plain
+
+
+def test_chains_against_brute_force(spark):
+    """Without slots a chained copy is one whose windows on diagonals within SHIFT of each other cover enough."""
+    random.seed(8)
+    words = [f"{a}{b}{c}" for a in "bdgk" for b in "aeiou" for c in "lnrt"]
+    text = lambda n: [random.choice(words) for _ in range(n)]
+    items = [(i, text(random.randint(8, 40))) for i in range(20)]
+    docs = []
+    for d in range(80):
+        part = list(random.choice(items)[1])
+        for _ in range(random.randint(0, 5)):
+            at = random.randrange(len(part) + 1)
+            part[at:at] = ["edit"] * random.choice([1, 2, 12]) if random.random() < 0.7 else []
+        docs.append((d, text(random.randint(0, 30)) + part + text(random.randint(0, 30))))
+
+    def covers(doc, item):
+        at = {}
+        for p in range(len(item) - 4):
+            for q in range(len(doc) - 4):
+                if doc[q : q + 5] == item[p : p + 5]:
+                    at.setdefault(q - p, set()).update(range(p, p + 5))
+        bands = []
+        for diagonal in sorted(at):
+            if bands and diagonal - bands[-1][0] <= SHIFT:
+                bands[-1] = (diagonal, bands[-1][1] | at[diagonal])
+            else:
+                bands.append((diagonal, set(at[diagonal])))
+        best = max((len(c) for _, c in bands), default=0)
+        return best >= 5 and (best >= 13 or best >= 0.5 * len(item))
+
+    want = {(d, i) for d, doc in docs for i, item in items if covers(doc, item)}
+    frame = lambda rows, key: spark.createDataFrame([(k, " ".join(t)) for k, t in rows], f"{key} long, text string")
+    got = {(r.doc_id, r.item_id) for r in find_copies(frame(docs, "doc_id"), frame(items, "item_id"), chained=True).collect()}
+    assert got == want and len(want) > 30
