@@ -9,6 +9,7 @@ import importlib.util
 import json
 import platform
 import secrets
+import shutil
 import sys
 import urllib.error
 import urllib.request
@@ -113,7 +114,11 @@ def do_embed(args) -> int:
     if factory := encoder_of(args):
         images = spark.read.parquet(str(out / "images.parquet")).dropDuplicates(["id"])
         there = corpus.join(images.withColumnRenamed("id", "object_id"), "object_id").select("row_id", "content")
-        embedding.embed(there, factory, "row_id", "content", batch_size=args.batch_size).withColumn("origin", F.lit(args.encoder)).write.mode("overwrite").parquet(str(out / "embeddings.parquet"))
+        path = out / "embeddings.parquet"
+        if path.exists() and (args.force or spark.read.parquet(str(path)).where(F.col("origin") != args.encoder).limit(1).count()):
+            shutil.rmtree(path)  # another model's vectors
+        encode = lambda part: embedding.embed(part, factory, "row_id", "content", batch_size=args.batch_size, half=args.half).withColumn("origin", F.lit(args.encoder))
+        embedding.embed_in_shards(there, encode, str(path), shard_rows=args.shard_rows)
         return OK
     text = F.concat_ws(" ", *[F.col(c) for c in TEXT_FIELDS if c in corpus.columns])
     corpus.select("row_id", synthetic.stub_encoder(args.dim)(text).alias("embedding"), F.lit("stub").alias("origin")).write.mode("overwrite").parquet(str(out / "embeddings.parquet"))
@@ -219,7 +224,7 @@ def parser() -> argparse.ArgumentParser:
     command("doctor", doctor, network=False)
     command("fetch", do_fetch, n=0, seed=0, force=False, csv="", out="artifacts/run")
     command("images", do_images, size=224, workers=8, out="artifacts/run")
-    command("embed", do_embed, dim=768, encoder="", stub=False, device="", batch_size=256, out="artifacts/run")
+    command("embed", do_embed, dim=768, encoder="", stub=False, device="", batch_size=256, shard_rows=8192, half=False, force=False, out="artifacts/run")
     command("project", do_project, seed=0, epochs=0, no_gate=False, unseeded=False, placeholder=False, keep_embeddings=False, out="artifacts/run")
     command("synth", do_synth, n=1000, clusters=8, seed=0, dim=64, k=15, mode="coords", keep_embeddings=False, out="artifacts/synth")
     command("serve", do_serve, host="127.0.0.1", port=8765, k=12, encoder="", stub=False, device="", out="artifacts/run")

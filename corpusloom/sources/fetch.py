@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 
 #: Image fields of an object's record, best first.
 IMAGE_FIELDS = ("primaryImageSmall", "primaryImage")
+#: Images that a task holds at once.
+FRAME = 32
 
 
 def download(url: str, dest: str, *, force: bool = False, chunk: int = 1 << 20, progress: Callable[[int, int | None], None] | None = None, open_=urllib.request.urlopen) -> str:
@@ -66,15 +68,16 @@ def fetch_images(ids: DataFrame, get: Callable[[str], bytes], api: str, *, worke
     contents to the image store, in one streaming batch or job.
     """
 
+    def entry(id_: str) -> tuple:
+        try:
+            url = image_url(json.loads(get(f"{api}/{id_}")))
+            return (id_, "ok", "", transform(get(url))) if url else (id_, "no_image", "", None)
+        except Exception as e:  # one object's failure is an entry, not the job's
+            return id_, "error", str(e), None
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for id_ in batch["id"]:
-                try:
-                    url = image_url(json.loads(get(f"{api}/{id_}")))
-                    rows.append((id_, "ok", "", transform(get(url))) if url else (id_, "no_image", "", None))
-                except Exception as e:  # one object's failure is an entry, not the job's
-                    rows.append((id_, "error", str(e), None))
-            yield pd.DataFrame(rows, columns=["id", "status", "detail", "content"])
+            for k in range(0, len(batch), FRAME):
+                yield pd.DataFrame(map(entry, batch["id"].iloc[k : k + FRAME]), columns=["id", "status", "detail", "content"])
 
     return ids.select("id").repartition(workers).mapInPandas(run, "id string, status string, detail string, content binary")

@@ -32,6 +32,14 @@ def test_a_missing_package_takes_only_the_subpackage_along(tmp_path):
     assert out.returncode == 0 and "cosine_knn_purity" in out.stdout and "op1_" not in out.stdout and "xxhash" in out.stderr, out.stderr
 
 
+def test_the_pipeline_alone_is_left_out_too(tmp_path):
+    """Only the two folders are deleted: what needs them is left out, the rest stays."""
+    copy = without_llm(tmp_path)
+    shutil.copy(ROOT / "corpus_pipeline.py", copy)
+    out = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(sorted(e.queries()), sorted(e.oracle_sql()))"], cwd=copy, capture_output=True, text=True)
+    assert out.returncode == 0 and "knn_descent" in out.stdout and "pipeline" not in out.stdout and "op11_" not in out.stdout, out.stderr
+
+
 def test_the_other_tests_run_without_the_subpackage(tmp_path):
     """Every other test file can be collected, and quick tests of several of them pass."""
     copy = without_llm(tmp_path)

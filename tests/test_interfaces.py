@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from corpusloom import cli, service
 from corpusloom.functions import url_state
-from corpusloom.operators import neighbors
+from corpusloom.operators import embedding, neighbors
 from corpusloom.sources import artifacts, fetch, synthetic
 
 CONFIG = """
@@ -107,6 +107,25 @@ class Model:
         return np.array([[len(x), 1.0, *[0.5] * 6] for x in inputs])
 
 
+def test_shards_are_taken_up_where_a_run_was_killed(spark, tmp_path):
+    df = spark.createDataFrame([(i, f"text {i % 9}") for i in range(95)], "row_id long, text string")
+    path, seen = str(tmp_path / "vectors"), []
+
+    def encode(part, broken=False):
+        seen.append(part.count())
+        if broken and len(seen) == 3:
+            raise RuntimeError("killed")
+        return embedding.embed(part, Model, "row_id", "text", half=True)
+
+    with pytest.raises(RuntimeError):
+        embedding.embed_in_shards(df, lambda part: encode(part, True), path, shard_rows=10, shards_per_job=2)
+    assert spark.read.parquet(path).count() == 40 and seen == [20, 20, 20]
+    assert embedding.embed_in_shards(df, encode, path, shard_rows=10, shards_per_job=2) == 3 and seen[3:] == [20, 20, 15]
+    assert embedding.embed_in_shards(df, encode, path, shard_rows=10, shards_per_job=2) == 0
+    rows = spark.read.parquet(path).collect()
+    assert sorted(r.row_id for r in rows) == [*range(95)] and all(r.shard == r.row_id // 10 and r.embedding[0] == 6 for r in rows)
+
+
 def test_embed_and_project_from_the_command_line(spark, tmp_path, capsys):
     (tmp_path / "config.toml").write_text(CONFIG)
     out = tmp_path / "run"
