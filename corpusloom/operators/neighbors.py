@@ -123,16 +123,21 @@ def knn(df: DataFrame, k: int, id_col: str, vector_col: str, *, metric: str = "c
     if metric not in ("cosine", "euclidean"):
         raise ValueError(f"unknown metric {metric}")
 
-    def packed(rows: DataFrame, name: str) -> DataFrame:
+    def valid(rows: DataFrame) -> DataFrame:
         vector = l2_normalize(F.col(vector_col)) if metric == "cosine" else F.col(vector_col).cast("array<double>")
-        return materialise(_pack(rows.select(F.col(id_col).cast("long").alias("id"), vector.alias("v")).where("id is not null and v is not null")), name)
+        return rows.select(F.col(id_col).cast("long").alias("id"), vector.alias("v")).where("id is not null and v is not null")
 
-    base = packed(df, "knn-rows")
-    asks = base if queries is None else packed(queries, "knn-queries")
-    n, size = base.agg(F.count("*"), F.max(F.length("raw"))).first()
+    def packed(rows: DataFrame, n: int, name: str) -> DataFrame:
+        """Written, unless it is a block or less, which is as soon made again."""
+        return materialise(_pack(rows), name) if n > BLOCK else _pack(rows)
+
+    rows, asked = valid(df), None if queries is None else valid(queries)
+    n, dim = rows.agg(F.count("*"), F.max(F.size("v"))).first()
     if not n:
         return df.sparkSession.createDataFrame([], "row_id long, rank int, neighbor_id long, score double")
-    n_q, dim = n if queries is None else asks.count(), size // 8
+    n_q = n if asked is None else asked.count()
+    base = packed(rows, n, "knn-rows")
+    asks = base if asked is None else packed(asked, n_q, "knn-queries")
     if lists is None:
         lists = metric == "euclidean" and dim <= LIST_DIMS and n > LIST_MIN
     found = _list_knn(base, asks, n, dim, k, digits) if lists else _block_knn(base, asks, n, n_q, dim, k, metric, digits)
@@ -225,7 +230,14 @@ def _list_knn(base: DataFrame, asks: DataFrame, n: int, dim: int, k: int, digits
         return pa.table({"id": pa.array(ids, pa.int64()), "raw": pa.array([v.tobytes() for v in x], pa.binary()), "list": own[0], "block": own[1], "near": lists[0], "score": lists[1], "bound": pa.array(bound)})
 
     schema = "id long, raw binary, list long, block int, near array<long>, score array<double>, bound double"
-    begun = materialise(mine.groupBy("list", "block").cogroup(members.groupBy("list", "block")).applyInArrow(first, schema), "knn-own")
+    # many queries can lie in one list
+    mine = materialise(mine, "knn-mine")
+    crowd = mine.groupBy("list", "block").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    cut = mine.join(crowd, ["list", "block"]).withColumn("part", F.pmod(F.xxhash64("id", F.lit(2)), F.col("parts")).cast("int"))
+    copied = members.join(crowd, ["list", "block"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    own = ["list", "block", "part"]
+    begun = cut.select("id", "raw", *own).groupBy(*own).cogroup(copied.select("id", "raw", *own).groupBy(*own)).applyInArrow(first, schema)
+    begun = materialise(begun, "knn-own")
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         radius, blocks = shape.value
