@@ -111,20 +111,30 @@ def _groups(branches: DataFrame) -> DataFrame:
 def templates(shapes: DataFrame) -> DataFrame:
     """``shapes`` (tree, shape, labelled, bad, and others) with ``template``; each (tree, shape) is one row.
 
-    A level costs one job.  A template leaves the loop as soon as nothing below
-    it can be told apart: it has one shape, or under MIN_LABELS labels.
+    A round looks at the next segment in which the shapes of a template differ:
+    segments that all of them share are taken at once, so that there are as many
+    rounds as branchings above one another, however deep the paths are.  A round
+    writes two tables.  A template leaves the loop as soon as nothing below it
+    can be told apart: it has one shape, or under MIN_LABELS labels.
     """
     columns = [*shapes.columns, "template"]
     rows = materialise(shapes.withColumn("rest", F.filter(F.split("shape", _END), lambda x: x != "")).withColumn("template", F.lit("")), "url-shapes", compact=True)
     done = None
     while True:
         # what is left below a template that needs no further look: the names, or wildcards
-        whole = rows.groupBy("tree", "template").agg(F.count("*").alias("shapes"), F.sum("labelled").alias("of"), F.max(F.size("rest")).alias("deep"))
+        whole = rows.groupBy("tree", "template").agg(F.count("*").alias("shapes"), F.sum("labelled").alias("of"), F.max(F.size("rest")).alias("deep"), F.min("rest").alias("least"), F.max("rest").alias("most"))
+        # what the least and the largest have in common, all have
+        differs = F.array_position(F.zip_with("least", "most", lambda a, b: a.eqNullSafe(b)), F.lit(False))
+        whole = whole.select("tree", "template", "shapes", "of", "deep", F.when(differs > 0, differs.cast("int") - 1).otherwise(F.least(F.size("least"), F.size("most"))).alias("shared"))
         looked = rows.join(whole, ["tree", "template"])
         few = F.col("of") < MIN_LABELS
         closed = few | (F.col("shapes") == 1) | (F.col("deep") == 0)
         below = F.when(few, F.transform("rest", lambda x: F.lit("*"))).otherwise(F.col("rest"))
-        looked = materialise(looked.withColumn("closed", closed).withColumn("template", F.when(closed, F.concat(F.col("template"), F.array_join(F.transform(below, lambda x: F.concat(F.lit("/"), x)), ""))).otherwise(F.col("template"))).select(*rows.columns, "closed"), "url-shapes", compact=True)
+        steps = F.when(closed, below).otherwise(F.slice("rest", F.lit(1), F.col("shared")))
+        longer = F.concat(F.col("template"), F.array_join(F.transform(steps, lambda x: F.concat(F.lit("/"), x)), ""))
+        left = F.slice("rest", F.col("shared") + 1, F.greatest(F.size("rest"), F.lit(1)))
+        looked = looked.withColumns({"closed": closed, "longer": longer, "left": left}).drop("template", "rest").withColumnsRenamed({"longer": "template", "left": "rest"})
+        looked = materialise(looked.select(*rows.columns, "closed"), "url-shapes", compact=True)
         part = looked.where("closed").select(columns)
         done = part if done is None else done.unionByName(part)
         rows = looked.where("not closed").drop("closed")

@@ -202,3 +202,21 @@ def test_hidden_hosts_and_unused_columns(spark):
     df = spark.createDataFrame(rows, "page_id long, url string, tree int, shape string")
     got = {(r.page_id, r.rule) for r in judge(df).collect()}
     assert got == {(1, None), (2, None), (3, "net/"), (3, None)}
+
+
+def test_very_deep_paths_take_as_many_rounds_as_branchings(spark, monkeypatch):
+    from corpusloom.llm import url_filter
+
+    written, real = [], url_filter.materialise
+    monkeypatch.setattr(url_filter, "materialise", lambda df, label, **o: written.append(label) or real(df, label, **o))
+
+    def tables(depth):
+        written.clear()
+        urls = [(f"http://h.com{'/s' * depth}/{side}{'/t' * depth}/{w}", side == "bad") for side in ("good", "bad") for w in "abcd" for _ in range(2)]
+        df = spark.createDataFrame([(i, u, int(b)) for i, (u, b) in enumerate(urls)], "page_id long, url string, bad int")
+        got = judge(df, rules=(), bad_col="bad").collect()
+        assert {("/bad/" in r.path, r.verdict) for r in got} == {(True, "block"), (False, "allow")}
+        assert {r.template for r in got if r.verdict == "block"} <= {f"{'/s' * depth}/bad{'/t' * depth}/{w}" for w in "abcd*"}
+        return len(written)
+
+    assert tables(500) == tables(3)
