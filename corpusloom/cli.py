@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 import corpusloom
 from corpusloom import service
-from corpusloom.operators import curation, embedding, gate, neighbors, reduce, rows
+from corpusloom.operators import curation, embedding, gate, neighbors, raster, reduce, rows
 from corpusloom.session import session
 from corpusloom.sources import artifacts, fetch, metadata, settings, synthetic
 
@@ -170,6 +170,7 @@ def do_project(args) -> int:
         both = [x.select("row_id", "embedding", F.col(label).alias("label")).join(c, "row_id").select("row_id", "embedding", "label", F.array("x", "y", "z").alias("coords")) for x, c in zip((e, mixed), layouts, strict=True)]
         verdict = gate.run_gate(both[0], both[1], gate.GateSpec(k=k), high=near, high_shuffled=other[2]).first().asDict(True)
         (out / "gate.json").write_text(json.dumps(verdict, indent=2))
+        raster.write_gate(out / "gate.png", *[c.join(e.select("row_id", label), "row_id") for c in layouts], label)
     _export(args, e, coords, near, k, label, list(conf["corpus"]["facets"]), TEXT_FIELDS, e.select("row_id", "embedding", "origin") if args.keep_embeddings else None, validation=verdict, projection=p | {"umap_n_epochs": spec.epochs, "seed": None if args.unseeded else args.seed, "explained": float(state.explained.sum())})
     return OK if verdict.get("passed", True) else GATE_FAILED
 

@@ -15,7 +15,7 @@ from corpusloom.functions import coords as C
 from corpusloom.functions import picking
 from corpusloom.functions import text as T
 from corpusloom.functions import vectors as V
-from corpusloom.operators import curation, descent, facets, gate, moments, neighbors, placement, ranks, reduce, rows, search, text_index
+from corpusloom.operators import curation, descent, facets, gate, moments, neighbors, placement, ranks, raster, reduce, rows, search, text_index
 from corpusloom.sources import artifacts, csv_ranges, metadata, synthetic
 from corpusloom.streaming import journal
 
@@ -434,6 +434,14 @@ def screen_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return picking.grid_hits(picking.project(points(spark, sf_dir), CAMERA, 900, 600), 60)
 
 
+@query(f"""WITH {POINT}, b AS (SELECT min(x) AS ax, max(x) AS zx, min(y) AS ay, max(y) AS zy FROM p), q AS (SELECT least(39, floor((x - ax) / (zx - ax) * 40))::INT AS px, (29 - least(29, floor((y - ay) / (zy - ay) * 30)))::INT AS py, label FROM p, b),
+    e AS (SELECT px, py, label, count(*) AS n FROM q GROUP BY ALL) SELECT px, py, (sum(n) OVER (PARTITION BY px, py))::BIGINT AS n, label FROM e QUALIFY row_number() OVER (PARTITION BY px, py ORDER BY n DESC, label NULLS FIRST) = 1""")
+def layout_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The layout as a picture of 40 by 30 pixels: points and their most frequent label."""
+    p = points(spark, sf_dir)
+    return raster.pixels(p, 40, 30, raster.bounds_of(p), "label")
+
+
 @query("SELECT label AS shard, sum(n)::BIGINT AS n, round(sum(v), 6) AS spread FROM (SELECT label, d, count(*) FILTER (d = 1) AS n, var_pop(x) AS v FROM (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS d FROM embeddings) GROUP BY label, d) GROUP BY label")
 def shard_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows and total variance of every shard, from the state that principal components are computed from."""

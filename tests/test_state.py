@@ -1,12 +1,14 @@
 import json
 import random
+import struct
+import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions import picking
-from corpusloom.operators import buckets, moments, neighbors, reduce, search
+from corpusloom.operators import buckets, moments, neighbors, raster, reduce, search
 from corpusloom.streaming import journal
 
 
@@ -113,3 +115,22 @@ def test_hits_on_a_screen(spark, eye, target):
     d = np.where(inside, (px - 400) ** 2 + (py - 300) ** 2, np.inf)
     assert picking.nearest_to(seen, 400, 300, 200).first()[0] == (int(d.argmin()) if d.min() <= 200**2 else None)
     assert picking.nearest_to(seen, -900, -900, 5).first()[0] is None
+
+
+def test_a_picture_is_a_png(spark, tmp_path):
+    df = spark.createDataFrame([(0, 0.0, 0.0, "a"), (1, 1.0, 1.0, "b"), (2, 1.0, 1.0, "b"), (3, 1.0, 0.0, "a")], "row_id long, x double, y double, label string")
+    raster.write_gate(tmp_path / "gate.png", df, df.withColumn("x", -F.col("x")), "label", 10)
+    raw = (tmp_path / "gate.png").read_bytes()
+    assert raw[:8] == b"\x89PNG\r\n\x1a\n"
+    parts, at = {}, 8
+    while at < len(raw):
+        size, kind = struct.unpack(">I4s", raw[at : at + 8])
+        parts[kind] = raw[at + 8 : at + 8 + size]
+        assert struct.unpack(">I", raw[at + 8 + size : at + 12 + size])[0] == zlib.crc32(kind + parts[kind])
+        at += 12 + size
+    width, height = struct.unpack(">II", parts[b"IHDR"][:8])
+    image = np.frombuffer(zlib.decompress(parts[b"IDAT"]), np.uint8).reshape(height, 1 + width * 3)[:, 1:].reshape(height, width, 3)
+    assert (width, height) == (28, 10) and (image[:, 10:18] == 255).all()
+    lit = {tuple(p) for p in np.argwhere(image[:, :10].any(axis=2)).tolist()}
+    assert lit == {(9, 0), (0, 9), (9, 9)} and image[0, 9].sum() > 0 and {tuple(p) for p in np.argwhere(image[:, 18:].any(axis=2)).tolist()} == {(9, 9), (0, 0), (9, 0)}
+    assert raster.picture(df.where("row_id = 0"), "label", 3, 3).any(axis=2).sum() == 1
