@@ -127,17 +127,14 @@ def knn(df: DataFrame, k: int, id_col: str, vector_col: str, *, metric: str = "c
         vector = l2_normalize(F.col(vector_col)) if metric == "cosine" else F.col(vector_col).cast("array<double>")
         return rows.select(F.col(id_col).cast("long").alias("id"), vector.alias("v")).where("id is not null and v is not null")
 
-    def packed(rows: DataFrame, n: int, name: str) -> DataFrame:
-        """Written, unless it is a block or less, which is as soon made again."""
-        return materialise(_pack(rows), name) if n > BLOCK else _pack(rows)
-
     rows, asked = valid(df), None if queries is None else valid(queries)
     n, dim = rows.agg(F.count("*"), F.max(F.size("v"))).first()
     if not n:
         return df.sparkSession.createDataFrame([], "row_id long, rank int, neighbor_id long, score double")
     n_q = n if asked is None else asked.count()
-    base = packed(rows, n, "knn-rows")
-    asks = base if asked is None else packed(asked, n_q, "knn-queries")
+    # both sides of a join are told apart by what one of them has written; rows of a block or less are as soon made again
+    base = materialise(_pack(rows), "knn-rows") if asked is None or n > BLOCK else _pack(rows)
+    asks = base if asked is None else materialise(_pack(asked), "knn-queries")
     if lists is None:
         lists = metric == "euclidean" and dim <= LIST_DIMS and n > LIST_MIN
     found = _list_knn(base, asks, n, dim, k, digits) if lists else _block_knn(base, asks, n, n_q, dim, k, metric, digits)
