@@ -81,7 +81,8 @@ def tokens(text: Column) -> Column:
     named = F.regexp_replace(clean, rf"(?=\p{{Lu}}\p{{Ll}})(?<![\p{{L}}\p{{M}}\p{{N}}])(?:{inside}|(?!(?:{starters})(?![\p{{L}}\p{{M}}])))", _NAME)
     named = F.when(german, clean).otherwise(named)
     unit = F.regexp_replace(F.lower(named), rf"([0-9] ?)(?={_NAME}?(?:{UNITS})(?![\p{{L}}\p{{N}}]))", f"$1{_UNIT}")
-    return F.regexp_extract_all(unit, F.lit(rf"{_NAME}{_WORD}(?: {_NAME}{_WORD})+|{_NAME}?{_UNIT}?{_NAME}?{_WORD}|[0-9]+(?:[.,][0-9]+)*"), F.lit(0))
+    # possessive groups are matched in a loop, others by a call for each word, which ends the stack in long runs
+    return F.regexp_extract_all(unit, F.lit(rf"{_NAME}{_WORD}(?: {_NAME}{_WORD})++|{_NAME}?{_UNIT}?{_NAME}?{_WORD}|[0-9]+(?:[.,][0-9]+)*+"), F.lit(0))
 
 
 def template(x: Column, free: bool = False) -> Column:

@@ -3,8 +3,9 @@ import re
 import time
 
 import regex
+from pyspark.sql import functions as F
 
-from corpusloom.llm.decontamination import SHIFT, STARTERS, UNITS, drop_contaminated, find_copies
+from corpusloom.llm.decontamination import SHIFT, STARTERS, UNITS, drop_contaminated, find_copies, tokens
 
 ITEM = "If Tom has 5 apples and then Anna gives Tom 7 more apples after lunch, how many apples does Tom have and how far is 12 km really?"
 
@@ -287,3 +288,12 @@ def test_chains_against_brute_force(spark):
     frame = lambda rows, key: spark.createDataFrame([(k, " ".join(t)) for k, t in rows], f"{key} long, text string")
     got = {(r.doc_id, r.item_id) for r in find_copies(frame(docs, "doc_id"), frame(items, "item_id"), chained=True).collect()}
     assert got == want and len(want) > 30
+
+
+def test_long_runs_of_names_and_numbers(spark):
+    """Runs of very many names or parts of a number are one token each, and the copy behind them is found."""
+    names, number = "Anna Tom " * 20_000, "1" + ".25,7" * 20_000
+    docs = spark.createDataFrame([(1, f"so {names}; {ITEM}"), (2, f"{number} {ITEM}"), (3, f"so {names}"), (4, number)], "doc_id long, text string")
+    assert [r[0] for r in docs.orderBy("doc_id").select(F.size(tokens(F.col("text")))).collect()][2:] == [2, 1]
+    bench = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
+    assert sorted((r.doc_id, r.item_id) for r in find_copies(docs, bench, short_items=True, chained=True).collect()) == [(1, 1), (2, 1)]
