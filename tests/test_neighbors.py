@@ -93,3 +93,24 @@ def test_the_gate_reuses_neighbours(spark):
     low = neighbors.knn(e, 10, "row_id", "coords", metric="euclidean")
     one, two = (ranks.trustworthiness(e, 10, "row_id", "embedding", "coords", low=x).first()[0] for x in (None, low))
     assert one == two and gate.run_gate(e, spec=gate.GateSpec(k=10)).first()["trustworthiness"] == one
+
+
+@pytest.mark.parametrize("metric", ["cosine", "euclidean"])
+def test_bounds_are_carried_over_parts_of_a_block(monkeypatch, metric):
+    for name, value in (("FIRST", 20), ("BLOCK", 50), ("PART", 30)):
+        monkeypatch.setattr(neighbors, name, value)
+    rng = np.random.default_rng(4)
+    y = rng.normal(size=(333, 5)).round(1)
+    y[:40] = y[100:140]
+    y[7] = np.nan
+    if metric == "cosine":
+        y /= np.linalg.norm(y, axis=1)[:, None]
+    ids = np.arange(333) * 3
+    parts = [*neighbors._best((ids[:150], y[:150]), (ids, y), 6, metric, 9)]
+    got = list(zip(*[np.concatenate(c).tolist() for c in zip(*parts, strict=True)], strict=True))
+    want = []
+    for i in range(150):
+        score = np.round((y * y[i]).sum(1) if metric == "cosine" else np.sqrt(((y - y[i]) ** 2).sum(1)), 9)
+        order = sorted((j for j in range(333) if j != i and np.isfinite(score[j])), key=lambda j: (-score[j] if metric == "cosine" else score[j], j))
+        want += [(i * 3, j * 3, score[j]) for j in order[:6]]
+    assert [g[:2] for g in got] == [w[:2] for w in want] and np.allclose([g[2] for g in got], [w[2] for w in want], atol=2e-9)
