@@ -95,6 +95,20 @@ def test_the_gate_reuses_neighbours(spark):
     assert one == two and gate.run_gate(e, spec=gate.GateSpec(k=10)).first()["trustworthiness"] == one
 
 
+def test_overlap_reads_its_tables_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    high = spark.createDataFrame([(1, 2), (1, 3), (2, 1), (2, 3), (3, 1), (3, 2)], "row_id long, neighbor_id long").mapInArrow(count, "row_id long, neighbor_id long")
+    low = spark.createDataFrame([(1, 2), (1, 4), (2, 1), (2, 3), (4, 1)], "row_id long, neighbor_id long")
+    assert abs(neighbors.overlap(high, low, 2).first()[0] - 0.5) < 1e-12
+    assert read.value == 6
+
+
 @pytest.mark.parametrize("metric", ["cosine", "euclidean"])
 def test_bounds_are_carried_over_parts_of_a_block(monkeypatch, metric):
     for name, value in (("FIRST", 20), ("BLOCK", 50), ("PART", 30)):
