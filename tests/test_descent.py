@@ -54,6 +54,26 @@ def test_ranks_by_counting_lists(spark, monkeypatch):
     assert sum(c for _, c in got.values()) / 4 < 0.6 * 900 * 900
 
 
+def test_rows_without_structure_go_once_to_a_block(spark, monkeypatch):
+    """Where every list is across, a row is sent to each block once, not to each list."""
+    monkeypatch.setattr(ranks, "ROWS", 8)
+    monkeypatch.setattr(ranks, "BLOCK", 200)
+    monkeypatch.setattr(ranks, "CLOSE", 50)
+    written = {}
+    keep = ranks.materialise
+    monkeypatch.setattr(ranks, "materialise", lambda df, label: written.setdefault(label, keep(df, label)))
+    x = np.random.default_rng(8).normal(size=(600, 16))
+    x[:50] = x[300]
+    df = frame(spark, x)
+    pairs = materialise(neighbors.knn(df.withColumn("low", F.slice("v", 1, 2)), 3, "row_id", "low", metric="euclidean"), "pairs")
+    got = {(r.row_id, r.neighbor_id): r["rank"] for r in ranks.neighbor_ranks(df.select(F.col("row_id").alias("id"), "v"), pairs).collect()}
+    for i in range(600):
+        d = np.round(np.sqrt(((x - x[i]) ** 2).cumsum(axis=1)[:, -1]), 9)
+        place = {j: n + 1 for n, j in enumerate(j for j in np.lexsort((np.arange(600), d)) if j != i)}
+        assert all(rank == place[j] for (a, j), rank in got.items() if a == i)
+    assert written["rank-plan"].agg(F.sum(F.size("blocks"))).first()[0] <= 600 * 6
+
+
 def test_work_of_ranks_is_below_all_pairs(spark):
     x = clusters(3000, 6, 30, seed=5, spread=0.05)
     df = frame(spark, x).withColumn("low", F.slice("v", 1, 3))
