@@ -104,3 +104,12 @@ def test_one_graph_for_all(spark):
     again, _ = reduce.project(e, "row_id", "embedding", 6, reduce.UmapSpec(neighbors=8, epochs=30))
     one, two = ({r.row_id: (r.x, r.y, r.z) for r in x.collect()} for x in (layout, again))
     assert all(np.allclose(one[i], two[i]) for i in one)
+
+
+def test_recall_without_structure(spark):
+    """The search goes on with more neighbours until the stated part of them is found."""
+    df = materialise(frame(spark, np.random.default_rng(2).normal(size=(3000, 64))), "points")
+    exact = materialise(neighbors.knn(df, 4, "row_id", "v"), "exact")
+    assert neighbors.overlap(exact, descent.descent_knn(df, 4, "row_id", "v", block=64), 4).first()[0] < 0.95
+    near = descent.descent_knn(df, 4, "row_id", "v", block=64, recall=0.95)
+    assert near.count() == 12_000 and neighbors.overlap(exact, near, 4).first()[0] >= 0.95
