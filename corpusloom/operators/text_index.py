@@ -9,6 +9,7 @@ what is left is verified in the texts, which are kept in folders by block.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -17,16 +18,43 @@ from pyspark.sql import functions as F
 
 #: Rows of a block, and folders of the index.
 BLOCK, FOLDERS = 32_768, 64
+#: Trigrams of texts that a task holds before it makes their lists.
+HELD = 4_000_000
 
 
-def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, gram): the different runs of three characters of each text."""
+def _codes(text: str) -> np.ndarray:
+    """The different runs of three characters, each as one number of three times 21 bits."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+    return np.unique((points[:-2] << 42) | (points[1:-1] << 21) | points[2:]) if len(points) > 2 else np.zeros(0, np.int64)
+
+
+def _lists(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """(gram, block, ids): a part of a posting list for each trigram of some texts in one block of ``rows`` rows."""
+    codes, ids, held = [], [], 0
+
+    def cut() -> pa.RecordBatch:
+        code, row = np.concatenate(codes), np.concatenate(ids)
+        order = np.lexsort((row, code))
+        code, row = code[order], row[order]
+        block = row // rows
+        first = np.flatnonzero(np.r_[True, (code[1:] != code[:-1]) | (block[1:] != block[:-1])])
+        points = np.stack([code[first] >> 42, (code[first] >> 21) & 0x1FFFFF, code[first] & 0x1FFFFF], 1).astype("<u4").tobytes()
+        grams = [points[k : k + 12].decode("utf-32-le", "surrogatepass") for k in range(0, len(points), 12)]
+        lists = pa.ListArray.from_arrays(pa.array(np.r_[first, len(row)], pa.int32()), pa.array(row))
+        return pa.RecordBatch.from_arrays([pa.array(grams, pa.string()), pa.array(block[first]), lists], names=["gram", "block", "ids"])
+
     for batch in batches:
-        for i in range(0, batch.num_rows, 64):
-            part = batch.slice(i, 64)
-            each = [sorted({t[k : k + 3] for k in range(len(t) - 2)}) for t in part.column("text").to_pylist()]
-            ids = np.repeat(part.column("id").to_numpy(), [len(g) for g in each])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([g for grams in each for g in grams], pa.string())], names=["id", "gram"])
+        for row, text in zip(batch.column("id").to_pylist(), batch.column("text"), strict=True):
+            own = _codes(text.as_py())
+            if len(own):
+                codes.append(own)
+                ids.append(np.full(len(own), row, np.int64))
+                held += len(own)
+            if held >= HELD:
+                yield cut()
+                codes, ids, held = [], [], 0
+    if held:
+        yield cut()
 
 
 def _folder(gram: Column) -> Column:
@@ -39,8 +67,11 @@ def build(df: DataFrame, text: Column, path: str, order: str = "row_id") -> None
     A posting list has at most BLOCK ids.  Null texts have no trigram.
     """
     block = F.floor(F.col(order) / BLOCK).cast("long")
-    each = df.select(F.col(order).cast("long").alias("id"), F.lower(text).alias("text")).where("text IS NOT NULL").mapInArrow(_grams, "id long, gram string")
-    lists = each.groupBy("gram", F.floor(F.col("id") / BLOCK).cast("long").alias("block")).agg(F.count("*").alias("n"), F.array_sort(F.collect_list("id")).alias("ids"))
+    each = df.select(F.col(order).cast("long").alias("id"), F.lower(text).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
+    # what is shuffled are parts of lists, not a row for each trigram of each text
+    parts = each.mapInArrow(partial(_lists, rows=BLOCK), "gram string, block long, ids array<long>")
+    ids = F.array_sort(F.flatten(F.collect_list("ids")))
+    lists = parts.groupBy("gram", "block").agg(F.sum(F.size("ids")).cast("long").alias("n"), ids.alias("ids"))
     lists = lists.withColumn("folder", _folder(F.col("gram")))
     lists.repartition("folder", "block").sortWithinPartitions("folder", "gram").write.mode("overwrite").partitionBy("folder").parquet(f"{path}/postings")
     df.withColumn("__block", block).repartition("__block").sortWithinPartitions("__block", order).write.mode("overwrite").partitionBy("__block").parquet(f"{path}/rows")

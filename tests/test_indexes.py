@@ -3,6 +3,7 @@ import random
 import shutil
 from pathlib import Path
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -63,3 +64,18 @@ def test_bitmaps_say_what_filters_say(spark):
     assert pairs == {(a, b): c for a in ("a", "b", None) for b in "xyz" if (c := sum(r[1] == a and r[2] == b for r in rows))}
     index.unpersist()
     assert facets.selected(index, {"f": "none"}).collect() == []
+
+
+def test_parts_of_posting_lists(monkeypatch):
+    """A task gives a list for each trigram and block, not a row for each trigram of each text."""
+    texts = {i: ["abcabc", "ab", "", "xüüü𝒳y", "bcabca"][i % 5] for i in range(40)}
+    batch = pa.RecordBatch.from_pydict({"id": list(texts), "text": list(texts.values())}, pa.schema([("id", pa.int64()), ("text", pa.string())]))
+    want = {}
+    for i, t in texts.items():
+        for gram in {t[k : k + 3] for k in range(len(t) - 2)}:
+            want.setdefault((gram, i // 10), []).append(i)
+    rows = [r for b in text_index._lists(iter([batch]), 10) for r in b.to_pylist()]
+    assert {(r["gram"], r["block"]): r["ids"] for r in rows} == want and len(rows) == len(want)
+    monkeypatch.setattr(text_index, "HELD", 5)
+    parts = [r for b in text_index._lists(iter([batch]), 10) for r in b.to_pylist()]
+    assert sorted((r["gram"], r["block"], i) for r in parts for i in r["ids"]) == sorted((*key, i) for key, ids in want.items() for i in ids)
