@@ -16,13 +16,13 @@ import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import product
+from itertools import chain, product
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import IntegralType
 
-from corpusloom.llm.runtime import text_rows, tidy
+from corpusloom.llm.runtime import portions, text_rows, tidy
 
 BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 
@@ -173,7 +173,7 @@ def redact_column(docs: DataFrame, text_col: str = "text", length_col: str | Non
     length_at = names.index(length_col) if length_col in names and isinstance(schema[length_col].dataType, IntegralType) else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in chain.from_iterable(portions(whole, text_col) for whole in batches):
             texts = batch.column(at).to_pylist()
             new = [t and redact(t) for t in texts]
             columns = list(batch.columns)

@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from corpusloom.llm.runtime import slices, text_rows, tidy
+from corpusloom.llm.runtime import portions, text_rows, tidy
 
 SPACE = "▁"
 #: Encoded segments that a worker remembers; it starts anew when this is full.
@@ -291,9 +291,9 @@ def encode_texts(df: DataFrame, model_path: str, id_col: str = "doc_id", text_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load_model(model_path)
-        for batch in batches:
+        for batch in chain.from_iterable(portions(whole, "text") for whole in batches):
             n, ids_sha, text_sha, all_ids, texts = [], [], [], [], []
-            for joined, decoded in chain.from_iterable(model.encoded(part) for part in slices(batch.column("text").to_pylist(), 2_000_000)):
+            for joined, decoded in model.encoded(batch.column("text").to_pylist()):
                 text = decoded[decoded.startswith(b" ") :]
                 n.append(joined.count(",") + 1 if joined else 0)
                 ids_sha.append(hashlib.sha256(joined.encode()).hexdigest())

@@ -1,10 +1,12 @@
 import hashlib
 
+import pyarrow as pa
 import pytest
 import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from corpusloom.llm import sentencepiece_bpe
 from corpusloom.llm.queries import tokenizer_path
 from corpusloom.llm.sentencepiece_bpe import encode_texts, load_model
 
@@ -50,3 +52,16 @@ def test_rows(spark, library):
         assert r.ids_sha256 == hashlib.sha256(",".join(map(str, r.ids)).encode()).hexdigest()
         assert r.decoded == library.decode(list(r.ids)) and r.decoded_sha256 == hashlib.sha256(r.decoded.encode()).hexdigest()
     assert encode_texts(spark.createDataFrame([], "doc_id long, text string"), tokenizer_path()).collect() == []
+
+
+def test_a_batch_of_long_texts_is_held_in_portions(monkeypatch, library):
+    class Tasks:
+        def mapInArrow(self, run, schema):
+            return run
+
+    monkeypatch.setattr(sentencepiece_bpe, "text_rows", lambda *a: Tasks())
+    texts = ["ab " * 150_000, "", "c d", "é" * 700_000, *["word "] * 5, "x" * 600_000]
+    whole = pa.record_batch({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": pa.array(texts, pa.string())})
+    got = list(encode_texts(None, tokenizer_path())(iter([whole])))
+    assert [b.num_rows for b in got] == [4, 6] and list(encode_texts(None, tokenizer_path())(iter([whole.slice(0, 0)]))) == []
+    assert [n for b in got for n in b.column("n_tokens").to_pylist()] == [len(library.encode(t)) for t in texts]
