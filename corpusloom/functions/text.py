@@ -42,10 +42,15 @@ def _casefold(values: pa.Array) -> pa.Array:
     return _each_other(values, pc.ascii_lower(values), str.casefold)
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, however often it is used; used in one another, copies would multiply."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def collapse(value: Column) -> Column:
     """Runs of white space, separators included, become one space; ends are trimmed; a lone ``|`` is empty."""
     text = F.trim(F.regexp_replace(F.coalesce(value, F.lit("")), r"(?U)[\s\x1c-\x1f]+", " "))
-    return F.when(text == "|", "").otherwise(text)
+    return F.regexp_replace(text, r"\A\|\z", "")
 
 
 def clean(value: Column) -> Column:
@@ -59,20 +64,19 @@ def first_segment(value: Column) -> Column:
 
 
 def or_unknown(value: Column) -> Column:
-    return F.coalesce(F.nullif(value, F.lit("")), F.lit(UNKNOWN))
+    return _once(value, lambda v: F.when(v != "", v).otherwise(F.lit(UNKNOWN)))
 
 
 def year(value: Column) -> Column:
     """A whole year, toward zero; null if it is no finite number, or 0."""
-    number = F.when(value.rlike(NUMBER), F.trim(value).try_cast("double"))
-    whole = F.when(F.abs(number) < 1e15, number.try_cast("bigint"))
-    return F.nullif(whole, F.lit(0).cast("bigint"))
+    number = _once(value, lambda v: F.when(v.rlike(NUMBER), F.trim(v).try_cast("double")))
+    return _once(number, lambda n: F.when((F.abs(n) >= 1) & (F.abs(n) < 1e15), n.try_cast("bigint")))
 
 
 def bucket_period(begin: Column, end: Column, period: Column) -> Column:
     """Century of the first usable year, else the period's first segment, else unknown."""
-    y = F.coalesce(year(begin), year(end))
-    return F.when(y < -500, PERIOD_EARLY).when(y < 0, PERIOD_BEFORE).when(y > 0, F.concat((F.floor(y / 100) + 1).cast("string"), F.lit(PERIOD_CENTURY))).otherwise(or_unknown(first_segment(period)))
+    century = _once(F.coalesce(year(begin), year(end)), lambda y: F.when(y < -500, PERIOD_EARLY).when(y < 0, PERIOD_BEFORE).when(y > 0, F.concat((F.floor(y / 100) + 1).cast("string"), F.lit(PERIOD_CENTURY))))
+    return F.coalesce(century, or_unknown(first_segment(period)))
 
 
 def dedup_key(*fields: Column, folded: bool = True) -> Column:

@@ -88,3 +88,9 @@ def test_dense_ids_are_dense_over_partitions(spark):
     df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("k")).repartition(7)
     got = dense_ids(df, "k").collect()
     assert all(r.k == r.row_id for r in got) and len(got) == 1000
+
+
+def test_shared_expressions_are_computed_once(spark):
+    derived = curation.derive(raw(spark, [BASE]))._jdf.queryExecution().executedPlan().toString()
+    assert derived.count("regexp_replace") < 150  # copies of a cleaned year inside of one another made thousands
+    assert spark.range(1).select(T.or_unknown(F.lit(None).cast("string")), T.year(F.lit("0.9")), T.year(F.lit("1e999")), T.collapse(F.lit(" | ")), T.collapse(F.lit("||"))).first()[:] == ("unbekannt", None, None, "", "||")
