@@ -55,6 +55,17 @@ def test_what_never_ends_becomes_an_error(spark, tmp_path):
     assert state["a"] == ("ok", "again", 1)
 
 
+def test_ids_of_one_group_have_their_own_entries_and_time_outs(spark, tmp_path):
+    """Entries of busy ids neither end nor put off the time-out of another, and calls follow groups instead of ids."""
+    source, sink, checkpoint = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "c")
+    many = [(f"n{i}", "error" if i % 3 else "ok", str(i), 1, i % 60) for i in range(300)]
+    for day, rows in ((1, [("a", "started", "", 1, 0), *many]), (9, [("c", "started", "", 9, 0)]), (10, [("c", "error", "x", 10, 0), *many[:9]])):
+        entries(source, f"{day:02d}.json", rows)
+    journal.run(spark, str(source), sink, checkpoint, files_per_batch=1, groups=1)
+    state = {r.id: (r.status, r.detail, r.tries) for r in journal.current(spark, sink).collect()}
+    assert state == {"a": ("error", "timed out", 1), "c": ("error", "x", 1)} | {i: (s, d, (1 + (k < 9)) * (s == "error")) for k, (i, s, d, _, _) in enumerate(many)}
+
+
 def test_components_of_shards(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(700, 9)) * np.arange(1, 10) + 5
