@@ -8,15 +8,14 @@ manifest, last and at once, and never sees the files' content.
 
 from __future__ import annotations
 
-import gzip
 import hashlib
 import io
 import json
 import os
 import platform
-import shutil
+import struct
 import subprocess
-import uuid
+import zlib
 from collections.abc import Iterator
 from datetime import UTC, datetime
 from pathlib import Path
@@ -35,11 +34,15 @@ from corpusloom.sources import packed
 
 # File names and limits of the contract.
 COORDS, COLORS, LABELS, NEIGHBORS, EMBEDDINGS, FACETS, TEXT, OFFSETS, MANIFEST = "coords.i16.bin", "colors.u8.bin", "labels.u16.bin", "neighbors.u32.bin", "embeddings.f32.npy", "facets.u8.bin", "text.bin", "text_offsets.u32.bin", "manifest.json"
+#: Instead of OFFSETS where the texts are longer than four bytes can say.
+LONG_OFFSETS, MAX_U32 = "text_offsets.u64.bin", 2**32 - 1
 SCHEMA_VERSION = 1
 GZIP_MIN_SAVING, GZIP_MIN_BYTES = 0.15, 64 * 1024
 MAX_LABELS, MAX_FACETS, MAX_VALUES = 65_535, 255, 255
-#: Bytes that are compressed at once.
-CHUNK = 1 << 20
+#: Bytes that are read at once, that a task compresses in one part, and that a part knows of the one before; most tasks that compress.
+CHUNK, ZIPPED, WINDOW, MAX_ZIPPERS = 1 << 20, 8 << 20, 1 << 15, 512
+#: Deflate, no name, no time, unknown system.
+GZIP_HEAD = bytes([31, 139, 8, 0, 0, 0, 0, 0, 0, 255])
 
 
 class ArtifactError(RuntimeError):
@@ -72,34 +75,73 @@ def digest(path: str | Path) -> str:
         return hashlib.file_digest(f, "sha256").hexdigest()
 
 
-def compress(path: Path) -> dict:
-    """A compressed twin where that saves enough; a stale one is removed."""
-    twin = path.with_name(f"{path.name}.gz")
-    twin.unlink(missing_ok=True)
-    size = path.stat().st_size
-    if size >= GZIP_MIN_BYTES:
-        part = path.with_name(f"{path.name}.gz.part-{uuid.uuid4().hex}")  # of this attempt
-        with open(path, "rb") as raw, open(part, "wb") as out, gzip.GzipFile("", "wb", 6, out, mtime=0) as z:
-            shutil.copyfileobj(raw, z, CHUNK)
-        zipped = part.stat().st_size
-        if zipped <= size * (1 - GZIP_MIN_SAVING):
-            part.replace(twin)
-            return {"gzip_bytes": zipped, "gzip_sha256": digest(twin)}
-        part.unlink()
-    return {"gzip_bytes": None, "gzip_sha256": None}
-
-
-def examined(spark: SparkSession, folder: str, names: list[str], twins: bool) -> DataFrame:
-    """(name, bytes, sha256, gzip_bytes, gzip_sha256) of the files that exist, a task each; ``twins``: compressed ones are made."""
+def _digests(spark: SparkSession, folder: str, names: list[str]) -> DataFrame:
+    """(name, bytes, sha256, crc) of the files that exist, a task each."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for name in batch["name"]:
                 path = Path(folder) / name
                 if path.exists():
-                    yield pd.DataFrame([{"name": name, "bytes": path.stat().st_size, "sha256": digest(path), "gzip_bytes": None, "gzip_sha256": None} | (compress(path) if twins else {})])
+                    sha, crc = hashlib.sha256(), 0
+                    with open(path, "rb") as f:
+                        while raw := f.read(CHUNK):
+                            sha.update(raw)
+                            crc = zlib.crc32(raw, crc)
+                    yield pd.DataFrame([{"name": name, "bytes": path.stat().st_size, "sha256": sha.hexdigest(), "crc": crc}])
+
+    return spark.createDataFrame([(n,) for n in names], "name string").repartition(max(1, len(names)), "name").mapInPandas(run, "name string, bytes long, sha256 string, crc long")
+
+
+def _deflated(spark: SparkSession, folder: str, sizes: dict[str, int]) -> DataFrame:
+    """(name, at, raw): parts of the files, compressed each by a task, that are one stream when joined in order.
+
+    A part begins with the bytes before it as its dictionary and ends at a whole
+    byte; the last one ends the stream.
+    """
 
-    return spark.createDataFrame([(n,) for n in names], "name string").repartition(max(1, len(names)), "name").mapInPandas(run, "name string, bytes long, sha256 string, gzip_bytes long, gzip_sha256 string")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for name, at in zip(batch["name"], batch["at"], strict=True):
+                with open(Path(folder) / name, "rb") as f:
+                    f.seek(max(0, at - WINDOW))
+                    before = f.read(min(at, WINDOW))
+                    z = zlib.compressobj(6, zlib.DEFLATED, -zlib.MAX_WBITS, zlib.DEF_MEM_LEVEL, zlib.Z_DEFAULT_STRATEGY, *[before] * bool(before))
+                    last = at + ZIPPED >= sizes[name]
+                    raw = z.compress(f.read(ZIPPED)) + z.flush(zlib.Z_FINISH if last else zlib.Z_SYNC_FLUSH)
+                yield pd.DataFrame({"name": [name], "at": [at], "raw": [raw]})
+
+    parts = [(name, at) for name, size in sizes.items() for at in range(0, size, ZIPPED)]
+    return spark.createDataFrame(parts, "name string, at long").repartitionByRange(min(len(parts), MAX_ZIPPERS), "name", "at").mapInPandas(run, "name string, at long, raw binary")
+
+
+def examined(spark: SparkSession, folder: str, names: list[str], twins: bool) -> DataFrame:
+    """(name, bytes, sha256, gzip_bytes, gzip_sha256) of the files that exist; ``twins``: compressed ones are made where they save enough, and stale ones removed."""
+    own = _digests(spark, folder, names)
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("gzip_bytes", "long"), ("gzip_sha256", "string"))]
+    if not twins:
+        return own.select("name", "bytes", "sha256", *none)
+    found = {r["name"]: r for r in own.collect()}  # a row for each file
+    for name in names:
+        Path(folder, f"{name}.gz").unlink(missing_ok=True)
+    large = {n: r["bytes"] for n, r in found.items() if r["bytes"] >= GZIP_MIN_BYTES}
+    kept = []
+    if large:
+        parts = materialise(_deflated(spark, folder, large), "deflated")
+        ends = Window.partitionBy("name").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+        placed = parts.select("name", "at", F.octet_length("raw").alias("size")).withColumn("offset", F.coalesce(F.sum("size").over(ends), F.lit(0)) + len(GZIP_HEAD))  # a row for each part
+        for r in placed.groupBy("name").agg(F.sum("size").alias("size")).collect():
+            name, whole = r["name"], len(GZIP_HEAD) + r["size"] + 8
+            if whole > large[name] * (1 - GZIP_MIN_SAVING):
+                continue
+            tail = struct.pack("<LL", found[name]["crc"], large[name] & 0xFFFFFFFF)
+            body = parts.where(F.col("name") == name).join(placed.where(F.col("name") == name).select("at", "offset"), "at").select("offset", "raw")
+            end = spark.createDataFrame([(whole - 8, tail)], packed.PIECES)
+            packed.write_pieces(body.unionByName(end), str(Path(folder, f"{name}.gz")), whole, GZIP_HEAD)
+            kept.append(name)
+    zipped = {r["name"]: r for r in _digests(spark, folder, [f"{n}.gz" for n in kept]).collect()} if kept else {}
+    rows = [(n, r["bytes"], r["sha256"], *([zipped[f"{n}.gz"][c] for c in ("bytes", "sha256")] if n in kept else (None, None))) for n, r in found.items()]
+    return spark.createDataFrame(rows, "name string, bytes long, sha256 string, gzip_bytes long, gzip_sha256 string")
 
 
 class ArtifactWriter:
@@ -158,7 +200,7 @@ class ArtifactWriter:
     def add_metadata(self, df: DataFrame, facets: list[str], fields: list[str]) -> None:
         if len(facets) > MAX_FACETS:
             raise ArtifactError("too many facets")
-        values = {}
+        values, plain = {}, df
         for facet in facets:
             found = [r["value"] for r in T.vocabulary(df, facet).orderBy("code").limit(MAX_VALUES + 1).collect()]
             if len(found) > MAX_VALUES:
@@ -166,15 +208,14 @@ class ArtifactWriter:
             values[facet] = found
             df = T.label_encode(df, facet, f"code_{facet}")
         self._put(FACETS, df, [f"code_{f}" for f in facets], "<u1", (len(facets),))
-        record = df.select("row_id", T.record_text([T.collapse(F.col(c)) for c in fields]).alias("t"))
         spark = df.sparkSession
-        # written once, so that the parts of the prefix sums are those of the pieces
-        texts = materialise(record.repartitionByRange("row_id").sortWithinPartitions("row_id").select("row_id", F.encode("t", "UTF-8").alias("raw"), F.spark_partition_id().alias("part")), "records")
+        # cleaned behind the shuffle, as its sampling would clean all texts too; written once, so that the parts of the prefix sums are those of the pieces
+        record = T.record_text([T.collapse(F.col(c)) for c in fields])
+        texts = materialise(plain.select("row_id", *fields).repartitionByRange("row_id").sortWithinPartitions("row_id").select("row_id", F.encode(record, "UTF-8").alias("raw"), F.spark_partition_id().alias("part")), "records")
         totals = texts.groupBy("part").agg(F.sum(F.octet_length("raw")).alias("size"))
         before = totals.select("part", F.coalesce(F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # a row for each part
         total = totals.agg(F.sum("size")).first()[0] or 0
-        if total > np.iinfo("<u4").max:
-            raise ArtifactError(f"{TEXT} is too long for {OFFSETS}")
+        name, dtype = (OFFSETS, "<u4") if total <= MAX_U32 else (LONG_OFFSETS, "<u8")
         # sums within a part, which a sort of the part gives, and of the parts before it
         inside = Window.partitionBy("part").orderBy("row_id").rowsBetween(Window.unboundedPreceding, -1)
         placed = texts.withColumn("start", F.coalesce(F.sum(F.octet_length("raw")).over(inside), F.lit(0))).join(F.broadcast(before), "part").select("row_id", "raw", (F.col("start") + F.col("before")).alias("start"))
@@ -182,8 +223,8 @@ class ArtifactWriter:
         self._place(TEXT, placed.select(F.col("start").alias("offset"), "raw"), total, spark)
         self._listed(TEXT, "", ())
         ends = placed.select((F.col("row_id") + 1).alias("row_id"), (F.col("start") + F.octet_length("raw")).alias("end")).unionByName(spark.range(1).select(F.lit(0).cast("long").alias("row_id"), F.lit(0).cast("long").alias("end")))
-        self._place(OFFSETS, pieces(ends, ["end"], "<u4"), (self.n + 1) * 4, spark)
-        self._listed(OFFSETS, "<u4", (), self.n + 1)
+        self._place(name, pieces(ends, ["end"], dtype), (self.n + 1) * np.dtype(dtype).itemsize, spark)
+        self._listed(name, dtype, (), self.n + 1)
         self.meta["metadata"] = {"facet_fields": facets, "facet_values": values, "text_fields": fields, "field_separator": T.FIELD_SEPARATOR, "record_separator": T.RECORD_SEPARATOR}
 
     def finish(self, **parts) -> dict:
@@ -261,8 +302,9 @@ def load(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
         meta = manifest["metadata"]
         values = [(f"facet_{f}", np.array(meta["facet_values"][f], object)) for f in meta["facet_fields"]]
         points = points.join(table(FACETS, ", ".join(f"`{n}` string" for n, _ in values), lambda q, first: frame({n: v[q[:, k]] for k, (n, v) in enumerate(values)}, first)), "row_id")
+        offsets = LONG_OFFSETS if LONG_OFFSETS in listed else OFFSETS
         record = F.regexp_replace(F.decode("raw", "UTF-8"), f"{T.RECORD_SEPARATOR}$", "")
-        out["records"] = packed.read_records(spark, f"{folder}/{TEXT}", f"{folder}/{OFFSETS}", manifest["n"]).select(F.col("first").alias("row_id"), record.alias("r")).select("row_id", *T.record_fields(F.col("r"), meta["text_fields"]))
+        out["records"] = packed.read_records(spark, f"{folder}/{TEXT}", f"{folder}/{offsets}", manifest["n"], np.dtype(listed[offsets]["dtype"]).itemsize).select(F.col("first").alias("row_id"), record.alias("r")).select("row_id", *T.record_fields(F.col("r"), meta["text_fields"]))
     if NEIGHBORS in listed:
         k = listed[NEIGHBORS]["shape"][1]
         out["neighbors"] = table(NEIGHBORS, "rank int, neighbor_id long", lambda q, first: pd.DataFrame({"row_id": np.repeat(np.arange(first, first + len(q)), k), "rank": np.tile(np.arange(1, k + 1), len(q)), "neighbor_id": q.ravel().astype(np.int64)}))
@@ -272,7 +314,7 @@ def load(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
 def verify(spark: SparkSession, folder: str) -> DataFrame:
     """(name, problem) for every listed file or compressed twin that is missing, resized, altered or of the wrong length."""
     manifest = read_manifest(folder)
-    rows = [(f["name"], int(f["bytes"]), f["sha256"], int(f["shape"][0]) if f["dtype"] and f["name"] != EMBEDDINGS else None, f["name"] == OFFSETS) for f in manifest["files"]]
+    rows = [(f["name"], int(f["bytes"]), f["sha256"], int(f["shape"][0]) if f["dtype"] and f["name"] != EMBEDDINGS else None, f["name"] in (OFFSETS, LONG_OFFSETS)) for f in manifest["files"]]
     rows += [(f["name"] + ".gz", int(f["gzip_bytes"]), f["gzip_sha256"], None, False) for f in manifest["files"] if f["gzip_bytes"] is not None]
     listed = spark.createDataFrame(rows, "name string, bytes long, sha string, rows long, more boolean")
     there = examined(spark, folder, [r[0] for r in rows], False).select("name", F.col("bytes").alias("length"), F.col("sha256").alias("found"))

@@ -67,10 +67,10 @@ class RowReader(DataSourceReader):
 
 
 class RecordReader(DataSourceReader):
-    """(first, raw): row number and bytes of each record of a file whose ends a second one (``offsets``, four bytes each) tells."""
+    """(first, raw): row number and bytes of each record of a file whose ends a second one (``offsets``, four or eight bytes each) tells."""
 
     def __init__(self, options: dict):
-        self.path, self.offsets, self.rows = options["path"], options["offsets"], int(options["rows"])
+        self.path, self.offsets, self.rows, self.wide = options["path"], options["offsets"], int(options["rows"]), int(options.get("wide", 4))
 
     def partitions(self) -> list[InputPartition]:
         size = os.path.getsize(self.path)
@@ -81,8 +81,8 @@ class RecordReader(DataSourceReader):
         if not partition.count:
             return
         with open(self.offsets, "rb") as ends, open(self.path, "rb") as file:
-            ends.seek(partition.first * 4)
-            at = np.frombuffer(_exactly(ends, (partition.count + 1) * 4), "<u4").astype(np.int64)
+            ends.seek(partition.first * self.wide)
+            at = np.frombuffer(_exactly(ends, (partition.count + 1) * self.wide), f"<u{self.wide}").astype(np.int64)
             file.seek(at[0])
             for k, size in enumerate(np.diff(at).tolist()):
                 yield partition.first + k, _exactly(file, size)
@@ -145,9 +145,9 @@ def read_rows(spark: SparkSession, path: str, width: int, rows: int, head: int =
     return spark.read.format(_named(spark)).options(path=path, width=width, rows=rows, head=head).load()
 
 
-def read_records(spark: SparkSession, path: str, offsets: str, rows: int) -> DataFrame:
+def read_records(spark: SparkSession, path: str, offsets: str, rows: int, wide: int = 4) -> DataFrame:
     """(first, raw): the number and the bytes of each record."""
-    return spark.read.format(_named(spark)).options(path=path, offsets=offsets, rows=rows).load()
+    return spark.read.format(_named(spark)).options(path=path, offsets=offsets, rows=rows, wide=wide).load()
 
 
 def write_pieces(pieces: DataFrame, path: str, size: int, head: bytes = b"") -> None:

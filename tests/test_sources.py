@@ -4,6 +4,7 @@ import json
 import threading
 import urllib.error
 import urllib.request
+import zlib
 
 import numpy as np
 import pytest
@@ -253,3 +254,23 @@ def test_command_line(spark, tmp_path):
     (tmp_path / "s" / artifacts.COLORS).write_bytes(b"")
     assert cli.main(["verify", str(tmp_path / "s")]) == 1
     assert cli.main(["--root", str(tmp_path), "doctor"]) == 1
+
+
+def test_twins_of_many_parts_are_one_stream(spark, tmp_path, monkeypatch):
+    """Parts are compressed by themselves; joined they are a single member, as a browser takes no more than one."""
+    monkeypatch.setattr(artifacts, "ZIPPED", 50_000)
+    raw = " ".join(str(i * i % 977) for i in range(100_000)).encode()
+    (tmp_path / "text").write_bytes(raw)
+    row = artifacts.examined(spark, str(tmp_path), ["text"], True).first()
+    twin = (tmp_path / "text.gz").read_bytes()
+    one = zlib.decompressobj(31)
+    assert one.decompress(twin) == raw and one.eof and one.unused_data == b"" and len(raw) > 4 * artifacts.ZIPPED
+    assert (row["gzip_bytes"], row["gzip_sha256"]) == (len(twin), hashlib.sha256(twin).hexdigest()) and len(twin) < 1.05 * len(gzip.compress(raw, 6))
+
+
+def test_offsets_of_texts_over_four_gigabytes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(artifacts, "MAX_U32", 1000)
+    write_set(spark, tmp_path)
+    assert (tmp_path / artifacts.LONG_OFFSETS).stat().st_size == 201 * 8 and not (tmp_path / artifacts.OFFSETS).exists()
+    assert artifacts.verify(spark, str(tmp_path)).collect() == []
+    assert [r.title for r in artifacts.load(spark, str(tmp_path))["records"].orderBy("row_id").collect()] == [f"ümläut 漢字 | ; x{i}" for i in range(200)]
