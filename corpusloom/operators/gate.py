@@ -19,14 +19,15 @@ class GateSpec:
     margin: float = 0.05
 
 
-def run_gate(df: DataFrame, shuffled: DataFrame | None = None, spec: GateSpec = GateSpec(), high: DataFrame | None = None, high_shuffled: DataFrame | None = None) -> DataFrame:
+def run_gate(df: DataFrame, shuffled: DataFrame | None = None, spec: GateSpec = GateSpec(), high: DataFrame | None = None, high_shuffled: DataFrame | None = None, trust: bool = True) -> DataFrame:
     """One row of measures, reasons and verdict.
 
     ``df`` and ``shuffled`` have (row_id, embedding, coords, label); ``shuffled``
     holds the same rows with structureless embeddings and their layout.  The same
     neighbour operator, without self, serves every measure; ``high`` and
     ``high_shuffled`` are neighbours in the space of the embeddings that a caller
-    has already.
+    has already.  Without ``trust`` there is no trustworthiness, which no reason
+    depends on and which compares all pairs once more.
     """
     n = df.count()
     k = min(spec.k, n - 1)
@@ -43,7 +44,9 @@ def run_gate(df: DataFrame, shuffled: DataFrame | None = None, spec: GateSpec =
         return one.crossJoin(N.label_purity(low, labels).withColumnRenamed("purity", f"purity_3d{suffix}")).crossJoin(N.label_purity(high, labels).withColumnRenamed("purity", f"purity_high{suffix}"))
 
     low = low_of(df)
-    row = measures(df, high, low, "").crossJoin(N.chance_level(labels)).crossJoin(ranks.trustworthiness(df, k, "row_id", "embedding", "coords", low=low).drop("compared"))
+    row = measures(df, high, low, "").crossJoin(N.chance_level(labels))
+    if trust:
+        row = row.crossJoin(ranks.trustworthiness(df, k, "row_id", "embedding", "coords", low=low).drop("compared"))
     if shuffled is not None:
         row = row.crossJoin(measures(shuffled, high_shuffled, low_of(shuffled), "_shuffled").drop("purity_high_shuffled"))
     else:

@@ -45,6 +45,14 @@ def test_gate_passes_where_clusters_are(spark):
     assert row["passed"] and row["reasons"] == [] and row["purity_3d"] > 0.9 and row["purity_3d_shuffled"] < 0.45
 
 
+def test_the_gate_query_ranks_nothing_that_it_does_not_return(spark, monkeypatch):
+    from corpusloom.operators import ranks
+
+    called = []
+    monkeypatch.setattr(ranks, "trustworthiness", lambda *a, **o: called.append(a))
+    assert "trustworthiness" not in CATALOG["gate_result"].run(spark, SF).columns and not called
+
+
 def test_layouts(spark, tmp_path):
     from pyspark.sql import functions as F
 
