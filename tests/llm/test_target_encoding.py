@@ -2,6 +2,7 @@ import random
 import zlib
 from collections import Counter
 from datetime import datetime, timedelta
+from pathlib import Path
 
 import duckdb
 import pandas as pd
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm import target_encoding
 from corpusloom.llm.queries import OP11_SQL
+from corpusloom.llm.runtime import CLEAN_SHUFFLES
+from corpusloom.operators.rows import run_dir
 
 TABLES = {
     "sale_lines": "sale_id long, item_id long, vendor_id long, flag string, fold int",
@@ -84,6 +87,37 @@ def test_against_plain_loops_with_a_gap(spark, monkeypatch):
             assert (found[i][f"{name}_n"], found[i][f"{name}_s"], found[i][f"{name}_rate"]) == (n, s, rate)
 
 
+@pytest.mark.parametrize("gap", [0, 7])
+@pytest.mark.parametrize("few", [0, 256])
+def test_hot_instants_and_many_cells(spark, monkeypatch, gap, few):
+    """Facts of one instant go to their cell as one sum, whether columns share their cells or not."""
+    for name, value in (("CELL", 5), ("KEYS", 100), ("FULL", 1), ("FEW", few), ("PART", 20)):
+        monkeypatch.setattr(target_encoding, name, value)
+    rng = random.Random(9)
+    rows = [(i, rng.choice(["x", "y", None]), 50 if rng.random() < 0.4 else rng.randrange(90), rng.randrange(2), rng.randrange(1, 4), rng.randrange(2)) for i in range(300)]
+    joined = []
+    keep = target_encoding.rewritten
+    monkeypatch.setattr(target_encoding, "rewritten", lambda df, label, spent=(): joined.append(label) or keep(df, label, spent))
+    got = target_encoding.encode(spark.createDataFrame(rows, "id int, kind string, at int, fold long, n int, s long"), [["", "kind"]], at="at", fold="fold", n="n", s="s", prior=F.lit(500).cast("long"), gap=gap)
+    found = {r["id"]: r for r in got.collect()}
+    assert len(found) == 300 and "history-with-sums" in joined
+    for i, kind, at, fold, *_ in rows:
+        for name, match in (("all", lambda r: True), ("kind", lambda r: r[1] == kind)):
+            past = [r for r in rows if r[3] != fold and r[2] + gap < at and match(r)]
+            assert (found[i][f"{name}_n"], found[i][f"{name}_s"]) == (sum(r[4] for r in past), sum(r[5] for r in past))
+
+
+def test_disk_is_that_of_one_step(spark):
+    """Facts are shuffled once for each pass, nothing is joined back, and of the passes' tables only the last is left."""
+    data = shop(0.2)
+    before = {p.name for p in Path(run_dir(spark).removeprefix("file:")).glob("*")}
+    out = target_encoding.encode_sales(*frames(spark, data))
+    left = [p.name.split("-")[0] for p in Path(run_dir(spark).removeprefix("file:")).glob("*") if p.name not in before]
+    assert left.count("facts") == 0 and left.count("history") == 1
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert len(out.collect()) > 500 and spark.conf.get(CLEAN_SHUFFLES) == "false"
+
+
 def test_odd_inputs(spark):
     at = datetime(2024, 1, 2)
     empty = {t: [] for t in TABLES}
