@@ -113,3 +113,35 @@ def test_recall_without_structure(spark):
     assert neighbors.overlap(exact, descent.descent_knn(df, 4, "row_id", "v", block=64), 4).first()[0] < 0.95
     near = descent.descent_knn(df, 4, "row_id", "v", block=64, recall=0.95)
     assert near.count() == 12_000 and neighbors.overlap(exact, near, 4).first()[0] >= 0.95
+
+
+def test_no_search_that_costs_more_than_all_pairs(spark, monkeypatch):
+    """A search that gains too little is given up, and the exact neighbours that the caller has are the answer; with structure the search is."""
+    searched, wrote = [], []
+    once, keep = descent._search, descent.materialise
+    monkeypatch.setattr(descent, "_search", lambda *a, **kw: searched.append(a[5]) or once(*a, **kw))
+    monkeypatch.setattr(descent, "materialise", lambda df, label: wrote.append(label) or keep(df, label))
+    for x, hopeless in ((np.random.default_rng(2).normal(size=(3000, 64)), True), (clusters(3000, 16, 30, seed=5, spread=0.2), False)):
+        searched.clear(), wrote.clear()
+        df = materialise(frame(spark, x), "points")
+        exact = materialise(neighbors.knn(df, 4, "row_id", "v"), "exact")
+        near = descent.descent_knn(df, 4, "row_id", "v", block=64, recall=0.95, exact=exact)
+        assert near.count() == 12_000 and neighbors.overlap(exact, near, 4).first()[0] >= 0.95
+        assert searched == [12] and (near is exact) == hopeless and ("descent-graph" in wrote) != hopeless and "descent-exact" not in wrote
+        assert not hopeless or "descent-6" not in wrote
+
+
+def test_gain_of_recall():
+    assert descent._hopeless([0.1, 0.4, 0.5, 0.55], 3, 0.955) and not descent._hopeless([0.1, 0.6, 0.9], 3, 0.955)
+    assert not descent._hopeless([0.1, 0.4], 5, 0.955) and not descent._hopeless([0.0, 0.1, 0.3], 4, 0.955) and descent._hopeless([0.5, 0.6, 0.6], 4, 0.955)
+
+
+def test_rounds_are_the_same_whether_tasks_hold_the_vectors(spark, monkeypatch):
+    """Vectors are looked up or joined; ids are negative and in steps."""
+    x = clusters(1500, 12, 15, seed=4, spread=0.3)
+    df = materialise(frame(spark, x).withColumn("row_id", F.col("row_id") * 97 - 5000), "points")
+    found = []
+    for held in (descent.HELD, 0):
+        monkeypatch.setattr(descent, "HELD", held)
+        found.append(sorted(map(tuple, descent.descent_knn(df, 5, "row_id", "v", block=128).collect())))
+    assert found[0] == found[1] and len(found[0]) == 7500
